@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lattice, minhash, mixing, quality, secrets, sharding, syncmers
+from . import bpe, doubling, lattice, minhash, mixing, phrases, quality, secrets, sharding, syncmers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(table(spark, sf_dir, "documents"), kept=False)
+
+
+def op8_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling.remove_repeats(table(spark, sf_dir, "documents"), spans=False)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), 24)
 
@@ -59,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
+    "op7_phrases": op7_phrases,
+    "op8_doubling": op8_doubling,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
 }

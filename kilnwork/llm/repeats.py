@@ -1,0 +1,334 @@
+"""Windows of units (words or bytes) that also start in a document with a smaller id: the search that both substring operators share.
+
+Texts are held in chunks of about CHUNK bytes, compressed, in one table. Three exchanges of packed arrays follow, each
+between the chunks and shards of a hash space; a shard sees every value once a chunk, so a value in very many
+documents costs one entry a chunk:
+
+1. Anchors. A window's anchor is its gram with the smallest hash; equal windows have equal anchors. Anchors that occur in
+   one document only rule their windows out.
+2. Names. Of the windows left, 64-bit names are ranked by (name, id); a name learns the smallest id it starts in.
+3. Every chunk gets the names of its windows that start earlier, and the caller does with them as it sees fit.
+
+Documents with the text of a smaller id take no part: all their windows start earlier.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import BYTES, U64, mixed, partitions, pieces, power_tables, texts, word_hashes, word_spans, written
+from .lattice import _runs as runs
+
+CHUNK = 1 << 20
+_TOP = U64(2**64 - 1)
+
+
+@dataclass(frozen=True)
+class Kind:
+    """Units, units a window, units a gram."""
+
+    words: bool
+    window: int
+    gram: int
+
+
+@dataclass
+class Chunk:
+    """The documents of a chunk and their units."""
+
+    ids: np.ndarray
+    data: np.ndarray
+    offsets: np.ndarray
+    kind: Kind
+
+    def __post_init__(self) -> None:
+        if self.kind.words:
+            self.starts, self.ends, rows = word_spans(self.data, self.offsets)
+            self.units = word_hashes(self.data, self.starts, self.ends)
+            self.bounds = np.searchsorted(rows, np.arange(len(self.offsets)))
+        else:
+            self.units, self.bounds = BYTES[self.data], self.offsets
+        up, self.down = power_tables(len(self.units) + 1)
+        self.total = np.zeros(len(self.units) + 1, U64)
+        np.cumsum(self.units * up[: len(self.units)], out=self.total[1:])
+
+    def names(self, n: int) -> np.ndarray:
+        """Of all runs of n units, those across documents too."""
+        count = max(0, len(self.units) - n + 1)
+        return mixed((self.total[n:] - self.total[:-n])[:count] * self.down[:count] + U64(n)) if count else np.zeros(0, U64)
+
+    def inside(self, skip: np.ndarray) -> np.ndarray:
+        """Whether each window lies in one document, and that one is not to be skipped."""
+        w = self.kind.window
+        out = np.zeros(max(0, len(self.units) - w + 1), bool)
+        for i in np.flatnonzero(~skip).tolist():
+            a, b = int(self.bounds[i]), int(self.bounds[i + 1])
+            if b - a >= w:
+                out[a : b - w + 1] = True
+        return out
+
+    def anchors(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of grams, smallest hash in each window (all ones where not inside), places of the anchors."""
+        grams, k = self.names(self.kind.gram), self.kind.window - self.kind.gram + 1
+        low = _slid(np.minimum, grams, k) if len(inside) else np.zeros(0, U64)
+        chosen = np.where(inside, low, U64(0))
+        # a gram is the smallest of some window if the largest minimum of the windows it is in is its own hash
+        most = _slid(np.maximum, np.concatenate([np.zeros(k - 1, U64), chosen, np.zeros(k - 1, U64)]), k) if len(inside) else chosen
+        return grams, np.where(inside, low, _TOP), np.flatnonzero((most == grams) & (grams > 0)) if len(inside) else np.zeros(0, np.int64)
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, places, "right") - 1
+
+
+def _slid(best: np.ufunc, x: np.ndarray, k: int) -> np.ndarray:
+    """best over each k neighbours."""
+    span = 1
+    while span < k:
+        step = min(span, k - span)
+        x, span = best(x[:-step], x[step:]), span + step
+    return x
+
+
+def chunked(df: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chunk, ids, digests, packed) of (id, text), written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer, part, n = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        held: list[tuple[int, bytes]] = []
+
+        def flushed() -> pa.RecordBatch:
+            ids = np.array([i for i, _ in held], np.int64)
+            sizes = np.array([len(x) for _, x in held], np.int64)
+            digests = b"".join(hashlib.blake2b(x, digest_size=16).digest() for _, x in held)
+            packed = packer.compress(sizes.tobytes() + b"".join(x for _, x in held))
+            return pa.RecordBatch.from_pydict({"chunk": pa.array([(part << 32) + n], pa.int64()), "ids": [ids.tobytes()], "digests": [digests], "packed": [packed]})
+
+        total = 0
+        for batch in batches:
+            for i, x in zip(batch["id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                raw = (x or "").encode()
+                if held and total + len(raw) > size:
+                    yield flushed()
+                    held, total, n = [], 0, n + 1
+                held.append((2**63 - 1 if i is None else i, raw))
+                total += len(raw) + 8
+        if held:
+            yield flushed()
+
+    return written(df.mapInArrow(run, "chunk long, ids binary, digests binary, packed binary"), "chunks")
+
+
+def _opened(ids: bytes, packed: bytes, kind: Kind) -> Chunk:
+    own = np.frombuffer(ids, np.int64)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    sizes = raw[: 8 * len(own)].view(np.int64)
+    return Chunk(own, raw[8 * len(own) :], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), kind)
+
+
+def _copies(chunks: DataFrame) -> DataFrame:
+    """(chunk, role, shard, payload): places of the documents whose text a smaller id has."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, ids, digests in zip(*(batch[c].to_pylist() for c in ("chunk", "ids", "digests")), strict=True):
+                own = np.frombuffer(ids, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(np.arange(len(own))), pa.array(own), pa.array([digests[i : i + 16] for i in range(0, len(digests), 16)], pa.binary())], ["chunk", "place", "id", "digest"])
+
+    rows = chunks.select("chunk", "ids", "digests").mapInArrow(spread, "chunk long, place long, id long, digest binary")
+    first = written(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first"), "copied")
+    rows = rows.join(first, "digest").filter("id > first").groupBy("chunk").agg(F.array_join(F.collect_list(F.col("place").cast("string")), ",").cast("binary").alias("payload"))
+    return rows.select("chunk", F.lit(1).alias("role"), "payload")
+
+
+def _with_chunks(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:
+    """Rows (chunk, role, ids, payload), those of a chunk together, its texts (role 0) first."""
+    rows = chunks.select("chunk", F.lit(0).alias("role"), "ids", F.col("packed").alias("payload"))
+    for reply in replies:
+        rows = rows.unionByName(reply.select("chunk", "role", F.lit(None).cast("binary").alias("ids"), "payload"))
+    n = max(partitions(chunks.sparkSession), 1)
+    return rows.repartition(n, "chunk").sortWithinPartitions("chunk", "role")
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[int, Chunk, np.ndarray, list[bytes]]]:
+    """(chunk's number, chunk, documents to skip, payloads of role 2)."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                yield batch.slice(i, 64)
+
+    for group in runs(small(batches), ["chunk"]):
+        roles, payloads = group["role"].to_pylist(), group["payload"].to_pylist()
+        chunk = _opened(group["ids"][0].as_py(), payloads[0], kind)
+        skip = np.zeros(len(chunk.ids), bool)
+        for role, payload in zip(roles, payloads, strict=True):
+            if role == 1:
+                skip[[int(x) for x in payload.split(b",")]] = True
+        yield group["chunk"][0].as_py(), chunk, skip, [p for r, p in zip(roles, payloads, strict=True) if r == 2]
+
+
+def _dealt(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the (sorted) hashes' shards, by their upper bits: shard numbers and ends."""
+    bits = U64(64 - shards.bit_length() + 1)
+    cuts = np.searchsorted(hashes >> bits, np.arange(shards + 1, dtype=U64)) if shards > 1 else np.array([0, len(hashes)])
+    full = np.flatnonzero(np.diff(cuts))
+    return full, cuts
+
+
+def _anchors(chunks: DataFrame, kind: Kind, shards: int) -> DataFrame:
+    """(shard, chunk, payload): 32 bits of each anchor of a chunk below the shard's; twice if two of its documents have it."""
+    low = U64(64 - (shards.bit_length() - 1) - 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, ids, packed in zip(*(batch[c].to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
+                chunk = _opened(ids, packed, kind)
+                grams, _, at = chunk.anchors(chunk.inside(np.zeros(len(chunk.ids), bool)))
+                pairs = np.unique(np.stack([grams[at] >> low, chunk.document(at).astype(U64)]), axis=1) if len(at) else np.zeros((2, 0), U64)
+                values, n = np.unique(pairs[0], return_counts=True)
+                values = np.repeat(values, np.minimum(n, 2))
+                full, cuts = _dealt(values << low, shards)
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)), pa.array([values[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in full], pa.binary())], ["shard", "chunk", "payload"])
+
+    return chunks.select("chunk", "ids", "packed").mapInArrow(run, "shard int, chunk long, payload binary")
+
+
+def _by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    return rows.repartition(min(shards, 4 * partitions(rows.sparkSession)), "shard").sortWithinPartitions("shard")
+
+
+def _recurring(anchors: DataFrame, shards: int) -> DataFrame:
+    """(chunk, role, payload): shard number and the anchors of the chunk that occur in two documents at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["shard"]):
+            number, chunk = group["shard"][0].as_py(), group["chunk"].to_pylist()
+            parts = [np.frombuffer(x, np.uint32) for x in group["payload"].to_pylist()]
+            every = np.sort(np.concatenate(parts))
+            again = np.unique(every[1:][every[1:] == every[:-1]])
+            out = []
+            for c, part in zip(chunk, parts, strict=True):
+                if len(again):
+                    part = np.unique(part)
+                    found = part[again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part]
+                    if len(found):
+                        out.append((c, np.int32(number).tobytes() + found.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in out], pa.int64()), "role": pa.array([2] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
+
+    return _by_shard(anchors, shards).select("shard", "chunk", "payload").mapInArrow(run, "chunk long, role int, payload binary")
+
+
+def _named(rows: DataFrame, kind: Kind, shards: int) -> DataFrame:
+    """(shard, chunk, payload): number of ids, ids, then names and places of ids, of the windows with a recurring anchor."""
+    low = U64(64 - (shards.bit_length() - 1) - 32)
+    k = kind.window - kind.gram + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, skip, replies in _by_chunk(batches, kind):
+            if not replies:
+                continue
+            inside = chunk.inside(skip)
+            grams, least, at = chunk.anchors(inside)
+            known = np.sort(np.concatenate([(U64(np.frombuffer(x[:4], np.int32)[0]) << U64(32)) | np.frombuffer(x[4:], np.uint32).astype(U64) for x in replies]))
+            value = grams[at] >> low
+            again = at[known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value]
+            marked = np.full(len(grams), _TOP, U64)
+            marked[again] = grams[again]
+            places = np.flatnonzero(inside & (_slid(np.minimum, marked, k) == least)) if len(inside) else np.zeros(0, np.int64)
+            names, owner = chunk.names(kind.window)[places], chunk.document(places)
+            order = np.lexsort((owner, names))
+            names, owner = names[order], owner[order]
+            first = np.ones(len(names), bool)
+            first[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+            names, owner = names[first], owner[first]
+            full, cuts = _dealt(names, shards)
+            out = []
+            for s in full:
+                a, b = cuts[s], cuts[s + 1]
+                own, place = np.unique(owner[a:b], return_inverse=True)
+                out.append(np.int32(len(own)).tobytes() + chunk.ids[own].tobytes() + names[a:b].tobytes() + place.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)), pa.array(out, pa.binary())], ["shard", "chunk", "payload"])
+
+    return rows.select("chunk", "role", "ids", "payload").mapInArrow(run, "shard int, chunk long, payload binary")
+
+
+def _earlier(named: DataFrame, shards: int) -> DataFrame:
+    """(chunk, role, payload): names of the chunk's windows that start in smaller ids than some document of the chunk, and the smallest id of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["shard"]):
+            names, ids, source = [], [], []
+            for i, x in enumerate(group["payload"].to_pylist()):
+                n = int(np.frombuffer(x[:4], np.int32)[0])
+                own, m = np.frombuffer(x[4 : 4 + 8 * n], np.int64), (len(x) - 4 - 8 * n) // 12
+                names.append(np.frombuffer(x[4 + 8 * n : 4 + 8 * n + 8 * m], U64))
+                ids.append(own[np.frombuffer(x[4 + 8 * n + 8 * m :], np.uint32)])
+                source.append(np.full(m, i, np.int32))
+            name, id_, src = np.concatenate(names), np.concatenate(ids), np.concatenate(source)
+            order = np.lexsort((id_, name))
+            name, id_, src = name[order], id_[order], src[order]
+            new = np.ones(len(name), bool)
+            new[1:] = name[1:] != name[:-1]
+            smallest = id_[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            late = np.flatnonzero(id_ > smallest)
+            late = late[np.lexsort((name[late], src[late]))]
+            chunk = group["chunk"].to_pylist()
+            cuts = np.searchsorted(src[late], np.arange(len(chunk) + 1))
+            out = []
+            for i, c in enumerate(chunk):
+                own = late[cuts[i] : cuts[i + 1]]
+                if len(own):
+                    own = own[np.concatenate([[True], name[own][1:] != name[own][:-1]])]
+                    out.append((c, name[own].tobytes() + smallest[own].tobytes()))
+            if out:
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in out], pa.int64()), "role": pa.array([2] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
+
+    return _by_shard(named, shards).select("shard", "chunk", "payload").mapInArrow(run, "chunk long, role int, payload binary")
+
+
+def marked(chunk: Chunk, skip: np.ndarray, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the chunk's windows that start in a smaller id, and the smallest id of each."""
+    inside = chunk.inside(skip)
+    if not replies or not len(inside):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known = np.concatenate([np.frombuffer(x[: len(x) // 2], U64) for x in replies])
+    small = np.concatenate([np.frombuffer(x[len(x) // 2 :], np.int64) for x in replies])
+    order = np.argsort(known)
+    known, small = known[order], small[order]
+    names = chunk.names(chunk.kind.window)
+    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+    places = np.flatnonzero(inside & (known[at] == names))
+    first = small[at[places]]
+    late = first < chunk.ids[chunk.document(places)]
+    return places[late], first[late]
+
+
+def search(df: DataFrame, kind: Kind, finish: Callable[[Chunk, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str | T.StructType, size: int = CHUNK) -> DataFrame:
+    """finish(chunk, skip, places, smallest ids) of every chunk of df (id, text). skip: documents whose text a smaller id has."""
+    chunks = chunked(df, size)
+    count = max(1, chunks.count())
+    shards = 1 << max(4, int(np.ceil(np.log2(max(partitions(df.sparkSession), count / 8)))))
+    copies = written(_copies(chunks), "copies")
+    recurring = written(_recurring(_anchors(chunks, kind, shards), shards), "recurring")
+    named = _named(_with_chunks(chunks, [copies, recurring]), kind, shards)
+    earlier = written(_earlier(named, shards), "earlier")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk, skip, replies in _by_chunk(batches, kind):
+            yield finish(chunk, skip, *marked(chunk, skip, replies))
+
+    return _with_chunks(chunks, [copies, earlier]).select("chunk", "role", "ids", "payload").mapInArrow(run, schema)
+
+
+__all__ = ["Chunk", "Kind", "marked", "search", "texts", "pieces"]
