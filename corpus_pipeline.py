@@ -1,15 +1,53 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""The corpus pipeline: quality, near-duplicates, secrets, mixture, tokens.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kilnwork.llm import bpe, minhash, mixing, quality, queries, secrets
+from kilnwork.llm.common import written
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id stays; of rows repeated whole, one."""
+    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    first = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by their kind; n_chars follows the text."""
+    out = secrets.redact(docs)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(out.schema["n_chars"].dataType)))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources in the shares of their target weights: those that are over early start again, no document is left out."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text and what they decode to, by digest."""
+    return bpe.encode(docs, queries.tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [("quality", good), ("near duplicates", single), ("secrets", clean), ("mixing", mixed), ("bpe", tokens)]
+#: The classifier and the tokenizer can't be said in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
