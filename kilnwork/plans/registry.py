@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import curate_queries, evaluate_queries, select_queries, text_queries
+
+_PARTS = [text_queries, curate_queries, select_queries, evaluate_queries]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict[str, str] = {k: v for p in _PARTS for k, v in p.SQL.items()}
