@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -15,7 +15,10 @@ from .views import attempts, hashed, samples, sql_strip, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-one = F.count(F.lit(1)).alias("rows")
+
+
+def one() -> Column:
+    return F.count(F.lit(1)).alias("rows")
 
 
 def add(name: str, sql: str | None = None, *views: str) -> Callable:
@@ -40,14 +43,14 @@ def s1(spark, d):
 
 @add("s2_read_split", "select 'documents' as split, count(*) as rows, sum(strlen(text)) as bytes from documents")
 def s2(spark, d):
-    return tables.mapped(tables.read_split(spark, f"{d}/documents.parquet", "documents"), tables.SourceSpec("x", code="text")).agg(F.lit("documents").alias("split"), one, F.sum(F.octet_length("code")).cast("double").alias("bytes")).select("split", "rows", "bytes")
+    return tables.mapped(tables.read_split(spark, f"{d}/documents.parquet", "documents"), tables.SourceSpec("x", code="text")).agg(F.lit("documents").alias("split"), one(), F.sum(F.octet_length("code")).cast("double").alias("bytes")).select("split", "rows", "bytes")
 
 
 @add("s3_resolve_code_column", "select 'text' as column, count(*) as rows from documents where text is not null")
 def s3(spark, d):
     docs = table(spark, d, "documents")
     name = tables.resolve_code_column(docs, ("reference_code", "code", "text"))
-    return docs.filter(F.col(name).isNotNull()).agg(F.lit(name).alias("column"), one).select("column", "rows")
+    return docs.filter(F.col(name).isNotNull()).agg(F.lit(name).alias("column"), one()).select("column", "rows")
 
 
 @add("s4_read_manifest", "select cast(doc_id as varchar) as sample_id, source from documents where doc_id is not null")
@@ -77,7 +80,7 @@ def s6(spark, d):
 
     path = scratch(spark, "shards")
     wrote = tables.write_shards(_shardable(spark, d), path, 1 << 20, "sample_id")
-    back = spark.read.parquet(path).groupBy("split", "shard").agg(one)
+    back = spark.read.parquet(path).groupBy("split", "shard").agg(one())
     return wrote.join(back.withColumnRenamed("rows", "rows_read"), ["split", "shard"]).select("split", "shard", "rows", "bytes", "rows_read")
 
 
@@ -226,14 +229,14 @@ def o1(spark, d):
 
 @add("u1_union_sources", "select 'docs' as dataset, count(*) as rows from documents union all select 'pages', count(*) from pages")
 def u1(spark, d):
-    return sel.union_sources(docs=table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code")), pages=table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"))).groupBy("dataset").agg(one)
+    return sel.union_sources(docs=table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code")), pages=table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("code"))).groupBy("dataset").agg(one())
 
 
 def curate_flow(spark: SparkSession, d: str) -> DataFrame:
     """Documents normalised, deduplicated in their pool, decontaminated, classified and counted."""
     train, bench = (dedup.first_occurrence(p, 42, "sample_id") for p in _pools(spark, d))
     rows = dedup.decontaminate(train, bench)
-    return ngrams.repetition_score(rows).groupBy("source", "repetition_class").agg(one)
+    return ngrams.repetition_score(rows).groupBy("source", "repetition_class").agg(one())
 
 
 QUERIES["curate_flow"] = curate_flow

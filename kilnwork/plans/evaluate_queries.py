@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import helpers, scores, text, vectors
@@ -13,7 +13,10 @@ from .views import attempts, pairs, samples, sql_grams, sql_strip, sql_tokens, t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-one = F.count(F.lit(1)).alias("rows")
+
+
+def one() -> Column:
+    return F.count(F.lit(1)).alias("rows")
 
 
 def add(name: str, sql: str | None = None, *views: str) -> Callable:
@@ -336,7 +339,7 @@ def v4(spark, d):
 
 @add("f8_validate_encoder", "select count(*) as rows from embeddings")
 def f8(spark, d):
-    return clustering.validate_encoder(_vec(spark, d).withColumn("image_encoder", F.lit("SigLIP2")), "siglip2").agg(one)
+    return clustering.validate_encoder(_vec(spark, d).withColumn("image_encoder", F.lit("SigLIP2")), "siglip2").agg(one())
 
 
 @add("v5_reduce_pca")
@@ -359,7 +362,7 @@ def v8(spark, d):
 def v9(spark, d):
     rows = _vec(spark, d).withColumn("cluster", F.col("label"))
     s = clustering.silhouette(rows, 2000, vector="embedding")
-    return rows.agg(one).withColumn("silhouette", F.round(F.lit(s), 6))
+    return rows.agg(one()).withColumn("silhouette", F.round(F.lit(s), 6))
 
 
 @add("v10_cluster_sweep")

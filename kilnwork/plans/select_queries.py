@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quota
@@ -13,7 +13,10 @@ from .views import master, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-one = F.count(F.lit(1)).alias("rows")
+
+
+def one() -> Column:
+    return F.count(F.lit(1)).alias("rows")
 MIX = {"llm_description": 2.0, "llm_description_image": 1.0}
 IMPORTANCE = {"*": "not important", "class_1": "extremely-important", "CLASS_2": "really_important", "class_3": "none"}
 _M = "md5('{s}:' || sample_id)"
@@ -101,12 +104,12 @@ def q6(spark, d):
 
 @add("q7_choose_weighted")
 def q7(spark, d):
-    return sel.choose_weighted(master(spark, d), 40, IMPORTANCE, 42).groupBy("class").agg(one)
+    return sel.choose_weighted(master(spark, d), 40, IMPORTANCE, 42).groupBy("class").agg(one())
 
 
 @add("q8_choose_uniform")
 def q8(spark, d):
-    return sel.choose_uniform(master(spark, d), 77, [f"class_{i}" for i in range(1, 11)], 42).groupBy("class").agg(one)
+    return sel.choose_uniform(master(spark, d), 77, [f"class_{i}" for i in range(1, 11)], 42).groupBy("class").agg(one())
 
 
 def _quotas(spark, d, f):
@@ -152,12 +155,12 @@ def q10(spark, d):
 
 @add("q11_build_train")
 def q11(spark, d):
-    return sel.build_train(master(spark, d), CFG).groupBy("split", "class").agg(one)
+    return sel.build_train(master(spark, d), CFG).groupBy("split", "class").agg(one())
 
 
 @add("q12_build_rl")
 def q12(spark, d):
-    return sel.build_rl(master(spark, d), CFG).groupBy("repetition_class", "class").agg(one)
+    return sel.build_rl(master(spark, d), CFG).groupBy("repetition_class", "class").agg(one())
 
 
 _U = "(('0x' || substr(md5('9:' || sample_id), 1, 8))::bigint / 4294967296.0)"
