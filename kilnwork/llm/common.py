@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -37,10 +40,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now, between large ones: it does so once the driver's collectors have dropped them,
+    Python's first, the JVM's after it, else at some later time."""
+    if hasattr(spark, "_jvm"):
+        for _ in range(2):
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.3)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of two numbers that may be broadcast (about 20 MB), once they are counted; beyond, tables are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few enough of its (counted) rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def sized(df: DataFrame, rows: int, per: int = 100_000) -> DataFrame:
+    """df, of narrow rows just shuffled, in as few partitions as so many rows need."""
+    return df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // per))))
+
+
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string or binary column (null: empty) and the rows' offsets in them."""
     column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import sized, small, written
 
 
 class Forest:
@@ -39,20 +39,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     so a hub with very many neighbours costs one row a task; the joins' hot keys are split by adaptive execution, for
     which each round's tables are written to the shared folder (this also cuts the lineage). Loops and repeated edges are harmless.
     """
-    edges = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b")
-    edges = written(edges, "edges")
+    edges = written(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b"), "edges")
     labels = None
     for _ in range(rounds):
-        if edges.isEmpty():
+        n = edges.count()
+        if not n:
             break
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("a").alias("to")), F.struct(F.col("b").alias("id"), F.col("a").alias("to")))).alias("x")).select("x.*")
-        image = written(ends.groupBy("id").agg(F.min("to").alias("to")), "image")
+        image = written(sized(ends.groupBy("id").agg(F.min("to").alias("to")), 2 * n), "image")
+        of = lambda names: small(image.select(*[F.col(c).alias(x) for c, x in names.items()]), 2 * n)  # noqa: B023, E731
         if labels is None:
-            labels = image.select("id", F.col("to").alias("root"))
+            labels, size = image.select("id", F.col("to").alias("root")), n
         else:
-            labels = written(labels.join(image.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root")), "labels")
-        moved = edges.join(image.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a").join(image.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b")
-        edges = written(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a < b").distinct(), "edges")
+            labels = written(sized(labels.join(of({"id": "root", "to": "to"}), "root", "left").select("id", F.coalesce("to", "root").alias("root")), 2 * size), "labels")
+        moved = edges.join(of({"id": "a", "to": "ta"}), "a").join(of({"id": "b", "to": "tb"}), "b")
+        edges = written(sized(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).filter("a < b").distinct(), n), "edges")
     else:
         raise RuntimeError("components did not settle")
     return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
