@@ -10,7 +10,8 @@ of different components are of interest, so a node of one component ends at once
 largest component decide: at most NODE of them are compared to all rows of the node, in blocks.
 
 Every candidate is confirmed on the full sets, rebuilt from the whole texts. At a similarity of 0.75, a tree finds a pair
-with probability 2/3 at any depth, and the sketch test keeps all but one in 10^5: about one link in 10^5 is missed.
+with probability 0.75 in its root node and 2/3 at any depth, and each sketch test keeps all but one in 10^5: of such links one in 30,000 is
+missed, one in 6,000 where all the root nodes are large, and fewer the more alike the sets are.
 
 Defined cases: a null text, an empty one or one without words has the empty set and links with nothing; rows repeated whole are
 copies; component_id is the smallest id reachable; the other columns are ignored.
@@ -27,15 +28,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ODD, U64, mixed, pieces, run_hashes, texts, word_hashes, word_spans, written
+from .common import LOWER, ODD, U64, freed, mixed, pieces, run_hashes, sized, small, texts, word_hashes, word_spans, written
 from .components import components
 from .lattice import _runs as runs
+from .lattice import _stars as stars
 
 SHINGLE, PERCENT = 5, 75
 #: Trees; minwise tokens a sketch; children a row gets when a node branches; rows that are compared with a whole node; rows a block; levels.
-TREES, TOKENS, BRANCH, NODE, BLOCK, DEPTH = 12, 64, 2, 256, 1024, 24
-#: Ids up to which a set of ids is broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+TREES, TOKENS, BRANCH, NODE, BLOCK, DEPTH = 8, 64, 2, 4096, 4096, 40
+#: Alike pairs a row from which a block counts as dense.
+DENSE = 8
+#: Bins of the finer sketch: a byte of the smallest hash in each of 256 parts of the hash space, 0 for none.
+BINS = 256
 
 _RNG = np.random.default_rng(77)
 _A = _RNG.integers(0, 2**63, TOKENS, np.uint64) * U64(2) + U64(1)
@@ -65,17 +69,39 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return (low >> U64(32)).astype(np.uint32)
 
 
+def fine_sketch(hashes: np.ndarray) -> np.ndarray:
+    """BINS bytes of sorted hashes."""
+    out = np.zeros(BINS, np.uint8)
+    part = (hashes >> U64(56)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(hashes) else part
+    out[part[first]] = hashes[first] % U64(255) + U64(1)
+    return out
+
+
+def finely_alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows of finer sketches may belong to a link: no fewer equal bins, of those that either fills, than a link has but once in 10^5."""
+    filled = ((a > 0) | (b > 0)).sum(1)
+    same = ((a == b) & (a > 0)).sum(1)
+    p = percent / 100
+    return same >= filled * p - 4.3 * np.sqrt(filled * p * (1 - p)) - 1
+
+
+def _bins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BINS)
+
+
 def _sketched(df: DataFrame) -> DataFrame:
-    """(id, n, digest, tokens): digest is null for empty sets."""
+    """(id, n, digest, tokens, fine): digest is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
             sets = shingle_sets(*texts(batch["text"]))
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             tokens = [sketch(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary())], ["id", "n", "digest", "tokens"])
+            fine = [fine_sketch(s).tobytes() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(tokens, pa.binary()), pa.array(fine, pa.binary())], ["id", "n", "digest", "tokens", "fine"])
 
-    return df.mapInArrow(run, "id long, n long, digest binary, tokens binary")
+    return df.mapInArrow(run, "id long, n long, digest binary, tokens binary, fine binary")
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -126,9 +152,16 @@ def _alike(tokens: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, perc
     return np.where(small * 100 >= large * percent, out, 0)
 
 
+def _sides(comp: np.ndarray, major: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows outside the largest component, and the rows that they are compared to in this block."""
+    few = np.flatnonzero(comp != major)
+    return few, np.arange(len(comp)) if block == 0 else np.flatnonzero(comp == major)
+
+
 def _compared(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of rows of a block (node, block, rep, comp, major, n, tokens) that are of different components and look alike.
-    Rows outside the node's largest component (major) are in all of its blocks; pairs among them are told in block 0."""
+    """(node, block, a, b): pairs of rows of a block (node, block, rep, comp, major, n, sketches) that are of different components and look alike.
+    Rows outside the node's largest component (major) are in all of its blocks; pairs among them are told in block 0.
+    A block with more than DENSE pairs a row tells only itself, with null for a and b: its rows are compared by their full sets."""
     least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,53 +170,110 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             group = group.combine_chunks()
             rep, comp, n = (group[c].to_numpy() for c in ("rep", "comp", "n"))
-            tokens = _tokens(group["tokens"])
-            few = np.flatnonzero(comp != group["major"].to_numpy())
-            every = np.arange(len(rep)) if group["block"][0].as_py() == 0 else np.flatnonzero(comp == group["major"].to_numpy())
+            tokens, fine = _tokens(group["tokens"]), _bins(group["fine"])
+            few, every = _sides(comp, group["major"].to_numpy(), group["block"][0].as_py())
+            found, total = [], 0
             for i in range(0, len(few), 128):
                 part = few[i : i + 128]
                 near = (_alike(tokens, n, part, every, percent) >= least) & (comp[part][:, None] != comp[every][None, :])
                 x, y = np.nonzero(near)
-                a, b = rep[part[x]], rep[every[y]]
-                if len(a):
-                    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return rows.select("node", "block", "rep", "comp", "major", "n", "tokens").repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "a long, b long")
-
-
-def _stars(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+                keep = np.concatenate([finely_alike(fine[part[x[j : j + 8192]]], fine[every[y[j : j + 8192]]], percent) for j in range(0, len(x), 8192)]) if len(x) else np.zeros(0, bool)
+                a, b = rep[part[x[keep]]], rep[every[y[keep]]]
+                found.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0))
+                total += len(found[-1])
+                if total > DENSE * len(rep):
+                    break
+            key = [group[c][0].as_py() for c in ("node", "block")]
+            if total > DENSE * len(rep):
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], ["node", "block", "a", "b"])
+            elif total:
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), key[0])), pa.array(np.full(len(pairs), key[1], np.int32)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["node", "block", "a", "b"])
+
+    return rows.select("node", "block", "rep", "comp", "major", "n", "tokens", "fine").repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(run, "node long, block int, a long, b long")
+
+
+def _stars(rows: DataFrame, count: int, classes: DataFrame, percent: int) -> DataFrame:
     """(a, b): each class with the one class, smallest in one of its nodes, that looks most alike, if any looks alike."""
-    least = least_matches(percent)
-    hubs = written(rows.groupBy("node").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("node", "hub"), "hubs")
-    pairs = rows.join(hubs, "node").filter("rep != hub").select("rep", "hub").distinct()
-    pairs = written(pairs, "stars")
-    pairs = pairs.join(classes.select("rep", "n", "tokens"), "rep").join(classes.select(F.col("rep").alias("hub"), F.col("n").alias("m"), F.col("tokens").alias("others")), "hub")
+    hubs = rows.groupBy("node").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("node", "hub")
+    hubs = written(sized(hubs, count), "hubs")
+    pairs = rows.join(small(hubs, hubs.count()), "node").filter("rep != hub").select("rep", "hub").distinct()
+    pairs = written(sized(pairs, count), "stars")
+    n = pairs.count()
+    side = lambda names: classes.select(*[F.col(c).alias(x) for c, x in names.items()])
+    pairs = side({"rep": "rep", "n": "n", "fine": "fine"}).join(small(pairs, n), "rep").join(side({"rep": "hub", "n": "m", "fine": "others"}), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = (_tokens(batch["tokens"]).astype(np.uint8) == _tokens(batch["others"]).astype(np.uint8)).sum(1)
+            a, b = _bins(batch["fine"]), _bins(batch["others"])
             n, m = batch["n"].to_numpy(), batch["m"].to_numpy()
-            keep = np.flatnonzero((same >= least) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent))
-            yield pa.RecordBatch.from_arrays([batch["rep"].take(keep), batch["hub"].take(keep), pa.array(same[keep].astype(np.int64))], ["b", "a", "same"])
+            keep = np.flatnonzero(finely_alike(a, b, percent) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent))
+            same = ((a == b) & (a > 0)).sum(1) * 1000 // np.maximum(((a > 0) | (b > 0)).sum(1), 1)
+            yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(keep)), batch["hub"].take(pa.array(keep)), pa.array(same[keep].astype(np.int64))], ["b", "a", "same"])
 
-    found = pairs.select("rep", "hub", "n", "m", "tokens", "others").mapInArrow(run, "b long, a long, same long")
-    return found.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a"))
+    found = pairs.select("rep", "hub", "n", "m", "fine", "others").mapInArrow(run, "b long, a long, same long")
+    return sized(found.groupBy("b").agg(F.max_by("a", F.struct("same", -F.col("a"))).alias("a")), n)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Texts travel compressed; only those of the pairs do."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    ids = written(ids, "ids")
-    texts_of = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def _packed(docs: DataFrame) -> DataFrame:
+    """(id, packed): whole texts, compressed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array([packer.compress((x or "").encode()) for x in batch["text"].to_pylist()], pa.binary())], ["id", "packed"])
 
+    return docs.mapInArrow(pack, "id long, packed binary")
+
+
+def _set_of(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    return shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+
+
+def _dense(rows: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the rows (node, block, rep, comp, major) of dense blocks, as a star for each connected set: sizes of
+    intersections are counted for one row at a time along the lists of its shingles, on full sets; no pair leaves the task."""
+    ids = written(rows.select(F.col("rep").alias("id")).distinct(), "ids")
+    texts_of = _packed(docs.join(small(ids, ids.count()), "id", "left_semi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["node", "block"]):
+            group = group.combine_chunks()
+            rep, first = np.unique(group["rep"].to_numpy(), return_index=True)
+            comp, major = group["comp"].to_numpy()[first], group["major"].to_numpy()[first]
+            sets = [_set_of(x) for x in group["packed"].take(pa.array(first)).to_pylist()]
+            size = np.array([len(x) for x in sets])
+            order = np.argsort(np.concatenate(sets), kind="stable")
+            owner = np.repeat(np.arange(len(sets)), size)[order]
+            values = np.concatenate(sets)[order]
+            heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            lists = np.empty(len(order), np.int64)
+            lists[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+            tails, at = np.append(heads[1:], len(order)), np.concatenate([[0], np.cumsum(size)])
+            few, every = _sides(comp, major, group["block"][0].as_py())
+            a, b = [], []
+            for i in few.tolist():
+                own = lists[at[i] : at[i + 1]]
+                both = np.bincount(np.concatenate([owner[heads[x] : tails[x]] for x in own.tolist()]), minlength=len(sets))[every]
+                linked = every[(both * 100 >= percent * (size[i] + size[every] - both)) & (comp[every] != comp[i])]
+                a.append(np.full(len(linked), i))
+                b.append(linked)
+            a, b = stars(rep, np.concatenate(a), np.concatenate(b))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    both = rows.join(texts_of.withColumnRenamed("id", "rep"), "rep").repartition("node", "block").sortWithinPartitions("node", "block")
+    return both.select("node", "block", "rep", "comp", "major", "packed").mapInArrow(run, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. Texts travel compressed; only those of the pairs do."""
+    n = pairs.count()
+    ids = written(sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n), "ids")
+    texts_of = docs.join(small(ids, 2 * n), "id", "left_semi")
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = zstandard.ZstdDecompressor()
         last: tuple[int, np.ndarray] | None = None
         for batch in batches:
             for at in range(0, len(batch), 64):
@@ -196,8 +286,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 for i, (x, y, s, t) in enumerate(zip(a, b, part["pa"].to_pylist(), part["pb"].to_pylist(), strict=True)):
                     for k, z in ((x, s), (y, t)):
                         if k not in sets:
-                            raw = reader.decompress(z)
-                            sets[k] = shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+                            sets[k] = _set_of(z)
                     p, q = sets[x], sets[y]
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= percent * (len(p) + len(q) - both) and both:
@@ -205,28 +294,34 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     last = (x, p)
                 yield part.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    # one text an id, should rows be repeated
-    packed = written(texts_of.mapInArrow(pack, "id long, packed binary").groupBy("id").agg(F.first("packed").alias("packed")), "packed")
-    both = pairs.join(packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")), "b").join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a")
+    packed = written(_packed(texts_of), "packed")
+    both = packed.select(F.col("id").alias("b"), F.col("packed").alias("pb")).join(small(pairs, n), "b").join(packed.select(F.col("id").alias("a"), F.col("packed").alias("pa")), "a")
     return both.select("a", "b", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
-def _looked_through(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the alike pairs of different components in the trees below the rows (node, rep, comp)."""
-    found = None
+def _looked_through(rows: DataFrame, count: int, classes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): the alike pairs of different components in the trees below the rows (node, rep, comp); and links of dense nodes."""
+    found, links = None, []
     for depth in range(DEPTH + 1):
         per = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"))
         sizes = per.groupBy("node").agg(F.sum("k").alias("rows"), F.max(F.struct("k", "comp")).alias("top")).filter(F.col("rows") > F.col("top.k"))
-        sizes = written(sizes.select("node", "rows", (F.col("rows") - F.col("top.k")).alias("few"), F.col("top.comp").alias("major")), "nodes")
-        live = rows.join(sizes, "node").join(classes.select("rep", "n", "tokens"), "rep")
+        sizes = written(sized(sizes.select("node", "rows", (F.col("rows") - F.col("top.k")).alias("few"), F.col("top.comp").alias("major")), count), "nodes")
+        live = written(sized(rows.join(small(sizes, sizes.count()), "node"), count), "live")
+        n = live.count()
+        live = classes.select("rep", "n", "tokens", "fine").join(small(live, n), "rep")
         final = (F.col("few") <= NODE) | F.lit(depth == DEPTH)
         blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
         ready = live.filter(final).withColumn("block", F.explode(F.when((blocks == 1) | (F.col("comp") == F.col("major")), F.array(F.pmod(F.xxhash64("rep"), blocks).cast("int"))).otherwise(F.sequence(F.lit(0), blocks - 1))))
-        pairs = written(_compared(ready, percent).distinct(), "pairs")
+        pairs = written(_compared(ready, percent), "pairs")
+        dense = pairs.filter("a is null").select("node", "block")
+        if k := dense.count():
+            links.append(written(_dense(ready.select("node", "block", "rep", "comp", "major").join(small(dense, k), ["node", "block"]), docs, percent), "dense"))
+        pairs = pairs.filter("a is not null").select("a", "b")
         found = pairs if found is None else found.unionByName(pairs)
         if depth == DEPTH or sizes.filter(~final).isEmpty():
-            return found
+            return found, links
         rows = written(_branched(live.filter(~final)), "rows")
+        count = BRANCH * n
     raise AssertionError
 
 
@@ -234,19 +329,26 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     """(id, n_shingles, component_id, kept) of each document; links: Jaccard similarity of percent / 100 or more."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(_sketched(docs), "sketches")
-    classes = written(rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens")), "classes")
+    classes = written(rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("fine").alias("fine")), "classes")
     roots = written(_roots(classes), "roots")
-    stars = written(_stars(roots, classes, percent), "tied")
+    count = roots.count()
+    stars = written(_stars(roots, count, classes, percent), "tied")
     tied = written(_confirmed(stars, docs, percent), "links")
+    freed(df.sparkSession)
     first = components(tied)
-    roots = roots.join(first.select(F.col("id").alias("rep"), F.col("root").alias("comp")), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
-    more = written(_looked_through(roots, classes, percent).distinct(), "pairs")
-    more = written(_confirmed(more, docs, percent), "links")
+    n = 2 * tied.count()
+    roots = roots.join(small(first.select(F.col("id").alias("rep"), F.col("root").alias("comp")), n), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
+    pairs, dense = _looked_through(roots, count, classes, docs, percent)
+    more = _confirmed(written(pairs.distinct(), "pairs"), docs, percent)
+    for links in dense:
+        more = more.unionByName(links)
+    more = written(more, "links")
+    freed(df.sparkSession)
     ends = more
     for side in ("a", "b"):
-        ends = ends.join(first.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
+        ends = ends.join(small(first.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), n), side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
     second = components(ends)
-    named = classes.select("digest", "rep").join(first.select(F.col("id").alias("rep"), F.col("root").alias("one")), "rep", "left").withColumn("one", F.coalesce("one", "rep"))
-    named = named.join(second.select(F.col("id").alias("one"), F.col("root").alias("two")), "one", "left").select("digest", F.coalesce("two", "one").alias("root"))
+    named = classes.select("digest", "rep").join(small(first.select(F.col("id").alias("rep"), F.col("root").alias("one")), n), "rep", "left").withColumn("one", F.coalesce("one", "rep"))
+    named = named.join(small(second.select(F.col("id").alias("one"), F.col("root").alias("two")), 2 * more.count()), "one", "left").select("digest", F.coalesce("two", "one").alias("root"))
     out = rows.select("id", "n", "digest").join(written(named, "named"), "digest", "left").withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
