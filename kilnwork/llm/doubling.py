@@ -26,7 +26,7 @@ LENGTH, GRAM = 50, 26
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, chunk: int = CHUNK) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256), and with spans the removed runs and the bytes that are left."""
 
-    def finish(c: Chunk, skip: np.ndarray, places: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+    def finish(c: Chunk, skip: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         cover = np.zeros(len(c.data) + 1, np.int32)
         np.add.at(cover, places, 1)
         np.add.at(cover, places + length, -1)

@@ -24,7 +24,7 @@ from .repeats import CHUNK, Chunk, Kind, search
 WINDOW, GRAM = 13, 6
 
 
-def _streamed(chunk: Chunk, skip: np.ndarray, places: np.ndarray, first: np.ndarray) -> tuple[list[list[bytes]], list[np.ndarray]]:
+def _streamed(chunk: Chunk, skip: np.ndarray, places: np.ndarray) -> tuple[list[list[bytes]], list[np.ndarray]]:
     """Of each document its words and which of them go."""
     n = chunk.kind.window
     raw = chunk.data.tobytes()
@@ -33,20 +33,20 @@ def _streamed(chunk: Chunk, skip: np.ndarray, places: np.ndarray, first: np.ndar
     gone = [np.full(len(w), bool(s) and len(w) >= n) for w, s in zip(words, skip, strict=True)]
     if not len(places):
         return words, gone
-    # phrases: maximal runs of windows in a document; each with the largest of its windows' smallest ids
+    # phrases: maximal runs of windows in a document; each with the smallest id here in which all of it starts later than elsewhere
     owner = chunk.document(places)
     new = np.ones(len(places), bool)
     new[1:] = (places[1:] != places[:-1] + 1) | (owner[1:] != owner[:-1])
     heads = np.flatnonzero(new)
     tails = np.concatenate([heads[1:], [len(places)]]) - 1
-    latest = np.maximum.reduceat(first, heads)
     phrases: dict[str, tuple[int, int]] = {}
-    for h, t, late in zip(places[heads].tolist(), places[tails].tolist(), latest.tolist(), strict=True):
+    for h, t in zip(places[heads].tolist(), places[tails].tolist(), strict=True):
         doc = int(chunk.document(np.array([h]))[0])
         at = h - int(chunk.bounds[doc])
         size = t - h + n
         text = " " + b" ".join(words[doc][at : at + size]).decode("utf-8", "surrogateescape") + " "
-        phrases[text] = (min(late, phrases[text][0]) if text in phrases else late, size)
+        least = int(chunk.ids[doc])
+        phrases[text] = (min(least, phrases[text][0]) if text in phrases else least, size)
     automaton = ahocorasick.Automaton()
     for text, found in phrases.items():
         automaton.add_word(text, found)
@@ -57,8 +57,8 @@ def _streamed(chunk: Chunk, skip: np.ndarray, places: np.ndarray, first: np.ndar
         text = " " + b" ".join(own).decode("utf-8", "surrogateescape") + " "
         breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
         cover = np.zeros(len(own) + 1, np.int64)
-        for end, (late, size) in automaton.iter(text):
-            if late < chunk.ids[doc]:
+        for end, (least, size) in automaton.iter(text):
+            if least <= chunk.ids[doc]:
                 last = int(np.searchsorted(breaks, end))  # the blank that ends word last - 1
                 cover[last - size] += 1
                 cover[last] -= 1
@@ -69,8 +69,8 @@ def _streamed(chunk: Chunk, skip: np.ndarray, places: np.ndarray, first: np.ndar
 def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, chunk: int = CHUNK) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256), and with kept the words that are left, joined by blanks."""
 
-    def finish(c: Chunk, skip: np.ndarray, places: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        words, gone = _streamed(c, skip, places, first)
+    def finish(c: Chunk, skip: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        words, gone = _streamed(c, skip, places)
         left = [b" ".join([w for w, g in zip(own, out.tolist(), strict=True) if not g]) for own, out in zip(words, gone, strict=True)]
         ids = pa.array(c.ids, mask=c.ids == 2**63 - 1)
         columns = {"id": ids, "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}

@@ -7,7 +7,8 @@ documents costs one entry a chunk:
 1. Anchors. A window's anchor is its gram with the smallest hash; equal windows have equal anchors. Anchors that occur in
    one document only rule their windows out.
 2. Names. Of the windows left, 64-bit names are ranked by (name, id); a name learns the smallest id it starts in.
-3. Every chunk gets the names of its windows that start earlier, and the caller does with them as it sees fit.
+3. Every chunk gets a bit for each of its (name, document) entries, set where the name starts in a smaller id; it makes
+   the entries again, in the same order, and the caller does with the marked windows as it sees fit.
 
 Documents with the text of a smaller id take no part: all their windows start earlier.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTES, U64, mixed, partitions, pieces, power_tables, texts, word_hashes, word_spans, written
+from .common import BYTES, U64, freed, mixed, partitions, power_tables, word_hashes, word_spans, written
 from .lattice import _runs as runs
 
 CHUNK = 1 << 20
@@ -103,7 +104,7 @@ def chunked(df: DataFrame, size: int = CHUNK) -> DataFrame:
     """(chunk, ids, digests, packed) of (id, text), written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, part, n = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+        packer, part, n = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId(), 0
         held: list[tuple[int, bytes]] = []
 
         def flushed() -> pa.RecordBatch:
@@ -150,6 +151,15 @@ def _copies(chunks: DataFrame) -> DataFrame:
     return rows.select("chunk", F.lit(1).alias("role"), "payload")
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """64-bit numbers byte by byte, all first bytes first: what is zero or alike then compresses."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
+
+
 def _with_chunks(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:
     """Rows (chunk, role, ids, payload), those of a chunk together, its texts (role 0) first."""
     rows = chunks.select("chunk", F.lit(0).alias("role"), "ids", F.col("packed").alias("payload"))
@@ -159,8 +169,8 @@ def _with_chunks(chunks: DataFrame, replies: list[DataFrame]) -> DataFrame:
     return rows.repartition(n, "chunk").sortWithinPartitions("chunk", "role")
 
 
-def _by_chunk(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[int, Chunk, np.ndarray, list[bytes]]]:
-    """(chunk's number, chunk, documents to skip, payloads of role 2)."""
+def _by_chunk(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[int, Chunk, np.ndarray, list[bytes], list[bytes]]]:
+    """(chunk's number, chunk, documents to skip, payloads of role 2, of role 3)."""
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +184,7 @@ def _by_chunk(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[i
         for role, payload in zip(roles, payloads, strict=True):
             if role == 1:
                 skip[[int(x) for x in payload.split(b",")]] = True
-        yield group["chunk"][0].as_py(), chunk, skip, [p for r, p in zip(roles, payloads, strict=True) if r == 2]
+        yield group["chunk"][0].as_py(), chunk, skip, *([p for r, p in zip(roles, payloads, strict=True) if r == role] for role in (2, 3))
 
 
 def _dealt(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,106 +239,112 @@ def _recurring(anchors: DataFrame, shards: int) -> DataFrame:
     return _by_shard(anchors, shards).select("shard", "chunk", "payload").mapInArrow(run, "chunk long, role int, payload binary")
 
 
+@dataclass
+class Entries:
+    """The windows of a chunk with a recurring anchor: their places, the entry of each, and the entries (name, document) in order."""
+
+    places: np.ndarray
+    entry: np.ndarray
+    names: np.ndarray
+    owner: np.ndarray
+
+
+def _entries(chunk: Chunk, skip: np.ndarray, replies: list[bytes], shards: int) -> Entries:
+    low, k = U64(64 - (shards.bit_length() - 1) - 32), chunk.kind.window - chunk.kind.gram + 1
+    inside = chunk.inside(skip)
+    places = np.zeros(0, np.int64)
+    if replies and len(inside):
+        grams, least, at = chunk.anchors(inside)
+        known = np.sort(np.concatenate([(U64(np.frombuffer(x[:4], np.int32)[0]) << U64(32)) | np.frombuffer(x[4:], np.uint32).astype(U64) for x in replies]))
+        value = grams[at] >> low
+        again = at[known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value]
+        marked = np.full(len(grams), _TOP, U64)
+        marked[again] = grams[again]
+        places = np.flatnonzero(inside & (_slid(np.minimum, marked, k) == least))
+    names, owner = chunk.names(chunk.kind.window)[places], chunk.document(places)
+    order = np.lexsort((owner, names))
+    names, owner = names[order], owner[order]
+    first = np.ones(len(names), bool)
+    first[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
+    entry = np.empty(len(names), np.int64)
+    entry[order] = np.cumsum(first) - 1
+    return Entries(places, entry, names[first], owner[first])
+
+
 def _named(rows: DataFrame, kind: Kind, shards: int) -> DataFrame:
-    """(shard, chunk, payload): number of ids, ids, then names and places of ids, of the windows with a recurring anchor."""
-    low = U64(64 - (shards.bit_length() - 1) - 32)
-    k = kind.window - kind.gram + 1
+    """(shard, chunk, payload): numbers of ids and names, ids, names (differences of sorted ones) and the names' ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, chunk, skip, replies in _by_chunk(batches, kind):
-            if not replies:
-                continue
-            inside = chunk.inside(skip)
-            grams, least, at = chunk.anchors(inside)
-            known = np.sort(np.concatenate([(U64(np.frombuffer(x[:4], np.int32)[0]) << U64(32)) | np.frombuffer(x[4:], np.uint32).astype(U64) for x in replies]))
-            value = grams[at] >> low
-            again = at[known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value]
-            marked = np.full(len(grams), _TOP, U64)
-            marked[again] = grams[again]
-            places = np.flatnonzero(inside & (_slid(np.minimum, marked, k) == least)) if len(inside) else np.zeros(0, np.int64)
-            names, owner = chunk.names(kind.window)[places], chunk.document(places)
-            order = np.lexsort((owner, names))
-            names, owner = names[order], owner[order]
-            first = np.ones(len(names), bool)
-            first[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
-            names, owner = names[first], owner[first]
-            full, cuts = _dealt(names, shards)
+        for number, chunk, skip, recurring, _ in _by_chunk(batches, kind):
+            found = _entries(chunk, skip, recurring, shards)
+            full, cuts = _dealt(found.names, shards)
             out = []
             for s in full:
                 a, b = cuts[s], cuts[s + 1]
-                own, place = np.unique(owner[a:b], return_inverse=True)
-                out.append(np.int32(len(own)).tobytes() + chunk.ids[own].tobytes() + names[a:b].tobytes() + place.astype(np.uint32).tobytes())
+                own, place = np.unique(found.owner[a:b], return_inverse=True)
+                steps = np.diff(found.names[a:b], prepend=U64(0))
+                out.append(np.array([len(own), b - a], np.int32).tobytes() + _planes(chunk.ids[own]) + _planes(steps) + _planes(place.astype(U64)))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number)), pa.array(out, pa.binary())], ["shard", "chunk", "payload"])
 
     return rows.select("chunk", "role", "ids", "payload").mapInArrow(run, "shard int, chunk long, payload binary")
 
 
 def _earlier(named: DataFrame, shards: int) -> DataFrame:
-    """(chunk, role, payload): names of the chunk's windows that start in smaller ids than some document of the chunk, and the smallest id of each."""
+    """(chunk, role, payload): shard number and a bit for each entry of the chunk there, set if its name starts in a smaller id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["shard"]):
-            names, ids, source = [], [], []
-            for i, x in enumerate(group["payload"].to_pylist()):
-                n = int(np.frombuffer(x[:4], np.int32)[0])
-                own, m = np.frombuffer(x[4 : 4 + 8 * n], np.int64), (len(x) - 4 - 8 * n) // 12
-                names.append(np.frombuffer(x[4 + 8 * n : 4 + 8 * n + 8 * m], U64))
-                ids.append(own[np.frombuffer(x[4 + 8 * n + 8 * m :], np.uint32)])
-                source.append(np.full(m, i, np.int32))
-            name, id_, src = np.concatenate(names), np.concatenate(ids), np.concatenate(source)
-            order = np.lexsort((id_, name))
-            name, id_, src = name[order], id_[order], src[order]
-            new = np.ones(len(name), bool)
-            new[1:] = name[1:] != name[:-1]
-            smallest = id_[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            late = np.flatnonzero(id_ > smallest)
-            late = late[np.lexsort((name[late], src[late]))]
-            chunk = group["chunk"].to_pylist()
-            cuts = np.searchsorted(src[late], np.arange(len(chunk) + 1))
-            out = []
-            for i, c in enumerate(chunk):
-                own = late[cuts[i] : cuts[i + 1]]
-                if len(own):
-                    own = own[np.concatenate([[True], name[own][1:] != name[own][:-1]])]
-                    out.append((c, name[own].tobytes() + smallest[own].tobytes()))
+            number, chunk = group["shard"][0].as_py(), group["chunk"].to_pylist()
+            names, ids = [], []
+            for x in group["payload"].to_pylist():
+                n, m = (int(v) for v in np.frombuffer(x[:8], np.int32))
+                own = _unplaned(x[8 : 8 + 8 * n]).view(np.int64)
+                names.append(np.cumsum(_unplaned(x[8 + 8 * n : 8 + 8 * (n + m)])))
+                ids.append(own[_unplaned(x[8 + 8 * (n + m) :]).astype(np.int64)])
+            cuts = np.cumsum([0, *map(len, names)])
+            name, id_ = np.concatenate(names), np.concatenate(ids)
+            del names, ids
+            order = np.argsort(name, kind="stable")
+            new = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+            smallest = np.repeat(np.minimum.reduceat(id_[order], new), np.diff(np.concatenate([new, [len(name)]])))
+            late = np.zeros(len(name), bool)
+            late[order] = id_[order] > smallest
+            out = [(c, np.int32(number).tobytes() + np.packbits(late[a:b]).tobytes()) for c, a, b in zip(chunk, cuts[:-1], cuts[1:], strict=True) if late[a:b].any()]
             if out:
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in out], pa.int64()), "role": pa.array([2] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in out], pa.int64()), "role": pa.array([3] * len(out), pa.int32()), "payload": pa.array([x for _, x in out], pa.binary())})
 
     return _by_shard(named, shards).select("shard", "chunk", "payload").mapInArrow(run, "chunk long, role int, payload binary")
 
 
-def marked(chunk: Chunk, skip: np.ndarray, replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the chunk's windows that start in a smaller id, and the smallest id of each."""
-    inside = chunk.inside(skip)
-    if not replies or not len(inside):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = np.concatenate([np.frombuffer(x[: len(x) // 2], U64) for x in replies])
-    small = np.concatenate([np.frombuffer(x[len(x) // 2 :], np.int64) for x in replies])
-    order = np.argsort(known)
-    known, small = known[order], small[order]
-    names = chunk.names(chunk.kind.window)
-    at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-    places = np.flatnonzero(inside & (known[at] == names))
-    first = small[at[places]]
-    late = first < chunk.ids[chunk.document(places)]
-    return places[late], first[late]
-
-
-def search(df: DataFrame, kind: Kind, finish: Callable[[Chunk, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str | T.StructType, size: int = CHUNK) -> DataFrame:
-    """finish(chunk, skip, places, smallest ids) of every chunk of df (id, text). skip: documents whose text a smaller id has."""
+def marked(chunk: Chunk, skip: np.ndarray, recurring: list[bytes], earlier: list[bytes], shards: int) -> np.ndarray:
+    """Places of the chunk's windows that start in a smaller id."""
+    if not earlier:
+        return np.zeros(0, np.int64)
+    found = _entries(chunk, skip, recurring, shards)
+    _, cuts = _dealt(found.names, shards)
+    late = np.zeros(len(found.names), bool)
+    for x in earlier:
+        a, b = (int(v) for v in cuts[np.frombuffer(x[:4], np.int32)[0] :][:2])
+        late[a:b] = np.unpackbits(np.frombuffer(x[4:], np.uint8), count=b - a)
+    return found.places[late[found.entry]]
+
+
+def search(df: DataFrame, kind: Kind, finish: Callable[[Chunk, np.ndarray, np.ndarray], pa.RecordBatch], schema: str | T.StructType, size: int = CHUNK) -> DataFrame:
+    """finish(chunk, skip, places) of every chunk of df (id, text). skip: documents whose text a smaller id has."""
     chunks = chunked(df, size)
     count = max(1, chunks.count())
-    shards = 1 << max(4, int(np.ceil(np.log2(max(partitions(df.sparkSession), count / 8)))))
+    shards = 1 << max(4, int(np.ceil(np.log2(max(partitions(df.sparkSession), count / 16)))))
     copies = written(_copies(chunks), "copies")
     recurring = written(_recurring(_anchors(chunks, kind, shards), shards), "recurring")
-    named = _named(_with_chunks(chunks, [copies, recurring]), kind, shards)
-    earlier = written(_earlier(named, shards), "earlier")
+    freed(df.sparkSession)
+    earlier = written(_earlier(_named(_with_chunks(chunks, [copies, recurring]), kind, shards), shards), "earlier")
+    freed(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk, skip, replies in _by_chunk(batches, kind):
-            yield finish(chunk, skip, *marked(chunk, skip, replies))
+        for _, chunk, skip, again, late in _by_chunk(batches, kind):
+            yield finish(chunk, skip, marked(chunk, skip, again, late, shards))
 
-    return _with_chunks(chunks, [copies, earlier]).select("chunk", "role", "ids", "payload").mapInArrow(run, schema)
+    return _with_chunks(chunks, [copies, recurring, earlier]).select("chunk", "role", "ids", "payload").mapInArrow(run, schema)
 
 
-__all__ = ["Chunk", "Kind", "marked", "search", "texts", "pieces"]
+__all__ = ["Chunk", "Kind", "search"]

@@ -1,0 +1,36 @@
+"""The pipeline's stages against brute-force versions on the smallest table."""
+
+from __future__ import annotations
+
+import hashlib
+
+import corpus_pipeline as pipeline
+from kilnwork.llm import minhash, quality, secrets
+from kilnwork.llm.common import written
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = [docs]
+    for name, stage in pipeline.STAGES:
+        kept.append(written(stage(spark, kept[-1], DATA), name.replace(" ", "-")))
+        if name != "bpe":
+            assert kept[-1].columns == docs.columns
+    ids = [sorted(r["doc_id"] for r in d.collect()) for d in kept]
+    scores = quality.score(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    assert ids[1] == sorted(r["doc_id"] for r in scores.filter("predicted = 1").collect())
+    near = minhash.near_duplicates(kept[1])
+    assert ids[2] == sorted(r["doc_id"] for r in near.filter("kept").collect())
+    assert ids[3] == ids[2]
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(kept[2]).collect()}
+    before, after = ({r["doc_id"]: r["text"] for r in d.collect()} for d in (kept[2], kept[3]))
+    assert all((before[i] != after[i]) == bool(spans[i]) for i in before)
+    assert set(ids[4]) == set(ids[3])  # mixing leaves none out
+    last = {r["doc_id"]: r for r in kept[5].collect()}
+    for i, t in after.items():
+        r = last[i]
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["token_ids"])).encode()).hexdigest()
+        assert (r["n_tokens"] > 0) == bool((t or "").strip())
+    assert sorted(r["doc_id"] for r in pipeline.run(spark, DATA).collect()) == ids[5]
