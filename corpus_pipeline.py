@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from kilnwork.llm import bpe, minhash, mixing, quality, queries, secrets
 from kilnwork.llm.common import written
+from kilnwork.plans.paths import ship
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    ship(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
