@@ -146,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known.select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"))), "id")
     rows = sorted(own.mapInArrow(run, "id long, label int, x array<double>").collect())
-    x = np.array([r["x"] for r in rows]).reshape(len(rows), -1)
+    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, 0))
     return Ranker(x, np.array([r["label"] == 1 for r in rows], bool))
 
 
