@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source with the share a / Q of a frame of Q slots gives its block j (from 0) the release time floor(j * Q / a) and the
-deadline ceil((j + 1) * Q / a). Earliest deadline first over the released blocks meets every deadline, so after any number
-of slots each source is less than one block from its share. Shares are whole numbers, so the schedule repeats with the
-frame: only the Q slots of one frame are scheduled, and the place of any block follows from its number by arithmetic.
+A source with the share w of the mix gives its block j (from 0) the release time floor(j / w) and the deadline
+ceil((j + 1) / w). Earliest deadline first over the released blocks meets every deadline, so after any number of slots
+each source is less than one block from its target, however long the mix is and however small the source. Shares are the
+target weights in units of 2**-50, so that they sum to one and times are exact in whole numbers.
 
-The mix ends with the slot in which the last source has given its last row; a source that is over earlier starts again
-(epoch 1, 2, ...), so no row is left out and every prefix of the mix holds the target shares.
+Each slot follows from the one before, so the slots are scheduled in one pass on the driver, over numbers of blocks only (a
+slot takes O(log sources), and 8 bytes until it is sent on); rows are ranked and placed by Spark, by the frame of their block.
 
-Sources below one slot of the frame are pooled as one, in order of the rows' hashes: a frame has at most Q + 1 sources,
-which bounds what is broadcast whatever the number of sources.
+The mix ends with the slot in which the last source has given its last row; a source that is over earlier starts again
+(epoch 1, 2, ...), so no row is left out and every prefix of the mix holds the target shares. A source with fewer rows
+than its first block repeats them in it, so very many such sources make the mix up to a block's rows times as long.
 
 Defined cases: a null source is a source of its own; rows without text are rows like others; repeated rows stay apart;
 an empty table gives an empty mix. Sources missing from given weights have the weight 0 and are an error if they have rows.
@@ -17,90 +18,91 @@ an empty table gives an empty mix. Sources missing from given weights have the w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import heapq
+from array import array
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import BROADCAST_ROWS
 from .ranking import positions, uniform52
 
 FRAME, BLOCK, POWER = 512, 8, 0.9
-_POOL = "\u0000rest"
+UNITS = 1 << 50
+_NULL = "\u0000null"
 
 
 def _name(source: str) -> Column:
-    return F.coalesce(F.col(source).cast("string"), F.lit("\u0000null"))
+    return F.coalesce(F.col(source).cast("string"), F.lit(_NULL))
 
 
-def _shares(counts: DataFrame, weights: dict[str, float] | None, power: float, frame: int) -> DataFrame:
-    """(__group, share, size): whole slots of the frame, by largest remainder, one at least, and the group's rows."""
+def _shares(sizes: dict[str, int], weights: dict[str, float] | None, power: float) -> dict[str, int]:
+    """Units of each source, by name; they sum to UNITS. What rounding leaves goes to the largest: at most half a unit a source."""
     if weights is None:
-        weight = F.pow(F.col("n").cast("double"), F.lit(float(power)))
+        own = {s: float(n) ** power for s, n in sizes.items()}
     else:
         if not weights or min(weights.values()) <= 0:
             raise ValueError("weights must be positive")
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-        weight = F.coalesce(F.try_element_at(given, F.col("__source")), F.raise_error(F.concat(F.lit("no weight for source "), F.coalesce("__source", F.lit("null")))).cast("double"))
-    counts = counts.withColumn("w", weight)
-    total = counts.agg(F.sum("w").alias("w")).first()["w"] or 1.0
-    group = F.when(F.col("w") * frame < total, F.lit(_POOL)).otherwise(_name("__source"))
-    groups = counts.groupBy(group.alias("__group")).agg(F.round(F.sum(F.col("w") / total) * frame, 9).alias("x"), F.sum("n").alias("size"))  # at most frame + 1 rows
-    floors = groups.withColumn("low", F.greatest(F.lit(1), F.floor("x"))).withColumn("place", F.row_number().over(Window.orderBy((F.col("x") - F.floor("x")).desc(), "__group")))
-    left = F.lit(frame) - F.sum("low").over(Window.partitionBy())
-    largest = F.row_number().over(Window.orderBy(F.col("x").desc(), "__group"))
-    share = F.col("low") + F.when(left >= F.col("place"), 1).otherwise(0) + F.when((largest == 1) & (left < 0), left).otherwise(0)
-    return floors.select("__group", share.cast("int").alias("share"), "size")
-
-
-def _schedule(shares: DataFrame, frame: int) -> DataFrame:
-    """(__group, share, size, nth, slot) of one frame: earliest deadline first, folded over its slots; ties by group."""
-    packed = shares.groupBy().agg(F.sort_array(F.collect_list(F.struct("__group", "share", "size"))).alias("all")).filter(F.size("all") > 0)  # one row, at most frame + 1 entries
-    start = F.struct(F.transform("all", lambda x: F.lit(0)).alias("given"), F.array().cast("array<int>").alias("order"))
-
-    def step(state: Column, t: Column) -> Column:
-        ready = F.transform(
-            F.arrays_zip(F.col("all"), state["given"].alias("given")),
-            lambda x, i: F.when(
-                (x["given"] < x["all"]["share"]) & (F.floor(x["given"] * frame / x["all"]["share"]) <= t),
-                F.struct(F.ceil((x["given"] + 1) * frame / x["all"]["share"]).alias("deadline"), i.alias("i")),
-            ),
-        )
-        best = F.array_min(F.filter(ready, lambda x: x.isNotNull()))["i"]
-        return F.struct(F.transform(state["given"], lambda g, i: g + F.when(i == best, 1).otherwise(0)).alias("given"), F.concat(state["order"], F.array(best)).alias("order"))
-
-    slots = packed.select("all", F.posexplode(F.aggregate(F.sequence(F.lit(0), F.lit(frame - 1)), start, step, lambda s: s["order"])).alias("slot", "i"))
-    nth = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
-    return slots.select(F.col("all")[F.col("i")].alias("x"), nth.alias("nth"), "slot").select("x.*", "nth", "slot")
-
-
-def plan(shares: DataFrame, frame: int, block: int) -> DataFrame:
-    """(__group, share, size, blocks, slots) of each group: the blocks that it gives to the whole mix and its slots in a frame."""
-    schedule = _schedule(shares, frame)
-    last = F.floor((F.col("size") - 1) / block)  # a group's last block of rows not given before
-    end = F.when(F.pmod(last, F.col("share")) == F.col("nth"), F.floor(last / F.col("share")) * frame + F.col("slot"))
-    schedule = schedule.withColumn("all_slots", F.max(end).over(Window.partitionBy()) + 1)
-    in_part = F.sum(F.when(F.col("slot") < F.pmod(F.col("all_slots"), F.lit(frame)), 1).otherwise(0))
-    return schedule.groupBy("__group", "share", "size").agg(
-        (F.first(F.floor(F.col("all_slots") / frame)) * F.first("share") + in_part).alias("blocks"),
-        F.transform(F.sort_array(F.collect_list(F.struct("nth", "slot"))), lambda x: x["slot"]).alias("slots"),
-    )
+        if missing := sorted(sizes.keys() - {str(s) for s in weights}):
+            raise ValueError(f"no weight for source {missing[0].replace(_NULL, 'null')}")
+        given = {str(s): float(w) for s, w in weights.items()}
+        own = {s: given[s] for s in sizes}
+    total = sum(own.values())
+    shares = {s: max(1, round(w / total * UNITS)) for s, w in sorted(own.items())}
+    if shares:
+        shares[max(shares, key=shares.__getitem__)] += UNITS - sum(shares.values())
+    return shares
+
+
+def schedule(shares: list[int], needed: list[int]) -> list[array]:
+    """The slots of each source's blocks, until each has given as many as it needs: earliest deadline first, ties by place in the list."""
+    slots = [array("q") for _ in shares]
+    waiting, ready = [(0, i) for i in range(len(shares))], []
+    left, t = len(shares), 0
+    while left:
+        while waiting and waiting[0][0] <= t:
+            i = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(len(slots[i]) + 1) * UNITS // shares[i]), i))
+        i = heapq.heappop(ready)[1]
+        slots[i].append(t)
+        left -= len(slots[i]) == needed[i]
+        t += 1
+        heapq.heappush(waiting, (len(slots[i]) * UNITS // shares[i], i))
+    return slots
+
+
+def _frames(spark: SparkSession, slots: list[array], frame: int) -> DataFrame:
+    """(__h, __frame, __slots): the slots of a source's blocks, so many in a row."""
+    parts = [(i, k, s[k * frame : (k + 1) * frame]) for i, s in enumerate(slots) for k in range(-(-len(s) // frame))]
+    ends = np.cumsum([0, *(len(s) for _, _, s in parts)])
+    values = pa.array(np.concatenate([np.frombuffer(s, np.int64) for _, _, s in parts]) if parts else np.zeros(0, np.int64))
+    columns = [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([k for _, k, _ in parts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
+    made = spark.createDataFrame(pa.table(columns, ["__h", "__frame", "__slots"]), "__h int, __frame long, __slots array<long>")
+    return F.broadcast(made) if len(values) <= 4 * BROADCAST_ROWS else made
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, frame: int = FRAME, block: int = BLOCK, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All columns of df with mix_pos (long, from 0, gapless), mix_epoch (int) and mix_share (double, of its source in the mix).
+    """All columns of df with mix_pos (long, from 0, gapless), mix_epoch (int) and mix_share (double, the target of its source).
 
     weights: by source; None: the number of rows to the given power. Rows of a source come in order of the hash of (seed, id).
+    frame: blocks of a source in a row of the schedule as it is sent to Spark; the mix does not depend on it.
     """
     if frame < 1 or block < 1:
         raise ValueError("frame and block must be positive")
-    rows = df.withColumn("__source", F.col(source_col)).withColumn("__key", uniform52(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    made = plan(_shares(rows.groupBy("__source").agg(F.count(F.lit(1)).alias("n")), weights, power, frame), frame, block)
-    groups = F.broadcast(df.sparkSession.createDataFrame(made.collect(), made.schema))  # at most frame + 1 rows, frame slots
-    grouped = rows.join(groups.select("__group"), _name("__source") == F.col("__group"), "left").withColumn("__group", F.coalesce("__group", F.lit(_POOL)))
-    ranked = positions(grouped, ["__group"], "__key", [F.col(id_col)], "__rank")
-    mixed = ranked.join(groups, "__group")
-    epochs = F.ceil((F.col("blocks") * block - F.col("__rank")) / F.col("size")).cast("int")
+    spark = df.sparkSession
+    rows = df.withColumn("__group", _name(source_col)).withColumn("__key", uniform52(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    sizes = {r["__group"]: r["n"] for r in rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
+    shares = _shares(sizes, weights, power)
+    slots = schedule(list(shares.values()), [-(-sizes[s] // block) for s in shares])
+    groups = F.broadcast(spark.createDataFrame([(s, i, sizes[s], len(slots[i]), a / UNITS) for i, (s, a) in enumerate(shares.items())], "__name string, __g int, __size long, __blocks long, mix_share double"))
+    ranked = positions(rows, ["__group"], "__key", [F.col(id_col)], "__rank")
+    mixed = ranked.join(groups, F.col("__group") == F.col("__name"))
+    epochs = F.ceil((F.col("__blocks") * block - F.col("__rank")) / F.col("__size")).cast("int")
     mixed = mixed.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.greatest(epochs - 1, F.lit(0)))))
-    number = F.col("__rank") + F.col("mix_epoch") * F.col("size")
-    nth = F.floor(number / block)
-    slot = F.floor(nth / F.col("share")) * frame + F.element_at("slots", (F.pmod(nth, F.col("share")) + 1).cast("int"))
-    mixed = mixed.withColumn("mix_pos", (slot * block + F.pmod(number, F.lit(block))).cast("long")).withColumn("mix_share", F.col("share") / F.lit(float(frame)))
+    mixed = mixed.withColumn("__number", F.col("__rank") + F.col("mix_epoch") * F.col("__size")).withColumn("__nth", F.floor(F.col("__number") / block))
+    mixed = mixed.join(_frames(spark, slots, frame), (F.col("__g") == F.col("__h")) & (F.floor(F.col("__nth") / frame) == F.col("__frame")))
+    slot = F.element_at("__slots", (F.pmod("__nth", F.lit(frame)) + 1).cast("int"))
+    mixed = mixed.withColumn("mix_pos", (slot * block + F.pmod("__number", F.lit(block))).cast("long"))
     return mixed.select(*[F.col(c) for c in df.columns], "mix_pos", "mix_epoch", "mix_share")

@@ -222,6 +222,18 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_to_the_target_weights(spark):
+    """Against the weights themselves, over thousands of blocks: twenty equal sources, and small ones that differ."""
+    equal = spark.range(20_000).selectExpr("id as doc_id", "concat('s', id % 20) as source")
+    small = spark.range(6_100).selectExpr("id as doc_id", "case when id < 6000 then 'big' when id < 6090 then 'x' else 'y' end as source")
+    for df, weights, block in ((equal, {f"s{i}": 1.0 for i in range(20)}, 4), (small, {"big": 0.997, "x": 0.002, "y": 0.001}, 2)):
+        got = [r["source"] for r in mixing.mix(df, weights, block=block).orderBy("mix_pos").select("source").collect()][::block]
+        assert len(got) > 3000
+        for s, w in weights.items():
+            n = np.cumsum([x == s for x in got])
+            assert np.abs(n - w / sum(weights.values()) * np.arange(1, len(n) + 1)).max() < 1 + 1e-6, s
+
+
 def test_sharding(spark, docs):
     got = by_id(sharding.shards(docs, 24))
     for i, r in ((r["doc_id"], r) for r in docs.collect()):
