@@ -34,8 +34,11 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in the shares of their target weights: those that are over early start again, no document is left out."""
-    return mixing.mix(docs).select(*docs.columns)
+    """Sources in the shares of their target weights: those that are over early start again, no document is left out.
+
+    Rows are sorted over the whole table, so the order of the files and of the rows in them is the mix.
+    """
+    return mixing.mix(docs).orderBy("mix_pos").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import glob
 import hashlib
 
+import numpy as np
+import pyarrow.parquet as pq
+
 import corpus_pipeline as pipeline
-from kilnwork.llm import minhash, quality, secrets
+from kilnwork.llm import minhash, mixing, quality, secrets
 from kilnwork.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +38,15 @@ def test_stages(spark):
         assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["token_ids"])).encode()).hexdigest()
         assert (r["n_tokens"] > 0) == bool((t or "").strip())
     assert sorted(r["doc_id"] for r in pipeline.run(spark, DATA).collect()) == ids[5]
+
+
+def test_the_files_of_the_mixing_stage_are_in_the_order_of_the_mix(spark, tmp_path):
+    docs = spark.range(6000).selectExpr("id as doc_id", "case when id % 10 < 6 then 'a' when id % 10 < 9 then 'b' else 'c' end as source").repartition(7)
+    pipeline.mixed(spark, docs, DATA).write.parquet(str(tmp_path / "mixed"))
+    files = [pq.read_table(f).to_pylist() for f in sorted(glob.glob(str(tmp_path / "mixed" / "part-*.parquet")))]
+    got = [r for rows in files for r in rows]
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_pos").collect()]
+    total = sum(n**mixing.POWER for n in (3600, 1800, 600))
+    for s, n in (("a", 3600), ("b", 1800), ("c", 600)):
+        seen = np.cumsum([r["source"] == s for r in got])
+        assert np.abs(seen - n**mixing.POWER / total * np.arange(1, len(seen) + 1)).max() < 2 * mixing.BLOCK
