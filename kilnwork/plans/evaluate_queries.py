@@ -361,13 +361,13 @@ def v8(spark, d):
 @add("v9_silhouette")
 def v9(spark, d):
     rows = _vec(spark, d).withColumn("cluster", F.col("label"))
-    s = clustering.silhouette(rows, 2000, vector="embedding")
+    s = clustering.silhouette(rows, vector="embedding")
     return rows.agg(one()).withColumn("silhouette", F.round(F.lit(s), 6))
 
 
 @add("v10_cluster_sweep")
 def v10(spark, d):
-    return clustering.cluster_sweep(_vec(spark, d), [4, 8], 5, sample=500).select("components", "clusters")
+    return clustering.cluster_sweep(_vec(spark, d), [4, 8], 5)
 
 
 @add("o6_rank_sweep", "select label, cast(row_number() over (order by s desc, n) as int) as place from (select label, round(avg(embedding[1]), 9) as s, count(*) as n from embeddings group by 1)")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,14 +154,22 @@ def q10(spark, d):
     return sel.build_benchmark(master(spark, d), CFG).select("sample_id", "split")
 
 
+def _grown(m: DataFrame) -> sel.Selection:
+    """CFG with splits that grow with the table: shares of its rows that are no noise."""
+    n = m.filter(~sel.is_noise("class")).count()
+    return replace(CFG, noise_validation=round(0.06 * n), train=round(0.3 * n), corpus=round(0.2 * n), rl=round(0.2 * n), rl_noise=round(0.04 * n))
+
+
 @add("q11_build_train")
 def q11(spark, d):
-    return sel.build_train(master(spark, d), CFG).groupBy("split", "class").agg(one())
+    m = master(spark, d)
+    return sel.build_train(m, _grown(m)).groupBy("split", "class").agg(one())
 
 
 @add("q12_build_rl")
 def q12(spark, d):
-    return sel.build_rl(master(spark, d), CFG).groupBy("repetition_class", "class").agg(one())
+    m = master(spark, d)
+    return sel.build_rl(m, _grown(m)).groupBy("repetition_class", "class").agg(one())
 
 
 _U = "(('0x' || substr(md5('9:' || sample_id), 1, 8))::bigint / 4294967296.0)"

@@ -8,7 +8,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kilnwork.plans import registry
+from kilnwork.operators import clustering
+from kilnwork.operators.select import is_noise
+from kilnwork.plans import registry, views
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,3 +42,22 @@ def test_query(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_other_query(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() >= 0
+
+
+def test_splits_grow_with_the_table(spark):
+    larger = "/root/testdata/sf0.01"
+    n = views.master(spark, larger).filter(~is_noise("class")).count()
+    train = registry.QUERIES["q11_build_train"](spark, larger).toPandas()
+    assert train[train["split"] == "train"]["rows"].sum() == round(0.3 * n)
+    assert registry.QUERIES["q12_build_rl"](spark, larger).toPandas()["rows"].sum() == round(0.2 * n)
+
+
+def test_silhouette_and_sweep_are_whole(spark, tmp_path):
+    """v9 on more rows than its former sample of 2000; all that v10 measures."""
+    spark.range(2600).selectExpr("id as vec_id", "cast(id % 3 as int) as label", "array(cast(id % 3 + rand(1) * 3 as float), cast(rand(2) as float)) as embedding").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = views.table(spark, str(tmp_path), "embeddings").selectExpr("vec_id as sample_id", "label as cluster", "embedding")
+    got = registry.QUERIES["v9_silhouette"](spark, str(tmp_path)).first()["silhouette"]
+    assert abs(got - clustering.silhouette(rows, 2600, vector="embedding")) < 1e-6
+    sweep = registry.QUERIES["v10_cluster_sweep"](spark, DATA).toPandas()
+    assert list(sweep.columns) == ["components", "clusters", "noise_fraction", "silhouette", "variance"]
+    assert sweep["silhouette"].notna().all() and sweep["variance"].is_monotonic_increasing
