@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -25,29 +23,38 @@ ODD = U64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is set."""
+    """The folder all executors share, as the session names it; where none is set, a temporary one, and only for a local master."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='kilnwork-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts the lineage and outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/kilnwork-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def freed(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now, between large ones: it does so once the driver's collectors have dropped them,
-    Python's first, the JVM's after it, else at some later time."""
-    if hasattr(spark, "_jvm"):
-        for _ in range(2):
-            gc.collect()
-            spark._jvm.System.gc()
-            time.sleep(0.3)
+    """df as a Parquet table in the shared folder, read back: cuts the lineage and outlives executors. The shuffle files of
+    the write go when it ends."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/kilnwork-{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kilnwork_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Empties tables that written() made and nothing will read again."""
+    for t in tables:
+        t.limit(0).write.mode("overwrite").parquet(t._kilnwork_path)
 
 
 def partitions(spark: SparkSession) -> int:

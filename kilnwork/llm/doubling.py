@@ -1,36 +1,331 @@
 """Exact substring dedup by distributed prefix doubling.
 
-The rank of a position at length 2n comes from its ranks at length n at the position and n bytes on. Ranks are 64-bit names,
-so the short lengths need no exchange; at the length of a gram the names of sampled positions (each window's anchor) are sorted
-over the cluster, and positions whose windows have a unique one are done. The rest are sorted by Spark at the
-threshold's length, by name and document id, and learn the smallest id they start in: past the threshold nothing more is asked.
+The rank of a position at length n + o comes from its ranks at length n there and o bytes on. At 8 bytes the rank is the
+bytes themselves, as a number; offsets then grow (8, 16, ... and what is left to the threshold: 18 for 50 bytes). In each
+round the chunks of texts send (rank, rank at the offset) pairs to the ranges of ranks, Spark shuffles them, each range is sorted
+and ranked densely, and the new ranks go back to the positions. A pair that occurs in one document only has no rank: its
+position, and every window that needs it, is done. Past the threshold a pair learns the smallest id it starts in.
 
-Defined cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; documents with the text of a
-smaller id lose all bytes if they have 50; rows with equal ids do not remove from each other; null ids count as the largest; other columns are ignored.
+Pairs are compared as they are, so the result is exact; hashes only rule windows out beforehand (see chunks) and group equal
+pairs of one chunk. A chunk sends a pair once, however often it holds it, so a passage in very many documents costs a range one
+entry a chunk. Ranges are cut at sampled pairs, so that a frequent first half is cut inside; the cuts do not change the result.
+
+Defined cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; documents with the text of a smaller id
+lose all bytes if they have 50; rows with equal ids do not remove from each other; null ids count as the largest (and
+as equal to 2**63 - 1); ties have no order to keep; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import CHUNK, Chunk, Kind, search
+from .chunks import (
+    CHUNK,
+    PACKETS,
+    REPLIES,
+    Chunk,
+    Kind,
+    Store,
+    bits,
+    by_chunk,
+    by_shard,
+    covered,
+    expanded,
+    opened,
+    packets,
+    planes,
+    replies,
+    runs,
+    squeezed,
+    stored,
+    unbits,
+    unplaned,
+    with_chunks,
+)
+from .common import ODD, U64, dropped, mixed, written
+
+LENGTH, GRAM, SEED = 50, 26, 8
+#: A rank is (range + 1) << LOCAL, plus its place in the range; pairs sampled for each range to find its ends.
+LOCAL, SAMPLES = 40, 40
+
+
+def steps(length: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """Of each round the length it starts from, its offset, and where, from a window's start on, its new ranks are needed."""
+    if length < 2 * SEED:
+        raise ValueError(f"length must be {2 * SEED} at least")
+    rounds, n = [], SEED
+    while n < length:
+        rounds.append((n, min(n, length - n)))
+        n += rounds[-1][1]
+    out, needed = [], {0}
+    for n, o in reversed(rounds):
+        out.append((n, o, tuple(sorted(needed))))
+        needed |= {s + o for s in needed}
+    return out[::-1]
+
+
+def _shifted(windows: np.ndarray, shifts: tuple[int, ...]) -> np.ndarray:
+    """Positions that are so far from one of the windows' starts."""
+    out = np.zeros(len(windows), bool)
+    for s in shifts:
+        out[s:] |= windows[: len(windows) - s]
+    return np.flatnonzero(out)
+
+
+def _values(data: np.ndarray) -> np.ndarray:
+    """The SEED bytes at each position as a number, the first one highest; 0 where fewer are left."""
+    v = np.zeros(len(data) + SEED, U64)
+    v[: len(data)] = data
+    for i in (1, 2, 4):
+        v[:-i] = v[:-i] << U64(8 * i) | v[i:]
+    return v[: len(data)]
+
+
+@dataclass
+class Ranked:
+    """The documents of a chunk, the windows that are still open, and ranks by position."""
+
+    ids: np.ndarray
+    offsets: np.ndarray
+    windows: np.ndarray
+    ranks: np.ndarray
+
+    def packed(self, shifts: tuple[int, ...]) -> bytes:
+        own = self.ranks[_shifted(self.windows, shifts)]
+        flags = np.packbits(self.windows).tobytes()
+        head = np.array([len(self.offsets), len(self.windows)], np.int64).tobytes()
+        return squeezed(head + self.offsets.tobytes() + flags + planes(own & U64((1 << LOCAL) - 1)) + planes(own >> U64(LOCAL)))
+
+
+def _reopened(ids: bytes, packed: bytes, shifts: tuple[int, ...]) -> Ranked:
+    raw = expanded(packed)
+    n, size = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    offsets, at = np.frombuffer(raw, np.int64, n, 16), 16 + 8 * n
+    windows = np.unpackbits(np.frombuffer(raw, np.uint8, -(-size // 8), at), count=size).astype(bool)
+    both = raw[at + -(-size // 8) :]
+    ranks = np.zeros(size, U64)
+    ranks[_shifted(windows, shifts)] = unplaned(both[: len(both) // 2]) | unplaned(both[len(both) // 2 :]) << U64(LOCAL)
+    return Ranked(np.frombuffer(ids, np.int64, len(ids) // 9), offsets, windows, ranks)
+
+
+def _started(chunk: Chunk, flags: bytes) -> Ranked:
+    windows = np.zeros(len(chunk.data), bool)
+    inside = max(0, len(chunk.data) - chunk.kind.window + 1)
+    windows[:inside] = unbits(flags, inside)
+    return Ranked(chunk.ids, chunk.offsets, windows, _values(chunk.data))
+
+
+@dataclass
+class Entries:
+    """The distinct pairs of a chunk: positions, the entry of each, the pairs by (range, first rank), and of each entry the
+    smallest id and whether two documents have it; where each range begins and ends."""
+
+    places: np.ndarray
+    entry: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    least: np.ndarray
+    several: np.ndarray
+    full: np.ndarray
+    cuts: np.ndarray
+
+
+def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple[int, int]], shards: int) -> Entries:
+    """ends: the pairs at which ranges end, in the first round; later, the ranges are those of the first ranks."""
+    q = _shifted(own.windows, shifts)
+    a, b, doc = own.ranks[q], own.ranks[q + offset], np.searchsorted(own.offsets, q, "right") - 1
+    # equal pairs next to each other, by a hash with the position below it; two pairs of one hash only make entries in excess
+    low = U64(max(1, int(len(q)).bit_length()))
+    order = np.sort((mixed(a * ODD + b) >> low << low) | np.arange(len(q), dtype=U64))
+    order = (order & ((U64(1) << low) - U64(1))).astype(np.int64)
+    x, y = a[order], b[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    heads = np.flatnonzero(new)
+    entry = np.empty(len(q), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    x, y, owner = x[heads], y[heads], own.ids[doc[order]]
+    least = np.minimum.reduceat(owner, heads) if len(heads) else owner
+    several = (np.maximum.reduceat(owner, heads) if len(heads) else owner) > least
+    by = np.argsort(x, kind="stable")
+    if ends:
+        first, second = (np.array(v, U64) for v in zip(*ends, strict=True))
+        at, to = np.searchsorted(x[by], first), np.searchsorted(x[by], first, "right")
+        for lo, hi in {(int(lo), int(hi)) for lo, hi in zip(at, to, strict=True) if lo < hi}:
+            by[lo:hi] = by[lo:hi][np.argsort(y[by[lo:hi]], kind="stable")]
+        cuts = [int(lo) + int(np.searchsorted(y[by[lo:hi]], s)) for lo, hi, s in zip(at, to, second, strict=True)]
+        cuts = np.array([0, *cuts, *[len(x)] * (shards - len(cuts))])
+    else:
+        cuts = np.searchsorted(x[by] >> U64(LOCAL), np.arange(1, shards + 2, dtype=U64))
+    place = np.empty(len(x), np.int64)
+    place[by] = np.arange(len(x))
+    return Entries(q, place[entry], x[by], y[by], least[by], several[by], np.flatnonzero(np.diff(cuts)), cuts)
+
+
+def _packed(e: Entries, s: int) -> bytes:
+    a, b = int(e.cuts[s]), int(e.cuts[s + 1])
+    own, place = np.unique(e.least[a:b], return_inverse=True)
+    head = np.array([b - a, len(own)], np.int64).tobytes()
+    parts = [planes(np.diff(e.a[a:b], prepend=U64(0))), planes(e.b[a:b]), planes(place.astype(U64)), planes(own.view(U64)), np.packbits(e.several[a:b]).tobytes()]
+    return squeezed(head + b"".join(parts))
 
-LENGTH, GRAM = 50, 26
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and second ranks, smallest ids, whether two documents have them."""
+    raw = expanded(packed)
+    m, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+    a, b, place = (unplaned(raw[16 + 8 * m * i : 16 + 8 * m * (i + 1)]) for i in range(3))
+    at = 16 + 24 * m
+    own = unplaned(raw[at : at + 8 * n]).view(np.int64)
+    return np.cumsum(a, dtype=U64), b, own[place.astype(np.int64)], np.unpackbits(np.frombuffer(raw, np.uint8, offset=at + 8 * n), count=m).astype(bool)
+
+
+def _sorted(pairs: DataFrame, shards: int, last: bool) -> DataFrame:
+    """Replies of role 3: the range's number and, for each entry of the chunk there, its new rank (0: in one document only), or,
+    in the last round, whether it starts in a smaller id than the chunk's smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["shard"]):
+            number, chunk = group["shard"][0].as_py(), group["chunk"].to_pylist()
+            parts = [_unpacked(x) for x in group["payload"].to_pylist()]
+            ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+            a, b, least, several = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            del parts
+            order = np.lexsort((b, a))
+            new = np.ones(len(a), bool)
+            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            heads, group_of = np.flatnonzero(new), np.cumsum(new) - 1
+            smallest = np.minimum.reduceat(least[order], heads)
+            out = []
+            if last:
+                late = np.empty(len(a), bool)
+                late[order] = least[order] > smallest[group_of]
+                for c, i, j in zip(chunk, ends[:-1], ends[1:], strict=True):
+                    out.append((c, np.int64(number).tobytes() + bits(late[i:j])))
+            else:
+                again = np.logical_or.reduceat(several[order], heads) | (np.maximum.reduceat(least[order], heads) > smallest)
+                rank = np.empty(len(a), U64)
+                rank[order] = np.where(again, np.cumsum(again), 0).astype(U64)[group_of]
+                for c, i, j in zip(chunk, ends[:-1], ends[1:], strict=True):
+                    own = rank[i:j]
+                    if own.any():
+                        held = own[own > 0]
+                        out.append((c, np.int64(number).tobytes() + squeezed(np.packbits(own > 0).tobytes() + planes(np.diff(held, prepend=U64(0))))))
+            yield replies(3, out)
+
+    return by_shard(pairs, shards).mapInArrow(run, REPLIES)
+
+
+def _ranks(e: Entries, found: list[bytes]) -> np.ndarray:
+    """The new rank of each position."""
+    rank = np.zeros(len(e.a), U64)
+    for x in found:
+        s = int(np.frombuffer(x, np.int64, 1)[0])
+        a, b = int(e.cuts[s]), int(e.cuts[s + 1])
+        raw = expanded(x[8:])
+        flags = np.unpackbits(np.frombuffer(raw, np.uint8, -(-(b - a) // 8)), count=b - a).astype(bool)
+        rank[a:b][flags] = np.cumsum(unplaned(raw[-(-(b - a) // 8) :]), dtype=U64) + (U64(s + 1) << U64(LOCAL))
+    return rank[e.entry]
+
+
+def _late(own: Ranked, e: Entries, found: list[bytes]) -> np.ndarray:
+    """Whether each position's window starts in a smaller id."""
+    late = np.zeros(len(e.a), bool)
+    for x in found:
+        s = int(np.frombuffer(x, np.int64, 1)[0])
+        late[int(e.cuts[s]) : int(e.cuts[s + 1])] = unbits(x[8:], int(e.cuts[s + 1] - e.cuts[s]))
+    owner = own.ids[np.searchsorted(own.offsets, e.places, "right") - 1]
+    out = np.zeros(len(own.windows), bool)
+    out[e.places] = late[e.entry] | (owner > e.least[e.entry])
+    return out
+
+
+def _range_ends(chunks: DataFrame, kind: Kind, shards: int) -> list[tuple[int, int]]:
+    """Pairs that cut the first round's pairs into so many ranges of about one size, from a bounded sample of all positions."""
+    n = chunks.count()
+    per = -(-SAMPLES * shards // max(1, min(n, 4096)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, packed in zip(batch["ids"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+                v = _values(opened(ids, packed, kind).data)
+                at = np.arange(0, len(v) - SEED, max(1, len(v) // per))
+                yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(v[at + SEED].view(np.int64))], ["a", "b"])
+
+    some = chunks.select("ids", "packed").sample(min(1.0, 4096 / max(1, n)), seed=1)
+    sample = sorted((r["a"] % 2**64, r["b"] % 2**64) for r in some.mapInArrow(run, "a long, b long").collect())
+    return sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
+
+
+def _late_windows(store: Store, kind: Kind) -> DataFrame:
+    """Replies of role 3: a bit for each byte of the chunk, set where a window starts that starts in a smaller id as well."""
+    shards, plan = store.shards, steps(kind.window)
+    ends = _range_ends(store.chunks, kind, shards)
+    state = None
+    for turn, (_, offset, shifts) in enumerate(plan):
+        last, cuts = turn + 1 == len(plan), ends if turn == 0 else []
+        before = plan[turn - 1][2] if turn else ()
+
+        def held(batches: Iterator[pa.RecordBatch], before: tuple[int, ...] = before) -> Iterator[tuple[int, Ranked, list[bytes]]]:
+            """(chunk's number, ranks, replies) of rows of texts with open windows, or of states."""
+            if not before:
+                for number, chunk, _, found in by_chunk(batches, kind):
+                    if 2 in found:
+                        yield number, _started(chunk, found[2][0]), found.get(3, [])
+            else:
+                for group in runs(batches, ["chunk"]):
+                    ids, payloads = group["ids"].to_pylist(), group["payload"].to_pylist()
+                    yield group["chunk"][0].as_py(), _reopened(ids[0], payloads[0], before), payloads[1:]
+
+        def send(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held) -> Iterator[pa.RecordBatch]:
+            for number, own, _ in held(batches):
+                e = _entries(own, offset, shifts, cuts, shards)
+                yield packets(number, e.full.tolist(), [_packed(e, s) for s in e.full.tolist()])
+
+        def rank(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held) -> Iterator[pa.RecordBatch]:
+            for number, own, found in held(batches):
+                e = _entries(own, offset, shifts, cuts, shards)
+                ranks = np.zeros(len(own.ranks), U64)
+                ranks[e.places] = _ranks(e, found)
+                windows = np.flatnonzero(own.windows)
+                for s in shifts:
+                    windows = windows[ranks[windows + s] > 0]
+                if len(windows):
+                    left = np.zeros(len(own.windows), bool)
+                    left[windows] = True
+                    ids = own.ids.tobytes() + bytes(len(own.ids))
+                    packed = Ranked(own.ids, own.offsets, left, ranks).packed(shifts)
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.binary()), pa.array([packed], pa.binary())], ["chunk", "ids", "packed"])
+
+        def end(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held) -> Iterator[pa.RecordBatch]:
+            for number, own, found in held(batches):
+                late = _late(own, _entries(own, offset, shifts, cuts, shards), found)
+                yield replies(3, [(number, bits(late))] if late.any() else [])
+
+        rows = with_chunks(store.chunks, [store.open]) if state is None else state.select("chunk", F.lit(0).alias("role"), "ids", F.col("packed").alias("payload"))
+        answers = written(_sorted(rows.mapInArrow(send, PACKETS), shards, last), "ranks")
+        rows = with_chunks(store.chunks, [store.open, answers]) if state is None else with_chunks(state, [answers])
+        after = written(rows.mapInArrow(end, REPLIES), "late") if last else written(rows.mapInArrow(rank, "chunk long, ids binary, packed binary"), "state")
+        dropped(answers, *([state] if state is not None else []))
+        state = after
+    return state
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", spans: bool = True, chunk: int = CHUNK) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256), and with spans the removed runs and the bytes that are left."""
+    kind = Kind(False, length, gram)
+    store = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), kind, chunk)
+    late = _late_windows(store, kind)
 
-    def finish(c: Chunk, skip: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        cover = np.zeros(len(c.data) + 1, np.int32)
-        np.add.at(cover, places, 1)
-        np.add.at(cover, places + length, -1)
-        gone = np.cumsum(cover[:-1]) > 0
+    def finish(c: Chunk, skip: np.ndarray, flags: list[bytes]) -> pa.RecordBatch:
+        gone = covered(np.flatnonzero(unbits(flags[0], c.size)), length, c.size) if flags else np.zeros(c.size, bool)
         rows = []
         for i, (a, b) in enumerate(zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True)):
             own = gone[a:b]
@@ -38,10 +333,22 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
                 own = np.ones(b - a, bool)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
             rows.append((b - a, int(own.sum()), len(edges) // 2, c.data[a:b][~own].tobytes(), edges.tolist()))
-        columns = {"id": pa.array(c.ids, mask=c.ids == 2**63 - 1), "n_bytes": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "n_spans": pa.array([r[2] for r in rows], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string())}
+        columns = {
+            "id": c.id_column(),
+            **{k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(("n_bytes", "n_removed", "n_spans"))},
+            "kept_sha256": pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string()),
+        }
         if spans:
             columns |= {"span_edges": pa.array([r[4] for r in rows], pa.list_(pa.int64())), "kept_bytes": pa.array([r[3] for r in rows], pa.binary())}
         return pa.RecordBatch.from_pydict(columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c, skip, found in by_chunk(batches, kind):
+            yield finish(c, skip, found.get(3, []))
+
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", span_edges array<long>, kept_bytes binary" * spans
-    return search(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), Kind(False, length, gram), finish, schema, chunk).withColumnRenamed("id", id_col)
+    return with_chunks(store.chunks, [store.copies, late]).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+#: For DuckDB: an integer for each byte of the text would be too slow on whole tables; on a small fixture see the tests.
+SQL: str | None = None

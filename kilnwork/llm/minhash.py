@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, ODD, U64, freed, mixed, pieces, run_hashes, sized, small, texts, word_hashes, word_spans, written
+from .common import LOWER, ODD, U64, mixed, pieces, run_hashes, sized, small, texts, word_hashes, word_spans, written
 from .components import components
 from .lattice import _runs as runs
 from .lattice import _stars as stars
@@ -334,7 +334,6 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     count = roots.count()
     stars = written(_stars(roots, count, classes, percent), "tied")
     tied = written(_confirmed(stars, docs, percent), "links")
-    freed(df.sparkSession)
     first = components(tied)
     n = 2 * tied.count()
     roots = roots.join(small(first.select(F.col("id").alias("rep"), F.col("root").alias("comp")), n), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
@@ -343,7 +342,6 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     for links in dense:
         more = more.unionByName(links)
     more = written(more, "links")
-    freed(df.sparkSession)
     ends = more
     for side in ("a", "b"):
         ends = ends.join(small(first.select(F.col("id").alias(side), F.col("root").alias(f"r{side}")), n), side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")

@@ -1,17 +1,26 @@
 """Substring dedup by repeated-phrase automata.
 
-Recurring passages are confirmed first (see repeats): of every chunk of documents, the windows of 13 words that also
-start in a document with a smaller id. The maximal passages that such windows make up are the phrases of the chunk's shard, and
-an Aho-Corasick automaton over them is compiled there; every document of the chunk streams through it, and each occurrence of a
-phrase whose windows all start earlier than the document is removed.
+1. Recurring passages are confirmed. Windows of 13 words that may recur (see chunks) are named by a 128-bit digest of their
+   words; a name is exchanged once a chunk, with the smallest id there, and the document in which a recurring window starts first
+   learns so. The maximal runs of such windows are the passages, whose text goes into a table of phrases, with their id.
+2. Phrases are dealt to shards of about SHARD words. For each shard every worker compiles one Aho-Corasick automaton
+   (pyahocorasick, over numbered words) of the passages' blocks of 7 words; any 13 words of a passage hold a whole block.
+3. All documents stream through every shard's automaton. Around a match, the windows that hold the block are compared word for word
+   with the passages' windows; those of a smaller id are removed. Nothing is removed that no automaton has matched.
+
+Every shard is broadcast on its own, which its bound allows; the work of step 3 is the number of shards times the corpus.
+Digests serve to tell distinct windows apart in step 1; removal is decided on the words themselves.
 
 Defined cases: null and empty texts have no words; texts under 13 words lose nothing; documents with the text of a smaller id
-lose all words if they have 13; rows with equal ids do not remove from each other; null ids count as the largest; other columns are ignored.
+lose all words if they have 13; rows with equal ids do not remove from each other; null ids count as the largest (and as equal
+to 2**63 - 1); ties have no order to keep; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -19,64 +28,277 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import CHUNK, Chunk, Kind, search
+from .chunks import (
+    CHUNK,
+    PACKETS,
+    REPLIES,
+    Chunk,
+    Kind,
+    Store,
+    bits,
+    by_chunk,
+    by_shard,
+    covered,
+    dealt,
+    expanded,
+    opened,
+    packets,
+    planes,
+    replies,
+    runs,
+    squeezed,
+    stored,
+    unbits,
+    unplaned,
+    with_chunks,
+)
+from .common import ODD, U64, dropped, mixed, written
 
 WINDOW, GRAM = 13, 6
+#: Words of the phrases of a shard; a compiled shard takes some 100 bytes a word in each worker.
+SHARD = 2_000_000
+
+
+def _words(chunk: Chunk) -> list[bytes]:
+    """All words of the chunk, document by document. Of bytes, split() cuts at the six blanks only."""
+    raw, out = chunk.data.tobytes(), []
+    for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True):
+        out += raw[a:b].split()
+    return out
+
+
+@dataclass
+class Entries:
+    """The distinct windows of a chunk that may recur: places, the entry of each, names (sorted), and of each entry the smallest
+    id and whether another document has it."""
 
+    places: np.ndarray
+    entry: np.ndarray
+    names: np.ndarray
+    least: np.ndarray
+    several: np.ndarray
 
-def _streamed(chunk: Chunk, skip: np.ndarray, places: np.ndarray) -> tuple[list[list[bytes]], list[np.ndarray]]:
-    """Of each document its words and which of them go."""
+
+def _entries(chunk: Chunk, words: list[bytes], flags: bytes) -> Entries:
     n = chunk.kind.window
-    raw = chunk.data.tobytes()
-    starts, ends = chunk.starts.tolist(), chunk.ends.tolist()
-    words = [[raw[starts[i] : ends[i]] for i in range(a, b)] for a, b in zip(chunk.bounds[:-1].tolist(), chunk.bounds[1:].tolist(), strict=True)]
-    gone = [np.full(len(w), bool(s) and len(w) >= n) for w, s in zip(words, skip, strict=True)]
-    if not len(places):
-        return words, gone
-    # phrases: maximal runs of windows in a document; each with the smallest id here in which all of it starts later than elsewhere
-    owner = chunk.document(places)
-    new = np.ones(len(places), bool)
-    new[1:] = (places[1:] != places[:-1] + 1) | (owner[1:] != owner[:-1])
-    heads = np.flatnonzero(new)
-    tails = np.concatenate([heads[1:], [len(places)]]) - 1
-    phrases: dict[str, tuple[int, int]] = {}
-    for h, t in zip(places[heads].tolist(), places[tails].tolist(), strict=True):
-        doc = int(chunk.document(np.array([h]))[0])
-        at = h - int(chunk.bounds[doc])
-        size = t - h + n
-        text = " " + b" ".join(words[doc][at : at + size]).decode("utf-8", "surrogateescape") + " "
-        least = int(chunk.ids[doc])
-        phrases[text] = (min(least, phrases[text][0]) if text in phrases else least, size)
-    automaton = ahocorasick.Automaton()
-    for text, found in phrases.items():
-        automaton.add_word(text, found)
-    automaton.make_automaton()
-    for doc, own in enumerate(words):
-        if skip[doc] or len(own) < n:
-            continue
-        text = " " + b" ".join(own).decode("utf-8", "surrogateescape") + " "
-        breaks = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-        cover = np.zeros(len(own) + 1, np.int64)
-        for end, (least, size) in automaton.iter(text):
-            if least <= chunk.ids[doc]:
-                last = int(np.searchsorted(breaks, end))  # the blank that ends word last - 1
-                cover[last - size] += 1
-                cover[last] -= 1
-        gone[doc] |= np.cumsum(cover[:-1]) > 0
-    return words, gone
-
-
-def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, chunk: int = CHUNK) -> DataFrame:
+    places = np.flatnonzero(unbits(flags, max(0, chunk.size - n + 1)))
+    digests = b"".join(hashlib.blake2b(b" ".join(words[p : p + n]), digest_size=16).digest() for p in places.tolist())
+    names = np.frombuffer(digests, U64).reshape(-1, 2)
+    owner = chunk.ids[chunk.document(places)]
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    ranked = names[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]).any(1)
+    heads, entry = np.flatnonzero(new), np.empty(len(order), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(owner[order], heads) if len(heads) else owner
+    several = (np.maximum.reduceat(owner[order], heads) if len(heads) else owner) > least
+    return Entries(places, entry, ranked[heads], least, several)
+
+
+def _named(store: Store, kind: Kind) -> DataFrame:
+    """Packets of names, each once, with the smallest id and whether another document of the chunk has it."""
+    shards = store.shards
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, _, found in by_chunk(batches, kind):
+            if 2 not in found:
+                continue
+            e = _entries(chunk, _words(chunk), found[2][0])
+            full, cuts = dealt(np.ascontiguousarray(e.names[:, 0]), shards)
+            out = []
+            for s in full:
+                part = slice(cuts[s], cuts[s + 1])
+                own, place = np.unique(e.least[part], return_inverse=True)
+                head = np.array([len(place), len(own)], np.int64).tobytes()
+                rest = np.packbits(e.several[part]).tobytes()
+                names = [planes(np.ascontiguousarray(e.names[part, i])) for i in (0, 1)]
+                out.append(squeezed(b"".join([head, *names, planes(place.astype(U64)), planes(own.view(U64)), rest])))
+            yield packets(number, full.tolist(), out)
+
+    return with_chunks(store.chunks, [store.open]).mapInArrow(run, PACKETS)
+
+
+def _firsts(named: DataFrame, shards: int) -> DataFrame:
+    """Replies of role 3: the shard's number and a bit for each entry of the chunk there, set if the window recurs and the chunk's
+    smallest id is the smallest of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["shard"]):
+            number, chunk = group["shard"][0].as_py(), group["chunk"].to_pylist()
+            parts = []
+            for packed in group["payload"].to_pylist():
+                raw = expanded(packed)
+                m, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+                high, low, place = (unplaned(raw[16 + 8 * m * i : 16 + 8 * m * (i + 1)]) for i in range(3))
+                at = 16 + 24 * m
+                own = unplaned(raw[at : at + 8 * n]).view(np.int64)
+                several = np.unpackbits(np.frombuffer(raw, np.uint8, offset=at + 8 * n), count=m).astype(bool)
+                parts.append((high, low, own[place.astype(np.int64)], several))
+            ends = np.cumsum([0, *(len(p[0]) for p in parts)])
+            high, low, least, several = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            order = np.lexsort((low, high))
+            new = np.ones(len(order), bool)
+            new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+            heads, group_of = np.flatnonzero(new), np.cumsum(new) - 1
+            smallest = np.minimum.reduceat(least[order], heads)
+            again = np.logical_or.reduceat(several[order], heads) | (np.maximum.reduceat(least[order], heads) > smallest)
+            first = np.empty(len(order), bool)
+            first[order] = again[group_of] & (least[order] == smallest[group_of])
+            found = [(c, np.int64(number).tobytes() + bits(first[i:j])) for c, i, j in zip(chunk, ends[:-1], ends[1:], strict=True) if first[i:j].any()]
+            yield replies(3, found)
+
+    return by_shard(named, shards).mapInArrow(run, REPLIES)
+
+
+def _passages(store: Store, kind: Kind) -> DataFrame:
+    """(id, words, text): the maximal runs of recurring windows of the document in which they start first."""
+    shards = store.shards
+    firsts = written(_firsts(_named(store, kind), shards), "firsts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk, _, found in by_chunk(batches, kind):
+            if not (2 in found and 3 in found):
+                continue
+            words = _words(chunk)
+            e = _entries(chunk, words, found[2][0])
+            _, cuts = dealt(np.ascontiguousarray(e.names[:, 0]), shards)
+            first = np.zeros(len(e.names), bool)
+            for x in found[3]:
+                s = int(np.frombuffer(x, np.int64, 1)[0])
+                first[cuts[s] : cuts[s + 1]] = unbits(x[8:], int(cuts[s + 1] - cuts[s]))
+            owner = chunk.document(e.places)
+            places = e.places[first[e.entry] & (chunk.ids[owner] == e.least[e.entry])]
+            breaks = np.flatnonzero((np.diff(places) != 1) | (np.diff(chunk.document(places)) != 0))
+            heads, tails = places[np.append(0, breaks + 1)], places[np.append(breaks, len(places) - 1)] + kind.window
+            columns = [
+                pa.array(chunk.ids[chunk.document(heads)]),
+                pa.array(tails - heads),
+                pa.array([b" ".join(words[a:b]).decode() for a, b in zip(heads.tolist(), tails.tolist(), strict=True)], pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "words", "text"])
+
+    return written(with_chunks(store.chunks, [store.open, firsts]).mapInArrow(run, "id long, words long, text string"), "phrases")
+
+
+class Automaton:
+    """A shard's automaton over blocks of numbered words, and its passages' windows by hash, with the smallest id of each."""
+
+    def __init__(self, phrases: list[tuple[int, str]], window: int):
+        self.window, self.block = window, (window + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.blocks = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        letters, places, ids, at = [], [], [], 0
+        for own, text in phrases:
+            numbered = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.encode().split()]
+            for i in range(0, len(numbered) - self.block + 1, self.block):
+                self.blocks.add_word(tuple(numbered[i : i + self.block]), 1)
+            letters.append(np.array(numbered, np.int64))
+            places.append(np.arange(at, at + len(numbered) - window + 1))
+            ids.append(np.full(len(places[-1]), own))
+            at += len(numbered)
+        self.blocks.make_automaton()
+        self.letters, places, ids = np.concatenate(letters), np.concatenate(places), np.concatenate(ids)
+        hashes = np.concatenate([self._hashed(self.letters, places[i : i + 65536]) for i in range(0, len(places), 65536)])
+        order = np.lexsort((ids, hashes))
+        self.hashes, self.places, self.ids = hashes[order], places[order], ids[order]
+        heads = np.flatnonzero(np.concatenate([[True], self.hashes[1:] != self.hashes[:-1], [True]]))
+        self.most = int(np.diff(heads).max())
+
+    def _rows(self, letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+        return letters[places[:, None] + np.arange(self.window)]
+
+    def _hashed(self, letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(places), U64)
+        for i in range(self.window):
+            out = out * ODD + letters[places + i].astype(U64)
+        return mixed(out)
+
+    def matched(self, words: list[bytes], inside: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Whether each word is in a window of the shard that has a smaller id. inside: window starts that lie in one document; owner: ids by word."""
+        number = self.numbers.get
+        numbered = [number(w, 0) for w in words]
+        ends = np.fromiter((end for end, _ in self.blocks.iter(tuple(numbered))), np.int64)
+        if not len(ends) or not len(inside):
+            return np.zeros(len(words), bool)
+        starts = ends - self.block + 1
+        # a window that holds the block starts in it or less than block words before it
+        around = covered(np.maximum(starts - self.block + 1, 0), self.block, len(words) + self.block)[: len(inside)]
+        places, letters = np.flatnonzero(around & inside), np.array(numbered, np.int64)
+        late = np.zeros(len(places), bool)
+        hashes, at = self._hashed(letters, places), 0
+        at = np.searchsorted(self.hashes, hashes)
+        own = self._rows(letters, places)
+        for k in range(self.most):
+            i = np.minimum(at + k, len(self.hashes) - 1)
+            same = np.flatnonzero(self.hashes[i] == hashes)
+            same = same[(self._rows(self.letters, self.places[i[same]]) == own[same]).all(1)]
+            late[same] |= self.ids[i[same]] < owner[places[same]]
+        return covered(places[late], self.window, len(words))
+
+
+#: The automaton that this worker has compiled last, by the name of its shard.
+_COMPILED: dict[str, Automaton] = {}
+
+
+def _streamed(store: Store, kind: Kind, name: str, phrases: list[tuple[int, str]]) -> DataFrame:
+    """Replies of role 3: a bit for each word of a chunk that the shard's automaton finds in a smaller id."""
+    spark = store.chunks.sparkSession
+    sent = spark.sparkContext.broadcast(phrases)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if name not in _COMPILED:
+            _COMPILED.clear()
+            _COMPILED[name] = Automaton(sent.value, kind.window)
+        automaton = _COMPILED[name]
+        for batch in batches:
+            for number, ids, packed in zip(*(batch[c].to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
+                chunk = opened(ids, packed, kind)
+                owner = np.repeat(chunk.ids, np.diff(chunk.bounds))
+                gone = automaton.matched(_words(chunk), chunk.inside(np.zeros(len(chunk.ids), bool)), owner)
+                yield replies(3, [(number, bits(gone))] if gone.any() else [])
+
+    out = written(store.chunks.select("chunk", "ids", "packed").mapInArrow(run, REPLIES), "found")
+    sent.destroy()
+    return out
+
+
+def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256), and with kept the words that are left, joined by blanks."""
+    kind = Kind(True, window, gram)
+    store = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), kind, chunk)
+    passages = _passages(store, kind)
+    shards = -(-(passages.agg(F.sum("words")).first()[0] or 0) // shard)
+    found = []
+    for s in range(shards):
+        rows = passages.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == s).select("id", "text").collect()  # about `shard` words
+        if rows:
+            found.append(_streamed(store, kind, passages._kilnwork_path + f"#{s}", [(r["id"], r["text"]) for r in rows]))
+    dropped(passages)
 
-    def finish(c: Chunk, skip: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        words, gone = _streamed(c, skip, places)
-        left = [b" ".join([w for w, g in zip(own, out.tolist(), strict=True) if not g]) for own, out in zip(words, gone, strict=True)]
-        ids = pa.array(c.ids, mask=c.ids == 2**63 - 1)
-        columns = {"id": ids, "n_words": pa.array([len(w) for w in words], pa.int64()), "n_removed": pa.array([int(g.sum()) for g in gone], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string())}
+    def finish(c: Chunk, skip: np.ndarray, flags: list[bytes]) -> pa.RecordBatch:
+        gone = np.zeros(c.size, bool)
+        for x in flags:
+            gone |= unbits(x, c.size)
+        words, bounds = _words(c), c.bounds.tolist()
+        left, removed = [], []
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            out = np.ones(b - a, bool) if skip[i] and b - a >= window else gone[a:b]
+            removed.append(int(out.sum()))
+            left.append(b" ".join([w for w, g in zip(words[a:b], out.tolist(), strict=True) if not g] if removed[-1] else words[a:b]))
+        columns = {
+            "id": c.id_column(),
+            "n_words": pa.array(np.diff(c.bounds), pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()),
+        }
         if kept:
             columns["kept_text"] = pa.array([x.decode() for x in left], pa.string())
         return pa.RecordBatch.from_pydict(columns)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c, skip, flags in by_chunk(batches, kind):
+            yield finish(c, skip, flags.get(3, []))
+
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * kept
-    return search(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), Kind(True, window, gram), finish, schema, chunk).withColumnRenamed("id", id_col)
+    return with_chunks(store.chunks, [store.copies, *found]).mapInArrow(run, schema).withColumnRenamed("id", id_col)
