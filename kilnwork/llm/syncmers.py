@@ -3,8 +3,8 @@
 A k-mer of the UTF-8 bytes is chosen when its smallest s-mer (by hash) is its first or its last one. The
 choice depends on the k-mer alone, so equal passages give equal anchors wherever they stand.
 
-Defined cases: a null text counts as empty; an empty text has the fingerprint "" ; a text shorter than k
-bytes is one anchor at 0; repeated rows each get a row; null ids come last in the order; other columns are ignored.
+Defined cases: a null text counts as empty; an empty text has the fingerprint "" ; a text in which no
+k-mer is chosen, as one shorter than k bytes, is one anchor at 0; repeated rows each get a row; null ids come last in the order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +48,10 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.nd
         places.append(chosen + at)
         hashes.append(mixed(whole))
     size = np.diff(offsets)
-    for row in np.flatnonzero((size > 0) & (size < k)):
+    found = np.zeros(len(size), bool)
+    if rows:
+        found[np.concatenate(rows)] = True
+    for row in np.flatnonzero((size > 0) & ~found):
         rows.append(np.array([row]))
         places.append(offsets[row : row + 1])
         hashes.append(np.frombuffer(hashlib.blake2b(data[offsets[row] : offsets[row + 1]].tobytes(), digest_size=8).digest(), U64))
