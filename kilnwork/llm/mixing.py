@@ -5,15 +5,16 @@ ceil((j + 1) / w). Earliest deadline first over the released blocks meets every
 each source is less than one block from its target, however long the mix is and however small the source. Shares are the
 target weights in units of 2**-50, so that they sum to one and times are exact in whole numbers.
 
-Each slot follows from the one before, so the slots are scheduled in one pass on the driver, over numbers of blocks only (a
-slot takes O(log sources), and 8 bytes until it is sent on); rows are ranked and placed by Spark, by the frame of their block.
+Each slot follows from the one before, so the slots are scheduled in one pass on the driver, over numbers of blocks only. A
+block is a 2**20th of the table, 8 rows at least, so the schedule has about as many slots whatever the size of the table (more
+where given weights are unlike the sources' sizes, by as often as the mix repeats them). Rows are ranked and placed by Spark.
 
 The mix ends with the slot in which the last source has given its last row; a source that is over earlier starts again
 (epoch 1, 2, ...), so no row is left out and every prefix of the mix holds the target shares. A source with fewer rows
 than its first block repeats them in it, so very many such sources make the mix up to a block's rows times as long.
 
 Defined cases: a null source is a source of its own; rows without text are rows like others; repeated rows stay apart;
-an empty table gives an empty mix. Sources missing from given weights have the weight 0 and are an error if they have rows.
+an empty table gives an empty mix; columns mix_pos, mix_epoch and mix_share of the table are replaced, all others kept. Sources missing from given weights have the weight 0 and are an error if they have rows.
 """
 
 from __future__ import annotations
@@ -21,15 +22,14 @@ from __future__ import annotations
 import heapq
 from array import array
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
 from .ranking import positions, uniform52
 
 FRAME, BLOCK, POWER = 512, 8, 0.9
+#: Blocks the table's rows are cut into, about: bounds the schedule, which is made on the driver (some 6 s and 16 MB) and broadcast.
+BLOCKS = 1 << 20
 UNITS = 1 << 50
 _NULL = "\u0000null"
 
@@ -75,25 +75,23 @@ def schedule(shares: list[int], needed: list[int]) -> list[array]:
 
 def _frames(spark: SparkSession, slots: list[array], frame: int) -> DataFrame:
     """(__h, __frame, __slots): the slots of a source's blocks, so many in a row."""
-    parts = [(i, k, s[k * frame : (k + 1) * frame]) for i, s in enumerate(slots) for k in range(-(-len(s) // frame))]
-    ends = np.cumsum([0, *(len(s) for _, _, s in parts)])
-    values = pa.array(np.concatenate([np.frombuffer(s, np.int64) for _, _, s in parts]) if parts else np.zeros(0, np.int64))
-    columns = [pa.array([i for i, _, _ in parts], pa.int32()), pa.array([k for _, k, _ in parts], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
-    made = spark.createDataFrame(pa.table(columns, ["__h", "__frame", "__slots"]), "__h int, __frame long, __slots array<long>")
-    return F.broadcast(made) if len(values) <= 4 * BROADCAST_ROWS else made
+    rows = [(i, k, s[k * frame : (k + 1) * frame].tolist()) for i, s in enumerate(slots) for k in range(-(-len(s) // frame))]
+    return F.broadcast(spark.createDataFrame(rows, "__h int, __frame long, __slots array<long>"))  # BLOCKS bounds it
 
 
-def mix(df: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, frame: int = FRAME, block: int = BLOCK, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(df: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, frame: int = FRAME, block: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """All columns of df with mix_pos (long, from 0, gapless), mix_epoch (int) and mix_share (double, the target of its source).
 
     weights: by source; None: the number of rows to the given power. Rows of a source come in order of the hash of (seed, id).
     frame: blocks of a source in a row of the schedule as it is sent to Spark; the mix does not depend on it.
+    block: rows of a block; None: as many as cut the table into BLOCKS blocks, BLOCK at least.
     """
-    if frame < 1 or block < 1:
+    if frame < 1 or (block is not None and block < 1):
         raise ValueError("frame and block must be positive")
-    spark = df.sparkSession
+    spark, df = df.sparkSession, df.drop("mix_pos", "mix_epoch", "mix_share")
     rows = df.withColumn("__group", _name(source_col)).withColumn("__key", uniform52(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     sizes = {r["__group"]: r["n"] for r in rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
+    block = block or max(BLOCK, -(-sum(sizes.values()) // BLOCKS))
     shares = _shares(sizes, weights, power)
     slots = schedule(list(shares.values()), [-(-sizes[s] // block) for s in shares])
     groups = F.broadcast(spark.createDataFrame([(s, i, sizes[s], len(slots[i]), a / UNITS) for i, (s, a) in enumerate(shares.items())], "__name string, __g int, __size long, __blocks long, mix_share double"))
