@@ -1,15 +1,14 @@
 """Secret scans: fixed patterns, and a battery of randomness tests on the other tokens.
 
 Tokens are runs of 20 or more characters of [A-Za-z0-9+/_=-]. From its characters an encoding is inferred (hex of one
-case, base 32, letters and digits, base 64), and three tests ask whether the token could be uniform over that alphabet:
-chi-squared of the symbols' counts (Wilson-Hilferty), runs above and below the alphabet's middle (Wald-Wolfowitz),
-and serial correlation of neighbours. Each gives a normal score; one-sided for the first, two-sided for the others.
-A token's p-value is Bonferroni's over the three tests.
+case, base 32, letters and digits, base 64), and four tests ask whether the token could be uniform over that alphabet:
+chi-squared of the symbols' counts and of the counts of digits, vowels, other letters and signs (Wilson-Hilferty), runs
+above and below the alphabet's middle (Wald-Wolfowitz), and serial correlation of neighbours. Each gives a normal score;
+one-sided for the first two, two-sided for the others. A token's p-value is that of the least of the four (Sidak).
 
-Prose and names of things are far from uniform, so their p-values are tiny. Which tokens to rule out is decided by
-the Benjamini-Hochberg rule in each band of lengths, over the whole corpus: long tokens, on which the tests are strong,
-do not lend their small p-values to short ones. What is not ruled out counts as a random token, i.e. a secret.
-The rule needs the numbers of p-values up to 2**-i only, so the corpus is summed to bands x 64 counts.
+Random tokens have uniform p-values, words and names of things tiny ones. In each band of lengths, as short tokens give the tests
+less to go by, a threshold is set over the whole corpus such that of the tokens above it, which count as secrets, an estimated
+RATE at most is false (see cut_of). The corpus is summed to bands x BINS counts for this.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows each get their row; an empty table gives
 none; the other columns are ignored by scan() and kept by redact(). Offsets are code points, ends exclusive.
@@ -30,8 +29,8 @@ KINDS = {
     "hex": ("[0-9a-f]{32,}", 32),
 }
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
-#: Upper ends of the bands of lengths, and the share of false rejections allowed among the tokens ruled out in a band.
-BANDS, RATE, BINS = (23, 27, 31, 39, 63, 127), 0.01, 64
+#: Upper ends of the bands of lengths; the share of false secrets allowed in a band; thresholds tried are 2**-1 to 2**-BINS.
+BANDS, RATE, BINS = (23, 27, 31, 39, 63, 127), 0.05, 24
 #: Inferred encodings: name, what a whole token must match, alphabet in order.
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ENCODINGS = {
@@ -43,23 +42,46 @@ ENCODINGS = {
     "base 62": ("^[A-Za-z0-9]+$", _DIGITS + _UPPER + _LOWER),
     "base 64": ("^[A-Za-z0-9+/_=-]+$", _UPPER + _LOWER + _DIGITS + "+/"),
 }
+#: Kinds of characters, for the coarse test; tests of a token; sizes of groups in running sums.
+CHARACTERS = (_DIGITS, "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "aeiou", "bcdfghjklmnpqrstvwxyz", "+/")
+TESTS, GROUP = 4, 256
 _MARK, _OTHER = "\u0001", "\u0002"
 
 _SPANS = "array<struct<start:int,end:int,token:string>>"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _prefix_sums(sizes: Column) -> Column:
+    """Running sums of an array, in groups of GROUP: an array is appended to within a group and over the groups only, not over all."""
+    append = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["sums"], F.array(s["at"] + n)).alias("sums"))
+    run = lambda values, first: F.aggregate(values, F.struct(first.alias("at"), F.array().cast("array<int>").alias("sums")), append, lambda s: s["sums"])
+    count = F.ceil(F.size(sizes) / GROUP).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), count - 1), lambda g: F.slice(sizes, g * GROUP + 1, F.lit(GROUP)))
+
+    def joined(groups: Column) -> Column:
+        totals = F.transform(groups, lambda g: F.aggregate(g, F.lit(0), lambda s, n: s + n))
+        return once(run(totals, F.lit(0)), lambda ends: F.flatten(F.transform(groups, lambda g, i: run(g, F.when(i == 0, 0).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))))))
+
+    return once(groups, joined)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, token): the text is cut at marks set around each match, so the
     odd pieces are the matches and the lengths before them give their places. No pattern here can match the mark."""
     cut = F.split(F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(_SPANS).alias("found"))
 
-    def step(s: Column, piece: Column) -> Column:
-        end = s["at"] + F.length(piece)
-        span = F.struct(s["at"].alias("start"), end.alias("end"), piece.alias("token"))
-        return F.struct(end.alias("at"), (~s["odd"]).alias("odd"), F.when(s["odd"], F.concat(s["found"], F.array(span))).otherwise(s["found"]).alias("found"))
+    def spans(cut: Column) -> Column:
+        def of(ends: Column) -> Column:
+            odd = F.sequence(F.lit(2), F.size(cut) - 1, F.lit(2))
+            return F.transform(odd, lambda i: F.struct(F.element_at(ends, i - 1).alias("start"), F.element_at(ends, i).alias("end"), F.element_at(cut, i).alias("token")))
+
+        return once(_prefix_sums(F.transform(cut, lambda x: F.length(x))), of)
 
-    return F.when(text.rlike(pattern), F.aggregate(cut, start, step, lambda s: s["found"])).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(pattern), once(cut, spans)).otherwise(F.array().cast(_SPANS))
 
 
 def _long(kind: str) -> Callable[[Column], Column]:
@@ -83,6 +105,22 @@ def _tail(z: Column) -> Column:
     return F.greatest(F.exp(-z * z / 2) * 0.3989422804014327 * poly, F.lit(1e-300))
 
 
+def _chi_score(chi: Column, d: Column) -> Column:
+    """Normal score of a chi-squared value with d degrees of freedom (Wilson-Hilferty)."""
+    return (F.pow(F.greatest(chi, F.lit(0.0)) / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d))
+
+
+def _kinds(body: Column, alphabet: Column) -> Column:
+    """Chi-squared of the counts of digits, vowels, other letters and signs, as the alphabet has them, and its degrees of freedom."""
+    of = lambda t, kind: (F.length(t) - F.length(F.translate(t, kind, ""))).cast("double")
+    chi, d = F.lit(0.0), F.lit(-1.0)
+    for kind in CHARACTERS:
+        expected = F.length(body) * of(alphabet, kind) / F.length(alphabet)
+        chi = chi + F.when(expected > 0, F.pow(of(body, kind) - expected, F.lit(2.0)) / F.greatest(expected, F.lit(1e-9))).otherwise(0.0)
+        d = d + F.when(expected > 0, 1.0).otherwise(0.0)
+    return F.struct(chi.alias("chi"), d.alias("d"))
+
+
 def _tested(tokens: Column) -> Column:
     """For each (start, end, token): (start, end, band, p). A token of letters in one case, but for its first, is a word: it has no encoding and is left out."""
     encoded = F.filter(tokens, lambda x: x["token"].rlike("[0-9][A-Za-z+/_=-]*[A-Za-z]|[A-Za-z][A-Za-z+/_=-]*[0-9]|[a-z][A-Z]"))
@@ -95,15 +133,15 @@ def _tested(tokens: Column) -> Column:
 
     def placed(x: Column) -> Column:
         at = F.transform(F.split(x["body"], ""), lambda c: (F.position(c, x["alphabet"]) - 1).cast("double"))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), at.alias("at"), F.length(x["alphabet"]).cast("double").alias("k"), F.length(x["body"]).cast("double").alias("n"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), at.alias("at"), _kinds(x["body"], x["alphabet"]).alias("kinds"), F.length(x["alphabet"]).cast("double").alias("k"), F.length(x["body"]).cast("double").alias("n"))
 
     def scored(x: Column) -> Column:
         at, k, n = x["at"], x["k"], x["n"]
         zero = F.lit(0.0)
         squares = F.aggregate(F.sequence(F.lit(0), (k - 1).cast("int")), zero, lambda s, v: s + F.pow(F.size(F.filter(at, lambda y: y == v)).cast("double"), F.lit(2.0)))
         chi = squares * k / n - n
-        d = k - 1
-        z_chi = (F.pow(F.greatest(chi, zero) / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d))
+        z_chi = _chi_score(chi, k - 1)
+        z_kinds = _chi_score(x["kinds"]["chi"], F.greatest(x["kinds"]["d"], F.lit(1.0)))
         ups = F.size(F.filter(at, lambda y: y * 2 >= k)).cast("double")
         neighbours = F.zip_with(F.slice(at, 1, (n - 1).cast("int")), F.slice(at, 2, (n - 1).cast("int")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         runs = 1 + F.size(F.filter(neighbours, lambda p: (p["a"] * 2 >= k) != (p["b"] * 2 >= k)))
@@ -111,7 +149,8 @@ def _tested(tokens: Column) -> Column:
         z_runs = F.when((ups == 0) | (ups == n), F.sqrt(n) * 1.2).otherwise(F.abs(runs - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))))
         product = F.aggregate(neighbours, zero, lambda s, p: s + (p["a"] - (k - 1) / 2) * (p["b"] - (k - 1) / 2))
         z_serial = F.abs(product) / (F.sqrt(n - 1) * (k * k - 1) / 12)
-        p = F.least(_tail(F.greatest(z_chi, zero)), 2 * _tail(z_runs), 2 * _tail(z_serial)) * 3
+        least = F.least(_tail(F.greatest(z_chi, zero)), _tail(F.greatest(z_kinds, zero)), 2 * _tail(z_runs), 2 * _tail(z_serial), F.lit(0.999999))
+        p = -F.expm1(TESTS * F.log1p(-least))
         band = reduce(lambda rest, i: F.when(n <= BANDS[i], F.lit(i)).otherwise(rest), range(len(BANDS) - 1, -1, -1), F.lit(len(BANDS)))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), band.alias("band"), F.least(p, F.lit(1.0)).alias("p"))
 
@@ -119,22 +158,30 @@ def _tested(tokens: Column) -> Column:
 
 
 def _bin(p: Column) -> Column:
-    return F.least(F.floor(-F.log2(p)), F.lit(BINS - 1)).cast("int")
+    return F.least(F.floor(-F.log2(p)), F.lit(BINS)).cast("int")
+
+
+def cut_of(per: list[int], rate: float = RATE) -> float:
+    """The p-value above which a band's tokens are secrets, from the counts of p-values in (2**-(i+1), 2**-i], all smaller ones last.
+
+    The p-values of random tokens are uniform, those of others lie near 0. So twice the tokens above 1/2 are about all random ones
+    there are, and of the tokens above c, those beyond the (1 - c)th part of them are false. The smallest c with a share
+    of false secrets of at most rate is taken; 1, so that none is a secret, where even c = 1/2 has no token above it.
+    """
+    above, cut, random = 0, 1.0, 2 * per[0]
+    for i in range(BINS):
+        above += per[i]
+        c = 2.0 ** -(i + 1)
+        if random and above - random * (1 - c) <= rate * above:
+            cut = c
+    return cut
 
 
 def thresholds(df: DataFrame, text_col: str = "text", rate: float = RATE) -> list[float]:
-    """For each band the p-value up to which tokens are ruled out as random (0: none), by Benjamini-Hochberg over all of df."""
+    """For each band of lengths the p-value above which tokens are secrets, over all of df."""
     tokens = df.select(F.explode(_tested(matches(F.coalesce(F.col(text_col), F.lit("")), TOKEN))).alias("x")).select("x.band", _bin(F.col("x.p")).alias("bin"))
-    counts = tokens.groupBy("band", "bin").count().collect()  # bands x BINS rows at most
-    out = []
-    for band in range(len(BANDS) + 1):
-        per = [0] * BINS
-        for r in counts:
-            if r["band"] == band:
-                per[r["bin"]] += r["count"]
-        total = sum(per)
-        out.append(next((2.0**-i for i in range(BINS) if sum(per[i:]) and total * 2.0**-i <= rate * sum(per[i:])), 0.0))
-    return out
+    counts = {(r["band"], r["bin"]): r["count"] for r in tokens.groupBy("band", "bin").count().collect()}  # bands x BINS rows at most
+    return [cut_of([counts.get((band, i), 0) for i in range(BINS + 1)], rate) for band in range(len(BANDS) + 1)]
 
 
 def _scanned(df: DataFrame, text: Column, cuts: list[float]) -> DataFrame:
