@@ -255,5 +255,6 @@ def near_duplicates(df: DataFrame, least: float = 0.95, tables: int = TABLES, po
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     told = classes.select("class", "rep", "copies").join(counts, "rep", "left").join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     told = written(told.select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "told")
-    out = rows.select("id", "class").join(told, "class", "left").withColumn("component_id", F.coalesce("root", "id"))
+    # a row without an id is no vector of the table: it links with nothing, whatever its embedding
+    out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")).join(told, "class", "left").withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
