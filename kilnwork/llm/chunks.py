@@ -277,8 +277,13 @@ def _recurring(anchors: DataFrame, shards: int) -> DataFrame:
             parts = [np.frombuffer(x, np.uint32) for x in group["payload"].to_pylist()]
             every = np.sort(np.concatenate(parts))
             again = np.unique(every[1:][every[1:] == every[:-1]])
-            found = [(c, part[np.isin(part, again)]) for c, part in zip(chunk, (np.unique(x) for x in parts), strict=True)]
-            yield replies(2, [(c, np.int32(number).tobytes() + x.tobytes()) for c, x in found if len(x)])
+            found = []
+            for c, part in zip(chunk, parts, strict=True) if len(again) else ():
+                part = np.unique(part)
+                part = part[again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part]
+                if len(part):
+                    found.append((c, np.int32(number).tobytes() + part.tobytes()))
+            yield replies(2, found)
 
     return by_shard(anchors, shards).mapInArrow(run, REPLIES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ BYTES = np.random.default_rng(20240611).integers(1, 2**63, 256, np.uint64) * U64
 LOWER = BYTES.copy()
 LOWER[65:91] = BYTES[97:123]
 ODD = U64(0x9E3779B97F4A7C15)
+#: Longest words that are hashed by the polynomial.
+LONG = 32
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -145,13 +148,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
-    """64-bit hashes of the words, from prefix sums of a polynomial over random byte values."""
+    """64-bit hashes of the words: prefix sums of a polynomial over random byte values for those of up to LONG bytes. For longer ones,
+    among which words can be built whose polynomials are equal modulo 2**64, a digest of the bytes (of lower case as the table is)."""
     if not len(starts):
         return np.zeros(0, U64)
     up, down = power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, U64)
     np.cumsum(table[data] * up[: len(data)], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    out = mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        raw = data[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(raw.lower() if table is LOWER else raw, digest_size=8).digest(), "little")
+    return out
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:

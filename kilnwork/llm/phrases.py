@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,7 @@ from .common import ODD, U64, dropped, mixed, written
 WINDOW, GRAM = 13, 6
 #: Words of the phrases of a shard; a compiled shard takes some 100 bytes a word in each worker.
 SHARD = 2_000_000
+DIGIT = 32
 
 
 def _words(chunk: Chunk) -> list[bytes]:
@@ -187,24 +189,39 @@ class Automaton:
     def __init__(self, phrases: list[tuple[int, str]], window: int):
         self.window, self.block = window, (window + 1) // 2
         self.numbers: dict[bytes, int] = {}
-        self.blocks = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         letters, places, ids, at = [], [], [], 0
         for own, text in phrases:
             numbered = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.encode().split()]
-            for i in range(0, len(numbered) - self.block + 1, self.block):
-                self.blocks.add_word(tuple(numbered[i : i + self.block]), 1)
             letters.append(np.array(numbered, np.int64))
             places.append(np.arange(at, at + len(numbered) - window + 1))
             ids.append(np.full(len(places[-1]), own))
             at += len(numbered)
+        self.signs = self._signs(len(self.numbers) + 1)
+        self.blocks, signs = ahocorasick.Automaton(ahocorasick.STORE_INTS), self.signs
+        for numbered in letters:
+            for i in range(0, len(numbered) - self.block + 1, self.block):
+                self.blocks.add_word("".join([signs[x] for x in numbered[i : i + self.block].tolist()]), 1)
         self.blocks.make_automaton()
         self.letters, places, ids = np.concatenate(letters), np.concatenate(places), np.concatenate(ids)
         hashes = np.concatenate([self._hashed(self.letters, places[i : i + 65536]) for i in range(0, len(places), 65536)])
         order = np.lexsort((ids, hashes))
         self.hashes, self.places, self.ids = hashes[order], places[order], ids[order]
+        # of windows that say the same, which follow each other, the first: it has the smallest id
+        alike = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+        alike = alike[(self._rows(self.letters, self.places[alike]) == self._rows(self.letters, self.places[alike + 1])).all(1)] + 1
+        self.hashes, self.places, self.ids = (np.delete(x, alike) for x in (self.hashes, self.places, self.ids))
         heads = np.flatnonzero(np.concatenate([[True], self.hashes[1:] != self.hashes[:-1], [True]]))
         self.most = int(np.diff(heads).max())
 
+    @staticmethod
+    def _signs(count: int) -> list[str]:
+        """By number what a word is to the automaton: digits of base DIGIT, each place with signs of its own, so that words stay in step
+        and no node has more than DIGIT children. Word 0 is any word that no phrase has."""
+        width = 1
+        while DIGIT**width < count:
+            width += 1
+        return ["\x01" * width, *("".join(chr(256 + DIGIT * k + x // DIGIT ** (width - 1 - k) % DIGIT) for k in range(width)) for x in range(1, count))]
+
     def _rows(self, letters: np.ndarray, places: np.ndarray) -> np.ndarray:
         return letters[places[:, None] + np.arange(self.window)]
 
@@ -218,7 +235,8 @@ class Automaton:
         """Whether each word is in a window of the shard that has a smaller id. inside: window starts that lie in one document; owner: ids by word."""
         number = self.numbers.get
         numbered = [number(w, 0) for w in words]
-        ends = np.fromiter((end for end, _ in self.blocks.iter(tuple(numbered))), np.int64)
+        signs = self.signs
+        ends = np.fromiter((end for end, _ in self.blocks.iter("".join([signs[x] for x in numbered]))), np.int64) // len(signs[0])
         if not len(ends) or not len(inside):
             return np.zeros(len(words), bool)
         starts = ends - self.block + 1
@@ -226,7 +244,7 @@ class Automaton:
         around = covered(np.maximum(starts - self.block + 1, 0), self.block, len(words) + self.block)[: len(inside)]
         places, letters = np.flatnonzero(around & inside), np.array(numbered, np.int64)
         late = np.zeros(len(places), bool)
-        hashes, at = self._hashed(letters, places), 0
+        hashes = self._hashed(letters, places)
         at = np.searchsorted(self.hashes, hashes)
         own = self._rows(letters, places)
         for k in range(self.most):
@@ -241,16 +259,21 @@ class Automaton:
 _COMPILED: dict[str, Automaton] = {}
 
 
+def compiled(name: str, phrases: Broadcast, window: int) -> Automaton:
+    """The shard's automaton, compiled once a worker: tasks import this function, so they share what it keeps."""
+    if name not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[name] = Automaton(phrases.value, window)
+    return _COMPILED[name]
+
+
 def _streamed(store: Store, kind: Kind, name: str, phrases: list[tuple[int, str]]) -> DataFrame:
     """Replies of role 3: a bit for each word of a chunk that the shard's automaton finds in a smaller id."""
     spark = store.chunks.sparkSession
     sent = spark.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _COMPILED:
-            _COMPILED.clear()
-            _COMPILED[name] = Automaton(sent.value, kind.window)
-        automaton = _COMPILED[name]
+        automaton = compiled(name, sent, kind.window)
         for batch in batches:
             for number, ids, packed in zip(*(batch[c].to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
                 chunk = opened(ids, packed, kind)
