@@ -259,9 +259,11 @@ def _anchors(chunks: DataFrame, kind: Kind, shards: int) -> DataFrame:
             for number, ids, packed in zip(*(batch[c].to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
                 chunk = opened(ids, packed, kind)
                 grams, _, at = chunk.anchors(chunk.inside(np.zeros(len(chunk.ids), bool)))
-                pairs = np.unique(np.stack([grams[at] >> low, chunk.document(at).astype(U64)]), axis=1) if len(at) else np.zeros((2, 0), U64)
-                values, n = np.unique(pairs[0], return_counts=True)
-                values = np.repeat(values, np.minimum(n, 2))
+                order = np.argsort(grams[at], kind="stable")  # documents of equal anchors stay in order
+                values, owner = (grams[at] >> low)[order], chunk.document(at)[order]
+                heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(at) else order
+                tails = np.append(heads[1:], len(at)) - 1
+                values = np.repeat(values[heads], 1 + (owner[heads] != owner[tails]))
                 full, cuts = dealt(values << low, shards)
                 yield packets(number, full.tolist(), [values[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in full])
 

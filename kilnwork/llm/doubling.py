@@ -18,7 +18,7 @@ as equal to 2**63 - 1); ties have no order to keep; an empty table gives none; o
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +54,8 @@ from .common import ODD, U64, dropped, mixed, written
 LENGTH, GRAM, SEED = 50, 26, 8
 #: A rank is (range + 1) << LOCAL, plus its place in the range; pairs sampled for each range to find its ends.
 LOCAL, SAMPLES = 40, 40
+#: Parts in which the ranges of the first round are sent, one after the other: its pairs are the bulk of what is shuffled.
+PARTS = 2
 
 
 def steps(length: int) -> list[tuple[int, int, tuple[int, ...]]]:
@@ -169,48 +171,61 @@ def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple
     return Entries(q, place[entry], x[by], y[by], least[by], several[by], np.flatnonzero(np.diff(cuts)), cuts)
 
 
-def _packed(e: Entries, s: int) -> bytes:
+def _packed(e: Entries, s: int, last: bool) -> bytes:
+    """Of a range its number of pairs, first ranks as differences, second ranks, and whether two documents have them; in the last round, smallest ids."""
     a, b = int(e.cuts[s]), int(e.cuts[s + 1])
-    own, place = np.unique(e.least[a:b], return_inverse=True)
-    head = np.array([b - a, len(own)], np.int64).tobytes()
-    parts = [planes(np.diff(e.a[a:b], prepend=U64(0))), planes(e.b[a:b]), planes(place.astype(U64)), planes(own.view(U64)), np.packbits(e.several[a:b]).tobytes()]
-    return squeezed(head + b"".join(parts))
+    parts = [np.array([b - a], np.int64).tobytes(), planes(np.diff(e.a[a:b], prepend=U64(0))), planes(e.b[a:b])]
+    if last:
+        own, place = np.unique(e.least[a:b], return_inverse=True)
+        return squeezed(b"".join([*parts, planes(place.astype(U64)), planes(own.view(U64))]))
+    return squeezed(b"".join([*parts, np.packbits(e.several[a:b]).tobytes()]))
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and second ranks, smallest ids, whether two documents have them."""
+def _unpacked(packed: bytes, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and second ranks; in the last round the smallest ids, else whether two documents have them."""
     raw = expanded(packed)
-    m, n = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-    a, b, place = (unplaned(raw[16 + 8 * m * i : 16 + 8 * m * (i + 1)]) for i in range(3))
-    at = 16 + 24 * m
-    own = unplaned(raw[at : at + 8 * n]).view(np.int64)
-    return np.cumsum(a, dtype=U64), b, own[place.astype(np.int64)], np.unpackbits(np.frombuffer(raw, np.uint8, offset=at + 8 * n), count=m).astype(bool)
+    m = int(np.frombuffer(raw, np.int64, 1)[0])
+    a, b = (unplaned(raw[8 + 8 * m * i : 8 + 8 * m * (i + 1)]) for i in range(2))
+    rest = raw[8 + 16 * m :]
+    if last:
+        return np.cumsum(a, dtype=U64), b, unplaned(rest[8 * m :]).view(np.int64)[unplaned(rest[: 8 * m]).astype(np.int64)]
+    return np.cumsum(a, dtype=U64), b, np.unpackbits(np.frombuffer(rest, np.uint8), count=m).astype(bool)
+
+
+def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order of the pairs. The first ranks come as sorted runs, which a stable sort merges; then both are small numbers, and one sort is left."""
+    by = np.argsort(a, kind="stable")
+    x, y = a[by], b[by]
+    first = np.cumsum(np.concatenate([[False], x[1:] != x[:-1]])).astype(U64)
+    low = np.argsort(y)
+    second = np.empty(len(y), U64)
+    second[low] = np.cumsum(np.concatenate([[False], y[low][1:] != y[low][:-1]])).astype(U64)
+    return by[np.argsort(first << U64(32) | second)]
 
 
 def _sorted(pairs: DataFrame, shards: int, last: bool) -> DataFrame:
     """Replies of role 3: the range's number and, for each entry of the chunk there, its new rank (0: in one document only), or,
-    in the last round, whether it starts in a smaller id than the chunk's smallest."""
+    in the last round, whether it starts in a smaller id than the chunk's smallest. A pair of two chunks is one of two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ["shard"]):
             number, chunk = group["shard"][0].as_py(), group["chunk"].to_pylist()
-            parts = [_unpacked(x) for x in group["payload"].to_pylist()]
+            parts = [_unpacked(x, last) for x in group["payload"].to_pylist()]
             ends = np.cumsum([0, *(len(p[0]) for p in parts)])
-            a, b, least, several = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            a, b, rest = (np.concatenate([p[i] for p in parts]) for i in range(3))
             del parts
-            order = np.lexsort((b, a))
+            order = _order(a, b)
             new = np.ones(len(a), bool)
             new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
             heads, group_of = np.flatnonzero(new), np.cumsum(new) - 1
-            smallest = np.minimum.reduceat(least[order], heads)
             out = []
             if last:
                 late = np.empty(len(a), bool)
-                late[order] = least[order] > smallest[group_of]
+                late[order] = rest[order] > np.minimum.reduceat(rest[order], heads)[group_of]
                 for c, i, j in zip(chunk, ends[:-1], ends[1:], strict=True):
                     out.append((c, np.int64(number).tobytes() + bits(late[i:j])))
             else:
-                again = np.logical_or.reduceat(several[order], heads) | (np.maximum.reduceat(least[order], heads) > smallest)
+                again = np.logical_or.reduceat(rest[order], heads) | (np.diff(np.append(heads, len(a))) > 1)
                 rank = np.empty(len(a), U64)
                 rank[order] = np.where(again, np.cumsum(again), 0).astype(U64)[group_of]
                 for c, i, j in zip(chunk, ends[:-1], ends[1:], strict=True):
@@ -271,7 +286,7 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
     state = None
     for turn, (_, offset, shifts) in enumerate(plan):
         last, cuts = turn + 1 == len(plan), ends if turn == 0 else []
-        before = plan[turn - 1][2] if turn else ()
+        before, parts = plan[turn - 1][2] if turn else (), PARTS if turn == 0 else 1
 
         def held(batches: Iterator[pa.RecordBatch], before: tuple[int, ...] = before) -> Iterator[tuple[int, Ranked, list[bytes]]]:
             """(chunk's number, ranks, replies) of rows of texts with open windows, or of states."""
@@ -284,10 +299,14 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
                     ids, payloads = group["ids"].to_pylist(), group["payload"].to_pylist()
                     yield group["chunk"][0].as_py(), _reopened(ids[0], payloads[0], before), payloads[1:]
 
-        def send(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held) -> Iterator[pa.RecordBatch]:
-            for number, own, _ in held(batches):
-                e = _entries(own, offset, shifts, cuts, shards)
-                yield packets(number, e.full.tolist(), [_packed(e, s) for s in e.full.tolist()])
+        def send(part: int, offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held, last: bool = last, parts: int = parts) -> Callable:
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for number, own, _ in held(batches):
+                    e = _entries(own, offset, shifts, cuts, shards)
+                    full = [s for s in e.full.tolist() if s % parts == part]
+                    yield packets(number, full, [_packed(e, s, last) for s in full])
+
+            return run
 
         def rank(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held) -> Iterator[pa.RecordBatch]:
             for number, own, found in held(batches):
@@ -310,10 +329,10 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
                 yield replies(3, [(number, bits(late))] if late.any() else [])
 
         rows = with_chunks(store.chunks, [store.open]) if state is None else state.select("chunk", F.lit(0).alias("role"), "ids", F.col("packed").alias("payload"))
-        answers = written(_sorted(rows.mapInArrow(send, PACKETS), shards, last), "ranks")
-        rows = with_chunks(store.chunks, [store.open, answers]) if state is None else with_chunks(state, [answers])
+        answers = [written(_sorted(rows.mapInArrow(send(i), PACKETS), shards, last), "ranks") for i in range(parts)]
+        rows = with_chunks(store.chunks, [store.open, *answers]) if state is None else with_chunks(state, answers)
         after = written(rows.mapInArrow(end, REPLIES), "late") if last else written(rows.mapInArrow(rank, "chunk long, ids binary, packed binary"), "state")
-        dropped(answers, *([state] if state is not None else []))
+        dropped(*answers, *([state] if state is not None else []))
         state = after
     return state
 
