@@ -53,7 +53,7 @@ from .common import ODD, U64, dropped, mixed, written
 
 LENGTH, GRAM, SEED = 50, 26, 8
 #: A rank is (range + 1) << LOCAL, plus its place in the range; pairs sampled for each range to find its ends.
-LOCAL, SAMPLES = 40, 40
+LOCAL, SAMPLES = 32, 40
 #: Parts in which the ranges of the first round are sent, one after the other: its pairs are the bulk of what is shuffled.
 PARTS = 2
 
@@ -156,7 +156,7 @@ def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple
     x, y, owner = x[heads], y[heads], own.ids[doc[order]]
     least = np.minimum.reduceat(owner, heads) if len(heads) else owner
     several = (np.maximum.reduceat(owner, heads) if len(heads) else owner) > least
-    by = np.argsort(x, kind="stable")
+    by = _stable(x)
     if ends:
         first, second = (np.array(v, U64) for v in zip(*ends, strict=True))
         at, to = np.searchsorted(x[by], first), np.searchsorted(x[by], first, "right")
@@ -192,15 +192,22 @@ def _unpacked(packed: bytes, last: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.cumsum(a, dtype=U64), b, np.unpackbits(np.frombuffer(rest, np.uint8), count=m).astype(bool)
 
 
+def _stable(x: np.ndarray) -> np.ndarray:
+    """The stable order of numbers: where they leave room, places are sorted with them, in one plain sort."""
+    low = int(len(x)).bit_length()
+    if len(x) and int(x.max() - x.min()).bit_length() + low <= 64:
+        return (np.sort((x - x.min()) << U64(low) | np.arange(len(x), dtype=U64)) & U64((1 << low) - 1)).astype(np.int64)
+    return np.argsort(x, kind="stable")
+
+
 def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The order of the pairs. The first ranks come as sorted runs, which a stable sort merges; then both are small numbers, and one sort is left."""
-    by = np.argsort(a, kind="stable")
+    """The order of the pairs: both sides are numbered densely, then one sort is left."""
+    by = _stable(a)
     x, y = a[by], b[by]
     first = np.cumsum(np.concatenate([[False], x[1:] != x[:-1]])).astype(U64)
-    low = np.argsort(y)
-    second = np.empty(len(y), U64)
+    low, second = _stable(y), np.empty(len(y), U64)
     second[low] = np.cumsum(np.concatenate([[False], y[low][1:] != y[low][:-1]])).astype(U64)
-    return by[np.argsort(first << U64(32) | second)]
+    return by[_stable(first * (second.max() + U64(1)) + second)]
 
 
 def _sorted(pairs: DataFrame, shards: int, last: bool) -> DataFrame:
