@@ -5,10 +5,11 @@
    learns so. The maximal runs of such windows are the passages, whose text goes into a table of phrases, with their id.
 2. Phrases are dealt to shards of about SHARD words. For each shard every worker compiles one Aho-Corasick automaton
    (pyahocorasick, over numbered words) of the passages' blocks of 7 words; any 13 words of a passage hold a whole block.
-3. All documents stream through every shard's automaton. Around a match, the windows that hold the block are compared word for word
-   with the passages' windows; those of a smaller id are removed. Nothing is removed that no automaton has matched.
+3. All documents stream through every shard's automaton, but for words that only windows hold whose anchors have ruled them out.
+   Around a match, the windows that hold the block are compared word for word with the passages' windows; those of a smaller id
+   are removed. Nothing is removed that no automaton has matched.
 
-Every shard is broadcast on its own, which its bound allows; the work of step 3 is the number of shards times the corpus.
+Every shard is broadcast on its own, which its bound allows; the work of step 3 is the number of shards times the words left.
 Digests serve to tell distinct windows apart in step 1; removal is decided on the words themselves.
 
 Defined cases: null and empty texts have no words; texts under 13 words lose nothing; documents with the text of a smaller id
@@ -42,7 +43,6 @@ from .chunks import (
     covered,
     dealt,
     expanded,
-    opened,
     packets,
     planes,
     replies,
@@ -56,8 +56,8 @@ from .chunks import (
 from .common import ODD, U64, dropped, mixed, written
 
 WINDOW, GRAM = 13, 6
-#: Words of the phrases of a shard; a compiled shard takes some 100 bytes a word in each worker.
-SHARD = 2_000_000
+#: Words of the phrases of a shard; a compiled shard takes some 250 bytes a word in each worker.
+SHARD = 1_000_000
 DIGIT = 32
 
 
@@ -259,6 +259,11 @@ class Automaton:
 _COMPILED: dict[str, Automaton] = {}
 
 
+def released() -> None:
+    """Gives the automaton up in a worker that goes on with other steps."""
+    _COMPILED.clear()
+
+
 def compiled(name: str, phrases: Broadcast, window: int) -> Automaton:
     """The shard's automaton, compiled once a worker: tasks import this function, so they share what it keeps."""
     if name not in _COMPILED:
@@ -267,21 +272,45 @@ def compiled(name: str, phrases: Broadcast, window: int) -> Automaton:
     return _COMPILED[name]
 
 
-def _streamed(store: Store, kind: Kind, name: str, phrases: list[tuple[int, str]]) -> DataFrame:
+def _segments(store: Store, kind: Kind) -> DataFrame:
+    """(chunk, head, text): the runs of words that open windows hold, as (first word, words, id) after the chunk's number of words, and the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, chunk, _, found in by_chunk(batches, kind):
+            released()
+            if 2 not in found:
+                continue
+            words = _words(chunk)
+            at = np.flatnonzero(covered(np.flatnonzero(unbits(found[2][0], max(0, chunk.size - kind.window + 1))), kind.window, chunk.size))
+            owner = chunk.document(at)
+            heads = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner) != 0)]))
+            head = np.concatenate([[chunk.size], at[heads], np.diff(np.append(heads, len(at))), chunk.ids[owner[heads]]]).astype(np.int64)
+            text = squeezed(b" ".join([words[i] for i in at.tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([head.tobytes()], pa.binary()), pa.array([text], pa.binary())], ["chunk", "head", "text"])
+
+    return written(with_chunks(store.chunks, [store.open]).mapInArrow(run, "chunk long, head binary, text binary"), "segments")
+
+
+def _streamed(segments: DataFrame, window: int, name: str, phrases: list[tuple[int, str]]) -> DataFrame:
     """Replies of role 3: a bit for each word of a chunk that the shard's automaton finds in a smaller id."""
-    spark = store.chunks.sparkSession
-    sent = spark.sparkContext.broadcast(phrases)
+    sent = segments.sparkSession.sparkContext.broadcast(phrases)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = compiled(name, sent, kind.window)
+        automaton = compiled(name, sent, window)
         for batch in batches:
-            for number, ids, packed in zip(*(batch[c].to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
-                chunk = opened(ids, packed, kind)
-                owner = np.repeat(chunk.ids, np.diff(chunk.bounds))
-                gone = automaton.matched(_words(chunk), chunk.inside(np.zeros(len(chunk.ids), bool)), owner)
-                yield replies(3, [(number, bits(gone))] if gone.any() else [])
-
-    out = written(store.chunks.select("chunk", "ids", "packed").mapInArrow(run, REPLIES), "found")
+            for number, head, text in zip(*(batch[c].to_pylist() for c in ("chunk", "head", "text")), strict=True):
+                head = np.frombuffer(head, np.int64)
+                first, size, ids = head[1:].reshape(3, -1)
+                words, begin = expanded(text).split(), np.cumsum(size) - size
+                inside = np.zeros(max(0, len(words) - window + 1), bool)
+                for a, n in zip(begin.tolist(), size.tolist(), strict=True):
+                    inside[a : max(a, a + n - window + 1)] = True
+                gone = automaton.matched(words, inside, np.repeat(ids, size))
+                flags = np.zeros(head[0], bool)
+                flags[(np.repeat(first - begin, size) + np.arange(len(words)))[gone]] = True
+                yield replies(3, [(number, bits(flags))] if gone.any() else [])
+
+    out = written(segments.mapInArrow(run, REPLIES), "found")
     sent.destroy()
     return out
 
@@ -292,12 +321,12 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
     store = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), kind, chunk)
     passages = _passages(store, kind)
     shards = -(-(passages.agg(F.sum("words")).first()[0] or 0) // shard)
-    found = []
+    segments, found = _segments(store, kind), []
     for s in range(shards):
         rows = passages.filter(F.pmod(F.xxhash64("id", "text"), F.lit(shards)) == s).select("id", "text").collect()  # about `shard` words
         if rows:
-            found.append(_streamed(store, kind, passages._kilnwork_path + f"#{s}", [(r["id"], r["text"]) for r in rows]))
-    dropped(passages)
+            found.append(_streamed(segments, window, passages._kilnwork_path + f"#{s}", [(r["id"], r["text"]) for r in rows]))
+    dropped(passages, segments)
 
     def finish(c: Chunk, skip: np.ndarray, flags: list[bytes]) -> pa.RecordBatch:
         gone = np.zeros(c.size, bool)
@@ -320,6 +349,7 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
         return pa.RecordBatch.from_pydict(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for _, c, skip, flags in by_chunk(batches, kind):
             yield finish(c, skip, flags.get(3, []))
 
