@@ -1,104 +1,72 @@
-"""The two scalar functions that built-in columns cannot express, over Arrow batches."""
+"""The scalar functions that built-in columns cannot express, or only many times slower, over Arrow batches."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import count
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The prefix that hides all node texts, put before each picture.
+#: Fixed value: the prefix that hides all node texts, put before each picture.
 HIDE = "\\tikzset{every node/.append style={text opacity=0}}\n"
 _PICTURE = "\\begin{tikzpicture}"
-_CLOSE = {"[": "]", "(": ")", "{": "}"}
-
-
-class _Scan:
-    """Positions in one text; comments and escapes are known once for the whole text."""
-
-    def __init__(self, tex: str):
-        self.tex = tex
-        self.escaped = np.zeros(len(tex) + 1, bool)
-        run = 0
-        for i, c in enumerate(tex):
-            self.escaped[i] = run % 2 == 1
-            run = run + 1 if c == "\\" else 0
-
-    def past_blanks(self, i: int) -> int:
-        tex = self.tex
-        while i < len(tex):
-            if tex[i] == "%" and not self.escaped[i]:
-                end = tex.find("\n", i)
-                i = len(tex) if end < 0 else end
-            elif tex[i].isspace():
-                i += 1
-            else:
+_BLANKS = r"(?:\s|%[^\n]*+)*+"
+_SKIP = re.compile(_BLANKS)
+#: A node command, or the word node on a path with a bracket after it.
+_NODE = re.compile(rf"\\node|(?<!\w)node(?!\w)(?={_BLANKS}[\[({{])")
+_OPENING = re.compile(r"[\[({]")
+#: By opening bracket what a group is made of: escapes and comments, which hide brackets, and the brackets of its own kind.
+_WITHIN = {pair[0]: re.compile(rf"\\.|%[^\n]*|(?P<opens>\{pair[0]})|(?P<closes>\{pair[1]})", re.S) for pair in ("[]", "()", "{}")}
+
+
+def _group_end(tex: str, start: int) -> int | None:
+    """Where the group that opens at start ends (exclusive), None if it does not."""
+    open_groups = 0
+    for m in _WITHIN[tex[start]].finditer(tex, start):
+        open_groups += {"opens": 1, "closes": -1}.get(m.lastgroup, 0)
+        if m.lastgroup and not open_groups:
+            return m.end()
+    return None
+
+
+def label_spans(tex: str) -> Iterator[tuple[int, int]]:
+    """The bodies of all nodes, in order, up to the first that is not closed: options and places in [] and () stand before the body."""
+    at = 0
+    while node := _NODE.search(tex, at):
+        at = _SKIP.match(tex, node.end()).end()
+        for opening in iter(lambda: _OPENING.search(tex, at), None):
+            if (end := _group_end(tex, opening.start())) is None:
+                return
+            if opening[0] == "{":
+                yield opening.end(), end - 1
+                at = end
                 break
-        return i
-
-    def partner(self, i: int) -> int:
-        """Where the bracket at i closes, -1 if nowhere."""
-        left, right, depth, i = self.tex[i], _CLOSE[self.tex[i]], 1, i + 1
-        while (i := self.past_blanks(i)) < len(self.tex):
-            if not self.escaped[i]:
-                depth += (self.tex[i] == left) - (self.tex[i] == right)
-                if not depth:
-                    return i
-            i += 1
-        return -1
-
-    def next_node(self, i: int) -> int:
-        """Start of the next node command, or of the word node on a path; -1 if there is none."""
-        tex, command = self.tex, self.tex.find("\\node", i)
-        word = tex.find("node", i)
-        while word >= 0:
-            joined = lambda k: 0 <= k < len(tex) and (tex[k].isalnum() or tex[k] == "_")
-            if not joined(word - 1) and not joined(word + 4):
-                after = self.past_blanks(word + 4)
-                if after < len(tex) and tex[after] in _CLOSE:
-                    break
-            word = tex.find("node", word + 4)
-        found = [x for x in (command, word) if x >= 0]
-        return min(found) if found else -1
-
-
-def _word(index: int) -> str:
-    if index >= 26**4:
+            at = _SKIP.match(tex, end).end()
+        else:
+            return
+
+
+def _letters(number: int) -> str:
+    """aaaa, aaab, ..., zzzz."""
+    if number >= 26**4:
         raise ValueError("more than 26 ** 4 labels in one text")
-    out = ""
-    for _ in range(4):
-        index, r = divmod(index, 26)
-        out = chr(97 + r) + out
-    return out
+    return "".join(chr(97 + number // 26**place % 26) for place in (3, 2, 1, 0))
 
 
 def neutralized(tex: str | None, mode: str, word: str) -> str:
-    tex = tex or ""
-    if "node" not in tex:
-        return tex
-    scan, out, i, count = _Scan(tex), [], 0, 0
-    while (node := scan.next_node(i)) >= 0:
-        out.append(tex[i:node])
-        i = node
-        j = scan.past_blanks(node + (5 if tex[node] == "\\" else 4))
-        while j < len(tex) and tex[j] != "{":
-            if tex[j] in "[(":
-                end = scan.partner(j)
-                if end < 0:
-                    break
-                j = scan.past_blanks(end + 1)
-            else:
-                j += 1
-        end = scan.partner(j) if j < len(tex) and tex[j] == "{" else -1
-        if end < 0:
-            break
-        out.append(tex[node : j + 1])
-        if scan.past_blanks(j + 1) != end:
-            out.append(_word(count) if mode == "replace_sequential" else word)
-            count += 1
-        out.append("}")
-        i = end + 1
-    return "".join(out) + tex[i:]
+    """tex with the bodies of its nodes replaced; of a body without text nothing is left."""
+    tex, numbers, parts, at = tex or "", count(), [], 0
+    for start, end in label_spans(tex):
+        empty = _SKIP.fullmatch(tex, start, end) is not None
+        parts += [tex[at:start], "" if empty else _letters(next(numbers)) if mode == "replace_sequential" else word]
+        at = end
+    return "".join(parts) + tex[at:]
 
 
 def neutralize_labels(c: Column | str, mode: str = "replace_sequential", word: str = "Text") -> Column:
@@ -149,3 +117,45 @@ def token_edit_distance(a: Column | str, b: Column | str) -> Column:
         return pd.Series([None if x is None or y is None else token_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
     return run(a, b)
+
+
+def _coverages(tokens: pa.ListArray, orders: list[int], least: int) -> pa.Array:
+    """Of each list and order the share of n-grams that occur so often in it. Tokens are numbered, and an n-gram is the pair of two
+    shorter, overlapping ones; the first of a pair holds the list's number, so that lists are counted apart."""
+    lengths = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0), np.int64)
+    codes = np.asarray(pc.dictionary_encode(tokens.flatten(), null_encoding="encode").indices, np.int64)
+    starts, row = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(lengths, lengths) - (np.arange(len(row)) - starts[row])  # tokens of the list from here on
+    known: dict[int, np.ndarray] = {1: np.unique(row * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1].astype(np.int64)}
+
+    def numbered(n: int) -> np.ndarray:
+        """A number for the n-gram that starts at each token; -1 where fewer are left."""
+        if n not in known:
+            half = (n + 1) // 2
+            own, shift = numbered(half), n - half
+            whole = np.flatnonzero(left >= n)
+            out = np.full(len(own), -1)
+            if len(whole):
+                out[whole] = np.unique(own[whole] * (own.max() + 2) + own[whole + shift] + 1, return_inverse=True)[1]
+            known[n] = out
+        return known[n]
+
+    values = np.zeros((len(lengths), len(orders)))
+    for i, n in enumerate(orders):
+        whole = numbered(n)
+        at = np.flatnonzero(left >= n)
+        if len(at):
+            often = np.bincount(whole[at])[whole[at]] >= least
+            total = np.bincount(row[at], minlength=len(lengths))
+            values[:, i] = np.bincount(row[at], weights=often, minlength=len(lengths)) / np.maximum(total, 1)
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), len(orders)).cast(pa.list_(pa.float64()))
+
+
+def ngram_coverages(tokens: Column | str, orders: list[int], min_count: int = 3) -> Column:
+    """A3. array<double>: for each order the share of the n-grams that occur min_count times at least in this sample; 0 if it has none."""
+
+    @F.arrow_udf("array<double>")
+    def run(tokens: pa.Array) -> pa.Array:
+        return _coverages(tokens, orders, min_count)
+
+    return run(tokens)

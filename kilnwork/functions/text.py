@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# White space, line breaks, number literals (in code, in lines) and tokens.
 WS = "[\\s\\x1c-\\x1f]"
 BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 NUMBER = "(?U)(?<![A-Za-z])[-+]?(?:\\d+\\.\\d*|\\.\\d+|\\d+)(?:[eE][-+]?\\d+)?"
@@ -185,8 +186,8 @@ def code_structure(c: Column | str) -> Column:
 
 def ngram_repetition_ratio(tokens: Column | str, n: int = 16) -> Column:
     """P18. 1 - distinct / all n-grams, 0 if there is none."""
-    grams = ngrams(tokens, n)
-    return F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
+    once = F.transform(F.array(ngrams(tokens, n)), lambda grams: F.when(F.size(grams) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams)))
+    return F.element_at(once, 1)
 
 
 def has_text(c: Column | str) -> Column:
@@ -243,20 +244,6 @@ def repetition_class(score: Column | str, thresholds: dict[str, float] | None =
 WEIGHTS = {2: 0.35, 3: 0.30, 4: 0.20, 6: 0.20}
 
 
-def ngram_coverage(tokens: Column | str, n: int, min_count: int = 3) -> Column:
-    """A3. Share of the n-grams that occur min_count times at least in this sample. Row-local: in sorted order, a gram is
-    frequent if it stands in a window of min_count equal entries."""
-    grams = F.array_sort(ngrams(tokens, n))
-    size, m = F.size(grams), min_count
-    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("n"), F.lit(0).alias("sum"))
-
-    def step(s: Column, x: Column) -> Column:
-        k = F.when(s["x"] == x, s["n"] + 1).otherwise(1)
-        return F.struct(x.alias("x"), k.alias("n"), (s["sum"] + F.when(k == m, m).when(k > m, 1).otherwise(0)).alias("sum"))
-
-    return F.when(size > 0, F.aggregate(grams, start, step, lambda s: s["sum"]) / size).otherwise(F.lit(0.0))
-
-
 def weighted_repetition(coverages: dict[int, Column], normalized: bool = True) -> Column:
     """A4. Weighted mean (or sum) of coverages by order."""
     total = sum((F.lit(WEIGHTS[n]) * c for n, c in coverages.items()), F.lit(0.0))

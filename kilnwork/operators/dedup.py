@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import shuffle_key
 from ..functions.text import has_text
+from .places import numbered
 
 
 def filter_dates(df: DataFrame, start: str, end: str, origins: list[str] | None = None, date: str = "date", origin: str = "origin") -> tuple[DataFrame, DataFrame]:
@@ -74,7 +75,7 @@ def assign_ids(df: DataFrame, source: str, raw: str, code_hash: str, tie: str) -
     """
     name = F.trim(F.coalesce(F.col(raw).cast("string"), F.lit("")))
     missing = df.filter(name == "").select(F.col(tie).alias("__t"))
-    places = numbered(missing, "__t")
+    places = numbered(missing, ["__t"], "__place")
     rows = df.join(places, F.when(name == "", F.col(tie)) == F.col("__t"), "left")
     base = F.concat(F.lit(f"{source}:"), F.when(name == "", F.concat(F.lit("row-"), F.lpad(F.col("__place").cast("string"), 9, "0"))).otherwise(name))
     rows = rows.withColumn("__base", base)
@@ -83,16 +84,6 @@ def assign_ids(df: DataFrame, source: str, raw: str, code_hash: str, tie: str) -
     return rows.withColumn("sample_id", F.when(F.col("__k") == 1, F.col("__base")).otherwise(F.concat_ws(":", "__base", F.col("__k").cast("string"), F.left(F.col(code_hash), F.lit(8))))).drop("__t", "__place", "__base", "__k")
 
 
-def numbered(df: DataFrame, key: str, out: str = "__place") -> DataFrame:
-    """df with the place (from 0) of each row by key: rows are sorted into ranges, each numbered by itself from where those before it end."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = [r[0] for r in df.select(key).repartitionByRange(n, key).groupBy(F.spark_partition_id()).agg(F.max(key)).orderBy(F.max(key)).collect()]  # one a range
-    bucket = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col(key))) if ends else F.lit(0)
-    rows = df.withColumn("__b", bucket)
-    counts = rows.groupBy("__b").count().withColumn("__start", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(key)) - 1).join(F.broadcast(counts), "__b").withColumn(out, (F.col("__start") + F.col("__r")).cast("long")).drop("__b", "__r", "__start")
-
-
 def pipeline_funnel(stages: list[tuple[str, DataFrame, DataFrame]], dataset: str = "dataset") -> DataFrame:
     """A20. (stage, dataset, before, after, rejected)."""
     out = None

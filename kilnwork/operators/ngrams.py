@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import WEIGHTS, ngram_coverage, ngrams, repetition_class, tokenize_code, weighted_repetition
+from ..functions.helpers import ngram_coverages
+from ..functions.text import WEIGHTS, ngrams, repetition_class, tokenize_code, weighted_repetition
+from ..sources.scratch import stored
 
 SEP = "\u0001"
+#: Narrow rows that may be broadcast (some 10 MB), once they are counted.
+BROADCAST_ROWS = 500_000
 
 
 def exploded(df: DataFrame, tokens: str, orders: list[int], keep: list[str] | None = None) -> DataFrame:
@@ -22,10 +26,10 @@ def _tagged(tokens: str, n: int) -> Column:
 
 def repetition_score(df: DataFrame, code: str = "code") -> DataFrame:
     """A4. df with repetition_score and repetition_class; a code without tokens is low with 0. No shuffle."""
-    df = df.withColumn("__tokens", tokenize_code(code))
-    score = weighted_repetition({n: ngram_coverage("__tokens", n) for n in WEIGHTS})
-    df = df.withColumn("repetition_score", F.when(F.size("__tokens") == 0, F.lit(0.0)).otherwise(score))
-    return df.withColumn("repetition_class", repetition_class("repetition_score")).drop("__tokens")
+    df = df.withColumn("__cover", ngram_coverages(tokenize_code(code), list(WEIGHTS)))
+    score = weighted_repetition({n: F.element_at("__cover", i) for i, n in enumerate(WEIGHTS, 1)})
+    df = df.withColumn("repetition_score", score)
+    return df.withColumn("repetition_class", repetition_class("repetition_score")).drop("__cover")
 
 
 #: Thresholds of the four classes of the profile.
@@ -36,8 +40,8 @@ def repetition_profile(df: DataFrame, key: str, code: str = "code", top: int = 2
     """A5. (key, repetition_score, repetition_class, token_count, coverage by order, top_local_ngrams): unnormalised weights; the most frequent n-grams as
     JSON, by count, then order, both descending."""
     df = df.select(key, tokenize_code(code).alias("__tokens"))
-    cover = {n: ngram_coverage("__tokens", n, least) for n in WEIGHTS}
-    own = df.select(key, F.size("__tokens").alias("token_count"), *[c.alias(f"ngram_{n}_coverage") for n, c in cover.items()])
+    own = df.select(key, F.size("__tokens").alias("token_count"), ngram_coverages("__tokens", list(WEIGHTS), least).alias("__cover"))
+    own = own.select(key, "token_count", *[F.element_at("__cover", i).alias(f"ngram_{n}_coverage") for i, n in enumerate(WEIGHTS, 1)])
     score = sum((F.lit(w) * F.col(f"ngram_{n}_coverage") for n, w in WEIGHTS.items()), F.lit(0.0))
     own = own.withColumn("repetition_score", score).withColumn("repetition_class", repetition_class("repetition_score", PROFILE))
     counts = exploded(df, "__tokens", list(WEIGHTS), [key]).groupBy(key, "n", "gram").count().filter(F.col("count") >= least)
@@ -53,23 +57,51 @@ def repetition_stats(df: DataFrame, dataset: str = "dataset") -> DataFrame:
     return df.groupBy(dataset).agg(*[F.count_if(F.col("repetition_class") == c).alias(c) for c in classes], F.avg("repetition_score").alias("mean_score"), F.min("token_len").alias("token_min"), F.max("token_len").alias("token_max"), F.avg("token_len").alias("token_mean"))
 
 
-def _counted(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
-    """(n, gram, count): grams are counted by hash first, so that long ones are shuffled once and short keys are compared;
-    the text is part of the group, so a collision of hashes splits, not merges."""
-    grams = exploded(df, tokens, orders)
-    return grams.groupBy("n", F.xxhash64("gram").alias("h"), "gram").count().select("n", "gram", "count")
+def _hashed(df: DataFrame, tokens: str, orders: list[int], words: bool = False) -> DataFrame:
+    """(n, h): hashes of the n-grams' token hashes; no text of an n-gram is built. words: and its tokens."""
+    df = df.select(tokens, F.transform(tokens, lambda t: F.xxhash64(t)).alias("__t"))
+
+    def of(n: int) -> Column:
+        def gram(i: Column) -> Column:
+            own = [F.lit(n).alias("n"), F.xxhash64(F.slice("__t", i, n)).alias("h")]
+            return F.struct(*own, F.slice(tokens, i, n).alias("words")) if words else F.struct(*own)
+
+        at = F.sequence(F.lit(1), F.size("__t") - n + 1)
+        kind = "array<struct<n:int,h:bigint,words:array<string>>>" if words else "array<struct<n:int,h:bigint>>"
+        return F.when(F.size("__t") >= n, F.transform(at, gram)).otherwise(F.array().cast(kind))
+
+    return df.select(F.explode(F.flatten(F.array(*[of(n) for n in orders]))).alias("__g")).select("__g.*")
+
+
+def _frequent(df: DataFrame, tokens: str, orders: list[int], k: int, by_order: bool) -> DataFrame:
+    """(n, gram, count) of all n-grams that may be among the k most frequent (of each order).
+
+    First, n-grams are counted by 64-bit hash, 12 bytes a row and combined before the shuffle; the k-th count is the least that can matter
+    (a collision only raises counts). Then the text of those n-grams alone is built and counted, so that the result is exact.
+    """
+    df = df.select(tokens)
+    counts = stored(_hashed(df, tokens, orders).groupBy("n", "h").count(), "grams")
+    per = [[n] for n in orders] if by_order else [orders]
+    least = F.lit(None).cast("long")
+    for group in per:
+        kth = counts.filter(F.col("n").isin(group)).orderBy(F.col("count").desc()).limit(k).agg(F.min("count")).first()[0]  # one number
+        least = F.when(F.col("n").isin(group), F.lit(kth)).otherwise(least)
+    likely = counts.filter(F.col("count") >= least).select("n", "h")
+    likely = F.broadcast(likely) if likely.count() <= BROADCAST_ROWS else likely
+    hits = _hashed(df, tokens, orders, True).join(likely, ["n", "h"], "left_semi")
+    return hits.select("n", F.array_join("words", SEP).alias("gram")).groupBy("n", "gram").count()
 
 
 def common_ngrams(df: DataFrame, tokens: str, orders: list[int], k: int) -> DataFrame:
     """A7. (rank, n, gram, count): the k most frequent of all orders; ties by order, then gram."""
-    best = _counted(df, tokens, orders).orderBy(F.col("count").desc(), "n", "gram").limit(k)
+    best = _frequent(df, tokens, orders, k, False).orderBy(F.col("count").desc(), "n", "gram").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("count").desc(), "n", "gram"))).select("rank", "n", "gram", "count")
 
 
 def common_ngrams_per_order(df: DataFrame, tokens: str, orders: list[int], k: int) -> DataFrame:
     """A8. The k most frequent of each order."""
     rank = F.row_number().over(Window.partitionBy("n").orderBy(F.col("count").desc(), "gram"))
-    return _counted(df, tokens, orders).withColumn("rank", rank).filter(F.col("rank") <= k).select("rank", "n", "gram", "count")
+    return _frequent(df, tokens, orders, k, True).withColumn("rank", rank).filter(F.col("rank") <= k).select("rank", "n", "gram", "count")
 
 
 def filter_coverage(df: DataFrame, key: str, tokens: str, top: DataFrame, orders: list[int]) -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import PASS_AT, score_result
+from ..functions.helpers import neutralize_labels, token_edit_distance
+from ..functions.scores import PASS_AT, relative_length, score_result
+from ..functions.text import tokenize_code
+from .ngrams import crystal_bleu
 
 
 def pair_generations(refs: DataFrame, gens: DataFrame, key: str = "test_id") -> DataFrame:
@@ -22,14 +25,29 @@ def score_pairs(df: DataFrame, metrics: Mapping[str, Column], keys: list[str], t
     return rows.select(*keys, "x.metric", "x.r.score", "x.r.pass", "x.r.reason")
 
 
+def text_neutral_metrics(pairs: DataFrame, key: str, reference: str, generated: str, shared: DataFrame, mode: str = "replace_sequential") -> DataFrame:
+    """M9. (key, crystalbleu, distance, reference_tokens, similarity): BLEU, token edit distance and relative length of each pair, with the labels of both
+    sides neutralised first. key must be unique."""
+    rows = pairs.select(key, *[neutralize_labels(c, mode).alias(x) for c, x in ((reference, "r"), (generated, "g"))])
+    bleu = crystal_bleu(rows, key, "r", "g", shared)
+    own = rows.select(key, tokenize_code("r").alias("rt"), tokenize_code("g").alias("gt"), relative_length("r", "g")["similarity"].alias("similarity"))
+    own = own.select(key, token_edit_distance("rt", "gt").alias("distance"), F.size("rt").alias("reference_tokens"), "similarity")
+    return bleu.join(own, key)
+
+
 def provider_means(scores: DataFrame) -> DataFrame:
     """A12. Mean score and pass rate by provider and metric; a failed result counts with 0."""
     return scores.groupBy("provider", "metric").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean_score"), F.avg(F.coalesce("pass", F.lit(False)).cast("int")).alias("pass_rate"), F.count(F.lit(1)).alias("results"))
 
 
-def score_distribution(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A13. Median, quartiles and whiskers by provider and metric, and the rows beyond the whiskers."""
-    box = scores.groupBy("provider", "metric").agg(F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+def quantiles(c: str, at: list[float], exact: bool) -> Column:
+    """array<double>. Exact ones hold a group's distinct values in memory; others, to a ten-thousandth of the ranks, do not grow."""
+    return F.percentile(c, F.array(*[F.lit(p) for p in at])) if exact else F.percentile_approx(c, at, 10_000)
+
+
+def score_distribution(scores: DataFrame, exact: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A13. Median, quartiles and whiskers by provider and metric, and the rows beyond the whiskers. exact: see quantiles."""
+    box = scores.groupBy("provider", "metric").agg(quantiles("score", [0.25, 0.5, 0.75], exact).alias("q"))
     box = box.select("provider", "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     far = 1.5 * (F.col("q3") - F.col("q1"))
     box = box.withColumn("low", F.col("q1") - far).withColumn("high", F.col("q3") + far)
@@ -60,12 +78,14 @@ def most_repetitive(df: DataFrame, k: int = 50, key: str = "sample_id") -> DataF
     return df.orderBy(F.col("repetition_score").desc(), key).limit(k)
 
 
-def describe_by(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """A11. (by, column, count, mean, std, min, q1, median, q3, max)."""
+def describe_by(df: DataFrame, by: str, columns: list[str], exact: bool = True) -> DataFrame:
+    """A11. (by, column, count, mean, std, min, q1, median, q3, max). exact: see quantiles."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.select(by, F.expr(f"stack({len(columns)}, {pairs}) as (column, x)"))
-    q = lambda p: F.percentile("x", F.lit(p))
-    return long.groupBy(by, "column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("x").alias("max"))
+    told = long.groupBy(by, "column").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), quantiles("x", [0.25, 0.5, 0.75], exact).alias("q"), F.max("x").alias("max"),
+    )
+    return told.select(by, "column", "count", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 
 def reward_summary(records: DataFrame, by: str = "step") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import shuffle_key, uniform
 from ..functions.text import has_text, slug, strip
+from .places import numbered
 from .quota import largest_remainder, uniform_counts, weighted_counts
 
 NOISE = "noise"
@@ -78,10 +79,20 @@ def sample_n(df: DataFrame, n: int, seed: int | str, key: str, prefer: bool | No
     return df.orderBy(order_key(seed, key, prefer), key).limit(n)
 
 
+def _stage() -> Column:
+    level = F.lower("repetition_class")
+    return F.when(level == "low", 0).when(level == "high", 1).when(level == "critical", 2).otherwise(3)
+
+
 def curriculum_order(df: DataFrame, prior: str) -> DataFrame:
     """O3. Real before noise; then low, high, critical, others; then the prior order."""
-    rank = F.when(F.lower("repetition_class") == "low", 0).when(F.lower("repetition_class") == "high", 1).when(F.lower("repetition_class") == "critical", 2).otherwise(3)
-    return df.orderBy(is_noise("class").cast("int"), rank, prior)
+    return df.orderBy(is_noise("class").cast("int"), _stage(), prior)
+
+
+def curriculum_places(df: DataFrame, prior: str) -> DataFrame:
+    """O3 as a column: df with place, from 0, ranked by ranges of the order."""
+    rows = df.withColumns({"__noise": is_noise("class").cast("int"), "__stage": _stage()})
+    return numbered(rows, ["__noise", "__stage", prior], "place").drop("__noise", "__stage")
 
 
 def without(df: DataFrame, *others: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -102,11 +113,12 @@ def union_keys(*parts: DataFrame, key: str = "sample_id") -> DataFrame:
 
 
 def ranked(df: DataFrame, group: list[str | Column], order: Column, key: str, most: int) -> DataFrame:
-    """df with __rank (from 1) within group, for ranks up to most. First the top rows of each of 16 parts of a group, then the top of
+    """df with __rank (from 1) within group, for ranks up to most. First the top rows of each of many parts of a group, then the top of
     those: no task ranks a whole class."""
     names = [f"__g{i}" for i in range(len(group))]
     df = df.withColumns({n: g if isinstance(g, Column) else F.col(g) for n, g in zip(names, group, strict=True)}).withColumn("__o", order)
-    part = F.pmod(F.xxhash64(key), F.lit(16))
+    parts = max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64(key), F.lit(parts))
     df = df.withColumn("__part", part)
     first = F.row_number().over(Window.partitionBy(*names, "__part").orderBy("__o", key))
     df = df.withColumn("__rank", first).filter(F.col("__rank") <= most)
@@ -162,9 +174,14 @@ def train_class_names(df: DataFrame, importance: Mapping[str, str], noise: str =
     return {c: w for c, w in weights.items() if w > 0}
 
 
-def benchmark_class_names(classes: list[str]) -> list[str]:
-    """Q9. The given classes, each once whatever its case."""
-    return list({c.lower(): c for c in reversed(classes)}.values())[::-1]
+def benchmark_class_names(classes: list[str] | None, df: DataFrame | None = None, noise: str = NOISE) -> list[str]:
+    """Q9. The given classes, each once whatever its case, without blank ones and noise; None: all classes that df has, by name."""
+    names = sorted(class_counts(df)) if classes is None else [c.strip() for c in classes]
+    first: dict[str, str] = {}
+    for c in names:
+        if c and c.lower() != noise.lower():
+            first.setdefault(c.lower(), c)
+    return list(first.values())
 
 
 def choose_weighted(df: DataFrame, total: int, importance: Mapping[str, str], seed: int | str, noise: str = NOISE, key: str = "sample_id") -> DataFrame:
@@ -186,7 +203,7 @@ class Selection:
     """Sizes and classes of the splits."""
 
     importance: Mapping[str, str] = field(default_factory=lambda: {"*": "not important"})
-    benchmark_classes: list[str] = field(default_factory=list)
+    benchmark_classes: list[str] | None = field(default_factory=list)
     per_class: int = 5
     noise_benchmark: int = 130
     noise_validation: int = 200
@@ -203,7 +220,7 @@ class Selection:
 def build_benchmark(df: DataFrame, cfg: Selection, key: str = "sample_id") -> DataFrame:
     """Q10. df with split: benchmark, or corpus for all else."""
     rows = repetition_candidates(df, cfg.repetition)
-    chosen = choose_class_split(rows, benchmark_class_names(cfg.benchmark_classes), cfg.per_class, cfg.noise_benchmark, cfg.seed, key=key)
+    chosen = choose_class_split(rows, benchmark_class_names(cfg.benchmark_classes, rows), cfg.per_class, cfg.noise_benchmark, cfg.seed, key=key)
     return chosen.withColumn("split", F.lit("benchmark")).unionByName(without(df, chosen, key=key).withColumn("split", F.lit("corpus")))
 
 
@@ -267,8 +284,8 @@ def sample_names(df: DataFrame, key: str = "sample_id") -> DataFrame:
     clash = df.select("class").distinct().groupBy(slug("class")).count().filter("count > 1")
     if not clash.isEmpty():
         raise ValueError("two classes have the same name for files")
-    n = F.row_number().over(Window.partitionBy("class").orderBy(key)) - 1
-    return df.withColumn("sample_name", F.format_string("%s_%08d", slug("class"), n))
+    named = numbered(df, [key], "__number", ["class"]).withColumn("sample_name", F.format_string("%s_%08d", slug("class"), F.col("__number")))
+    return named.select(*df.columns, "sample_name")
 
 
 def class_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -292,7 +309,7 @@ def description_candidates(df: DataFrame, targets: Mapping[str, int], factor: in
     group = [*by, "repetition_class"]
     have = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__have"))
     top = ranked(rows, group, shuffle_key(seed, key), key, max(targets.values()) * factor).filter(F.col("__rank") <= F.col("__target") * factor)
-    out = top.join(F.broadcast(have), group)  # one row a group
+    out = top.join(have, group)  # one row a group
     return out.withColumn("wanted", F.least("__target", "__have").cast("long")).withColumnRenamed("__rank", "candidate").drop("__target", "__have")
 
 
@@ -321,7 +338,9 @@ def merge_descriptions(df: DataFrame, updates: DataFrame, columns: list[str], ke
 
 
 def attach_metadata(staging: DataFrame, meta: DataFrame, key: str = "sample_id") -> DataFrame:
-    """J2. staging with its one metadata row each; a sample without one is an error."""
+    """J2. staging with its one metadata row each; a sample without one, and a sample with two, is an error."""
+    if not meta.groupBy(key).count().filter("count > 1").isEmpty():
+        raise ValueError("a sample has two rows of metadata")
     if not staging.join(meta.select(key), key, "left_anti").isEmpty():
         raise ValueError("a sample has no metadata")
     return staging.join(meta, key)

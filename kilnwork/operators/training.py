@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import code_structure, extract_document, has_text, render_instruction
+from ..functions.text import code_structure, extract_document, has_text, normal_lines, render_instruction
 
 IGNORED = -100
 
@@ -79,6 +79,16 @@ def generation_health(log: DataFrame) -> DataFrame:
     return log.groupBy("step").agg(rate("terminated_by_stop_token"), rate("hit_max_new_tokens"), rate("contains_end_document"), F.avg("normalized_line_repetition_ratio").alias("mean_line_repetition"))
 
 
+def longest_runs(df: DataFrame, key: str, code: str = "code") -> DataFrame:
+    """W9. (key, longest_run): of each sample the longest run of equal normal lines, over rows of lines; 0 without lines. key must be unique."""
+    lines = df.select(key, F.posexplode(normal_lines(code)).alias("at", "line"))
+    inside = Window.partitionBy(key).orderBy("at")
+    new = F.coalesce(F.lag("line").over(inside) != F.col("line"), F.lit(True))
+    runs = lines.withColumn("run", F.sum(new.cast("int")).over(inside)).groupBy(key, "run").count()
+    longest = runs.groupBy(key).agg(F.max("count").alias("longest_run"))
+    return df.select(key).join(longest, key, "left").select(key, F.coalesce("longest_run", F.lit(0)).cast("long").alias("longest_run"))
+
+
 def label_audit(rows: DataFrame, stop_ids: list[int], labels: str = "labels", mask: str = "attention_mask") -> DataFrame:
     """A19. One row: samples, those without a stop token among their targets, those whose padding has targets."""
     stop = F.arrays_overlap(labels, F.array(*[F.lit(i) for i in stop_ids]))

@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators import dedup, ngrams, render
 from ..operators import select as sel
 from ..sources import tables
+from .text_queries import _CLASS, _COVER, _SCORE
 from .views import attempts, hashed, samples, sql_strip, table, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,12 +34,12 @@ def add(name: str, sql: str | None = None, *views: str) -> Callable:
 
 def _pools(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = hashed(spark, d)
-    return rows.filter("dataset = 'datikz'"), rows.filter("dataset = 'benchmark'")
+    return rows.filter("dataset = 'pool'"), rows.filter("dataset = 'benchmark'")
 
 
-@add("s1_read_samples", "select cast(doc_id as bigint) as id, md5(coalesce(text, '')) as code, source, 'datikz' as dataset from documents")
+@add("s1_read_samples", "select cast(doc_id as bigint) as id, md5(coalesce(text, '')) as code, source, 'pool' as dataset from documents")
 def s1(spark, d):
-    return tables.read_samples(spark, f"{d}/documents.parquet", tables.SourceSpec("datikz", id="doc_id", code="text", source="source")).withColumn("code", F.md5(F.coalesce("code", F.lit(""))))
+    return tables.read_samples(spark, f"{d}/documents.parquet", tables.SourceSpec("pool", id="doc_id", code="text", source="source")).withColumn("code", F.md5(F.coalesce("code", F.lit(""))))
 
 
 @add("s2_read_split", "select 'documents' as split, count(*) as rows, sum(strlen(text)) as bytes from documents")
@@ -74,14 +75,15 @@ def _shardable(spark, d):
     return samples(spark, d).select("sample_id", "text", F.col("dataset").alias("split"))
 
 
-@add("s6_write_shards")
+@add("s6_write_shards", "select dataset as split, count(*) as rows, cast(sum(strlen(sample_id) + strlen(coalesce(text, '')) + strlen(dataset)) as bigint) as bytes, count(*) as rows_read, true as within from samples group by dataset", "samples")
 def s6(spark, d):
     from ..plans.paths import scratch
 
     path = scratch(spark, "shards")
     wrote = tables.write_shards(_shardable(spark, d), path, 1 << 20, "sample_id")
     back = spark.read.parquet(path).groupBy("split", "shard").agg(one())
-    return wrote.join(back.withColumnRenamed("rows", "rows_read"), ["split", "shard"]).select("split", "shard", "rows", "bytes", "rows_read")
+    both = wrote.join(back.withColumnRenamed("rows", "rows_read"), ["split", "shard"])
+    return both.groupBy("split").agg(F.sum("rows").alias("rows"), F.sum("bytes").cast("long").alias("bytes"), F.sum("rows_read").alias("rows_read"), (F.max("bytes") <= (1 << 20)).alias("within"))
 
 
 @add("s7_shard_manifest", "select dataset as split, count(*) as rows, cast(sum(strlen(sample_id) + strlen(coalesce(text, '')) + strlen(dataset)) as bigint) as bytes, true as within from samples group by dataset", "samples")
@@ -154,12 +156,12 @@ def w1(spark, d):
     return dedup.first_occurrence(hashed(spark, d), 42, "sample_id").select("sample_id", "code_hash")
 
 
-@add("j1_decontaminate", "select sample_id from hashed where dataset = 'datikz' and (code_hash = '' or code_hash not in (select code_hash from hashed where dataset = 'benchmark'))", "hashed")
+@add("j1_decontaminate", "select sample_id from hashed where dataset = 'pool' and (code_hash = '' or code_hash not in (select code_hash from hashed where dataset = 'benchmark'))", "hashed")
 def j1(spark, d):
     return dedup.decontaminate(*_pools(spark, d)).select("sample_id")
 
 
-@add("u2_hash_intersection", "select code_hash from hashed where dataset = 'datikz' and code_hash <> '' intersect select code_hash from hashed where dataset = 'benchmark'", "hashed")
+@add("u2_hash_intersection", "select code_hash from hashed where dataset = 'pool' and code_hash <> '' intersect select code_hash from hashed where dataset = 'benchmark'", "hashed")
 def u2(spark, d):
     return dedup.hash_intersection(*_pools(spark, d))
 
@@ -170,16 +172,16 @@ def a1(spark, d):
     return dedup.duplicate_stats(hashed(spark, d))
 
 
-@add("a2_cross_overlap_stats", "select count(*) as matching_hashes, cast(coalesce(sum(n), 0) as bigint) as train_rows, count(*) as unique_rows_removed from (select code_hash, count(*) as n from hashed where dataset = 'datikz' and code_hash <> '' group by 1) where code_hash in (select code_hash from hashed where dataset = 'benchmark')", "hashed")
+@add("a2_cross_overlap_stats", "select count(*) as matching_hashes, cast(coalesce(sum(n), 0) as bigint) as train_rows, count(*) as unique_rows_removed from (select code_hash, count(*) as n from hashed where dataset = 'pool' and code_hash <> '' group by 1) where code_hash in (select code_hash from hashed where dataset = 'benchmark')", "hashed")
 def a2(spark, d):
     return dedup.cross_overlap_stats(*_pools(spark, d))
 
 
 @add("w2_assign_ids", """select doc_id, case when k = 1 then b else b || ':' || k || ':' || left(code_hash, 8) end as sample_id from (select *, row_number() over (partition by b order by doc_id) as k from (
-  select doc_id, code_hash, 'datikz:' || case when doc_id % 10 = 0 then 'row-' || lpad(cast(row_number() over (partition by doc_id % 10 = 0 order by doc_id) - 1 as varchar), 9, '0') else 'k' || (doc_id // 3) end as b from hashed))""", "hashed")
+  select doc_id, code_hash, 'pool:' || case when doc_id % 10 = 0 then 'row-' || lpad(cast(row_number() over (partition by doc_id % 10 = 0 order by doc_id) - 1 as varchar), 9, '0') else 'k' || (doc_id // 3) end as b from hashed))""", "hashed")
 def w2(spark, d):
     rows = hashed(spark, d).drop("sample_id").withColumn("raw", F.expr("case when doc_id % 10 = 0 then null else 'k' || (doc_id div 3) end"))
-    return dedup.assign_ids(rows, "datikz", "raw", "code_hash", "doc_id").select("doc_id", "sample_id")
+    return dedup.assign_ids(rows, "pool", "raw", "code_hash", "doc_id").select("doc_id", "sample_id")
 
 
 @add("a20_pipeline_funnel", """select stage, dataset, before, after, before - after as rejected from (
@@ -212,9 +214,9 @@ def f4(spark, d):
     return render.flag_low_similarity(table(spark, d, "events").withColumn("image_similarity", F.col("value") / 100))[0].select("event_id", "low_similarity")
 
 
-@add("a22_failure_report", "select event_type as dataset, 'bad_' || (event_id % 3) as reason, count(*) as failures from events where event_id % 7 = 0 group by all")
+@add("a22_failure_report", "select event_type as dataset, 'bad_' || (event_id % 3) as reason, count(*) as failures from events group by all")
 def a22(spark, d):
-    return render.failure_report(table(spark, d, "events").filter("event_id % 7 = 0").select(F.col("event_type").alias("dataset"), F.expr("'bad_' || (event_id % 3) || ': at ' || event_id").alias("reason")))
+    return render.failure_report(table(spark, d, "events").select(F.col("event_type").alias("dataset"), F.expr("'bad_' || (event_id % 3) || ': at ' || event_id").alias("reason")))
 
 
 @add("j7_dedupe_expensive", "select doc_id, cast(length(coalesce(text, '')) as bigint) as size from documents")
@@ -235,9 +237,14 @@ def u1(spark, d):
 def curate_flow(spark: SparkSession, d: str) -> DataFrame:
     """Documents normalised, deduplicated in their pool, decontaminated, classified and counted."""
     train, bench = (dedup.first_occurrence(p, 42, "sample_id") for p in _pools(spark, d))
-    rows = dedup.decontaminate(train, bench)
-    return ngrams.repetition_score(rows).groupBy("source", "repetition_class").agg(one())
+    rows = dedup.decontaminate(train, bench).select("doc_id")
+    return ngrams.repetition_score(samples(spark, d).join(rows, "doc_id", "left_semi")).groupBy("source", "repetition_class").agg(one())
 
 
 QUERIES["curate_flow"] = curate_flow
+SQL["curate_flow"] = with_views("", "hashed", "tokenized").rstrip() + f""", {_COVER},
+kept as (select doc_id, source from (select *, row_number() over (partition by code_hash order by md5('42:' || sample_id), sample_id) as k from hashed where dataset = 'pool')
+  where code_hash = '' or (k = 1 and code_hash not in (select code_hash from hashed where dataset = 'benchmark')))
+select source, {_CLASS.format(s='s')} as repetition_class, count(*) as rows
+from (select k.doc_id, k.source, {_SCORE} as s from kept k join tokenized t using (doc_id) left join cover using (doc_id) group by all) group by all"""
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import helpers, scores, text, vectors
 from ..operators import clustering, ngrams, scoring, training
-from .views import attempts, pairs, samples, sql_grams, sql_strip, sql_tokens, table, trainlog, with_views
+from .text_queries import _LINES
+from .views import attempts, pairs, quoted, samples, sql_grams, sql_strip, sql_tokens, table, trainlog, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,10 +113,26 @@ def m8(spark, d):
     return x.select("event_id", "x.score", F.aggregate(F.map_values("x.named_scores"), F.lit(0.0), lambda a, b: a + b).cast("int").alias("issues"))
 
 
-@add("m9_text_neutral_metrics")
+def _neutral(spark, d):
+    """Each sample against itself with a node more, labels hidden on both sides, by M2, M3 and M4."""
+    p = samples(spark, d).select("sample_id", F.coalesce("code", F.lit("")).alias("r"), F.concat(F.coalesce("code", F.lit("")), F.lit("\n\\node {z};")).alias("g"))
+    return scoring.text_neutral_metrics(p, "sample_id", "r", "g", ngrams.shared_ngrams(_corpus(spark, d), "code", 100), "clean_all_text")
+
+
+def _hidden(c: str) -> str:
+    return f"replace({c}, '\\begin{{tikzpicture}}', {quoted(helpers.HIDE)} || '\\begin{{tikzpicture}}')"
+
+
+# the reference's tokens are the first of the generated side's, so their distance is the number of the others
+_NEUTRAL = with_views("", "samples").rstrip() + f""", pairs as (select sample_id as test_id, {_hidden("coalesce(code, '')")} as reference, {_hidden("coalesce(code, '') || chr(10) || '" + chr(92) + "node {z};'")} as generated from samples),
+{_CORPUS}, {_SHARED}, {_BLEU}, neutral as (select test_id as sample_id, round(b, 6) as crystalbleu, (gl - rl)::bigint as distance, (gl - rl) / rl as ted, case when {_R} > 0 then round(1 / (1 + abs({_G} - {_R}) / {_R}), 6) end as similarity
+  from bleu join z using (test_id) join pairs using (test_id) where rl > 0)"""
+
+
+@add("m9_text_neutral_metrics", _NEUTRAL + " select sample_id, crystalbleu, distance, similarity from neutral")
 def m9(spark, d):
-    p = samples(spark, d).select("sample_id", helpers.neutralize_labels("code").alias("r"), helpers.neutralize_labels(F.concat(F.col("code"), F.lit("\\node {z};"))).alias("g"))
-    return p.select("sample_id", F.round(scores.relative_length("r", "g")["similarity"], 9).alias("similarity"))
+    x = _neutral(spark, d).filter("reference_tokens > 0")
+    return x.select("sample_id", F.round("crystalbleu", 6).alias("crystalbleu"), F.col("distance").cast("long").alias("distance"), F.round("similarity", 6).alias("similarity"))
 
 
 @add("m10_diagnostic_reward", "select event_id, round(greatest(-2, least(1, 1 - 0.1 * errors - 0.05 * warnings - 0.01 * badboxes)), 9)::double as reward from attempts", "attempts")
@@ -123,9 +140,10 @@ def m10(spark, d):
     return attempts(spark, d).select("event_id", F.round(scores.diagnostic_reward("errors", "warnings", "badboxes"), 9).alias("reward"))
 
 
-@add("m11_code_reward", "select event_id, round((least(1, value / 50) + 0.5 / (1 + value)) / 1.5, 9) as reward from events")
+@add("m11_code_reward", _NEUTRAL + " select sample_id, round((least(1, greatest(0, crystalbleu)) + 0.5 / (1 + ted)) / 1.5, 5) as reward from neutral")
 def m11(spark, d):
-    return table(spark, d, "events").select("event_id", F.round(scores.code_reward(F.col("value") / 50, "value"), 9).alias("reward"))
+    x = _neutral(spark, d).filter("reference_tokens > 0")
+    return x.select("sample_id", F.round(scores.code_reward(F.round("crystalbleu", 6), F.col("distance") / F.col("reference_tokens")), 5).alias("reward"))
 
 
 @add("m12_visual_reward", "select event_id, round(0.15 * least(1, value / 50) + 0.5 * least(1, value / 80) + 0.35 * least(1, value / 20), 9) as reward from events")
@@ -241,14 +259,10 @@ def a18(spark, d):
     return out.select("step", *[F.round(c, 6).alias(c) for c in out.columns if c != "step"])
 
 
-@add("w9_longest_run", "select user_id, max(n) as longest_run from (select user_id, event_type, g, count(*) as n from (select *, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as g from events) group by all) group by 1")
+@add("w9_longest_run", f"""select s.doc_id, cast(coalesce(run, 0) as bigint) as longest_run from samples s left join (select doc_id, max(n) as run from (select doc_id, x, g, count(*) as n
+  from (select doc_id, x, i - row_number() over (partition by doc_id, x order by i) as g from (select doc_id, unnest(r) as x, generate_subscripts(r, 1) as i from (select doc_id, {_LINES} as r from samples))) group by all) group by doc_id) w on w.doc_id = s.doc_id""", "samples")
 def w9(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = (F.lag("event_type").over(w) != F.col("event_type")) | F.lag("event_type").over(w).isNull()
-    runs = table(spark, d, "events").withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w))
-    return runs.groupBy("user_id", "run").count().groupBy("user_id").agg(F.max("count").alias("longest_run"))
+    return training.longest_runs(samples(spark, d), "doc_id")
 
 
 _PROMPT = "Draw it."
@@ -265,19 +279,33 @@ def r2(spark, d):
     return training.rl_rows(samples(spark, d).withColumn("description", F.lit("d")), _PROMPT, "text").select("sample_id", "reference_key", F.md5("answer").alias("answer"))
 
 
-
+def _token_ids(c: str) -> Column:
+    """Numbers of a text's tokens, by hash."""
+    return F.transform(text.tokenize_code(c), lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % 50000 + 2)
 
 
 def _ids(spark, d):
-    return table(spark, d, "conversations").selectExpr("conv_id", "turn", "conv_id || ':' || turn as sample_id", "slice(sequence(1, 40), 1, cast(conv_id % 7 + 1 as int)) as prompt_ids", "slice(sequence(11, 60), 1, cast(turn % 5 + conv_id % 3 as int)) as target_ids")
+    """A user's turn as prompt and the answer as target, whole."""
+    return pairs(spark, d).select(F.col("test_id").alias("sample_id"), "conv_id", _token_ids("reference").alias("prompt_ids"), _token_ids("generated").alias("target_ids"))
+
 
+def _sql_ids(c: str) -> str:
+    return f"list_transform({sql_tokens(c)}, lambda t: ('0x' || substr(md5(t), 1, 6))::int % 50000 + 2)"
 
-@add("r3_mask_labels", "select conv_id || ':' || turn as sample_id, cast(conv_id % 7 + 1 + turn % 5 + conv_id % 3 + 1 as int) as input_len, cast(turn % 5 + conv_id % 3 + 1 as int) as active_targets from conversations")
+
+_NUMBERED = f"(select test_id as sample_id, conv_id, p, t, len(p) + len(t) + 1 as n from (select *, {_sql_ids('reference')} as p, {_sql_ids('generated')} as t from pairs))"
+#: The number of the token ".".
+_STOP = 0x5058F1 % 50000 + 2
+
+
+@add("r3_mask_labels", f"select sample_id, cast(n as int) as input_len, cast(len(t) + 1 as int) as active_targets, cast(coalesce(list_sum(t), 0) + 1 as bigint) as target_sum from {_NUMBERED}", "pairs")
 def r3(spark, d):
-    return training.mask_labels(_ids(spark, d)).select("sample_id", F.size("input_ids").alias("input_len"), "active_targets")
+    rows = training.mask_labels(_ids(spark, d))
+    total = F.aggregate(F.filter("labels", lambda x: x != training.IGNORED), F.lit(0).cast("long"), lambda a, x: a + x)
+    return rows.select("sample_id", F.size("input_ids").alias("input_len"), "active_targets", total.alias("target_sum"))
 
 
-@add("r4_pad_batches", "select sample_id, cast(max(n) over (partition by conv_id // 4) as int) as padded, cast(n as int) as attended from (select conv_id, conv_id || ':' || turn as sample_id, conv_id % 7 + 1 + turn % 5 + conv_id % 3 + 1 as n from conversations)")
+@add("r4_pad_batches", f"select sample_id, cast(max(n) over (partition by conv_id // 4) as int) as padded, cast(n as int) as attended from {_NUMBERED}", "pairs")
 def r4(spark, d):
     rows = training.pad_batches(training.mask_labels(_ids(spark, d)).withColumn("batch", F.expr("conv_id div 4")), "batch")
     return rows.select("sample_id", F.size("labels").alias("padded"), F.aggregate("attention_mask", F.lit(0), lambda a, b: a + b).alias("attended"))
@@ -288,14 +316,16 @@ def r5(spark, d):
     return samples(spark, d).select("doc_id", text.tokenize_code("code").alias("t")).select("doc_id", F.size(training.truncate_tokens("t", 5)).alias("kept"))
 
 
-@add("f9_token_budget", "select conv_id || ':' || turn as sample_id, cast(conv_id % 7 + 1 as int) as prompt_len, cast(turn % 5 + conv_id % 3 as int) as target_len, case when conv_id % 7 + 1 > 5 then 'prompt_too_long' else 'target_too_long' end as reason from conversations where conv_id % 7 + 1 > 5 or turn % 5 + conv_id % 3 > 3")
+@add("f9_token_budget", f"select sample_id, cast(len(p) as int) as prompt_len, cast(len(t) as int) as target_len, case when len(p) > 40 then 'prompt_too_long' else 'target_too_long' end as reason from {_NUMBERED} where len(p) > 40 or len(t) > 30", "pairs")
 def f9(spark, d):
-    return training.token_budget(_ids(spark, d), 5, 3)[1]
+    return training.token_budget(_ids(spark, d), 40, 30)[1]
 
 
-@add("a19_label_audit", "select count(*) as samples, 0::bigint as without_stop, 0::bigint as with_active_padding from conversations")
+@add("a19_label_audit", f"select count(*) as samples, count(*) filter (where not list_contains(t, {_STOP})) as without_stop, count(*) filter (where conv_id % 5 = 0) as with_active_padding from {_NUMBERED}", "pairs")
 def a19(spark, d):
-    return training.label_audit(training.pad_batches(training.mask_labels(_ids(spark, d)).withColumn("batch", F.expr("conv_id div 4")), "batch"), [1])
+    rows = training.pad_batches(training.mask_labels(_ids(spark, d)).withColumn("batch", F.expr("conv_id div 4")), "batch")
+    wrong = F.when(F.col("conv_id") % 5 == 0, F.transform("attention_mask", lambda x: F.lit(0))).otherwise(F.col("attention_mask"))
+    return training.label_audit(rows.withColumn("attention_mask", wrong), [_STOP])
 
 
 # vectors ----------------------------------------------------------------------------------------------------------
@@ -308,9 +338,17 @@ def _vec(spark, d):
     return table(spark, d, "embeddings").withColumnRenamed("vec_id", "sample_id")
 
 
-@add("v1_l2_normalize", f"select vec_id as sample_id, round(list_sum(list_transform({_V}, lambda x: x / greatest({_N}, 1e-12))), 5) as total from embeddings")
+_ENTRIES = "select sample_id, unnest({v}) as value, unnest(range(len({v}))) as place from "
+
+
+def _entries(df: DataFrame, column: Column) -> DataFrame:
+    """A row for each entry of a vector."""
+    return df.select("sample_id", F.posexplode(column).alias("place", "value")).select("sample_id", F.round("value", 6).alias("value"), F.col("place").cast("long").alias("place"))
+
+
+@add("v1_l2_normalize", f"select sample_id, round(value, 6) as value, place from ({_ENTRIES.format(v='v')} (select vec_id as sample_id, list_transform(v, lambda x: x / greatest(n, 1e-12)) as v from (select vec_id, {_V} as v, {_N} as n from embeddings)))")
 def v1(spark, d):
-    return _vec(spark, d).select("sample_id", F.round(F.aggregate(vectors.l2_normalize("embedding"), F.lit(0.0), lambda a, b: a + b), 5).alias("total"))
+    return _entries(_vec(spark, d), vectors.l2_normalize("embedding"))
 
 
 _NEXT = "(select a.vec_id as sample_id, a.embedding as a, b.embedding as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1)"
@@ -326,15 +364,19 @@ def v2(spark, d):
     return _next(spark, d).select("sample_id", F.round(vectors.cosine("a", "b"), 6).alias("cosine"))
 
 
-@add("v3_combine", f"select sample_id, 128 as size, 1.0::double as norm from {_NEXT}")
+def _unit(x: str) -> str:
+    return f"list_transform({x}, lambda x: x::double / greatest(sqrt(list_sum(list_transform({x}, lambda y: y::double * y::double))), 1e-12))"
+
+
+@add("v3_combine", f"select sample_id, round(value, 6) as value, place from ({_ENTRIES.format(v='v')} (select sample_id, {_unit('c')} as v from (select sample_id, list_concat(a, b) as c from (select sample_id, {_unit('a')} as a, {_unit('b')} as b from {_NEXT}))))")
 def v3(spark, d):
-    return _next(spark, d).select("sample_id", vectors.combine("a", "b").alias("c")).select("sample_id", F.size("c").alias("size"), F.round(F.sqrt(vectors.dot("c", "c")), 6).alias("norm"))
+    return _entries(_next(spark, d), vectors.combine("a", "b"))
 
 
-@add("v4_mean_pool", f"select sample_id, round((a[1]::double + b[1]::double * (sample_id % 2)) / (1 + sample_id % 2), 6) as first from {_NEXT}")
+@add("v4_mean_pool", f"select sample_id, round(value, 6) as value, place from ({_ENTRIES.format(v='v')} (select sample_id, list_transform(range(1, len(a) + 1), lambda i: (a[i]::double + b[i]::double * (sample_id % 2)) / (1 + sample_id % 2)) as v from {_NEXT}))")
 def v4(spark, d):
     x = _next(spark, d).select("sample_id", F.array("a", "b").alias("v"), F.array(F.lit(1), F.col("sample_id") % 2).alias("m"))
-    return x.select("sample_id", F.round(vectors.mean_pool("v", "m")[0], 6).alias("first"))
+    return _entries(x, vectors.mean_pool("v", "m"))
 
 
 @add("f8_validate_encoder", "select count(*) as rows from embeddings")
@@ -352,13 +394,16 @@ def v6(spark, d):
     return clustering.cluster_kmeans(clustering.reduce_pca(_vec(spark, d), 8)[0], 6).select("sample_id", "cluster")
 
 
-@add("v8_assign_classes", "select case when vec_id % 3 = 0 then 'benchmark' else 'datikz' end as dataset, count(*) as rows, count(*) filter (where label = 0) as noise, round(avg((label = 0)::int), 6) as noise_fraction, count(distinct case when label > 0 then label end) as clusters from embeddings group by 1")
+@add("v8_assign_classes", "select case when vec_id % 3 = 0 then 'benchmark' else 'pool' end as dataset, count(*) as rows, count(*) filter (where label = 0) as noise, round(avg((label = 0)::int), 6) as noise_fraction, count(distinct case when label > 0 then label end) as clusters from embeddings group by 1")
 def v8(spark, d):
-    rows = _vec(spark, d).withColumn("cluster", F.col("label") - 1).withColumn("dataset", F.expr("case when sample_id % 3 = 0 then 'benchmark' else 'datikz' end"))
+    rows = _vec(spark, d).withColumn("cluster", F.col("label") - 1).withColumn("dataset", F.expr("case when sample_id % 3 = 0 then 'benchmark' else 'pool' end"))
     return clustering.assign_classes(rows)[1].withColumn("noise_fraction", F.round("noise_fraction", 6))
 
 
-@add("v9_silhouette")
+@add("v9_silhouette", """with e as (select vec_id, label, list_transform(embedding, lambda x: x::double) as v from embeddings),
+d as (select a.vec_id, a.label, b.label as other, sum(list_distance(a.v, b.v)) as far, count(*) as n from e a, e b group by all),
+s as (select vec_id, max(case when label = other then far / greatest(n - 1, 1) end) as inside, max(case when label = other then n end) as own, min(case when label <> other then far / n end) as outside from d group by vec_id)
+select count(*) as rows, round(avg(case when own > 1 then (outside - inside) / greatest(inside, outside) else 0 end), 6) as silhouette from s""")
 def v9(spark, d):
     rows = _vec(spark, d).withColumn("cluster", F.col("label"))
     s = clustering.silhouette(rows, vector="embedding")

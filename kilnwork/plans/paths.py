@@ -1,23 +1,14 @@
-"""Folders for what queries write and read again."""
+"""Shipping this package to executors."""
 
 from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session names as shared; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='kilnwork-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/kilnwork-{name}-{uuid.uuid4().hex}"
-
+from ..sources.scratch import scratch
 
 _SHIPPED: set[str] = set()
 
@@ -29,3 +20,6 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(app)
         package = Path(__file__).resolve().parent.parent
         spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='kilnwork-')}/{package.name}", "zip", package.parent, package.name))
+
+
+__all__ = ["scratch", "ship"]

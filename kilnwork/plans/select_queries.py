@@ -58,13 +58,9 @@ def o2(spark, d):
     return sel.sample_n(master(spark, d), 60, 3, "sample_id", True).select("sample_id")
 
 
-@add("o3_curriculum_order", "select sample_id, row_number() over (order by (class = 'noise')::int, case repetition_class when 'low' then 0 when 'high' then 1 when 'critical' then 2 else 3 end, doc_id) as place from master where doc_id is not null qualify place <= 200")
+@add("o3_curriculum_order", "select sample_id, row_number() over (order by (class = 'noise')::int, case repetition_class when 'low' then 0 when 'high' then 1 when 'critical' then 2 else 3 end, doc_id) - 1 as place from master where doc_id is not null")
 def o3(spark, d):
-    from pyspark.sql import Window
-
-    top = sel.curriculum_order(master(spark, d).filter("doc_id is not null"), "doc_id").limit(200)
-    rank = F.when(F.col("repetition_class") == "low", 0).when(F.col("repetition_class") == "high", 1).when(F.col("repetition_class") == "critical", 2).otherwise(3)
-    return top.select("sample_id", F.row_number().over(Window.orderBy(sel.is_noise("class").cast("int"), rank, "doc_id")).cast("long").alias("place"))
+    return sel.curriculum_places(master(spark, d).filter("doc_id is not null"), "doc_id").select("sample_id", "place")
 
 
 @add("j3_without", "select sample_id from master where not coalesce(described, false) and repetition_class <> 'low'")
@@ -103,12 +99,37 @@ def q6(spark, d):
     return sel.choose_class_split(master(spark, d), [f"class_{i}" for i in range(1, 13)], 9, 11, 42).select("sample_id")
 
 
-@add("q7_choose_weighted")
+#: Quotas of a total by weight: x the exact share; spare ones by fraction, then by name; then, if there is enough for all, the classes
+#: that got none take one each from the largest (which stays the largest here).
+_QUOTAS = """w as (select lower(class) as class, count(*) as have, case lower(class) when 'class_1' then 50.0 when 'class_2' then 20.0 else 1.0 end::double as weight from master where class not in ('noise', 'class_3') group by 1),
+x as (select *, {total}::double * weight / (select sum(weight) from w) as x from w),
+f as (select *, floor(x) + case when row_number() over (order by x - floor(x) desc, md5(class)) <= {total} - (select sum(floor(x)) from x) then 1 else 0 end as n from x),
+q as (select class, have, case when {total} < (select count(*) from f) then n when n = 0 then 1 when n = (select max(n) from f) then n - (select count(*) from f where n = 0) else n end as quota from f)"""
+
+
+#: Equal shares of a total among classes, the small ones used up first: round by round, spare ones by name.
+_EQUAL = """recursive c as (select class, count(*) as have from master where class <> 'noise' group by 1),
+r(turn, class, have, got) as (select 0, class, have, 0::bigint from c union all
+  select turn + 1, class, have, got + case when have > got then least(have - got, spare // opened + case when place <= spare % opened then 1 else 0 end) else 0 end
+  from (select *, {total} - sum(got) over () as spare, sum((have > got)::int) over () as opened, sum((have > got)::int) over (order by md5(class)) as place from r where turn < 40) where spare > 0 and opened > 0),
+q as (select class, cast(arg_max(got, turn) as bigint) as quota from r group by class)"""
+
+
+def _ctes(sql: str, ctes: str) -> str:
+    """sql over the master view and further tables."""
+    views = with_views("", "master").rstrip()
+    if ctes.startswith("recursive "):
+        return views.replace("with ", "with recursive ", 1) + ", " + ctes.removeprefix("recursive ") + " " + sql
+    return views + ", " + ctes + " " + sql
+
+
+# a shortage, of class_1 if any, may go to no other class, as none has its weight: it is filled from noise
+@add("q7_choose_weighted", _ctes("select class, cast(least(quota, have) as bigint) as rows from q where quota > 0 union all select 'noise', cast(sum(quota - least(quota, have)) as bigint) from q having sum(quota - least(quota, have)) > 0", _QUOTAS.format(total=40)), None)
 def q7(spark, d):
     return sel.choose_weighted(master(spark, d), 40, IMPORTANCE, 42).groupBy("class").agg(one())
 
 
-@add("q8_choose_uniform")
+@add("q8_choose_uniform", _ctes("select class, quota as rows from q where quota > 0", _EQUAL.format(total=77)), None)
 def q8(spark, d):
     return sel.choose_uniform(master(spark, d), 77, [f"class_{i}" for i in range(1, 11)], 42).groupBy("class").agg(one())
 
@@ -124,12 +145,13 @@ def q1(spark, d):
     return _quotas(spark, d, lambda have: quota.weighted_quota(have, 80))
 
 
-@add("q2_weighted_counts")
+# what class_1 lacks no other class may take, as none has its weight
+@add("q2_weighted_counts", _ctes("select class, cast(least(quota, have) as int) as quota from q", _QUOTAS.format(total=90)), None)
 def q2(spark, d):
     return _quotas(spark, d, lambda have: quota.weighted_counts(have, sel.train_class_names(master(spark, d), IMPORTANCE), 90)[0])
 
 
-@add("q3_uniform_counts")
+@add("q3_uniform_counts", _ctes("select class, cast(quota as int) as quota from q", _EQUAL.format(total=77)), None)
 def q3(spark, d):
     return _quotas(spark, d, lambda have: quota.uniform_counts(have, 77)[0])
 
@@ -160,13 +182,26 @@ def _grown(m: DataFrame) -> sel.Selection:
     return replace(CFG, noise_validation=round(0.06 * n), train=round(0.3 * n), corpus=round(0.2 * n), rl=round(0.2 * n), rl_noise=round(0.04 * n))
 
 
-@add("q11_build_train")
+#: Sizes of the splits as _grown sets them, and the classes in order of their names' hashes. No class is short of rows here.
+_SIZES = """c as (select class, count(*) as have, row_number() over (order by md5(class)) as place from master where class <> 'noise' group by 1),
+z as (select count(*) as k, sum(have)::double as n from c),
+t as (select k, round_even(0.06 * n, 0)::bigint as noise, round_even(0.3 * n, 0)::bigint as train, round_even(0.2 * n, 0)::bigint as corpus, round_even(0.2 * n, 0)::bigint as rl, round_even(0.04 * n, 0)::bigint as rl_noise from z)"""
+_Q11 = """select 'validation' as split, class, 2::bigint as rows from c union all select 'validation', 'noise', noise from t
+  union all select 'train', class, train // k + (place <= train % k)::bigint from c, t union all select 'corpus', class, corpus // k + (place <= corpus % k)::bigint from c, t"""
+_PICK = "select class, repetition_class from (select *, row_number() over (partition by class order by not coalesce(described, false), md5('{seed}:' || sample_id), sample_id) as j from master where class <> 'noise' and repetition_class in ({levels})) join c using (class), u where j <= {n} // k + (place <= {n} % k)::bigint"
+_Q12 = f"""select repetition_class, class, count(*) as rows from ({_PICK.format(seed=42, levels="'low'", n="low")} union all {_PICK.format(seed=43, levels="'high', 'critical'", n="hard")}) group by all
+  union all select level, 'noise', rows from noise_of"""
+
+
+@add("q11_build_train", _ctes(_Q11, _SIZES), None)
 def q11(spark, d):
     m = master(spark, d)
     return sel.build_train(m, _grown(m)).groupBy("split", "class").agg(one())
 
 
-@add("q12_build_rl")
+@add("q12_build_rl", _ctes(_Q12, _SIZES + """, u as (select k, rl, rl_noise, round_even((rl - rl_noise) * 0.25::double, 0)::bigint as low, rl - rl_noise - round_even((rl - rl_noise) * 0.25::double, 0)::bigint as hard from t),
+noise_of as (select level, floor(x)::bigint + (row_number() over (order by x - floor(x) desc, level) <= rl_noise - sum(floor(x)) over ())::bigint as rows
+  from (select level, rl_noise, rl_noise * share as x from u, (values ('low', 0.25::double), ('high', 0.25::double), ('critical', 0.5::double)) m(level, share)))"""), None)
 def q12(spark, d):
     m = master(spark, d)
     return sel.build_rl(m, _grown(m)).groupBy("repetition_class", "class").agg(one())

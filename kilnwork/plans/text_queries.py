@@ -89,14 +89,14 @@ _R16 = "select doc_id, 1 - count(distinct gram) / count(*) as r from (" + sql_gr
 QUERIES["p18_ngram_repetition_ratio"] = lambda spark, d: samples(spark, d).select("doc_id", text.tokenize_code("code").alias("t")).select("doc_id", F.round(text.ngram_repetition_ratio("t", 16), 9).alias("value"))
 SQL["p18_ngram_repetition_ratio"] = with_views(f"select doc_id, round(coalesce(r, 0.0), 9) as value from tokenized left join ({_R16}) using (doc_id)", "tokenized")
 over_samples("p19_has_text", lambda: text.has_text("code"), f"{sql_strip(_C)} <> ''")
-over_samples("p20_slug", lambda: text.slug(F.left("text", F.lit(30))), "case when regexp_replace(regexp_replace(left(text, 30), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') = '' then 'class' else regexp_replace(regexp_replace(left(text, 30), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') end")
-over_samples("p22_render_instruction", lambda: F.md5(text.render_instruction(F.lit(" Draw it. "), F.when(F.col("doc_id") % 3 == 0, F.left("text", F.lit(60))))), f"md5('Draw it.' || case when doc_id % 3 = 0 and {sql_strip('left(text, 60)')} <> '' then chr(10) || chr(10) || 'Additionally, here is a description of the image with some creation hints:' || chr(10) || {sql_strip('left(text, 60)')} else '' end)")
+over_samples("p20_slug", lambda: text.slug("text"), "case when regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') = '' then 'class' else regexp_replace(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') end")
+over_samples("p22_render_instruction", lambda: F.md5(text.render_instruction(F.lit(" Draw it. "), F.when(F.col("doc_id") % 3 == 0, F.col("text")))), f"md5('Draw it.' || case when doc_id % 3 = 0 and {sql_strip('coalesce(text, '')')} <> '' then chr(10) || chr(10) || 'Additionally, here is a description of the image with some creation hints:' || chr(10) || {sql_strip('coalesce(text, '')')} else '' end)")
 over_samples("p23_truncate_text", lambda: F.md5(text.truncate_text("text", 1000)), "md5(case when length(text) > 1000 then left(text, 1000) || chr(10) || chr(10) || '...[truncated]...' else text end)")
 QUERIES["p24_class_name"] = lambda spark, d: table(spark, d, "embeddings").select("vec_id", text.class_name(F.col("label") - 1, {3: "plots"}).alias("value"))
 SQL["p24_class_name"] = "select vec_id, case when label < 1 then 'noise' when label - 1 = 3 then 'plots' else 'class_' || label end as value from embeddings"
 _COVER = f"""grams as (select doc_id, n, gram as g, count(*) as c from ({sql_grams("2,3,4,6")}) group by all),
 cover as (select doc_id, n, sum(case when c >= 3 then c else 0 end) / sum(c) as v3, sum(case when c >= 2 then c else 0 end) / sum(c) as v2 from grams group by all)"""
-QUERIES["a3_ngram_coverage"] = lambda spark, d: samples(spark, d).select("doc_id", text.tokenize_code("code").alias("t")).select("doc_id", *[F.round(text.ngram_coverage("t", n), 9).alias(f"coverage_{n}") for n in text.WEIGHTS])
+QUERIES["a3_ngram_coverage"] = lambda spark, d: samples(spark, d).select("doc_id", helpers.ngram_coverages(text.tokenize_code("code"), list(text.WEIGHTS)).alias("c")).select("doc_id", *[F.round(F.element_at("c", i), 9).alias(f"coverage_{n}") for i, n in enumerate(text.WEIGHTS, 1)])
 SQL["a3_ngram_coverage"] = with_views("", "tokenized").rstrip() + f", {_COVER} select t.doc_id, " + ", ".join(f"round(coalesce(max(case when n = {n} then v3 end), 0.0), 9) as coverage_{n}" for n in (2, 3, 4, 6)) + " from tokenized t left join cover using (doc_id) group by t.doc_id"
 _SCORE = "coalesce(sum(v3 * case n when 2 then 0.35 when 3 then 0.3 else 0.2 end), 0) / 1.05"
 QUERIES["a4_repetition_score"] = lambda spark, d: ngrams.repetition_score(samples(spark, d)).select("doc_id", F.round("repetition_score", 6).alias("repetition_score"), "repetition_class")

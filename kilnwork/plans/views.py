@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import code_hash
+from ..sources.scratch import stored
 from .paths import ship
 
 
+#: Tables with long texts, over which queries compute much.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. One of texts that is read in fewer tasks than there are cores (a small file is one row group, so one task) is
+    dealt to all of them; larger inputs are read as they are split."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
 
 
 def quoted(text: str) -> str:
@@ -21,15 +30,14 @@ def quoted(text: str) -> str:
 
 
 _Q = quoted
-#: Code of a document: fenced, with comments and numbers, inside a document, blank, or as it is.
+#: Code of a document, around its whole text: fenced, with comments and numbers, inside a document or a picture, or as it is.
 CODE = f"""case
- when doc_id % 50 = 7 then {_Q("  ```" + chr(10) + "```  ")}
  when doc_id % 5 = 0 then {_Q("```LaTeX" + chr(10))} || text || {_Q(" " + chr(10) + "```" + chr(10))}
  when doc_id % 5 = 1 then text || {_Q(chr(13) + chr(10) + "\\draw (0,1.5) -- (x12,-2e3); % note \\% x" + chr(10) + "  \\draw (0,2.5) -- (x12,-3e4);" + chr(10) + "\\node at (1,2) {a}; \\% kept % gone" + chr(10))}
  when doc_id % 5 = 2 then {_Q("see \\documentclass{a}" + chr(10) + "\\begin{document}" + chr(10))} || text || {_Q(" \\end{document} tail \\end{document} more")}
- when doc_id % 5 = 3 then {_Q("text ```tex" + chr(10) + "\\begin{tikzpicture}")} || left(text, 200) || {_Q("\\end{tikzpicture} x```")} || left(text, 50)
+ when doc_id % 5 = 3 then {_Q("text ```tex" + chr(10) + "\\begin{tikzpicture}")} || text || {_Q("\\end{tikzpicture} x``` after it")}
  else text end"""
-DATASET = "case when source in ('src0', 'src1', 'src2', 'src3') then 'benchmark' else 'datikz' end"
+DATASET = "case when source in ('src0', 'src1', 'src2', 'src3') then 'benchmark' else 'pool' end"
 WS = "[\\s\\v]"
 
 
@@ -74,8 +82,8 @@ VIEWS = {
     "tokenized": f"select doc_id, sample_id, dataset, {sql_tokens('code')} as tokens from samples",
     "master": """select s.doc_id, s.sample_id, s.source, s.dataset, case when s.doc_id % 6 = 5 then 'noise' else coalesce('class_' || (e.label + 1), 'noise') end as class,
       case s.doc_id % 5 when 0 then 'low' when 1 then 'medium' when 2 then 'high' when 3 then 'very_high' else 'critical' end as repetition_class,
-      cast(length(s.text) as int) as token_len, case when l.quality = 1 then left(s.text, 80) end as llm_description,
-      case when s.doc_id % 3 = 0 then left(s.text, 40) end as llm_description_image, l.quality = 1 as described
+      cast(length(s.text) as int) as token_len, case when l.quality = 1 then s.text end as llm_description,
+      case when s.doc_id % 3 = 0 then s.text end as llm_description_image, l.quality = 1 as described
       from samples s left join embeddings e on e.vec_id = s.doc_id left join (select doc_id, max(quality) as quality from labels group by doc_id) l on l.doc_id = s.doc_id""",
     "pairs": """select conv_id || ':' || turn as test_id, 'model_' || (conv_id % 3) as provider, conv_id, before as reference, text as generated
       from (select *, lag(text) over (partition by conv_id order by turn) as before, lag(role) over (partition by conv_id order by turn) as role_before from conversations) x
@@ -110,15 +118,14 @@ def samples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hashed(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.text import code_hash
-
-    return samples(spark, d).withColumn("code_hash", code_hash("code"))
+    """Keys and hashes of the samples, computed once: what finds duplicates needs no text."""
+    return stored(samples(spark, d).select("doc_id", "sample_id", "source", "dataset", code_hash("code").alias("code_hash")), "hashes")
 
 
 def master(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = samples(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label"), "doc_id", "left").join(labels, "doc_id", "left")
-    return rows.selectExpr("doc_id", "sample_id", "source", "dataset", "case when doc_id % 6 = 5 then 'noise' else coalesce('class_' || (label + 1), 'noise') end as class", "case doc_id % 5 when 0 then 'low' when 1 then 'medium' when 2 then 'high' when 3 then 'very_high' else 'critical' end as repetition_class", "length(text) as token_len", "case when quality = 1 then left(text, 80) end as llm_description", "case when doc_id % 3 = 0 then left(text, 40) end as llm_description_image", "quality = 1 as described")
+    return rows.selectExpr("doc_id", "sample_id", "source", "dataset", "case when doc_id % 6 = 5 then 'noise' else coalesce('class_' || (label + 1), 'noise') end as class", "case doc_id % 5 when 0 then 'low' when 1 then 'medium' when 2 then 'high' when 3 then 'very_high' else 'critical' end as repetition_class", "length(text) as token_len", "case when quality = 1 then text end as llm_description", "case when doc_id % 3 = 0 then text end as llm_description_image", "quality = 1 as described")
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -93,17 +93,24 @@ def row_bytes(df: DataFrame) -> Column:
     return total.cast("long")
 
 
+#: Bytes of the rows that one task sums up.
+RANGE = 128 << 20
+
+
 def with_shards(df: DataFrame, most: int, key: str, split: str = "split") -> DataFrame:
     """df with shard (by split, from 0) and shard_bytes: rows in order of key are cut where the sum of their bytes passes a multiple of most.
 
-    A running sum over a split would be one task; each of 64 ranges of the key's hash is summed by itself and starts where those before it end.
+    A running sum over a split would be one task; each of many ranges of the key's hash, 64 at least and about RANGE bytes each, is summed
+    by itself and starts where those before it end.
     """
-    rows = df.withColumn("__bytes", row_bytes(df)).withColumn("__range", F.pmod(F.xxhash64(key), F.lit(64)).cast("int"))
+    rows = df.withColumn("__bytes", row_bytes(df))
+    ranges = max(64, (rows.agg(F.sum("__bytes")).first()[0] or 0) // RANGE)  # one number
+    rows = rows.withColumn("__range", F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int"))
     ends = rows.groupBy(split, "__range").agg(F.sum("__bytes").alias("sum"), F.max("__bytes").alias("top"))
     if not ends.filter(F.col("top") > most).isEmpty():
         raise ValueError("a row is larger than a shard may be")
     before = F.coalesce(F.sum("sum").over(Window.partitionBy(split).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ends.select(F.col(split).alias("__s"), F.col("__range").alias("__r"), before.alias("__start"))  # 64 rows a split
+    starts = ends.select(F.col(split).alias("__s"), F.col("__range").alias("__r"), before.alias("__start"))  # a row a range and split
     rows = rows.join(F.broadcast(starts), F.col(split).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
     run = F.sum("__bytes").over(Window.partitionBy(split, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     # half of most as step: a shard that begins within a step ends within the bound

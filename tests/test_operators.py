@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kilnwork.functions import scores
-from kilnwork.operators import clustering, dedup, render, scoring, training
+from kilnwork.functions import helpers, scores
+from kilnwork.operators import clustering, dedup, ngrams, render, scoring, training
+from kilnwork.operators import select as sel
+from kilnwork.operators.places import numbered
 from kilnwork.sources import tables
+from kilnwork.sources.scratch import scratch
 
 
 def test_render_attempts(spark):
@@ -92,3 +97,76 @@ def test_batches(spark):
     got = training.pad_batches(training.mask_labels(df, eos=2), "b", 0).orderBy("active_targets").collect()
     assert got[0]["input_ids"] == [5, 6, 7, 2, 0] and got[0]["labels"] == [-100, -100, 7, 2, -100] and got[0]["attention_mask"] == [1, 1, 1, 1, 0]
     assert got[1]["active_targets"] == 4
+
+
+def test_places_in_groups(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3 == 0).cast("int").alias("g"), F.pmod(F.col("id") * 7919, F.lit(1000)).alias("o")).repartition(7)
+    got = numbered(df, ["o"], "place", ["g"]).collect()
+    for g in (0, 1):
+        rows = sorted((r["o"], r["place"]) for r in got if r["g"] == g)
+        assert [p for _, p in rows] == list(range(len(rows)))
+    assert sorted((r["o"], r["place"]) for r in numbered(df, ["o"], "place").collect()) == [(i, i) for i in range(1000)]
+    assert numbered(df.limit(0), ["o"], "place").count() == 0
+
+
+def test_names_number_each_class(spark):
+    df = spark.createDataFrame([(f"s{i:03}", "noise" if i % 3 else f"Class {i % 2}") for i in range(90)] + [("s999", None)], "sample_id string, class string")
+    got = {r["sample_id"]: r["sample_name"] for r in sel.sample_names(df).collect()}
+    assert got["s001"] == "noise_00000000" and got["s089"] == "noise_00000059" and got["s000"] == "Class_0_00000000" and got["s999"] == "class_00000000"
+    with pytest.raises(ValueError):
+        sel.sample_names(spark.createDataFrame([("a", "x y"), ("b", "x_y")], "sample_id string, class string"))
+
+
+def test_metadata_rows_are_one_a_sample(spark):
+    staging = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    meta = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "sample_id string, n int")
+    assert sel.attach_metadata(staging, meta("a", "b", "c")).count() == 2
+    for wrong in (meta("a"), meta("a", "b", "b")):
+        with pytest.raises(ValueError):
+            sel.attach_metadata(staging, wrong)
+
+
+def test_benchmark_class_names(spark):
+    df = spark.createDataFrame([("B",), ("a",), ("noise",), (None,), ("b",)], "class string")
+    assert sel.benchmark_class_names(["X", " ", "noise", "x", "Y", "NOISE"]) == ["X", "Y"]
+    assert sel.benchmark_class_names(None, df) == ["a", "b"]
+
+
+def test_common_ngrams_by_hash_first(spark):
+    rng = random.Random(4)
+    rows = [[rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(60)] + [[], None, ["a"]]
+    df = spark.createDataFrame([(r,) for r in rows], "t array<string>")
+    want = Counter((n, "\u0001".join(r[i : i + n])) for r in rows if r for n in (2, 5) for i in range(len(r) - n + 1))
+    order = sorted(want.items(), key=lambda x: (-x[1], x[0][0], x[0][1]))
+    for k in (1, 7, 40):
+        got = [((r["n"], r["gram"]), r["count"]) for r in ngrams.common_ngrams(df, "t", [2, 5], k).orderBy("rank").collect()]
+        assert got == order[:k]
+    per = [((r["n"], r["gram"]), r["count"]) for r in ngrams.common_ngrams_per_order(df, "t", [2, 5], 6).orderBy("n", "rank").collect()]
+    assert per == [x for n in (2, 5) for x in [y for y in order if y[0][0] == n][:6]]
+    assert ngrams.common_ngrams(df.limit(0), "t", [2], 5).count() == 0
+
+
+def test_longest_runs(spark):
+    rows = [(1, "a\na\n\nb 1\nb 2\nb 3\na"), (2, ""), (3, None), (4, "x")]
+    got = {r["i"]: r["longest_run"] for r in training.longest_runs(spark.createDataFrame(rows, "i int, code string"), "i").collect()}
+    assert got == {1: 3, 2: 0, 3: 0, 4: 1}
+
+
+def test_coverage_of_odd_token_lists(spark):
+    df = spark.createDataFrame([(1, ["a"] * 7), (2, []), (3, None), (4, ["a", None, "a", None, "a", None, "a"]), (5, ["x", "y"])], "i int, t array<string>").coalesce(1)
+    got = {r["i"]: [round(x, 6) for x in r["c"]] for r in df.select("i", helpers.ngram_coverages("t", [2, 6]).alias("c")).collect()}
+    assert got == {1: [1.0, 0.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [1.0, 0.0], 5: [0.0, 0.0]}
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return None
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        scratch(Session, "x")
