@@ -6,7 +6,7 @@ the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilnwork.llm import bpe, minhash, mixing, quality, queries, secrets
@@ -21,10 +21,16 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays; of rows repeated whole, one."""
+    """Of each group of near-duplicates, the document with the smallest id stays.
+
+    Ids stay or go as a whole: of rows with one id and different texts all stay if one does. Of rows with one id and one text, null ids
+    included, one stays, the first by its other columns. Null, empty and blank texts are near-duplicates of nothing.
+    """
     kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id is null"))
+    first = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    order = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.col("doc_id")]
+    place = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()).orderBy(*order))
+    return first.withColumn("__place", place).filter("__place = 1").drop("__place")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +42,12 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in the shares of their target weights: those that are over early start again, no document is left out.
 
-    Rows are sorted over the whole table, so the order of the files and of the rows in them is the mix.
+    Rows are sorted over the whole table, so the order of the files and of the rows in them is the mix. Columns of docs with the
+    names of the mix's own are kept as they are.
     """
-    return mixing.mix(docs).orderBy("mix_pos").select(*docs.columns)
+    own = [c for c in docs.columns if c in ("mix_pos", "mix_epoch", "mix_share")]
+    mix = mixing.mix(docs.withColumnsRenamed({c: f"{c} of docs" for c in own})).orderBy("mix_pos")
+    return mix.drop("mix_pos", "mix_epoch", "mix_share").withColumnsRenamed({f"{c} of docs": c for c in own}).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
