@@ -376,5 +376,14 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     return with_chunks(store.chunks, [store.copies, late]).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-#: For DuckDB: an integer for each byte of the text would be too slow on whole tables; on a small fixture see the tests.
-SQL: str | None = None
+#: The same for DuckDB, by definition: every 50-byte string, in hexadecimal, with the smallest id it starts in.
+SQL = f"""with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, i, substr(h, 2 * i + 1, {2 * LENGTH}) as s from (select doc_id, h, unnest(range(n - {LENGTH - 1})) as i from d where n >= {LENGTH})),
+f as (select s, min(doc_id) as least from w group by s having min(doc_id) < max(doc_id)),
+late as (select distinct w.doc_id, w.i from w join f using (s) where w.doc_id > f.least),
+runs as (select doc_id, i, sum(new) over (partition by doc_id order by i) as g from (select *, (coalesce(i > lag(i) over (partition by doc_id order by i) + {LENGTH}, true))::int as new from late)),
+spans as (select doc_id, min(i) as a, max(i) + {LENGTH} as b from runs group by doc_id, g),
+cut as (select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, max(b) as ended, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as head
+  from (select s.*, d.h, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans s join d using (doc_id)) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(ended, 0) + 1))) as kept_sha256
+from d left join cut using (doc_id)"""

@@ -258,3 +258,13 @@ def near_duplicates(df: DataFrame, least: float = 0.95, tables: int = TABLES, po
     # a row without an id is no vector of the table: it links with nothing, whatever its embedding
     out = rows.select("id", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")).join(told, "class", "left").withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The same for DuckDB, by definition: the cosine of every two vectors, and what is reachable over the links.
+SQL = """with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings),
+ok as (select * from v where len(v) > 0 and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(v, lambda x: x * x)) > 0),
+e as (select a.vec_id as a, b.vec_id as b from ok a join ok b on len(a.v) = len(b.v) and a.vec_id <> b.vec_id where list_cosine_similarity(a.v, b.v) >= 0.95),
+n as (select a as vec_id, count(*) as n from e group by 1),
+r(id, root) as (select distinct a, a from e union select e.b, r.root from r join e on e.a = r.id),
+c as (select id as vec_id, min(root) as root from r group by 1)
+select vec_id, coalesce(n, 0) as n_links, coalesce(root, vec_id) as component_id, coalesce(root, vec_id) = vec_id as kept from embeddings left join n using (vec_id) left join c using (vec_id)"""

@@ -350,3 +350,15 @@ def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id
     named = named.join(small(second.select(F.col("id").alias("one"), F.col("root").alias("two")), 2 * more.count()), "one", "left").select("digest", F.coalesce("two", "one").alias("root"))
     out = rows.select("id", "n", "digest").join(written(named, "named"), "digest", "left").withColumn("component_id", F.coalesce("root", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+#: The same for DuckDB, by definition: sizes of intersections by a join on shingles, and what is reachable over the links.
+SQL = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') as g from (select doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by 1),
+links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y using (g) where x.doc_id < y.doc_id group by all)
+  join n p on p.doc_id = a join n q on q.doc_id = b where 100 * shared >= {PERCENT} * (p.n + q.n - shared)),
+e as (select a, b from links union all select b, a from links),
+r(id, root) as (select distinct a, a from e union select e.b, r.root from r join e on e.a = r.id),
+c as (select id as doc_id, min(root) as root from r group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(root, doc_id) as component_id, coalesce(root, doc_id) = doc_id as kept from d left join n using (doc_id) left join c using (doc_id)"""

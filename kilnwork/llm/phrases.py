@@ -355,3 +355,16 @@ def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col
 
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * kept
     return with_chunks(store.chunks, [store.copies, *found]).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+#: The same for DuckDB, by definition: every 13 words with the smallest id they start in.
+SQL = f"""with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+v as (select doc_id, i, array_to_string(w[i + 1 : i + {WINDOW}], ' ') as s from (select doc_id, w, unnest(range(len(w) - {WINDOW - 1})) as i from d where len(w) >= {WINDOW})),
+f as (select s, min(doc_id) as least from v group by s having min(doc_id) < max(doc_id)),
+late as (select distinct v.doc_id, v.i from v join f using (s) where v.doc_id > f.least),
+runs as (select doc_id, i, sum(new) over (partition by doc_id order by i) as g from (select *, (coalesce(i > lag(i) over (partition by doc_id order by i) + {WINDOW}, true))::int as new from late)),
+spans as (select doc_id, min(i) as a, max(i) + {WINDOW} as b from runs group by doc_id, g),
+cut as (select doc_id, sum(b - a)::bigint as n_removed, max(b) as ended, string_agg(nullif(array_to_string(w[before + 1 : a], ' '), ''), ' ' order by a) as head
+  from (select s.*, d.w, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from spans s join d using (doc_id)) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(concat_ws(' ', head, nullif(array_to_string(w[coalesce(ended, 0) + 1 :], ' '), ''))) as kept_sha256
+from d left join cut using (doc_id)"""

@@ -70,4 +70,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
 }
 
-SQL: dict[str, str] = {"op9_sharding": sharding.SQL}
+SQL: dict[str, str] = {
+    "op2_lattice": lattice.SQL,
+    "op6_minhash": minhash.SQL,
+    "op7_phrases": phrases.SQL,
+    "op8_doubling": doubling.SQL,
+    "op9_sharding": sharding.SQL,
+}

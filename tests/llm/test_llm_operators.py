@@ -536,3 +536,17 @@ def test_queries_run_on_tables_with_odd_rows(spark, tmp_path):
         rows = query(spark, f"file://{tmp_path}").collect()
         ids = sorted((r["vec_id" if name == "op2_lattice" else "doc_id"] for r in rows), key=lambda i: -1 if i is None else i)
         assert ids == [0, 1, 1, 2] if name != "op3_mixing" else set(ids) == {0, 1, 2}, name
+
+
+def test_sql_of_the_queries(spark):
+    """The same rows from DuckDB at the smallest size."""
+    import duckdb
+
+    data, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
+    for name, sql in queries.SQL.items():
+        got, cursor = queries.QUERIES[name](spark, data), duck.execute(sql)
+        columns = [c[0] for c in cursor.description]
+        assert sorted(columns) == sorted(got.columns), name
+        assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(cursor.fetchall(), key=repr), name

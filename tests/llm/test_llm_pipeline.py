@@ -50,3 +50,29 @@ def test_the_files_of_the_mixing_stage_are_in_the_order_of_the_mix(spark, tmp_pa
     for s, n in (("a", 3600), ("b", 1800), ("c", 600)):
         seen = np.cumsum([r["source"] == s for r in got])
         assert np.abs(seen - n**mixing.POWER / total * np.arange(1, len(seen) + 1)).max() < 2 * mixing.BLOCK
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, score double, shard int, size int, mix_pos int, component_id int"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, an empty table, columns with the operators' own names."""
+    extra = ("k", 0.5, 1, 2, 3, 4)
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, "one two three four five six seven", "en", "a", 33), (1, "one two three four five six seven", "en", "a", 33), (1, "another text of the same id", "en", "a", 27)]
+    rows += [(None, "one two three four five six seven", "en", "a", 33), (None, "one two three four five six seven", "en", "a", 33), (2, None, None, None, None), (3, "", "en", None, 0)]
+    rows += [(4, long, "en", "b", len(long)), (5, "password = hunter2hunter2", "en", "b", 25), (5, "password = hunter2hunter2", "en", "c", 25)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], ODD).repartition(3)
+    spark.createDataFrame([(4, 1, 0), (1, 1, 0), (3, 0, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    data = f"file://{tmp_path}"
+    for d in (docs, docs.limit(0)):
+        for name, stage in pipeline.STAGES:
+            out = written(stage(spark, d, data), name.replace(" ", "-"))
+            assert name == "bpe" or out.columns == d.columns, name
+            assert (out.count() > 0) == (d.count() > 0) or name == "quality", name
+    kept = sorted(((r["doc_id"], r["text"], r["source"]) for r in pipeline.single(spark, docs, data).collect()), key=repr)
+    assert kept == sorted([(1, rows[0][1], "a"), (1, rows[2][1], "a"), (None, rows[0][1], "a"), (2, None, None), (3, "", None), (4, long, "b"), (5, rows[8][1], "b")], key=repr)
+    clean = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pipeline.clean(spark, docs, data).collect()}
+    assert clean[5] == ("<assign>", 8) and clean[2] == (None, None) and clean[3] == ("", 0)
+    mixed = pipeline.mixed(spark, docs, data).collect()
+    assert {(r["doc_id"], r["text"], r["mix_pos"]) for r in mixed} == {(r[0], r[1], 3) for r in rows}
