@@ -261,9 +261,10 @@ def _anchors(chunks: DataFrame, kind: Kind, shards: int) -> DataFrame:
                 grams, _, at = chunk.anchors(chunk.inside(np.zeros(len(chunk.ids), bool)))
                 order = np.argsort(grams[at], kind="stable")  # documents of equal anchors stay in order
                 values, owner = (grams[at] >> low)[order], chunk.document(at)[order]
-                heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(at) else order
-                tails = np.append(heads[1:], len(at)) - 1
-                values = np.repeat(values[heads], 1 + (owner[heads] != owner[tails]))
+                if len(at):
+                    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+                    tails = np.append(heads[1:], len(at)) - 1
+                    values = np.repeat(values[heads], 1 + (owner[heads] != owner[tails]))
                 full, cuts = dealt(values << low, shards)
                 yield packets(number, full.tolist(), [values[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in full])
 
