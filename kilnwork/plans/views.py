@@ -15,11 +15,11 @@ TEXTS = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One of texts that is read in fewer tasks than there are cores (a small file is one row group, so one task) is
-    dealt to all of them; larger inputs are read as they are split."""
+    """A given table. One of texts that lies in fewer files than there are cores (a small file is one row group, so one task) is
+    dealt to all of them; others are read as they are split."""
     ship(spark)
     rows, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if name in TEXTS and rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if name in TEXTS and len(rows.inputFiles()) < cores else rows
 
 
 def quoted(text: str) -> str:
