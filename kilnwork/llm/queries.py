@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.views import table
-from . import bpe, doubling, lattice, minhash, mixing, phrases, quality, secrets, sharding, syncmers
+from . import bpe, doubling, lattice, merkle, minhash, mixing, negatives, phrases, quality, secrets, sharding, syncmers, warc
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.shifted(table(spark, sf_dir, "embeddings")))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_lattice": op2_lattice,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_doubling": op8_doubling,
     "op9_sharding": op9_sharding,
     "op10_secrets": op10_secrets,
+    "op11_negatives": op11_negatives,
+    "op12_warc": op12_warc,
+    "op13_merkle": op13_merkle,
 }
 
 SQL: dict[str, str] = {
@@ -76,4 +91,7 @@ SQL: dict[str, str] = {
     "op7_phrases": phrases.SQL,
     "op8_doubling": doubling.SQL,
     "op9_sharding": sharding.SQL,
+    "op11_negatives": negatives.SQL,
+    "op12_warc": warc.SQL,
+    "op13_merkle": merkle.SQL,
 }
