@@ -71,14 +71,14 @@ def score_bounds(low: np.ndarray, high: np.ndarray, norm: np.ndarray, least: np.
 class Leaves:
     """The rows of a part by runs of neighbours: their vectors, and the intervals of their angles and norms."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, references: np.ndarray):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, references: np.ndarray, leaf: int = LEAF):
         norms = np.sqrt((vectors * vectors).sum(1))
         own = angles(vectors, norms, references)
         near = own.argmin(1) if len(references) else np.zeros(len(ids), int)
         order = np.lexsort((ids, own[np.arange(len(ids)), near], near))
         self.ids, self.labels, self.vectors = ids[order], labels[order], vectors[order]
-        starts = np.arange(0, len(ids), LEAF)
-        self.bounds = [(s, min(s + LEAF, len(ids))) for s in starts.tolist()]
+        starts = np.arange(0, len(ids), leaf)
+        self.bounds = [(s, min(s + leaf, len(ids))) for s in starts.tolist()]
         self.first, self.last = np.minimum.reduceat(own[order], starts), np.maximum.reduceat(own[order], starts)
         self.least, self.most = np.minimum.reduceat(norms[order], starts), np.maximum.reduceat(norms[order], starts)
 
@@ -94,13 +94,13 @@ class Leaves:
 class Finds:
     """The best n finds of each slot, by score, then id; floor: what a find must score to get in."""
 
-    def __init__(self, floor: np.ndarray, n: int):
-        self.floor, self.n, self.parts, self.size = floor.copy(), n, [], 0
+    def __init__(self, floor: np.ndarray, n: int, held: int = HELD):
+        self.floor, self.n, self.held, self.parts, self.size = floor.copy(), n, held, [], 0
 
     def add(self, slot: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         self.parts.append((slot, ids, score))
         self.size += len(slot)
-        if self.size > HELD:
+        if self.size > self.held:
             self.best()
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,10 +115,10 @@ class Finds:
         return self.parts[0]
 
 
-def _scored(leaves: Leaves, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, n: int) -> Finds:
+def _scored(leaves: Leaves, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray, same: bool, n: int, held: int = HELD) -> Finds:
     """For each anchor and window [low, high] (anchors x windows) the best n rows in it of the anchor's label, or of other ones."""
     windows = low.shape[1]
-    finds = Finds(low.reshape(-1), n)
+    finds = Finds(low.reshape(-1), n, held)
     lower, upper = leaves.scores(np.sqrt((vectors * vectors).sum(1)), own)
     for leaf in np.argsort(-upper.mean(0), kind="stable").tolist():
         floor = finds.floor.reshape(low.shape)
@@ -132,14 +132,15 @@ def _scored(leaves: Leaves, ids: np.ndarray, labels: np.ndarray, vectors: np.nda
         for w in range(windows):
             a, b = np.nonzero(fits & (score >= floor[active, w, None]) & (score <= high[active, w, None]))
             finds.add(active[a] * windows + w, leaves.ids[start:stop][b], score[a, b])
-        if finds.size > HELD // 4:
+        if finds.size > held // 4:
             finds.best()
     return finds
 
 
-def _compared(rows: DataFrame, anchors: DataFrame, width: int, references: np.ndarray, same: bool, n: int, low: int = 0, high: int = 0) -> DataFrame:
+def _compared(rows: DataFrame, anchors: DataFrame, width: int, references: np.ndarray, sizes: tuple[int, int, int], same: bool, n: int, low: int = 0, high: int = 0) -> DataFrame:
     """(anchor, slot, id, score): for each anchor (anchor, id, label, v, wants) the best n rows of its label, or of other labels in the
     window of each wanted score (percent low to high of it), in each part of the rows (part, id, label, v)."""
+    leaf, tile_, most_held = sizes
     parts = rows.agg(F.max("part")).first()[0]
     parts = 0 if parts is None else parts + 1
     none = F.lit(None).cast("long")
@@ -161,9 +162,9 @@ def _compared(rows: DataFrame, anchors: DataFrame, width: int, references: np.nd
                     continue
                 if not held:
                     continue
-                leaves = leaves or Leaves(*(np.concatenate(x) for x in zip(*held, strict=True)), references)
-                for t in range(0, b - a, TILE):
-                    tile = piece.slice(t, TILE)
+                leaves = leaves or Leaves(*(np.concatenate(x) for x in zip(*held, strict=True)), references, leaf)
+                for t in range(0, b - a, tile_):
+                    tile = piece.slice(t, tile_)
                     vectors = _matrix(tile["v"], width)
                     mine = angles(vectors, np.sqrt((vectors * vectors).sum(1)), references)
                     wants = tile["wants"].to_pylist()
@@ -176,7 +177,7 @@ def _compared(rows: DataFrame, anchors: DataFrame, width: int, references: np.nd
                             highs[i, : len(scores)] = [high * s // 100 for s in scores]
                     if not lows.shape[1]:
                         continue
-                    slot, ids, score = _scored(leaves, tile["id"].to_numpy(), tile["label"].to_numpy(), vectors, mine, lows, highs, same, n).best()
+                    slot, ids, score = _scored(leaves, tile["id"].to_numpy(), tile["label"].to_numpy(), vectors, mine, lows, highs, same, n, most_held).best()
                     anchor = tile["anchor"].to_numpy()[slot // lows.shape[1]]
                     yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array((slot % lows.shape[1]).astype(np.int32)), pa.array(ids), pa.array(score.astype(np.int64))], ["anchor", "slot", "id", "score"])
 
@@ -204,10 +205,12 @@ def _references(rows: DataFrame, width: int) -> np.ndarray:
 def hard_negatives(
     df: DataFrame, every: int = 50, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: float = 256.0,
     id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding",
+    leaf: int = LEAF, tile: int = TILE, held: int = HELD,
 ) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each anchor (rows whose id is divisible by every)
     and each of its positives, the best rows of its label, the best rows of other labels whose score is low to high percent of the
-    positive's. Scores are products of the vectors floor(scale * x)."""
+    positive's. Scores are products of the vectors floor(scale * x). leaf, tile and held bound
+    what a task compares and holds at once; they don't change the result."""
     spark = df.sparkSession
     own = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).alias("v"))
 
@@ -239,11 +242,11 @@ def hard_negatives(
     anchors = near.filter(F.col("id") % every == 0).select(F.monotonically_increasing_id().alias("anchor"), "id", "label", "v")
     anchors = written(anchors, "anchors")
     asked = anchors.withColumn("wants", F.array().cast("array<bigint>"))
-    found = _compared(placed, asked, width, references, True, positives)
+    found = _compared(placed, asked, width, references, (leaf, tile, held), True, positives)
     place = F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("score").desc(), "id"))
     best = written(found.withColumn("place", place).filter(F.col("place") <= positives).select("anchor", "place", "id", "score"), "positives")
     wants = best.groupBy("anchor").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "score"))), lambda x: x["score"]).alias("wants"))
-    found = _compared(placed, anchors.join(wants, "anchor"), width, references, False, negatives, low, high)
+    found = _compared(placed, anchors.join(wants, "anchor"), width, references, (leaf, tile, held), False, negatives, low, high)
     rank = F.row_number().over(Window.partitionBy("anchor", "slot").orderBy(F.col("score").desc(), "id"))
     taken = found.withColumn("rank", rank).filter(F.col("rank") <= negatives)
     taken = taken.select("anchor", (F.col("slot") + 1).alias("place"), "rank", F.col("id").alias("negative_id"), F.col("score").alias("negative_score"))

@@ -117,7 +117,8 @@ def checksum(data: bytes) -> int:
 class _Bundle:
     """One file: records are gathered into a frame, frames are written as they end, the seek table at last."""
 
-    def __init__(self, folder: str, level: int):
+    def __init__(self, folder: str, level: int, frame: int = FRAME):
+        self.most = frame
         store, path = fs.FileSystem.from_uri(folder)
         self.name = f"{folder}/pages-{uuid4().hex}.warc.zst"
         self.file = store.open_output_stream(f"{path}/{self.name.rsplit('/', 1)[1]}", compression=None)  # by its name it would be packed twice
@@ -129,7 +130,7 @@ class _Bundle:
         self.waiting.append((name, self.size, len(data)))
         self.held.append(data)
         self.size += len(data)
-        if self.size >= FRAME:
+        if self.size >= self.most:
             self.end_frame()
 
     def end_frame(self) -> None:
@@ -177,11 +178,11 @@ def responses(pages: DataFrame, key: Column, least: int = 0) -> DataFrame:
     return joined.withColumn("revisit", revisit).drop("__key", "__salt")
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, level: int = 3, date: str = DATE) -> DataFrame:
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", least: int = 0, level: int = 3, date: str = DATE, frame: int = FRAME, most: int = BUNDLE) -> DataFrame:
     """Writes a record for each page into bundles in the folder (a URI) and returns the index, a table: (record_id, bundle, frame,
     frame_offset, frame_packed, frame_size, start, length). Records of payloads of less than least bytes are all responses.
 
-    A task holds one frame and the index of one bundle. The result is computed once, by this call.
+    A task holds one frame (of frame bytes and a record at most) and the index of one bundle (of most bytes and a frame). The result is computed once, by this call.
     """
     payload = F.coalesce(F.col(text_col), F.lit(""))
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
@@ -195,9 +196,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
             data, ends = texts(batch["payload"])
             rest = [batch[c].to_pylist() for c in ("page_id", "url", "response", "revisit")]
             for i, (page, url, response, revisit) in enumerate(zip(*rest, strict=True)):
-                bundle = bundle or _Bundle(folder, level)
+                bundle = bundle or _Bundle(folder, level, frame)
                 bundle.add(*record(page, url, data[ends[i] : ends[i + 1]].tobytes(), response, revisit, date))
-                if bundle.written >= BUNDLE:
+                if bundle.written >= most:
                     yield _table(bundle.close())
                     bundle = None
         if bundle:
