@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import helpers, scores, text, vectors
-from ..operators import clustering, ngrams, scoring, training
+from ..operators import clustering, density, ngrams, scoring, training
 from .text_queries import _LINES
 from .views import attempts, pairs, quoted, samples, sql_grams, sql_strip, sql_tokens, table, trainlog, with_views
 
@@ -394,6 +394,46 @@ def v6(spark, d):
     return clustering.cluster_kmeans(clustering.reduce_pca(_vec(spark, d), 8)[0], 6).select("sample_id", "cluster")
 
 
+def _pca(spark, d):
+    return clustering.reduce_pca(_vec(spark, d), 4)[0].select("sample_id", "reduced")
+
+
+@add("v7_cluster_density")
+def v7(spark, d):
+    out = density.cluster_density(_pca(spark, d), 5, 3)
+    return out.select("sample_id", "cluster", F.round("membership_probability", 6).alias("membership_probability"))
+
+
+_FAR = "(select a.vec_id as i, b.vec_id as j, list_distance(list_transform(a.embedding, lambda x: x::double), list_transform(b.embedding, lambda x: x::double)) as d from embeddings a, embeddings b)"
+
+
+@add("v7_core_distances", f"select i as sample_id, round(max(d), 6) as core from (select i, d, row_number() over (partition by i order by d) as k from {_FAR}) where k <= 4 group by i")
+def v7_core(spark, d):
+    rows, _ = density.spanning_tree(_vec(spark, d), 4, vector="embedding")
+    return rows.select("sample_id", F.round("core", 6).alias("core"))
+
+
+#: Prim's tree grown from the first row; a step holds each row's way to the tree.
+_PRIM = f"""with recursive far as {_FAR},
+core as (select i, max(d) as core from (select i, d, row_number() over (partition by i order by d) as k from far) where k <= 4 group by i),
+ids as (select list(i order by i) as ids, count(*) as n from core),
+reach as (select i, list(greatest(d, a.core, b.core) order by j) as r from far join core a using (i) join core b on b.i = j group by i),
+ways as (select list(r order by i) as w, count(*) as n from reach),
+grown as (
+  select 0 as step, 1 as place, list_transform(range(n), lambda x: 1e300::double) as best, 0.0::double as weight from ways
+  union all
+  select step + 1, list_position(b, list_min(b)), b, weight + list_min(b) from (
+    select step, weight, list_transform(best, lambda x, y: case when x is not null and y <> place then least(x, w[place][y]) end) as b, n from grown, ways)
+  where step < n - 1)
+select cast(max(step) as bigint) as edges, round(max(weight), 6) as weight from grown"""
+
+
+@add("v7_spanning_tree", _PRIM)
+def v7_tree(spark, d):
+    _, tree = density.spanning_tree(_vec(spark, d), 4, vector="embedding")
+    return tree.agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("w"), 6).alias("weight"))
+
+
 @add("v8_assign_classes", "select case when vec_id % 3 = 0 then 'benchmark' else 'pool' end as dataset, count(*) as rows, count(*) filter (where label = 0) as noise, round(avg((label = 0)::int), 6) as noise_fraction, count(distinct case when label > 0 then label end) as clusters from embeddings group by 1")
 def v8(spark, d):
     rows = _vec(spark, d).withColumn("cluster", F.col("label") - 1).withColumn("dataset", F.expr("case when sample_id % 3 = 0 then 'benchmark' else 'pool' end"))
@@ -412,7 +452,7 @@ def v9(spark, d):
 
 @add("v10_cluster_sweep")
 def v10(spark, d):
-    return clustering.cluster_sweep(_vec(spark, d), [4, 8], 5)
+    return clustering.cluster_sweep(_vec(spark, d), [2, 4], [5, 10], 3)
 
 
 @add("o6_rank_sweep", "select label, cast(row_number() over (order by s desc, n) as int) as place from (select label, round(avg(embedding[1]), 9) as s, count(*) as n from embeddings group by 1)")
