@@ -84,8 +84,12 @@ def neutralize_labels(c: Column | str, mode: str = "replace_sequential", word: s
     return run(c)
 
 
-def token_distance(a: list[str], b: list[str]) -> int:
-    """Levenshtein distance of two token lists; one vectorised row of the table a token."""
+def token_distance(a: list[str], b: list[str], limit: int | None = None) -> int:
+    """Levenshtein distance of two token lists; limit + 1 where it is beyond limit.
+
+    Bit-parallel: a column of the table is two whole numbers, whose bits say at which tokens of a it grows or falls; a token of b
+    is a few operations on them, of 64 rows at once.
+    """
     a, b = list(a), list(b)
     while a and b and a[-1] == b[-1]:
         a.pop(), b.pop()
@@ -93,28 +97,43 @@ def token_distance(a: list[str], b: list[str]) -> int:
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
     a, b = a[k:], b[k:]
+    beyond = None if limit is None else limit + 1
+    if beyond is not None and abs(len(a) - len(b)) >= beyond:
+        return beyond
     if not a or not b:
         return len(a) + len(b)
-    known: dict[str, int] = {}
-    x = np.array([known.setdefault(t, len(known)) for t in a])
-    y = np.array([known.setdefault(t, len(known)) for t in b])
-    if len(x) > len(y):
-        x, y = y, x
-    steps = np.arange(len(y) + 1)
-    row = steps.copy()
-    for i, t in enumerate(x, 1):
-        best = np.minimum(row[1:] + 1, row[:-1] + (y != t))
-        # insertions: a running minimum of (value - place)
-        row = np.minimum.accumulate(np.concatenate([[i], best]) - steps) + steps
-    return int(row[-1])
-
-
-def token_edit_distance(a: Column | str, b: Column | str) -> Column:
-    """M3. Distance of array<string> columns; null if one is null."""
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(a):
+        places.setdefault(t, []).append(i)
+    size = len(a) // 8 + 1
+
+    def bits(at: list[int]) -> int:
+        held = bytearray(size)
+        for i in at:
+            held[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(held, "little")
+
+    here = {t: bits(places[t]) for t in set(b) & set(places)}
+    whole, m, far = (1 << len(a)) - 1, len(a), len(a)
+    grows, falls = whole, 0
+    for left, t in zip(range(len(b) - 1, -1, -1), b, strict=True):
+        same = here.get(t, 0)
+        diagonal = ((((same & grows) + grows) ^ grows) | same | falls) & whole
+        up, down = falls | (whole ^ (diagonal | grows)), diagonal & grows
+        far += (up.bit_length() == m) - (down.bit_length() == m)
+        if beyond is not None and far - left >= beyond:
+            return beyond
+        up, down = (up << 1 | 1) & whole, down << 1 & whole
+        grows, falls = down | (whole ^ (diagonal | up)), up & diagonal
+    return far
+
+
+def token_edit_distance(a: Column | str, b: Column | str, limit: int | None = None) -> Column:
+    """M3. Distance of array<string> columns, at most limit + 1; null if one is null."""
 
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else token_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+        return pd.Series([None if x is None or y is None else token_distance(x, y, limit) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
     return run(a, b)
 

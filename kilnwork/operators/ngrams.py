@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grams import SEP, Grams, Known, covered, frequent_in_list, overlaps, slices
 from ..functions.helpers import ngram_coverages
-from ..functions.text import WEIGHTS, ngrams, repetition_class, tokenize_code, weighted_repetition
+from ..functions.text import WEIGHTS, repetition_class, tokenize_code, weighted_repetition
 from ..sources.scratch import stored
 
-SEP = "\u0001"
-#: Narrow rows that may be broadcast (some 10 MB), once they are counted.
-BROADCAST_ROWS = 500_000
-
-
-def exploded(df: DataFrame, tokens: str, orders: list[int], keep: list[str] | None = None) -> DataFrame:
-    """(keep..., n, gram), one row an n-gram."""
-    grams = F.flatten(F.array(*[_tagged(tokens, n) for n in orders]))
-    return df.select(*(keep or []), F.explode(grams).alias("__g")).select(*(keep or []), "__g.n", "__g.gram")
-
-
-def _tagged(tokens: str, n: int) -> Column:
-    return F.transform(ngrams(tokens, n, SEP), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-
-
 def repetition_score(df: DataFrame, code: str = "code") -> DataFrame:
     """A4. df with repetition_score and repetition_class; a code without tokens is low with 0. No shuffle."""
     df = df.withColumn("__cover", ngram_coverages(tokenize_code(code), list(WEIGHTS)))
@@ -38,17 +28,14 @@ PROFILE = {"medium": 0.25, "high": 0.45, "very_high": 0.65}
 
 def repetition_profile(df: DataFrame, key: str, code: str = "code", top: int = 20, least: int = 2) -> DataFrame:
     """A5. (key, repetition_score, repetition_class, token_count, coverage by order, top_local_ngrams): unnormalised weights; the most frequent n-grams as
-    JSON, by count, then order, both descending."""
+    JSON, by count, then order, both descending. No shuffle."""
     df = df.select(key, tokenize_code(code).alias("__tokens"))
-    own = df.select(key, F.size("__tokens").alias("token_count"), ngram_coverages("__tokens", list(WEIGHTS), least).alias("__cover"))
-    own = own.select(key, "token_count", *[F.element_at("__cover", i).alias(f"ngram_{n}_coverage") for i, n in enumerate(WEIGHTS, 1)])
+    local = frequent_in_list("__tokens", list(WEIGHTS), top, least)
+    own = df.select(key, F.size("__tokens").alias("token_count"), ngram_coverages("__tokens", list(WEIGHTS), least).alias("__cover"), local.alias("__local"))
+    own = own.select(key, "token_count", "__local", *[F.element_at("__cover", i).alias(f"ngram_{n}_coverage") for i, n in enumerate(WEIGHTS, 1)])
     score = sum((F.lit(w) * F.col(f"ngram_{n}_coverage") for n, w in WEIGHTS.items()), F.lit(0.0))
     own = own.withColumn("repetition_score", score).withColumn("repetition_class", repetition_class("repetition_score", PROFILE))
-    counts = exploded(df, "__tokens", list(WEIGHTS), [key]).groupBy(key, "n", "gram").count().filter(F.col("count") >= least)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("count").desc(), F.col("n").desc(), "gram"))
-    best = counts.withColumn("place", place).filter(F.col("place") <= top).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "count", "n", "gram"))).alias("all"))
-    told = F.to_json(F.transform("all", lambda x: F.struct(x["count"].alias("count"), x["n"].alias("n"), F.replace(x["gram"], F.lit(SEP), F.lit(" ")).alias("ngram"))))
-    return own.join(best.select(key, told.alias("top_local_ngrams")), key, "left").withColumn("top_local_ngrams", F.coalesce("top_local_ngrams", F.lit("[]")))
+    return own.withColumn("top_local_ngrams", F.coalesce(F.to_json("__local"), F.lit("[]"))).drop("__local")
 
 
 def repetition_stats(df: DataFrame, dataset: str = "dataset") -> DataFrame:
@@ -57,39 +44,135 @@ def repetition_stats(df: DataFrame, dataset: str = "dataset") -> DataFrame:
     return df.groupBy(dataset).agg(*[F.count_if(F.col("repetition_class") == c).alias(c) for c in classes], F.avg("repetition_score").alias("mean_score"), F.min("token_len").alias("token_min"), F.max("token_len").alias("token_max"), F.avg("token_len").alias("token_mean"))
 
 
-def _hashed(df: DataFrame, tokens: str, orders: list[int], words: bool = False) -> DataFrame:
-    """(n, h): hashes of the n-grams' token hashes; no text of an n-gram is built. words: and its tokens."""
-    df = df.select(tokens, F.transform(tokens, lambda t: F.xxhash64(t)).alias("__t"))
-
-    def of(n: int) -> Column:
-        def gram(i: Column) -> Column:
-            own = [F.lit(n).alias("n"), F.xxhash64(F.slice("__t", i, n)).alias("h")]
-            return F.struct(*own, F.slice(tokens, i, n).alias("words")) if words else F.struct(*own)
-
-        at = F.sequence(F.lit(1), F.size("__t") - n + 1)
-        kind = "array<struct<n:int,h:bigint,words:array<string>>>" if words else "array<struct<n:int,h:bigint>>"
-        return F.when(F.size("__t") >= n, F.transform(at, gram)).otherwise(F.array().cast(kind))
-
-    return df.select(F.explode(F.flatten(F.array(*[of(n) for n in orders]))).alias("__g")).select("__g.*")
+#: Different n-grams of an order that a task's summary holds, and that it hands on; n-grams of a list that tasks get whole.
+SUMMARY, HANDED, LISTED = 100_000, 20_000, 100_000
+_LOW, _EXACT, _MANY = 0, 1, 2
+_KINDS = pa.schema([("kind", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("gram", pa.string()), ("count", pa.int64())])
+
+
+def _rows(kind: int, n: int, count: np.ndarray, h: np.ndarray | None = None, gram: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(count), 50_000):
+        b = min(a + 50_000, len(count))
+        own = pa.nulls(b - a, pa.int64()) if h is None else pa.array(h[a:b].view(np.int64))
+        text = pa.nulls(b - a, pa.string()) if gram is None else pa.array(gram[a:b], pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, kind), pa.int32()), pa.array(np.full(b - a, n), pa.int32()), own, text, pa.array(count[a:b].astype(np.int64))], schema=_KINDS)
+
+
+class _Summary:
+    """Counts of the n-grams of one order that a task meets: by text while they are few, and lower bounds of the frequent ones, by hash. Where
+    more than most are held, the count of the first beyond is taken off all, and those at nothing go: so no count falls short by more
+    than the sum of what was taken off."""
+
+    def __init__(self, n: int, most: int):
+        self.n, self.most, self.off = n, most, 0
+        self.exact: dict[str, int] | None = {}
+        self.h, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, grams: Grams) -> None:
+        h, first, count = grams.counted(self.n, grams.places(self.n))
+        if self.exact is not None and len(self.exact) + len(h) <= self.most:
+            for text, c in zip(grams.texts(self.n, first), count.tolist(), strict=True):
+                self.exact[text] = self.exact.get(text, 0) + c
+        else:
+            self.exact = None
+        h, of = np.unique(np.concatenate([self.h, h]), return_inverse=True)
+        total = np.zeros(len(h), np.int64)
+        np.add.at(total, of, np.concatenate([self.count, count]))
+        if len(h) > self.most:
+            off = np.partition(total, len(total) - self.most - 1)[len(total) - self.most - 1]
+            total -= off
+            self.off += int(off)
+            h, total = h[total > 0], total[total > 0]
+        self.h, self.count = h, total
+
+    def rows(self, handed: int) -> Iterator[pa.RecordBatch]:
+        """The counts by text, if they are few; the largest lower bounds; and what others can have been counted at the most."""
+        order = np.argsort(-self.count, kind="stable")
+        others = self.off + (int(self.count[order[handed]]) if len(order) > handed else 0)
+        if self.exact is None:
+            yield from _rows(_MANY, self.n, np.array([others]))
+        else:
+            yield from _rows(_EXACT, self.n, np.array([*self.exact.values()]), None, [*self.exact])
+            yield from _rows(_MANY, self.n, np.array([others])) if others else ()
+        yield from _rows(_LOW, self.n, self.count[order[:handed]], self.h[order[:handed]])
+
+
+def _summed(df: DataFrame, tokens: str, orders: list[int]) -> DataFrame:
+    """(kind, n, h, gram, count): the summaries of all tasks."""
+    most, handed = SUMMARY, HANDED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_Summary(n, most) for n in orders]
+        for batch in batches:
+            lists = batch.column(0)
+            for a, b in slices(lists):
+                grams = Grams(lists.slice(a, b - a))
+                for s in held:
+                    s.add(grams)
+        few = all(s.exact is not None for s in held)
+        for s in held:
+            s.exact = s.exact if few else None
+            yield from s.rows(handed)
+        if not few:
+            yield from _rows(_MANY, 0, np.zeros(1))
+
+    return df.select(tokens).mapInArrow(run, "kind int, n int, h long, gram string, count long")
+
+
+def _counted(df: DataFrame, tokens: str, likely: dict[int, np.ndarray | None]) -> DataFrame:
+    """(n, gram, count) of the n-grams of each order whose hashes are among these, in order; of all, where there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            for a, b in slices(lists):
+                grams = Grams(lists.slice(a, b - a))
+                for n, wanted in likely.items():
+                    at = grams.places(n)
+                    if wanted is not None and len(at):
+                        own = grams.hashes(n)[at]
+                        at = at[wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own] if len(wanted) else at[:0]
+                    _, first, count = grams.counted(n, at)
+                    for x in range(0, len(first), 50_000):
+                        part = first[x : x + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), n), pa.int32()), pa.array(grams.texts(n, part), pa.string()), pa.array(count[x : x + 50_000].astype(np.int64))], ["n", "gram", "count"])
+
+    return df.select(tokens).mapInArrow(run, "n int, gram string, count long").groupBy("n", "gram").agg(F.sum("count").alias("count"))
 
 
 def _frequent(df: DataFrame, tokens: str, orders: list[int], k: int, by_order: bool) -> DataFrame:
     """(n, gram, count) of all n-grams that may be among the k most frequent (of each order).
 
-    First, n-grams are counted by 64-bit hash, 12 bytes a row and combined before the shuffle; the k-th count is the least that can matter
-    (a collision only raises counts). Then the text of those n-grams alone is built and counted, so that the result is exact.
+    Each task sums up what it meets. Where all met few n-grams, the summaries are the counts. Else the k-th largest sum of lower bounds is the
+    least count that can matter; n-grams whose sum stays below it by more than all that tasks can have left out are out, and a second
+    pass counts the others by text: of the rest no row leaves a task. If tasks can have left out as much as that, there are no frequent n-grams
+    to speak of, and all are counted by a shuffle. Hashes only ever let too many through, unless two frequent ones met: then the k-th
+    exact count is lower than the bound, and it is done again from there.
     """
-    df = df.select(tokens)
-    counts = stored(_hashed(df, tokens, orders).groupBy("n", "h").count(), "grams")
+    summed = stored(_summed(df, tokens, orders), "grams")
+    many = dict(summed.filter(F.col("kind") == _MANY).groupBy("n").agg(F.sum("count")).collect())  # one number an order
+    if 0 not in many:
+        return summed.filter(F.col("kind") == _EXACT).groupBy("n", "gram").agg(F.sum("count").alias("count"))
     per = [[n] for n in orders] if by_order else [orders]
-    least = F.lit(None).cast("long")
-    for group in per:
-        kth = counts.filter(F.col("n").isin(group)).orderBy(F.col("count").desc()).limit(k).agg(F.min("count")).first()[0]  # one number
-        least = F.when(F.col("n").isin(group), F.lit(kth)).otherwise(least)
-    likely = counts.filter(F.col("count") >= least).select("n", "h")
-    likely = F.broadcast(likely) if likely.count() <= BROADCAST_ROWS else likely
-    hits = _hashed(df, tokens, orders, True).join(likely, ["n", "h"], "left_semi")
-    return hits.select("n", F.array_join("words", SEP).alias("gram")).groupBy("n", "gram").count()
+    lows = stored(summed.filter(F.col("kind") == _LOW).groupBy("n", "h").agg(F.sum("count").alias("count")), "bounds")
+
+    def kth(counts: DataFrame, group: list[int]) -> int:
+        """The k-th largest count, 0 where there are fewer."""
+        held = counts.filter(F.col("n").isin(group)).orderBy(F.col("count").desc()).limit(k).agg(F.count(F.lit(1)).alias("rows"), F.min("count").alias("least")).first()
+        return held["least"] if held["rows"] == k else 0
+
+    least = {n: kth(lows, g) for g in per for n in g}
+    while True:
+        likely: dict[int, np.ndarray | None] = dict.fromkeys(orders)
+        for n in orders:
+            if many.get(n, 0) < least[n]:
+                found = lows.filter((F.col("n") == n) & (F.col("count") + many.get(n, 0) >= least[n])).select("h").limit(LISTED + 1).toPandas()["h"]
+                likely[n] = np.sort(found.to_numpy().astype(np.int64).view(np.uint64)) if len(found) <= LISTED else None
+        found = stored(_counted(df, tokens, likely), "frequent")
+        reached = {n: kth(found, g) for g in per for n in g}
+        if all(likely[n] is None or reached[n] >= least[n] for n in orders):
+            return found
+        least = {n: min(least[n], reached[n]) for n in orders}
 
 
 def common_ngrams(df: DataFrame, tokens: str, orders: list[int], k: int) -> DataFrame:
@@ -105,19 +188,28 @@ def common_ngrams_per_order(df: DataFrame, tokens: str, orders: list[int], k: in
 
 
 def filter_coverage(df: DataFrame, key: str, tokens: str, top: DataFrame, orders: list[int]) -> DataFrame:
-    """A9 (and J6). (key, total, filtered, coverage) and the same by order: how many of a sample's n-grams are among top (n, gram)."""
-    grams = exploded(df, tokens, orders, [key])
-    known = F.broadcast(top.select("n", "gram", F.lit(1).alias("hit")))  # k rows
-    joined = grams.join(known, ["n", "gram"], "left")
+    """A9 (and J6). (key, total, filtered, coverage) and the same by order: how many of a sample's n-grams are among top (n, gram), the
+    few most frequent. No shuffle."""
+    counts = df.select(key, covered(tokens, _known(top), orders).alias("__c"))
+    of = lambda i: F.element_at("__c", i)
     share = lambda hit, n: F.when(n > 0, hit / n).otherwise(0.0)
-    sums = [F.count(F.lit(1)).alias("total"), F.count("hit").alias("filtered")]
-    for n in orders:
-        sums += [F.count_if(F.col("n") == n).alias(f"total_{n}"), F.count_if((F.col("n") == n) & F.col("hit").isNotNull()).alias(f"filtered_{n}")]
-    out = df.select(key).distinct().join(joined.groupBy(key).agg(*sums), key, "left").na.fill(0)
+    m = len(orders)
+    for i, n in enumerate(orders, 1):
+        counts = counts.withColumns({f"total_{n}": of(i), f"filtered_{n}": of(m + i)})
+    counts = counts.withColumns({"total": sum((F.col(f"total_{n}") for n in orders), F.lit(0)), "filtered": sum((F.col(f"filtered_{n}") for n in orders), F.lit(0))})
+    out = counts.select(key, "total", "filtered", *[x for n in orders for x in (f"total_{n}", f"filtered_{n}")])
     out = out.withColumn("coverage", share(F.col("filtered"), F.col("total")))
     return out.withColumns({f"coverage_{n}": share(F.col(f"filtered_{n}"), F.col(f"total_{n}")) for n in orders})
 
 
+def _known(top: DataFrame) -> Known:
+    """The list top (n, gram), a bounded one, as the tasks look n-grams up in it."""
+    held = top.select("n", "gram").limit(LISTED + 1).collect()
+    if len(held) > LISTED:
+        raise ValueError(f"more than {LISTED} listed n-grams")
+    return Known([(r["n"], r["gram"]) for r in held])
+
+
 def shared_ngrams(corpus: DataFrame, code: str, k: int = 500, n: int = 4) -> DataFrame:
     """M1. (rank, n, gram, count): the k most frequent n-grams of orders 1 to n over the texts that are not blank."""
     return common_ngrams(corpus.select(tokenize_code(code).alias("__tokens")), "__tokens", list(range(1, n + 1)), k)
@@ -127,19 +219,15 @@ def crystal_bleu(pairs: DataFrame, key: str, reference: str, generated: str, sha
     """M2. (key, crystalbleu): BLEU of each pair without the shared n-grams; null if a side is blank.
 
     By order: matches are the lesser counts of the n-grams of both sides, the total those of the generated side, 1 at
-    least. No match of order 1: 0. With smoothing an order without a match counts 0.1. Brevity: exp(1 - r / h) for h < r.
+    least. No match of order 1: 0. With smoothing an order without a match counts 0.1. Brevity: exp(1 - r / h) for h < r. No shuffle.
     """
-    rows = pairs.select(key, tokenize_code(reference).alias("r"), tokenize_code(generated).alias("g"))
     orders = list(range(1, n + 1))
-    sides = [exploded(rows, side, orders, [key]).withColumn("side", F.lit(side)) for side in ("r", "g")]
-    counts = sides[0].unionByName(sides[1]).groupBy(key, "n", "gram").agg(F.count_if(F.col("side") == "r").alias("r"), F.count_if(F.col("side") == "g").alias("g"))
-    counts = counts.join(F.broadcast(shared.select("n", "gram")), ["n", "gram"], "left_anti")  # k rows
-    by_order = counts.groupBy(key).agg(*[x for i in orders for x in (F.sum(F.when(F.col("n") == i, F.least("r", "g"))).alias(f"m{i}"), F.sum(F.when(F.col("n") == i, F.col("g"))).alias(f"t{i}"))])
-    sizes = rows.select(key, F.size("r").alias("rl"), F.size("g").alias("gl"))
-    out = sizes.join(by_order, key, "left").na.fill(0)
-    m = lambda i: F.col(f"m{i}").cast("double")
-    part = lambda i: F.log(F.when(m(i) == 0, F.lit(0.1 if smoothing else 1e-300)).otherwise(m(i)) / F.greatest(F.col(f"t{i}"), F.lit(1)))
+    rows = pairs.select(key, tokenize_code(reference).alias("__r"), tokenize_code(generated).alias("__g"))
+    out = rows.select(key, F.size("__r").alias("rl"), F.size("__g").alias("gl"), overlaps("__r", "__g", _known(shared), orders).alias("__c"))
+    matches = lambda i: F.element_at("__c", i).cast("double")
+    total = lambda i: F.greatest(F.element_at("__c", n + i), F.lit(1))
+    part = lambda i: F.log(F.when(matches(i) == 0, F.lit(0.1 if smoothing else 1e-300)).otherwise(matches(i)) / total(i))
     mean = sum((part(i) for i in orders), F.lit(0.0)) / n
     short = F.when(F.col("gl") < F.col("rl"), F.exp(1 - F.col("rl") / F.col("gl"))).otherwise(1.0)
-    score = F.when((F.col("rl") == 0) | (F.col("gl") == 0), F.lit(None)).when(m(1) == 0, 0.0).otherwise(short * F.exp(mean))
+    score = F.when((F.col("rl") == 0) | (F.col("gl") == 0), F.lit(None)).when(matches(1) == 0, 0.0).otherwise(short * F.exp(mean))
     return out.select(key, score.alias("crystalbleu"))

@@ -11,6 +11,7 @@ from ..functions.helpers import neutralize_labels, token_edit_distance
 from ..functions.scores import PASS_AT, relative_length, score_result
 from ..functions.text import tokenize_code
 from .ngrams import crystal_bleu
+from .quantile import exact_quantiles
 
 
 def pair_generations(refs: DataFrame, gens: DataFrame, key: str = "test_id") -> DataFrame:
@@ -40,14 +41,24 @@ def provider_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("provider", "metric").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean_score"), F.avg(F.coalesce("pass", F.lit(False)).cast("int")).alias("pass_rate"), F.count(F.lit(1)).alias("results"))
 
 
-def quantiles(c: str, at: list[float], exact: bool) -> Column:
-    """array<double>. Exact ones hold a group's distinct values in memory; others, to a ten-thousandth of the ranks, do not grow."""
-    return F.percentile(c, F.array(*[F.lit(p) for p in at])) if exact else F.percentile_approx(c, at, 10_000)
+def quantiles_by(df: DataFrame, groups: list[str], column: str, at: list[float], exact: bool = True) -> DataFrame:
+    """(groups..., q): array<double>. Those that are not exact are right to a ten-thousandth of the ranks, by one pass."""
+    if exact:
+        return exact_quantiles(df, groups, column, at)
+    return df.groupBy(*groups).agg(F.percentile_approx(F.col(column).cast("double"), at, 10_000).alias("q"))
+
+
+def _beside(df: DataFrame, other: DataFrame, groups: list[str]) -> DataFrame:
+    """df with the columns of other, a row a group: null groups too."""
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"__{g}"))
+    return df.join(other.withColumnsRenamed({g: f"__{g}" for g in groups}), same, "left").drop(*[f"__{g}" for g in groups])
 
 
 def score_distribution(scores: DataFrame, exact: bool = True) -> tuple[DataFrame, DataFrame]:
-    """A13. Median, quartiles and whiskers by provider and metric, and the rows beyond the whiskers. exact: see quantiles."""
-    box = scores.groupBy("provider", "metric").agg(quantiles("score", [0.25, 0.5, 0.75], exact).alias("q"))
+    """A13. Median, quartiles and whiskers by provider and metric, and the rows beyond the whiskers. exact: see quantiles_by."""
+    box = quantiles_by(scores, ["provider", "metric"], "score", [0.25, 0.5, 0.75], exact)
     box = box.select("provider", "metric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     far = 1.5 * (F.col("q3") - F.col("q1"))
     box = box.withColumn("low", F.col("q1") - far).withColumn("high", F.col("q3") + far)
@@ -79,12 +90,11 @@ def most_repetitive(df: DataFrame, k: int = 50, key: str = "sample_id") -> DataF
 
 
 def describe_by(df: DataFrame, by: str, columns: list[str], exact: bool = True) -> DataFrame:
-    """A11. (by, column, count, mean, std, min, q1, median, q3, max). exact: see quantiles."""
+    """A11. (by, column, count, mean, std, min, q1, median, q3, max). exact: see quantiles_by."""
     pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.select(by, F.expr(f"stack({len(columns)}, {pairs}) as (column, x)"))
-    told = long.groupBy(by, "column").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), quantiles("x", [0.25, 0.5, 0.75], exact).alias("q"), F.max("x").alias("max"),
-    )
+    told = long.groupBy(by, "column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    told = _beside(told, quantiles_by(long, [by, "column"], "x", [0.25, 0.5, 0.75], exact), [by, "column"])
     return told.select(by, "column", "count", "mean", "std", "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import shuffle_key, uniform
 from ..functions.text import has_text, slug, strip
+from ..sources.scratch import stored
 from .places import numbered
 from .quota import largest_remainder, uniform_counts, weighted_counts
 
@@ -224,21 +225,27 @@ def build_benchmark(df: DataFrame, cfg: Selection, key: str = "sample_id") -> Da
     return chosen.withColumn("split", F.lit("benchmark")).unionByName(without(df, chosen, key=key).withColumn("split", F.lit("corpus")))
 
 
+def _narrow(df: DataFrame, key: str) -> DataFrame:
+    """What the choices read of a pool, kept: the pool itself is read once for all of them."""
+    return stored(df.select(key, *[c for c in ("class", "repetition_class", "described") if c in df.columns]), "pool")
+
+
 def build_train(df: DataFrame, cfg: Selection, key: str = "sample_id") -> DataFrame:
     """Q11. Disjoint validation, train and corpus rows with split."""
-    rows = repetition_candidates(df, cfg.repetition)
+    pool = _narrow(df, key)
+    rows = repetition_candidates(pool, cfg.repetition)
     names = list(train_class_names(rows, cfg.importance))
-    validation = choose_class_split(rows, names, cfg.per_class, cfg.noise_validation, cfg.seed, key=key)
+    validation = stored(choose_class_split(rows, names, cfg.per_class, cfg.noise_validation, cfg.seed, key=key).select(key, F.lit("validation").alias("split")), "split")
     rest = without(rows, validation, key=key)
     train = rest.filter(F.lower("class").isin(names)) if cfg.train is None else choose_weighted(rest, cfg.train, cfg.importance, cfg.seed + 1, key=key)
-    free = without(df, validation, train, key=key)
-    corpus = choose_uniform(free, cfg.corpus, names, cfg.seed + 2, key=key)
-    parts = [p.withColumn("split", F.lit(n)) for n, p in (("validation", validation), ("train", train), ("corpus", corpus))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    chosen = stored(validation.unionByName(train.select(key, F.lit("train").alias("split"))), "split")
+    corpus = choose_uniform(without(pool, chosen, key=key), cfg.corpus, names, cfg.seed + 2, key=key)
+    return df.join(chosen.unionByName(corpus.select(key, F.lit("corpus").alias("split"))), key)
 
 
 def build_rl(df: DataFrame, cfg: Selection, key: str = "sample_id") -> DataFrame:
     """Q12. Exactly cfg.rl rows: a share of low repetition, the rest of high and critical, explicit noise by repetition class; in curriculum order."""
+    df, whole = _narrow(df, key), df
     real = cfg.rl - cfg.rl_noise
     low_n = round(real * cfg.rl_low)
     low = choose_weighted(repetition_candidates(df, ["low"]), low_n, cfg.importance, cfg.seed, key=key)
@@ -248,10 +255,10 @@ def build_rl(df: DataFrame, cfg: Selection, key: str = "sample_id") -> DataFrame
         if n:
             pool = without(df.filter(is_noise("class") & (F.lower("repetition_class") == cls)), *parts, key=key)
             parts.append(sample_n(pool, n, f"{cfg.seed}{cls}", key))
-    out = union_keys(*parts, key=key)
+    out = stored(union_keys(*parts, key=key).select(key), "rl")
     if (n := out.count()) != cfg.rl:
         raise ValueError(f"{n} rows, not {cfg.rl}")
-    return curriculum_order(out, key)
+    return curriculum_order(whole.join(out, key, "left_semi"), key)
 
 
 def described(mix: Mapping[str, float]) -> Column:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import stored
+
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -93,28 +97,49 @@ def row_bytes(df: DataFrame) -> Column:
     return total.cast("long")
 
 
-#: Bytes of the rows that one task sums up.
-RANGE = 128 << 20
+#: Shards of a range of rows that one task packs, about, and ranges whose borders may be broadcast.
+PER_RANGE, BROADCAST_ROWS = 16, 20_000
+
+
+def packed(sizes: list[int], most: int) -> list[int]:
+    """Where new shards begin when rows are put one after the other into shards of at most most bytes."""
+    starts, held = [], None
+    for i, size in enumerate(sizes):
+        if held is None or held + size > most:
+            starts.append(i)
+            held = 0
+        held += size
+    return starts
 
 
 def with_shards(df: DataFrame, most: int, key: str, split: str = "split") -> DataFrame:
-    """df with shard (by split, from 0) and shard_bytes: rows in order of key are cut where the sum of their bytes passes a multiple of most.
+    """df with shard (by split, from 0) and shard_bytes: rows are put into a shard until the next would not fit. Rows of one key stay together.
 
-    A running sum over a split would be one task; each of many ranges of the key's hash, 64 at least and about RANGE bytes each, is summed
-    by itself and starts where those before it end.
+    Each of many ranges of the key's hash, of about PER_RANGE shards, is packed by itself, from (key, bytes) alone, so one shard in
+    PER_RANGE + 1 is not full. A range tells the keys its shards begin with, and a row finds its shard among those of its range.
     """
     rows = df.withColumn("__bytes", row_bytes(df))
-    ranges = max(64, (rows.agg(F.sum("__bytes")).first()[0] or 0) // RANGE)  # one number
-    rows = rows.withColumn("__range", F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int"))
-    ends = rows.groupBy(split, "__range").agg(F.sum("__bytes").alias("sum"), F.max("__bytes").alias("top"))
-    if not ends.filter(F.col("top") > most).isEmpty():
-        raise ValueError("a row is larger than a shard may be")
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy(split).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = ends.select(F.col(split).alias("__s"), F.col("__range").alias("__r"), before.alias("__start"))  # a row a range and split
-    rows = rows.join(F.broadcast(starts), F.col(split).eqNullSafe(F.col("__s")) & (F.col("__range") == F.col("__r")))
-    run = F.sum("__bytes").over(Window.partitionBy(split, "__range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    # half of most as step: a shard that begins within a step ends within the bound
-    return rows.withColumn("shard", F.floor((F.col("__start") + run - F.col("__bytes")) / F.lit(max(1, most // 2))).cast("int")).withColumnRenamed("__bytes", "shard_bytes").drop("__range", "__s", "__r", "__start")
+    sizes = rows.groupBy(F.col(split).alias("__s")).agg(F.sum("__bytes").alias("sum"))
+    sizes = stored(sizes.select("__s", F.greatest(F.lit(1), F.round(F.col("sum") / (PER_RANGE * most))).cast("long").alias("__n")), "splits")
+    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
+    rows = rows.join(few(sizes), F.col(split).eqNullSafe(F.col("__s"))).withColumn("__range", F.pmod(F.xxhash64(key), F.col("__n"))).drop("__n")
+
+    def borders(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group["k"], null_placement="at_start"))
+        sizes = group["bytes"].to_pylist()
+        if max(sizes) > most:
+            raise ValueError("a row is larger than a shard may be")
+        return pa.table({"s": group["s"][:1], "r": group["r"][:1], "firsts": pa.array([group["k"].take(pa.array(packed(sizes, most))).to_pylist()], pa.list_(group["k"].type))})
+
+    held = rows.groupBy(F.col("__s").alias("s"), F.col("__range").alias("r"), F.col(key).alias("k")).agg(F.sum("__bytes").alias("bytes"))
+    found = held.groupBy("s", "r").applyInArrow(borders, T.StructType([T.StructField("s", df.schema[split].dataType), T.StructField("r", T.LongType()), T.StructField("firsts", T.ArrayType(df.schema[key].dataType))]))
+    found = stored(found, "borders")
+    before = F.coalesce(F.sum(F.size("firsts")).over(Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = found.withColumn("__start", before)
+    rows = rows.join(few(starts), F.col("__s").eqNullSafe(F.col("s")) & (F.col("__range") == F.col("r")))
+    inside = F.size(F.filter("firsts", lambda f: f.isNull() | (f <= F.col(key)))) - 1
+    rows = rows.withColumn("shard", (F.col("__start") + F.when(F.col(key).isNull(), F.lit(0)).otherwise(inside)).cast("int"))
+    return rows.withColumnRenamed("__bytes", "shard_bytes").drop("__range", "__s", "__start", "s", "r", "firsts")
 
 
 def shard_manifest(df: DataFrame, split: str = "split") -> DataFrame:
