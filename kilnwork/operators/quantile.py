@@ -25,7 +25,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], column: str, at: list[floa
 
     Each quantile starts with a bracket of values from a summary of bounded size. Rows in a bracket are counted by value, those below it as
     one, both before the shuffle. A bracket that turns out to miss its rank is opened to all values, one with more than CELLS different values is
-    narrowed by a summary of its own rows; the others are ordered by one task each.
+    narrowed to a part or two of them (at least halved, so this ends); the others are ordered by one task each.
     """
     rows = df.select(*groups, F.col(column).cast("double").alias("__x")).filter("__x is not null")
     names = [f"__g{i}" for i in range(len(groups))]
@@ -63,14 +63,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], column: str, at: list[floa
         columns = [*names, "n", "want", "p", "a", "b", "low", "high", "share"]
         nxt = lost.select(*columns)
         if not over.isEmpty():
-            inside = rows.join(F.broadcast(over) if n <= BROADCAST_ROWS else over, same).filter(F.col("__x").between(F.col("a"), F.col("b")))
-            keys = [*names, "want", "n", "p", "low", "high", "share", "below", "reach"]
-            # a quantile of the bracket's rows for ranks low and high of the group
-            guess = inside.groupBy(*keys).agg(F.percentile_approx("__x", F.array(*[F.lit(i / 200) for i in range(201)]), ACCURACY).alias("guess"))
-            rank = lambda r: (F.col(r) - F.col("below")) / F.greatest(F.col("reach") - F.col("below"), F.lit(1)) * 200
-            low, high = F.greatest(F.floor(rank("low")) - 1, F.lit(0)), F.least(F.ceil(rank("high")) + 1, F.lit(200))
-            guess = guess.withColumns({"a": F.get("guess", low.cast("int")), "b": F.get("guess", high.cast("int"))})
-            nxt = nxt.unionByName(guess.select(*columns))
+            nxt = nxt.unionByName(_narrowed(cells, over, names, columns))
         open_ = stored(nxt, "brackets")
     empty = open_.select(*names, "want", F.lit(None).cast("double").alias("q"))
     found = empty
@@ -80,6 +73,26 @@ def exact_quantiles(df: DataFrame, groups: list[str], column: str, at: list[floa
     return found.groupBy(*names).agg(q.alias("q")).withColumnsRenamed(dict(zip(names, groups, strict=True)))
 
 
+#: Parts into which a bracket's different values are cut.
+PARTS = 200
+
+
+def _narrowed(cells: DataFrame, over: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """Brackets around the parts of over's values that hold the ranks: a part has so many different values, however often they occur."""
+    keys = [*names, "want"]
+    own = cells.join(over.select(*[F.col(x).alias(f"r_{x}") for x in keys], "low", "high", "below", *[c for c in columns if c not in (*keys, "low", "high")]), _all_same(keys))
+    own = own.filter("cell is not null").select(*columns, "below", "cell", "rows")
+    cuts = own.groupBy(*keys).agg(F.percentile_approx("cell", F.array(*[F.lit(i / PARTS) for i in range(PARTS + 1)]), ACCURACY).alias("cuts"))
+    cuts = cuts.select(*[F.col(x).alias(f"r_{x}") for x in keys], "cuts")
+    part = F.size(F.filter("cuts", lambda v: v < F.col("cell")))
+    held = [c for c in columns if c not in (*keys, "a", "b")]
+    parts = own.join(cuts, _all_same(keys)).groupBy(*keys, *held, "below", part.alias("part")).agg(F.sum("rows").alias("rows"), F.min("cell").alias("least"), F.max("cell").alias("most"))
+    ahead = F.col("below") + F.sum("rows").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("ahead", ahead)
+    ends = [F.min(F.when(F.col("ahead") > F.col("low"), F.col("least"))).alias("a"), F.min(F.when(F.col("ahead") > F.col("high"), F.col("most"))).alias("b")]
+    return parts.groupBy(*keys, *held).agg(*ends).select(*columns)
+
+
 def _all_same(columns: list[str]) -> Column:
     out = F.lit(True)
     for x in columns:
