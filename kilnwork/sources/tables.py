@@ -119,16 +119,18 @@ def with_shards(df: DataFrame, most: int, key: str, split: str = "split") -> Dat
     PER_RANGE + 1 is not full. A range tells the keys its shards begin with, and a row finds its shard among those of its range.
     """
     rows = df.withColumn("__bytes", row_bytes(df))
-    sizes = rows.groupBy(F.col(split).alias("__s")).agg(F.sum("__bytes").alias("sum"))
-    sizes = stored(sizes.select("__s", F.greatest(F.lit(1), F.round(F.col("sum") / (PER_RANGE * most))).cast("long").alias("__n")), "splits")
+    sizes = rows.groupBy(F.col(split).alias("__s")).agg(F.sum("__bytes").alias("sum"), F.max("__bytes").alias("top"))
+    sizes = stored(sizes.select("__s", "top", F.greatest(F.lit(1), F.round(F.col("sum") / (PER_RANGE * most))).cast("long").alias("__n")), "splits")
+    if not sizes.filter(F.col("top") > most).isEmpty():
+        raise ValueError("a row is larger than a shard may be")
     few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_ROWS else t
-    rows = rows.join(few(sizes), F.col(split).eqNullSafe(F.col("__s"))).withColumn("__range", F.pmod(F.xxhash64(key), F.col("__n"))).drop("__n")
+    rows = rows.join(few(sizes.drop("top")), F.col(split).eqNullSafe(F.col("__s"))).withColumn("__range", F.pmod(F.xxhash64(key), F.col("__n"))).drop("__n")
 
     def borders(group: pa.Table) -> pa.Table:
         group = group.take(pc.sort_indices(group["k"], null_placement="at_start"))
         sizes = group["bytes"].to_pylist()
         if max(sizes) > most:
-            raise ValueError("a row is larger than a shard may be")
+            raise ValueError("rows of one key are larger than a shard may be")
         return pa.table({"s": group["s"][:1], "r": group["r"][:1], "firsts": pa.array([group["k"].take(pa.array(packed(sizes, most))).to_pylist()], pa.list_(group["k"].type))})
 
     held = rows.groupBy(F.col("__s").alias("s"), F.col("__range").alias("r"), F.col(key).alias("k")).agg(F.sum("__bytes").alias("bytes"))

@@ -149,5 +149,5 @@ def test_shards_are_full(spark):
         assert sum(r["bytes"] for r in own) / (most * len(own)) > 0.9
     held = placed.groupBy("split", "sample_id").agg(F.count_distinct("shard").alias("n")).filter("n > 1")
     assert held.count() == 0
-    with pytest.raises(Exception, match="larger than a shard"):
-        tables.with_shards(df, 300, "sample_id").count()
+    with pytest.raises(ValueError, match="larger than a shard"):
+        tables.with_shards(df, 300, "sample_id")
