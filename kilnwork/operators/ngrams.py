@@ -215,19 +215,28 @@ def shared_ngrams(corpus: DataFrame, code: str, k: int = 500, n: int = 4) -> Dat
     return common_ngrams(corpus.select(tokenize_code(code).alias("__tokens")), "__tokens", list(range(1, n + 1)), k)
 
 
+def bleu_of(reference: Column | str, generated: Column | str, shared: DataFrame, n: int = 4, smoothing: bool = True) -> Column:
+    """M2 as a column over two token lists; shared is read at once."""
+    orders = list(range(1, n + 1))
+    rl, gl = F.size(reference), F.size(generated)
+    short = F.when(gl < rl, F.exp(1 - rl / gl)).otherwise(1.0)
+
+    def score(counts: Column) -> Column:
+        matches = lambda i: counts[i - 1].cast("double")
+        part = lambda i: F.log(F.when(matches(i) == 0, F.lit(0.1 if smoothing else 1e-300)).otherwise(matches(i)) / F.greatest(counts[n + i - 1], F.lit(1)))
+        mean = sum((part(i) for i in orders), F.lit(0.0)) / n
+        return F.when(matches(1) == 0, 0.0).otherwise(F.exp(mean))
+
+    # bound once: the counts are used many times
+    own = F.transform(F.array(overlaps(reference, generated, _known(shared), orders)), score)[0]
+    return F.when((rl == 0) | (gl == 0), F.lit(None)).otherwise(short * own)
+
+
 def crystal_bleu(pairs: DataFrame, key: str, reference: str, generated: str, shared: DataFrame, n: int = 4, smoothing: bool = True) -> DataFrame:
     """M2. (key, crystalbleu): BLEU of each pair without the shared n-grams; null if a side is blank.
 
     By order: matches are the lesser counts of the n-grams of both sides, the total those of the generated side, 1 at
     least. No match of order 1: 0. With smoothing an order without a match counts 0.1. Brevity: exp(1 - r / h) for h < r. No shuffle.
     """
-    orders = list(range(1, n + 1))
     rows = pairs.select(key, tokenize_code(reference).alias("__r"), tokenize_code(generated).alias("__g"))
-    out = rows.select(key, F.size("__r").alias("rl"), F.size("__g").alias("gl"), overlaps("__r", "__g", _known(shared), orders).alias("__c"))
-    matches = lambda i: F.element_at("__c", i).cast("double")
-    total = lambda i: F.greatest(F.element_at("__c", n + i), F.lit(1))
-    part = lambda i: F.log(F.when(matches(i) == 0, F.lit(0.1 if smoothing else 1e-300)).otherwise(matches(i)) / total(i))
-    mean = sum((part(i) for i in orders), F.lit(0.0)) / n
-    short = F.when(F.col("gl") < F.col("rl"), F.exp(1 - F.col("rl") / F.col("gl"))).otherwise(1.0)
-    score = F.when((F.col("rl") == 0) | (F.col("gl") == 0), F.lit(None)).when(matches(1) == 0, 0.0).otherwise(short * F.exp(mean))
-    return out.select(key, score.alias("crystalbleu"))
+    return rows.select(key, bleu_of("__r", "__g", shared, n, smoothing).alias("crystalbleu"))

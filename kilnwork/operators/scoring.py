@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.helpers import neutralize_labels, token_edit_distance
 from ..functions.scores import PASS_AT, relative_length, score_result
 from ..functions.text import tokenize_code
-from .ngrams import crystal_bleu
+from .ngrams import bleu_of, crystal_bleu
 from .quantile import exact_quantiles
 
 
@@ -26,6 +26,15 @@ def score_pairs(df: DataFrame, metrics: Mapping[str, Column], keys: list[str], t
     return rows.select(*keys, "x.metric", "x.r.score", "x.r.pass", "x.r.reason")
 
 
+def text_scores(pairs: DataFrame, keys: list[str], reference: str, generated: str, shared: DataFrame, thresholds: Mapping[str, float] | None = None) -> DataFrame:
+    """X1 with the metrics of the texts themselves: (keys..., metric, score, pass, reason) for crystalbleu (M2), ted (M3, as 1 / (1 + the distance's
+    share of the reference's tokens)) and relative_length (M4). What cannot be measured has score 0 and fails. No shuffle."""
+    rows = pairs.withColumns({"__r": tokenize_code(reference), "__g": tokenize_code(generated)})
+    rows = rows.withColumns({"__far": token_edit_distance("__r", "__g") / F.size("__r"), "__bleu": bleu_of("__r", "__g", shared)})
+    metrics = {"crystalbleu": F.col("__bleu"), "ted": F.when(F.size("__r") > 0, 1 / (1 + F.col("__far"))), "relative_length": relative_length(reference, generated)["similarity"]}
+    return score_pairs(rows, metrics, keys, thresholds)
+
+
 def text_neutral_metrics(pairs: DataFrame, key: str, reference: str, generated: str, shared: DataFrame, mode: str = "replace_sequential") -> DataFrame:
     """M9. (key, crystalbleu, distance, reference_tokens, similarity): BLEU, token edit distance and relative length of each pair, with the labels of both
     sides neutralised first. key must be unique."""

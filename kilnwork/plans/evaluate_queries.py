@@ -180,6 +180,12 @@ def x1(spark, d):
     return _scored(spark, d).select("provider", "test_id", "metric", F.round("score", 9).alias("score"), "pass")
 
 
+@add("x1_text_scores")
+def x1_texts(spark, d):
+    out = scoring.text_scores(pairs(spark, d), ["provider", "test_id"], "reference", "generated", ngrams.shared_ngrams(_corpus(spark, d), "code", 100))
+    return out.select("provider", "test_id", "metric", F.round("score", 6).alias("score"), "pass")
+
+
 @add("a12_provider_means", scored("select provider, metric, round(avg(score), 6) as mean_score, round(avg(pass::int), 6) as pass_rate, count(*) as results from scored group by all"))
 def a12(spark, d):
     return scoring.provider_means(_scored(spark, d)).withColumn("mean_score", F.round("mean_score", 6)).withColumn("pass_rate", F.round("pass_rate", 6))
@@ -386,7 +392,8 @@ def f8(spark, d):
 
 @add("v5_reduce_pca")
 def v5(spark, d):
-    return clustering.reduce_pca(_vec(spark, d), 8)[0].select("sample_id", F.size("reduced").alias("size"))
+    length = F.sqrt(F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x))
+    return clustering.reduce_pca(_vec(spark, d), 8)[0].select("sample_id", F.size("reduced").alias("size"), F.round(length, 6).alias("length"))
 
 
 @add("v6_cluster_kmeans")

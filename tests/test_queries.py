@@ -60,7 +60,7 @@ def plain_distance(a: list, b: list) -> int:
 
 def test_queries_without_sql(spark):
     """Each against plain Python over the same rows."""
-    assert set(registry.QUERIES) - set(registry.SQL) == {"p14_neutralize_labels", "m3_token_edit_distance", "v5_reduce_pca", "v6_cluster_kmeans", "v7_cluster_density", "v10_cluster_sweep"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"p14_neutralize_labels", "m3_token_edit_distance", "v5_reduce_pca", "v6_cluster_kmeans", "v7_cluster_density", "v10_cluster_sweep", "x1_text_scores"}
     run = {n: registry.QUERIES[n](spark, DATA).toPandas() for n in set(registry.QUERIES) - set(registry.SQL)}
     code = {r["doc_id"]: r["code"] for r in views.samples(spark, DATA).select("doc_id", "code").collect()}
     labels = run["p14_neutralize_labels"].set_index("doc_id")
