@@ -6,8 +6,9 @@ each source is less than one block from its target, however long the mix is and
 target weights in units of 2**-50, so that they sum to one and times are exact in whole numbers.
 
 Each slot follows from the one before, so the slots are scheduled in one pass on the driver, over numbers of blocks only. A
-block is a 2**20th of the table, 8 rows at least, so the schedule has about as many slots whatever the size of the table (more
-where given weights are unlike the sources' sizes, by as often as the mix repeats them). Rows are ranked and placed by Spark.
+block is a 2**20th of the table, 8 rows at least, so the schedule has about as many slots whatever the size of the table, and more
+where given weights are unlike the sources' sizes, by as often as the mix repeats them: the length is known before, and weights
+that make it more than LONGEST blocks are an error. Rows are ranked and placed by Spark.
 
 The mix ends with the slot in which the last source has given its last row; a source that is over earlier starts again
 (epoch 1, 2, ...), so no row is left out and every prefix of the mix holds the target shares. A source with fewer rows
@@ -30,6 +31,8 @@ from .ranking import positions, uniform52
 FRAME, BLOCK, POWER = 512, 8, 0.9
 #: Blocks the table's rows are cut into, about: bounds the schedule, which is made on the driver (some 6 s and 16 MB) and broadcast.
 BLOCKS = 1 << 20
+#: Slots that are scheduled: weights that make the mix longer are refused (some 20 s of the driver's time).
+LONGEST = 1 << 23
 UNITS = 1 << 50
 _NULL = "\u0000null"
 
@@ -76,7 +79,7 @@ def schedule(shares: list[int], needed: list[int]) -> list[array]:
 def _frames(spark: SparkSession, slots: list[array], frame: int) -> DataFrame:
     """(__h, __frame, __slots): the slots of a source's blocks, so many in a row."""
     rows = [(i, k, s[k * frame : (k + 1) * frame].tolist()) for i, s in enumerate(slots) for k in range(-(-len(s) // frame))]
-    return F.broadcast(spark.createDataFrame(rows, "__h int, __frame long, __slots array<long>"))  # BLOCKS bounds it
+    return F.broadcast(spark.createDataFrame(rows, "__h int, __frame long, __slots array<long>"))  # LONGEST bounds it
 
 
 def mix(df: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, frame: int = FRAME, block: int | None = None, seed: int = 0, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -93,7 +96,10 @@ def mix(df: DataFrame, weights: dict[str, float] | None = None, power: float = P
     sizes = {r["__group"]: r["n"] for r in rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
     block = block or max(BLOCK, -(-sum(sizes.values()) // BLOCKS))
     shares = _shares(sizes, weights, power)
-    slots = schedule(list(shares.values()), [-(-sizes[s] // block) for s in shares])
+    needed = [-(-sizes[s] // block) for s in shares]
+    if (length := max((n * UNITS // a for n, a in zip(needed, shares.values(), strict=True)), default=0)) > LONGEST:
+        raise ValueError(f"with these weights the mix has {length} blocks of {block} rows, more than {LONGEST}: a source's weight is too small for its rows")
+    slots = schedule(list(shares.values()), needed)
     groups = F.broadcast(spark.createDataFrame([(s, i, sizes[s], len(slots[i]), a / UNITS) for i, (s, a) in enumerate(shares.items())], "__name string, __g int, __size long, __blocks long, mix_share double"))
     ranked = positions(rows, ["__group"], "__key", [F.col(id_col)], "__rank")
     mixed = ranked.join(groups, F.col("__group") == F.col("__name"))

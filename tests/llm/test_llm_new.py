@@ -13,7 +13,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from kilnwork.llm import merkle, negatives, warc
+from kilnwork.llm import merkle, mixing, negatives, warc
 from kilnwork.llm.common import shared_dir
 
 # hard negatives ---------------------------------------------------------------------------------------------------------------
@@ -81,6 +81,16 @@ def test_score_bounds_hold_and_leave_rows_out():
     assert (upper < best[:, None]).mean() > 0.4  # the rest need no scores
 
 
+# mixing: a bound on the schedule ---------------------------------------------------------------------------------------------------
+
+
+def test_weights_far_off_are_refused_before_the_schedule(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "a" if i < 100 else "b") for i in range(200)], "doc_id long, source string")
+    monkeypatch.setattr(mixing, "schedule", lambda *_: pytest.fail("scheduled"))
+    with pytest.raises(ValueError, match="too small"):
+        mixing.mix(df, {"a": 1.0, "b": 1e-7}, block=1)
+
+
 # WARC -------------------------------------------------------------------------------------------------------------------------
 
 PAGES = "page_id long, url string, html string, payload string"
