@@ -128,11 +128,11 @@ SQL["a8_common_ngrams_per_order"] = with_views(f"select cast(rank as int) as ran
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
     rows = samples(spark, d).select("doc_id", text.tokenize_code("code").alias("t"))
     out = ngrams.filter_coverage(rows, "doc_id", "t", ngrams.common_ngrams(rows, "t", [2, 4], 200), [2, 4])
-    return out.select("doc_id", "total", "filtered", "total_2", "filtered_2", "total_4", "filtered_4", *[F.round(c, 6).alias(c) for c in ("coverage", "coverage_2", "coverage_4")])
+    return out.select("doc_id", "total", "filtered", "total_2", "filtered_2", "total_4", "filtered_4", *[F.round(c, 9).alias(c) for c in ("coverage", "coverage_2", "coverage_4")])
 
 
 QUERIES["a9_filter_coverage"] = _coverage
-_share = lambda s: f"round(case when total{s} > 0 then filtered{s} / total{s} else 0.0 end, 6) as coverage{s}"
+_share = lambda s: f"round(case when total{s} > 0 then filtered{s} / total{s} else 0.0 end, 9) as coverage{s}"
 SQL["a9_filter_coverage"] = with_views("", "tokenized").rstrip() + f""", top as (select n, gram from ({_top('2,4')}) order by count desc, n, gram limit 200),
 g as ({sql_grams('2,4')}),
 s as (select t.doc_id, count(g.gram) as total, count(top.gram) as filtered, {', '.join(f"count(g.gram) filter (where g.n = {n}) as total_{n}, count(top.gram) filter (where g.n = {n}) as filtered_{n}" for n in (2, 4))}
