@@ -224,12 +224,25 @@ def by_chunk(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[tuple[in
 
 
 def dealt(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted hashes the shards by their upper bits (those that have any), and where each shard begins and ends."""
-    if shards == 1:
-        cuts = np.array([0, len(hashes)])
-    else:
-        cuts = np.searchsorted(hashes >> U64(65 - shards.bit_length()), np.arange(shards + 1, dtype=U64))
-    return np.flatnonzero(np.diff(cuts)), cuts
+    """Of sorted hashes the shards by their upper bits that occur, and where each of them begins, with the end: work by hash, not by shard."""
+    full, cuts = begins(hashes >> U64(65 - shards.bit_length()) if shards > 1 else np.zeros(len(hashes), U64))
+    return full.astype(np.int64), cuts
+
+
+def begins(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted values the distinct ones, and where each begins, with the end."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(new)
+    return values[at], np.append(at, len(values))
+
+
+def place_of(full: np.ndarray, number: int) -> int:
+    """The place of a shard among those that occur."""
+    i = int(np.searchsorted(full, number))
+    if i == len(full) or full[i] != number:
+        raise ValueError(f"an answer from shard {number}, to which nothing was sent")
+    return i
 
 
 def by_shard(rows: DataFrame, shards: int) -> DataFrame:
@@ -262,11 +275,10 @@ def _anchors(chunks: DataFrame, kind: Kind, shards: int) -> DataFrame:
                 order = np.argsort(grams[at], kind="stable")  # documents of equal anchors stay in order
                 values, owner = (grams[at] >> low)[order], chunk.document(at)[order]
                 if len(at):
-                    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-                    tails = np.append(heads[1:], len(at)) - 1
-                    values = np.repeat(values[heads], 1 + (owner[heads] != owner[tails]))
+                    own, starts = begins(values)
+                    values = np.repeat(own, 1 + (owner[starts[:-1]] != owner[starts[1:] - 1]))
                 full, cuts = dealt(values << low, shards)
-                yield packets(number, full.tolist(), [values[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in full])
+                yield packets(number, full.tolist(), [values[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
 
     return chunks.select("chunk", "ids", "packed").mapInArrow(run, PACKETS)
 

@@ -8,7 +8,9 @@ position, and every window that needs it, is done. Past the threshold a pair lea
 
 Pairs are compared as they are, so the result is exact; hashes only rule windows out beforehand (see chunks) and group equal
 pairs of one chunk. A chunk sends a pair once, however often it holds it, so a passage in very many documents costs a range one
-entry a chunk. Ranges are cut at sampled pairs, so that a frequent first half is cut inside; the cuts do not change the result.
+entry a chunk. The first round's ranges are cut at sampled pairs, so that a frequent first half is cut inside. The sample and the ranges
+have a fixed bound; beyond it each range is cut further by a hash of the second half: equal pairs still meet, and the cuts do not
+change the result. A chunk's work goes by the ranges it has pairs in, not by all there are.
 
 Defined cases: null and empty texts have no bytes; texts under 50 bytes lose nothing; documents with the text of a smaller id
 lose all bytes if they have 50; rows with equal ids do not remove from each other; null ids count as the largest (and
@@ -33,6 +35,7 @@ from .chunks import (
     Chunk,
     Kind,
     Store,
+    begins,
     bits,
     by_chunk,
     by_shard,
@@ -40,6 +43,7 @@ from .chunks import (
     expanded,
     opened,
     packets,
+    place_of,
     planes,
     replies,
     runs,
@@ -54,6 +58,8 @@ from .common import ODD, U64, dropped, mixed, written
 LENGTH, GRAM, SEED = 50, 26, 8
 #: A rank is (range + 1) << LOCAL, plus its place in the range; pairs sampled for each range to find its ends.
 LOCAL, SAMPLES = 32, 40
+#: Ranges that are cut by the sample, at most: what is sampled, sorted on the driver and sent to tasks does not grow with the data.
+RANGES = 1 << 12
 #: Parts in which the ranges of the first round are sent, one after the other: its pairs are the bulk of what is shuffled.
 PARTS = 2
 
@@ -127,7 +133,7 @@ def _started(chunk: Chunk, flags: bytes) -> Ranked:
 @dataclass
 class Entries:
     """The distinct pairs of a chunk: positions, the entry of each, the pairs by (range, first rank), and of each entry the
-    smallest id and whether two documents have it; where each range begins and ends."""
+    smallest id and whether two documents have it; the ranges that occur and where each begins, with the end."""
 
     places: np.ndarray
     entry: np.ndarray
@@ -139,8 +145,8 @@ class Entries:
     cuts: np.ndarray
 
 
-def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple[int, int]], shards: int) -> Entries:
-    """ends: the pairs at which ranges end, in the first round; later, the ranges are those of the first ranks."""
+def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple[int, int]] | None, shards: int) -> Entries:
+    """ends: the pairs at which ranges end, in the first round; later (None), the ranges are those of the first ranks."""
     q = _shifted(own.windows, shifts)
     a, b, doc = own.ranks[q], own.ranks[q + offset], np.searchsorted(own.offsets, q, "right") - 1
     # equal pairs next to each other, by a hash with the position below it; two pairs of one hash only make entries in excess
@@ -157,22 +163,36 @@ def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple
     least = np.minimum.reduceat(owner, heads) if len(heads) else owner
     several = (np.maximum.reduceat(owner, heads) if len(heads) else owner) > least
     by = _stable(x)
+    if ends is not None:
+        by, number = _cut(x, y, by, ends, shards)
+    else:
+        number = (x[by] >> U64(LOCAL)) - U64(1)
+    full, cuts = begins(number)
+    place = np.empty(len(x), np.int64)
+    place[by] = np.arange(len(x))
+    return Entries(q, place[entry], x[by], y[by], least[by], several[by], full.astype(np.int64), cuts)
+
+
+def _cut(x: np.ndarray, y: np.ndarray, by: np.ndarray, ends: list[tuple[int, int]], shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' order by range, then first rank, from their order by first rank; and the range of each."""
+    number = np.zeros(len(x), U64)
     if ends:
         first, second = (np.array(v, U64) for v in zip(*ends, strict=True))
         at, to = np.searchsorted(x[by], first), np.searchsorted(x[by], first, "right")
         for lo, hi in {(int(lo), int(hi)) for lo, hi in zip(at, to, strict=True) if lo < hi}:
             by[lo:hi] = by[lo:hi][np.argsort(y[by[lo:hi]], kind="stable")]
-        cuts = [int(lo) + int(np.searchsorted(y[by[lo:hi]], s)) for lo, hi, s in zip(at, to, second, strict=True)]
-        cuts = np.array([0, *cuts, *[len(x)] * (shards - len(cuts))])
-    else:
-        cuts = np.searchsorted(x[by] >> U64(LOCAL), np.arange(1, shards + 2, dtype=U64))
-    place = np.empty(len(x), np.int64)
-    place[by] = np.arange(len(x))
-    return Entries(q, place[entry], x[by], y[by], least[by], several[by], np.flatnonzero(np.diff(cuts)), cuts)
+        starts = [int(lo) + int(np.searchsorted(y[by[lo:hi]], s)) for lo, hi, s in zip(at, to, second, strict=True)]
+        number = np.repeat(np.arange(len(starts) + 1, dtype=U64), np.diff([0, *starts, len(x)]))
+    inside = max(1, shards // RANGES)  # a power of two
+    if inside > 1:
+        number = number * U64(inside) + (mixed(y[by]) & U64(inside - 1))
+        again = _stable(number)
+        by, number = by[again], number[again]
+    return by, number
 
 
 def _packed(e: Entries, s: int, last: bool) -> bytes:
-    """Of a range its number of pairs, first ranks as differences, second ranks, and whether two documents have them; in the last round, smallest ids."""
+    """Of the s-th of the ranges that occur its number of pairs, first ranks as differences, second ranks, and whether two documents have them; in the last round, smallest ids."""
     a, b = int(e.cuts[s]), int(e.cuts[s + 1])
     parts = [np.array([b - a], np.int64).tobytes(), planes(np.diff(e.a[a:b], prepend=U64(0))), planes(e.b[a:b])]
     if last:
@@ -250,7 +270,8 @@ def _ranks(e: Entries, found: list[bytes]) -> np.ndarray:
     rank = np.zeros(len(e.a), U64)
     for x in found:
         s = int(np.frombuffer(x, np.int64, 1)[0])
-        a, b = int(e.cuts[s]), int(e.cuts[s + 1])
+        p = place_of(e.full, s)
+        a, b = int(e.cuts[p]), int(e.cuts[p + 1])
         raw = expanded(x[8:])
         flags = np.unpackbits(np.frombuffer(raw, np.uint8, -(-(b - a) // 8)), count=b - a).astype(bool)
         rank[a:b][flags] = np.cumsum(unplaned(raw[-(-(b - a) // 8) :]), dtype=U64) + (U64(s + 1) << U64(LOCAL))
@@ -261,7 +282,7 @@ def _late(own: Ranked, e: Entries, found: list[bytes]) -> np.ndarray:
     """Whether each position's window starts in a smaller id."""
     late = np.zeros(len(e.a), bool)
     for x in found:
-        s = int(np.frombuffer(x, np.int64, 1)[0])
+        s = place_of(e.full, int(np.frombuffer(x, np.int64, 1)[0]))
         late[int(e.cuts[s]) : int(e.cuts[s + 1])] = unbits(x[8:], int(e.cuts[s + 1] - e.cuts[s]))
     owner = own.ids[np.searchsorted(own.offsets, e.places, "right") - 1]
     out = np.zeros(len(own.windows), bool)
@@ -270,8 +291,8 @@ def _late(own: Ranked, e: Entries, found: list[bytes]) -> np.ndarray:
 
 
 def _range_ends(chunks: DataFrame, kind: Kind, shards: int) -> list[tuple[int, int]]:
-    """Pairs that cut the first round's pairs into so many ranges of about one size, from a bounded sample of all positions."""
-    n = chunks.count()
+    """Pairs that cut the first round's pairs into ranges of about one size, RANGES at most, from some SAMPLES positions for each."""
+    n, shards = chunks.count(), min(shards, RANGES)
     per = -(-SAMPLES * shards // max(1, min(n, 4096)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +313,7 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
     ends = _range_ends(store.chunks, kind, shards)
     state = None
     for turn, (_, offset, shifts) in enumerate(plan):
-        last, cuts = turn + 1 == len(plan), ends if turn == 0 else []
+        last, cuts = turn + 1 == len(plan), ends if turn == 0 else None
         before, parts = plan[turn - 1][2] if turn else (), PARTS if turn == 0 else 1
 
         def held(batches: Iterator[pa.RecordBatch], before: tuple[int, ...] = before) -> Iterator[tuple[int, Ranked, list[bytes]]]:
@@ -306,16 +327,16 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
                     ids, payloads = group["ids"].to_pylist(), group["payload"].to_pylist()
                     yield group["chunk"][0].as_py(), _reopened(ids[0], payloads[0], before), payloads[1:]
 
-        def send(part: int, offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held, last: bool = last, parts: int = parts) -> Callable:
+        def send(part: int, offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list | None = cuts, held=held, last: bool = last, parts: int = parts) -> Callable:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for number, own, _ in held(batches):
                     e = _entries(own, offset, shifts, cuts, shards)
-                    full = [s for s in e.full.tolist() if s % parts == part]
-                    yield packets(number, full, [_packed(e, s, last) for s in full])
+                    own_part = [(i, s) for i, s in enumerate(e.full.tolist()) if s % parts == part]
+                    yield packets(number, [s for _, s in own_part], [_packed(e, i, last) for i, _ in own_part])
 
             return run
 
-        def rank(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held) -> Iterator[pa.RecordBatch]:
+        def rank(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list | None = cuts, held=held) -> Iterator[pa.RecordBatch]:
             for number, own, found in held(batches):
                 e = _entries(own, offset, shifts, cuts, shards)
                 ranks = np.zeros(len(own.ranks), U64)
@@ -330,7 +351,7 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
                     packed = Ranked(own.ids, own.offsets, left, ranks).packed(shifts)
                     yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([ids], pa.binary()), pa.array([packed], pa.binary())], ["chunk", "ids", "packed"])
 
-        def end(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list = cuts, held=held) -> Iterator[pa.RecordBatch]:
+        def end(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list | None = cuts, held=held) -> Iterator[pa.RecordBatch]:
             for number, own, found in held(batches):
                 late = _late(own, _entries(own, offset, shifts, cuts, shards), found)
                 yield replies(3, [(number, bits(late))] if late.any() else [])

@@ -44,6 +44,7 @@ from .chunks import (
     dealt,
     expanded,
     packets,
+    place_of,
     planes,
     replies,
     runs,
@@ -109,8 +110,8 @@ def _named(store: Store, kind: Kind) -> DataFrame:
             e = _entries(chunk, _words(chunk), found[2][0])
             full, cuts = dealt(np.ascontiguousarray(e.names[:, 0]), shards)
             out = []
-            for s in full:
-                part = slice(cuts[s], cuts[s + 1])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                part = slice(a, b)
                 own, place = np.unique(e.least[part], return_inverse=True)
                 head = np.array([len(place), len(own)], np.int64).tobytes()
                 rest = np.packbits(e.several[part]).tobytes()
@@ -164,10 +165,10 @@ def _passages(store: Store, kind: Kind) -> DataFrame:
                 continue
             words = _words(chunk)
             e = _entries(chunk, words, found[2][0])
-            _, cuts = dealt(np.ascontiguousarray(e.names[:, 0]), shards)
+            full, cuts = dealt(np.ascontiguousarray(e.names[:, 0]), shards)
             first = np.zeros(len(e.names), bool)
             for x in found[3]:
-                s = int(np.frombuffer(x, np.int64, 1)[0])
+                s = place_of(full, int(np.frombuffer(x, np.int64, 1)[0]))
                 first[cuts[s] : cuts[s + 1]] = unbits(x[8:], int(cuts[s + 1] - cuts[s]))
             owner = chunk.document(e.places)
             places = e.places[first[e.entry] & (chunk.ids[owner] == e.least[e.entry])]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kilnwork.llm import bpe, doubling, lattice, minhash, mixing, phrases, quality, queries, secrets, sharding, syncmers
+from kilnwork.llm import bpe, chunks, doubling, lattice, minhash, mixing, phrases, quality, queries, secrets, sharding, syncmers
 from kilnwork.llm.components import Forest, components
 
 WORDS = ["".join(random.Random(i).choice("abcdeé") for _ in range(1 + i % 6)) for i in range(60)]
@@ -283,6 +284,45 @@ def test_doubling(spark, docs, chunk):
     assert doubling.remove_repeats(empty(spark)).count() == 0
 
 
+def test_doubling_with_more_ranges_than_the_sample_cuts(spark, docs, monkeypatch):
+    """Ranges beyond RANGES are cut by a hash: the same bytes go."""
+    want = {i: (r["n_removed"], r["kept_sha256"]) for i, r in by_id(doubling.remove_repeats(docs, spans=False)).items()}
+    whole = doubling.stored
+    monkeypatch.setattr(doubling, "stored", lambda *args: dataclasses.replace(whole(*args), shards=4 * doubling.RANGES))
+    got = {i: (r["n_removed"], r["kept_sha256"]) for i, r in by_id(doubling.remove_repeats(docs, spans=False, chunk=20_000)).items()}
+    assert got == want and sum(n for n, _ in want.values()) > 1000
+
+
+def test_doubling_cuts_equal_pairs_alike():
+    """Of two chunks, for any number of ranges: equal pairs have one range, and only ranges with pairs occur."""
+    rng = np.random.default_rng(5)
+    ends = sorted({(int(a), int(b)) for a, b in rng.integers(0, 9, (30, 2))})
+    for shards in (32, 4 * doubling.RANGES, 1 << 30):
+        seen: dict[tuple[int, int], int] = {}
+        for _ in range(2):
+            pairs = np.unique(rng.integers(0, 9, (60, 2)), axis=0).astype(np.uint64)
+            x, y = rng.permutation(pairs).T
+            by, number = doubling._cut(x, y, np.argsort(x, kind="stable"), ends, shards)
+            full, cuts = chunks.begins(number)
+            assert (np.diff(number.astype(np.int64)) >= 0).all() and (np.diff(cuts) > 0).all() and full.max() < shards and sorted(by) == list(range(len(x)))
+            for s, lo, hi in zip(full, cuts[:-1], cuts[1:], strict=True):
+                assert (np.diff(x[by][lo:hi].astype(np.int64)) >= 0).all()
+                for a, b in zip(x[by][lo:hi].tolist(), y[by][lo:hi].tolist(), strict=True):
+                    assert seen.setdefault((a, b), int(s)) == int(s)
+
+
+def test_cutting_goes_by_the_shards_that_occur():
+    hashes = np.sort(np.random.default_rng(3).integers(0, 2**64, 500, dtype=np.uint64))
+    for shards in (1, 16, 1 << 40):
+        full, cuts = chunks.dealt(hashes, shards)
+        own = [int(h) * shards >> 64 for h in hashes]
+        assert full.tolist() == sorted(set(own)) and [own[a] for a in cuts[:-1]] == full.tolist() and cuts[-1] == 500 and len(cuts) <= 501
+    assert chunks.place_of(full, int(full[7])) == 7
+    with pytest.raises(ValueError):
+        chunks.place_of(full, int(full[7]) + 1 if full[8] != full[7] + 1 else -1)
+    assert [x.tolist() for x in chunks.dealt(hashes[:0], 16)] == [[], [0]]
+
+
 def test_doubling_of_other_lengths_and_odd_ids(spark):
     assert doubling.steps(50) == [(8, 8, (0, 16, 18, 34)), (16, 16, (0, 18)), (32, 18, (0,))]
     with pytest.raises(ValueError):
