@@ -132,45 +132,70 @@ def _started(chunk: Chunk, flags: bytes) -> Ranked:
 
 @dataclass
 class Entries:
-    """The distinct pairs of a chunk: positions, the entry of each, the pairs by (range, first rank), and of each entry the
-    smallest id and whether two documents have it; the ranges that occur and where each begins, with the end."""
-
-    places: np.ndarray
-    entry: np.ndarray
-    a: np.ndarray
-    b: np.ndarray
-    least: np.ndarray
-    several: np.ndarray
+    """The distinct pairs of a chunk by (range, first rank): how many, the ranges that occur and where each begins, with the end. What is
+    not asked for is None: for those who send, the pairs and of each the smallest id or whether two documents have it; for those who
+    get answers, positions, the entry of each, and the smallest ids."""
+
+    size: int
     full: np.ndarray
     cuts: np.ndarray
+    a: np.ndarray | None = None
+    b: np.ndarray | None = None
+    least: np.ndarray | None = None
+    several: np.ndarray | None = None
+    places: np.ndarray | None = None
+    entry: np.ndarray | None = None
 
 
-def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple[int, int]] | None, shards: int) -> Entries:
-    """ends: the pairs at which ranges end, in the first round; later (None), the ranges are those of the first ranks."""
+def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple[int, int]] | None, shards: int, last: bool, part: int | None = None, parts: int = 1) -> Entries:
+    """ends: the pairs at which ranges end, in the first round; later (None), the ranges are those of the first ranks. part: for those who
+    send, the remainder by parts of the ranges that are sent; what is left of other ranges is in the order it has among all."""
     q = _shifted(own.windows, shifts)
-    a, b, doc = own.ranks[q], own.ranks[q + offset], np.searchsorted(own.offsets, q, "right") - 1
+    a, b = own.ranks[q], own.ranks[q + offset]
     # equal pairs next to each other, by a hash with the position below it; two pairs of one hash only make entries in excess
     low = U64(max(1, int(len(q)).bit_length()))
-    order = np.sort((mixed(a * ODD + b) >> low << low) | np.arange(len(q), dtype=U64))
-    order = (order & ((U64(1) << low) - U64(1))).astype(np.int64)
+    keys = (mixed(a * ODD + b) >> low << low) | np.arange(len(q), dtype=U64)
+    if part is not None and parts > 1:
+        keys = keys[_maybe(a, b, ends, shards, part, parts)]
+    order = (np.sort(keys) & ((U64(1) << low) - U64(1))).astype(np.int64)
     x, y = a[order], b[order]
-    new = np.ones(len(q), bool)
+    new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     heads = np.flatnonzero(new)
-    entry = np.empty(len(q), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    x, y, owner = x[heads], y[heads], own.ids[doc[order]]
-    least = np.minimum.reduceat(owner, heads) if len(heads) else owner
-    several = (np.maximum.reduceat(owner, heads) if len(heads) else owner) > least
+    x, y = x[heads], y[heads]
     by = _stable(x)
     if ends is not None:
         by, number = _cut(x, y, by, ends, shards)
     else:
         number = (x[by] >> U64(LOCAL)) - U64(1)
     full, cuts = begins(number)
+    out = Entries(len(x), full.astype(np.int64), cuts)
+    if part is not None or last:
+        owner = own.ids[np.searchsorted(own.offsets, q, "right") - 1][order]
+        least = np.minimum.reduceat(owner, heads) if len(heads) else owner
+        if last:
+            out.least = least[by]
+        else:
+            out.several = ((np.maximum.reduceat(owner, heads) if len(heads) else owner) > least)[by]
+    if part is not None:
+        out.a, out.b = x[by], y[by]
+        return out
     place = np.empty(len(x), np.int64)
     place[by] = np.arange(len(x))
-    return Entries(q, place[entry], x[by], y[by], least[by], several[by], full.astype(np.int64), cuts)
+    out.places, out.entry = q, np.empty(len(q), np.int64)
+    out.entry[order] = place[np.cumsum(new) - 1]
+    return out
+
+
+def _maybe(a: np.ndarray, b: np.ndarray, ends: list[tuple[int, int]] | None, shards: int, part: int, parts: int) -> np.ndarray:
+    """Whether a pair may be in a range of the part: for certain, but where a first half has several ranges."""
+    if (inside := shards // RANGES) > 1:
+        return (mixed(b) & U64(inside - 1)) % U64(parts) == U64(part)
+    if not ends:
+        return np.full(len(a), part == 0)
+    first = np.array([x for x, _ in ends], U64)
+    number = np.searchsorted(first, a)
+    return (number % parts == part) | (first[np.minimum(number, len(first) - 1)] == a)
 
 
 def _cut(x: np.ndarray, y: np.ndarray, by: np.ndarray, ends: list[tuple[int, int]], shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,11 +238,18 @@ def _unpacked(packed: bytes, last: bool) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _stable(x: np.ndarray) -> np.ndarray:
-    """The stable order of numbers: where they leave room, places are sorted with them, in one plain sort."""
-    low = int(len(x)).bit_length()
-    if len(x) and int(x.max() - x.min()).bit_length() + low <= 64:
-        return (np.sort((x - x.min()) << U64(low) | np.arange(len(x), dtype=U64)) & U64((1 << low) - 1)).astype(np.int64)
-    return np.argsort(x, kind="stable")
+    """The stable order of numbers: places are sorted with them, in one plain sort where both fit into 64 bits, else in two, by the lower
+    bits, then by the upper ones."""
+    n = int(len(x)).bit_length()
+    low, mask = U64(n), U64((1 << n) - 1)
+    places = np.arange(len(x), dtype=U64)
+    if not len(x) or n > 32:
+        return np.argsort(x, kind="stable")
+    x = x - x.min()
+    by = (np.sort(x << low | places) & mask).astype(np.int64)  # the shift leaves the lower bits alone
+    if int(x.max()).bit_length() + n > 64:
+        by = by[(np.sort((x >> U64(64 - n))[by] << low | places) & mask).astype(np.int64)]
+    return by
 
 
 def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,7 +299,7 @@ def _sorted(pairs: DataFrame, shards: int, last: bool) -> DataFrame:
 
 def _ranks(e: Entries, found: list[bytes]) -> np.ndarray:
     """The new rank of each position."""
-    rank = np.zeros(len(e.a), U64)
+    rank = np.zeros(e.size, U64)
     for x in found:
         s = int(np.frombuffer(x, np.int64, 1)[0])
         p = place_of(e.full, s)
@@ -280,7 +312,7 @@ def _ranks(e: Entries, found: list[bytes]) -> np.ndarray:
 
 def _late(own: Ranked, e: Entries, found: list[bytes]) -> np.ndarray:
     """Whether each position's window starts in a smaller id."""
-    late = np.zeros(len(e.a), bool)
+    late = np.zeros(e.size, bool)
     for x in found:
         s = place_of(e.full, int(np.frombuffer(x, np.int64, 1)[0]))
         late[int(e.cuts[s]) : int(e.cuts[s + 1])] = unbits(x[8:], int(e.cuts[s + 1] - e.cuts[s]))
@@ -330,7 +362,7 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
         def send(part: int, offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list | None = cuts, held=held, last: bool = last, parts: int = parts) -> Callable:
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for number, own, _ in held(batches):
-                    e = _entries(own, offset, shifts, cuts, shards)
+                    e = _entries(own, offset, shifts, cuts, shards, last, part, parts)
                     own_part = [(i, s) for i, s in enumerate(e.full.tolist()) if s % parts == part]
                     yield packets(number, [s for _, s in own_part], [_packed(e, i, last) for i, _ in own_part])
 
@@ -338,7 +370,7 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
 
         def rank(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list | None = cuts, held=held) -> Iterator[pa.RecordBatch]:
             for number, own, found in held(batches):
-                e = _entries(own, offset, shifts, cuts, shards)
+                e = _entries(own, offset, shifts, cuts, shards, False)
                 ranks = np.zeros(len(own.ranks), U64)
                 ranks[e.places] = _ranks(e, found)
                 windows = np.flatnonzero(own.windows)
@@ -353,7 +385,7 @@ def _late_windows(store: Store, kind: Kind) -> DataFrame:
 
         def end(batches: Iterator[pa.RecordBatch], offset: int = offset, shifts: tuple[int, ...] = shifts, cuts: list | None = cuts, held=held) -> Iterator[pa.RecordBatch]:
             for number, own, found in held(batches):
-                late = _late(own, _entries(own, offset, shifts, cuts, shards), found)
+                late = _late(own, _entries(own, offset, shifts, cuts, shards, True), found)
                 yield replies(3, [(number, bits(late))] if late.any() else [])
 
         rows = with_chunks(store.chunks, [store.open]) if state is None else state.select("chunk", F.lit(0).alias("role"), "ids", F.col("packed").alias("payload"))

@@ -311,6 +311,30 @@ def test_doubling_cuts_equal_pairs_alike():
                     assert seen.setdefault((a, b), int(s)) == int(s)
 
 
+def test_doubling_sends_in_parts_what_it_would_send_at_once():
+    """Packets of the parts are those of all ranges together, in one order, and a stable order of numbers of any width."""
+    rng = np.random.default_rng(8)
+    data = rng.choice(np.frombuffer(b"ab", np.uint8), 3000)
+    for width in (1, 20, 40, 63, 64):
+        for n in (0, 1, 2, 5000):
+            x = rng.integers(0, 2**width, n, dtype=np.uint64, endpoint=False) if width < 64 else rng.integers(0, 2**64, n, dtype=np.uint64)
+            x = np.concatenate([x, x])
+            assert (doubling._stable(x) == np.argsort(x, kind="stable")).all()
+    own = doubling.Ranked(np.array([4, 9]), np.array([0, 1700, 3000]), np.arange(3000) < 2950, doubling._values(data))
+    v = own.ranks
+    ends = sorted({(int(v[i]), int(v[i + 8])) for i in range(0, 2900, 50)})
+    assert len({a for a, _ in ends}) < len(ends)  # some first halves are cut inside
+    for shards in (64, 4 * doubling.RANGES):
+        for last in (False, True):
+            whole = doubling._entries(own, 8, (0, 16), ends, shards, last, 0)
+            parts = [doubling._entries(own, 8, (0, 16), ends, shards, last, i, 2) for i in range(2)]
+            got = {s: doubling._packed(parts[i], j, last) for i in range(2) for j, s in enumerate(parts[i].full.tolist()) if s % 2 == i}
+            assert got == {s: doubling._packed(whole, j, last) for j, s in enumerate(whole.full.tolist())}
+            back = doubling._entries(own, 8, (0, 16), ends, shards, last)
+            assert (back.full == whole.full).all() and (back.cuts == whole.cuts).all()
+            assert (whole.a[back.entry] == v[back.places]).all() and (whole.b[back.entry] == v[back.places + 8]).all()
+
+
 def test_cutting_goes_by_the_shards_that_occur():
     hashes = np.sort(np.random.default_rng(3).integers(0, 2**64, 500, dtype=np.uint64))
     for shards in (1, 16, 1 << 40):
