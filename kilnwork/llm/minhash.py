@@ -11,7 +11,8 @@ largest component decide: at most NODE of them are compared to all rows of the n
 
 Every candidate is confirmed on the full sets, rebuilt from the whole texts. At a similarity of 0.75, a tree finds a pair
 with probability 0.75 in its root node and 2/3 at any depth, and each sketch test keeps all but one in 10^5: of such links one in 30,000 is
-missed, one in 6,000 where all the root nodes are large, and fewer the more alike the sets are.
+missed, one in 6,000 where all the root nodes are large, and fewer the more alike the sets are. More trees miss fewer: trees_for
+tells how many meet a target recall where all nodes branch.
 
 Defined cases: a null text, an empty one or one without words has the empty set and links with nothing; rows repeated whole are
 copies; component_id is the smallest id reachable; the other columns are ignored.
@@ -108,29 +109,50 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), TOKENS)
 
 
-def _roots(classes: DataFrame) -> DataFrame:
+def tree_recall(percent: int = PERCENT) -> float:
+    """The least share of links at the threshold that one tree finds, however deep it branches: of a node's BRANCH children one at least
+    must be shared and find the pair below it."""
+    p, found = percent / 100, 1.0
+    for _ in range(1000):
+        found = 1 - (1 - p * found) ** BRANCH
+    return p * found
+
+
+def trees_for(recall: float, percent: int = PERCENT) -> int:
+    """Trees that find this share (below 1) of the links at the threshold, even where all of a document's nodes branch."""
+    if not 0 < recall < 1:
+        raise ValueError("recall must be between 0 and 1")
+    one, n = tree_recall(percent), 1
+    if one < 0.05:
+        raise ValueError(f"paths of sets that are {percent} % alike die out: recall can't be targeted")
+    while (1 - one) ** n > 1 - recall:
+        n += 1
+    return n
+
+
+def _roots(classes: DataFrame, trees: int = TREES) -> DataFrame:
     """(node, rep) for each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = _tokens(batch["tokens"])[:, :TREES].astype(U64)
-            nodes = mixed(values * ODD + np.arange(1, TREES + 1, dtype=U64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["rep"].to_numpy(), TREES))], ["node", "rep"])
+            values = _tokens(batch["tokens"])[:, :trees].astype(U64)
+            nodes = mixed(values * ODD + np.arange(1, trees + 1, dtype=U64))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.reshape(-1).view(np.int64)), pa.array(np.repeat(batch["rep"].to_numpy(), trees))], ["node", "rep"])
 
     return classes.select("rep", "tokens").mapInArrow(run, "node long, rep long")
 
 
-def _branched(rows: DataFrame) -> DataFrame:
+def _branched(rows: DataFrame, trees: int = TREES) -> DataFrame:
     """The children of (node, rep, comp, tokens): BRANCH minwise tokens, chosen by the node among those no root uses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, node = _tokens(batch["tokens"]), batch["node"].to_numpy().view(U64)
-            at, spare = np.arange(len(node)), TOKENS - TREES
+            at, spare = np.arange(len(node)), TOKENS - trees
             one = mixed(node + ODD) % U64(spare)
             out = []
             for i in range(BRANCH):
-                place = ((one + U64(i) * (U64(1) + mixed(node) % U64(spare - 1))) % U64(spare)).astype(np.int64) + TREES
+                place = ((one + U64(i) * (U64(1) + mixed(node) % U64(spare - 1))) % U64(spare)).astype(np.int64) + trees
                 out.append(mixed(mixed(node + values[at, place]) + place.astype(U64)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(batch["rep"].to_numpy(), BRANCH)), pa.array(np.tile(batch["comp"].to_numpy(), BRANCH))], ["node", "rep", "comp"])
 
@@ -299,7 +321,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "pa", "pb").mapInArrow(check, "a long, b long")
 
 
-def _looked_through(rows: DataFrame, count: int, classes: DataFrame, docs: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def _looked_through(rows: DataFrame, count: int, classes: DataFrame, docs: DataFrame, percent: int, trees: int = TREES) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b): the alike pairs of different components in the trees below the rows (node, rep, comp); and links of dense nodes."""
     found, links = None, []
     for depth in range(DEPTH + 1):
@@ -320,24 +342,27 @@ def _looked_through(rows: DataFrame, count: int, classes: DataFrame, docs: DataF
         found = pairs if found is None else found.unionByName(pairs)
         if depth == DEPTH or sizes.filter(~final).isEmpty():
             return found, links
-        rows = written(_branched(live.filter(~final)), "rows")
+        rows = written(_branched(live.filter(~final), trees), "rows")
         count = BRANCH * n
     raise AssertionError
 
 
-def near_duplicates(df: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each document; links: Jaccard similarity of percent / 100 or more."""
+def near_duplicates(df: DataFrame, percent: int = PERCENT, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each document; links: Jaccard similarity of percent / 100 or more. trees: half of TOKENS at
+    most, as a node's branches need tokens that are no root's; see trees_for."""
+    if not 1 <= trees <= TOKENS // 2:
+        raise ValueError(f"trees must be between 1 and {TOKENS // 2}")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = written(_sketched(docs), "sketches")
     classes = written(rows.filter("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("fine").alias("fine")), "classes")
-    roots = written(_roots(classes), "roots")
+    roots = written(_roots(classes, trees), "roots")
     count = roots.count()
     stars = written(_stars(roots, count, classes, percent), "tied")
     tied = written(_confirmed(stars, docs, percent), "links")
     first = components(tied)
     n = 2 * tied.count()
     roots = roots.join(small(first.select(F.col("id").alias("rep"), F.col("root").alias("comp")), n), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
-    pairs, dense = _looked_through(roots, count, classes, docs, percent)
+    pairs, dense = _looked_through(roots, count, classes, docs, percent, trees)
     more = _confirmed(written(pairs.distinct(), "pairs"), docs, percent)
     for links in dense:
         more = more.unionByName(links)

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kilnwork.llm import bpe, chunks, doubling, lattice, minhash, mixing, phrases, quality, queries, secrets, sharding, syncmers
+from kilnwork.llm.common import written
 from kilnwork.llm.components import Forest, components
 
 WORDS = ["".join(random.Random(i).choice("abcdeé") for _ in range(1 + i % 6)) for i in range(60)]
@@ -248,6 +249,46 @@ def test_minhash_finds_pairs_just_above_the_threshold(spark, least):
     assert all(got[b]["component_id"] == a for a, b in want)
 
 
+def test_minhash_trees_meet_their_recall_where_all_nodes_branch(spark, monkeypatch):
+    """Pairs whose similarity is 0.75 to 0.80, told by sets alone, in two trees of which no node is compared before depth 5."""
+    monkeypatch.setattr(minhash, "NODE", 0)
+    monkeypatch.setattr(minhash, "DEPTH", 5)
+    rng, rows, n, least = np.random.default_rng(75), [], 2000, 1.0
+    for i in range(n):
+        size, part = int(rng.integers(200, 400)), rng.uniform(0.75, 0.8)
+        both = int(np.ceil(part * size))
+        least = min(least, both / size)
+        pool = rng.integers(0, 2**64, size, np.uint64)
+        mine = both + (size - both) // 2
+        for k, own in enumerate((pool[:mine], np.concatenate([pool[:both], pool[mine:]]))):
+            hashes = np.sort(own)
+            rows.append((2 * i + k, len(hashes), minhash.sketch(hashes).tobytes(), minhash.fine_sketch(hashes).tobytes()))
+    assert least >= 0.75
+    classes = written(spark.createDataFrame(rows, "rep long, n long, tokens binary, fine binary").repartition(8), "classes")
+    roots = written(minhash._roots(classes, 2).withColumn("comp", F.col("rep")), "roots")
+    pairs, dense = minhash._looked_through(roots, roots.count(), classes, None, 75, 2)
+    assert not dense
+    found = {r["a"] for r in pairs.distinct().collect() if r["a"] % 2 == 0 and r["b"] == r["a"] + 1}
+    recall = len(found) / n
+    print("recall of two trees", recall)
+    assert recall >= 1 - (1 - minhash.tree_recall()) ** 2 - 0.02
+    assert recall < 1  # the regime is the one meant: a tree alone misses some
+
+
+def test_minhash_trees_for_a_recall(spark, docs):
+    assert abs(minhash.tree_recall() - 2 / 3) < 1e-9
+    assert [minhash.trees_for(x) for x in (0.5, 0.9, 0.9998, 0.9999999)] == [1, 3, 8, 15]
+    for bad in (0, 1):
+        with pytest.raises(ValueError):
+            minhash.trees_for(bad)
+    with pytest.raises(ValueError):
+        minhash.trees_for(0.9, 40)
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(docs, trees=33)
+    few, many = (by_id(minhash.near_duplicates(docs, trees=t)) for t in (8, 16))
+    assert few == many
+
+
 def removed(units, size, seen, i):
     keys = [units[k : k + size] for k in range(len(units) - size + 1)]
     gone = np.zeros(len(units), bool)
