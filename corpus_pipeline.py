@@ -6,7 +6,7 @@ the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm import bpe, minhash, mixing, quality, queries, secrets
@@ -26,11 +26,16 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Ids stay or go as a whole: of rows with one id and different texts all stay if one does. Of rows with one id and one text, null ids
     included, one stays, the first by its other columns. Null, empty and blank texts are near-duplicates of nothing.
     """
-    kept = minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(docs.filter("doc_id is null"))
-    order = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.col("doc_id")]
-    place = F.row_number().over(Window.partitionBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()).orderBy(*order))
-    return first.withColumn("__place", place).filter("__place = 1").drop("__place")
+    ids = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    ids = written(ids.filter("__kept and doc_id is not null").select(F.col("doc_id").alias("__id"), "__n"), "kept-ids")
+    rows = lambda which: docs.join(ids.filter(which), F.col("doc_id") == F.col("__id"), "left_semi")
+    several = rows("__n > 1").unionByName(docs.filter("doc_id is null"))
+    # a minimum is combined before the shuffle: a row that occurs very often costs one a task, and rows of one text carry it once
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = [F.min(F.struct(*others)).alias("__first")] if others else []
+    group = several.groupBy("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()).agg(F.first("text").alias("text"), *first)
+    one = group.select(*[F.col(f"__first.{c}").alias(c) if c in others else F.col(c) for c in docs.columns])
+    return rows("__n = 1").unionByName(one)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
