@@ -42,9 +42,9 @@ def byte_letters() -> str:
 
 
 class Words:
-    """Encodes words by one tokenizer's merges."""
+    """Encodes words by one tokenizer's merges. remembered words and paired tokens bound a worker's memory (some 60 MB), not the result."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 100_000, paired: int = 250_000):
         import ahocorasick
 
         with open(path, encoding="utf-8") as f:
@@ -55,7 +55,7 @@ class Words:
         self.vocab = model["vocab"]
         self.names = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in held["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
-        self.suffix, self.remembered = suffix, remembered
+        self.suffix, self.remembered, self.paired = suffix, remembered, paired
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.rank = {(self.vocab[a], self.vocab[b]): n for n, (a, b) in enumerate(pairs)}
         #: Of a token that a merge makes: its rank and parts.
@@ -92,7 +92,7 @@ class Words:
                 n = self.rank.get((x, y), _INF)
                 if n < x_until and n <= y_until:
                     found = False
-        if len(self.agree) >= 1_000_000:
+        if len(self.agree) >= self.paired:
             self.agree.clear()
         self.agree[a, b] = found
         return found

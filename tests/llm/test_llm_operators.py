@@ -275,6 +275,15 @@ def test_minhash_trees_meet_their_recall_where_all_nodes_branch(spark, monkeypat
     assert recall < 1  # the regime is the one meant: a tree alone misses some
 
 
+def test_bpe_does_not_depend_on_what_is_remembered():
+    path, rng = queries.tokenizer_path(), random.Random(1)
+    full, few, split = bpe.Words(path), bpe.Words(path, remembered=50, paired=20), bpe.splitter(path)
+    for _ in range(300):
+        t = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé1-") for _ in range(rng.randrange(1, 12))) for _ in range(40))
+        assert bpe.encoded(t, full, split) == bpe.encoded(t, few, split)
+    assert len(few.known) <= 50 and len(few.agree) <= 20
+
+
 def test_minhash_trees_for_a_recall(spark, docs):
     assert abs(minhash.tree_recall() - 2 / 3) < 1e-9
     assert [minhash.trees_for(x) for x in (0.5, 0.9, 0.9998, 0.9999999)] == [1, 3, 8, 15]
