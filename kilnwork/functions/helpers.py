@@ -13,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .grams import slices
+
+#: Tokens whose n-grams are counted at once: some 30 numbers are held for each.
+COUNTED = 1 << 17
 #: Fixed value: the prefix that hides all node texts, put before each picture.
 HIDE = "\\tikzset{every node/.append style={text opacity=0}}\n"
 _PICTURE = "\\begin{tikzpicture}"
@@ -138,6 +142,20 @@ def token_edit_distance(a: Column | str, b: Column | str, limit: int | None = No
     return run(a, b)
 
 
+def _numbered(known: dict[int, np.ndarray], left: np.ndarray, n: int) -> np.ndarray:
+    """A number for the n-gram that starts at each token; -1 where fewer are left. No closure: one that calls itself is a cycle, and would hold
+    the numbers of every batch until Python looks for cycles."""
+    if n not in known:
+        half = (n + 1) // 2
+        own, shift = _numbered(known, left, half), n - half
+        whole = np.flatnonzero(left >= n)
+        out = np.full(len(own), -1)
+        if len(whole):
+            out[whole] = np.unique(own[whole] * (own.max() + 2) + own[whole + shift] + 1, return_inverse=True)[1]
+        known[n] = out
+    return known[n]
+
+
 def _coverages(tokens: pa.ListArray, orders: list[int], least: int) -> pa.Array:
     """Of each list and order the share of n-grams that occur so often in it. Tokens are numbered, and an n-gram is the pair of two
     shorter, overlapping ones; the first of a pair holds the list's number, so that lists are counted apart."""
@@ -147,21 +165,9 @@ def _coverages(tokens: pa.ListArray, orders: list[int], least: int) -> pa.Array:
     left = np.repeat(lengths, lengths) - (np.arange(len(row)) - starts[row])  # tokens of the list from here on
     known: dict[int, np.ndarray] = {1: np.unique(row * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1].astype(np.int64)}
 
-    def numbered(n: int) -> np.ndarray:
-        """A number for the n-gram that starts at each token; -1 where fewer are left."""
-        if n not in known:
-            half = (n + 1) // 2
-            own, shift = numbered(half), n - half
-            whole = np.flatnonzero(left >= n)
-            out = np.full(len(own), -1)
-            if len(whole):
-                out[whole] = np.unique(own[whole] * (own.max() + 2) + own[whole + shift] + 1, return_inverse=True)[1]
-            known[n] = out
-        return known[n]
-
     values = np.zeros((len(lengths), len(orders)))
     for i, n in enumerate(orders):
-        whole = numbered(n)
+        whole = _numbered(known, left, n)
         at = np.flatnonzero(left >= n)
         if len(at):
             often = np.bincount(whole[at])[whole[at]] >= least
@@ -173,8 +179,11 @@ def _coverages(tokens: pa.ListArray, orders: list[int], least: int) -> pa.Array:
 def ngram_coverages(tokens: Column | str, orders: list[int], min_count: int = 3) -> Column:
     """A3. array<double>: for each order the share of the n-grams that occur min_count times at least in this sample; 0 if it has none."""
 
+    most = COUNTED
+
     @F.arrow_udf("array<double>")
     def run(tokens: pa.Array) -> pa.Array:
-        return _coverages(tokens, orders, min_count)
+        parts = [_coverages(tokens.slice(a, b - a), orders, min_count) for a, b in slices(tokens, most)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
     return run(tokens)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +173,27 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
 
     with pytest.raises(RuntimeError):
         scratch(Session, "x")
+
+
+def test_coverage_holds_nothing_of_earlier_batches():
+    tokens = pa.array([[f"w{(i * i + j) % 97}" for j in range(500)] for i in range(200)], pa.list_(pa.string()))
+    helpers._coverages(tokens, [2, 3, 4, 6], 3)
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(3):
+            helpers._coverages(tokens, [2, 3, 4, 6], 3)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert held < 500_000 and peak < 400 * 100_000
+
+
+def test_coverage_of_many_lists_is_counted_in_slices(spark, monkeypatch):
+    rows = [(i, [f"w{(i + j) % (i + 1)}" for j in range(i)]) for i in range(40)] + [(40, None), (41, [])]
+    df = spark.createDataFrame(rows, "i int, t array<string>").coalesce(1)
+    whole = {r["i"]: r["c"] for r in df.select("i", helpers.ngram_coverages("t", [2, 6]).alias("c")).collect()}
+    monkeypatch.setattr(helpers, "COUNTED", 7)
+    assert whole == {r["i"]: r["c"] for r in df.select("i", helpers.ngram_coverages("t", [2, 6]).alias("c")).collect()}
