@@ -5,14 +5,16 @@ White space and line breaks are those of Unicode plus U+001C to U+001F, as scrip
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space, line breaks, number literals (in code, in lines) and tokens.
 WS = "[\\s\\x1c-\\x1f]"
-BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+BREAK = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029](?:(?<=\\r)\\n)?"
 NUMBER = "(?U)(?<![A-Za-z])[-+]?(?:\\d+\\.\\d*|\\.\\d+|\\d+)(?:[eE][-+]?\\d+)?"
-LINE_NUMBER = "(?U)[-+]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][-+]?\\d+)?"
+LINE_NUMBER = "(?U)(?=[-+.\\d])[-+]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][-+]?\\d+)?"
 #: Fixed order of alternatives: command, number mark, name, arrows, any other character.
 TOKEN = "(?U)\\\\[A-Za-z@]+|NUM|[A-Za-z_][A-Za-z0-9_]*|--|->|<-|<->|[^\\s\\x1c-\\x1f]"
 
@@ -27,8 +29,7 @@ def strip(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """The lines, without an empty one after the last break; no line for an empty text."""
-    cut = F.split(c, BREAK, -1)
-    return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    return once(F.split(c, BREAK, -1), lambda cut: F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut))
 
 
 def normalize_code(c: Column | str) -> Column:
@@ -40,6 +41,11 @@ def normalize_code(c: Column | str) -> Column:
     return strip(F.regexp_replace(t, "(?U)(?:(?!\\n)[\\s\\x1f])+(?=\\n|\\z)", ""))
 
 
+def once(x: Column, of: Callable[[Column], Column]) -> Column:
+    """of(x), with x computed once a row however often it is used."""
+    return F.element_at(F.transform(F.array(x), of), 1)
+
+
 def code_hash(c: Column | str) -> Column:
     """P2. SHA-256 of the normalised code, "" if that is empty."""
     code = normalize_code(c)
@@ -164,8 +170,7 @@ def longest_run(rows: Column) -> Column:
 
 def line_repetition_ratio(c: Column | str) -> Column:
     """P17. 1 - distinct / all normal lines, 0 for none."""
-    rows = normal_lines(c)
-    return F.when(F.size(rows) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(rows)) / F.size(rows))
+    return once(normal_lines(c), lambda rows: F.when(F.size(rows) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(rows)) / F.size(rows)))
 
 
 def code_structure(c: Column | str) -> Column:
