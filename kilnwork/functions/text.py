@@ -34,7 +34,7 @@ def lines(c: Column) -> Column:
 
 def normalize_code(c: Column | str) -> Column:
     """P1. Line breaks to LF; one code fence at each end off; lines and text stripped; null: ""."""
-    t = strip(F.regexp_replace(text_of(c), "\\r\\n|\\r", "\n"))
+    t = strip(F.regexp_replace(text_of(c), "\\r\\n?", "\n"))
     t = F.regexp_replace(t, f"(?iU)\\A```(?:latex|tex|tikz)?{WS}*", "")
     t = F.regexp_replace(t, f"(?U){WS}*```\\z", "")
     t = F.regexp_replace(t, BREAK, "\n")
@@ -48,8 +48,7 @@ def once(x: Column, of: Callable[[Column], Column]) -> Column:
 
 def code_hash(c: Column | str) -> Column:
     """P2. SHA-256 of the normalised code, "" if that is empty."""
-    code = normalize_code(c)
-    return F.when(code == "", F.lit("")).otherwise(F.sha2(code.cast("binary"), 256))
+    return once(normalize_code(c), lambda code: F.when(code == "", F.lit("")).otherwise(F.sha2(code.cast("binary"), 256)))
 
 
 def strip_comments(c: Column | str) -> Column:

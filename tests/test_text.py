@@ -169,6 +169,7 @@ def test_document_and_log(spark):
 def test_text_expressions_are_computed_once_and_equal_to_plain_ones(spark):
     """The text of a row is normalised, cut or trimmed once, not once for each use of the result."""
     plan = lambda c: spark.createDataFrame([("a",)], "t string").select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(text.code_hash("t")).count("tikz") == 1
     assert plan(text.line_repetition_ratio("t")).count("split(") == 1
     rows = ["", "\n", "\r\n", "a\r\n\r\nb\r", "a % b \\% c\u2028% d\n\n%", "a\\%b\r%\rc\n", "\x0b\x85x\x1c", "__é_a b__", "_ _", "ÄÖ1.5 a-1.5e3+2 x1 .5", None, "a--b->c<-d<->e \\cmd@x NUM _a1 é ٣"]
     got = spark.createDataFrame(list(enumerate(rows)), "i int, t string").select("t", text.strip_comments("t").alias("c"), text.slug("t").alias("s"), text.tokenize_code("t").alias("k")).collect()
