@@ -6,6 +6,7 @@ White space and line breaks are those of Unicode plus U+001C to U+001F, as scrip
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_letters, digits
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 # White space, line breaks, number literals (in code, in lines) and tokens.
 WS = "[\\s\\x1c-\\x1f]"
 BREAK = "[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029](?:(?<=\\r)\\n)?"
-NUMBER = "(?U)(?<![A-Za-z])[-+]?(?:\\d+\\.\\d*|\\.\\d+|\\d+)(?:[eE][-+]?\\d+)?"
+NUMBER = "(?U)(?=[-+.\\d])(?<![A-Za-z])[-+]?(?:\\d+\\.\\d*|\\.\\d+|\\d+)(?:[eE][-+]?\\d+)?"
 LINE_NUMBER = "(?U)(?=[-+.\\d])[-+]?(?:\\d+(?:\\.\\d*)?|\\.\\d+)(?:[eE][-+]?\\d+)?"
-#: Fixed order of alternatives: command, number mark, name, arrows, any other character.
-TOKEN = "(?U)\\\\[A-Za-z@]+|NUM|[A-Za-z_][A-Za-z0-9_]*|--|->|<-|<->|[^\\s\\x1c-\\x1f]"
+#: Letters one by one: a class of single characters is looked up in a table, one of ranges is not. Fixed order of alternatives: command, number mark, name, arrows, any other character.
+TOKEN = f"(?U)\\\\[{ascii_letters}@]+|NUM|[{ascii_letters}_][{ascii_letters}{digits}_]*|--|->|<-|<->|[^\\s\\x1c-\\x1f]"
 
 
 def text_of(c: Column | str) -> Column:
@@ -52,8 +53,9 @@ def code_hash(c: Column | str) -> Column:
 
 
 def strip_comments(c: Column | str) -> Column:
-    """P3. Each line up to the first % without a backslash before it."""
-    return F.array_join(F.transform(lines(text_of(c)), lambda x: F.regexp_replace(x, "(?s)(?<!\\\\)%.*\\z", "")), "\n")
+    """P3. Each line up to the first % without a backslash before it. Lines are cut in the whole text, not one by one."""
+    whole = F.regexp_replace(F.regexp_replace(text_of(c), BREAK, "\n"), "\\n\\z", "")
+    return F.regexp_replace(whole, "(?<!\\\\)%[^\\n]*+", "")
 
 
 def normalize_numbers(c: Column | str, token: str = "NUM") -> Column:
