@@ -12,8 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SEP = "\u0001"
-#: Tokens that are numbered at once.
-TOKENS = 1 << 20
+#: Tokens that are numbered at once: some 30 numbers are held for each.
+TOKENS = 1 << 18
 U64 = np.uint64
 _ODD, _OTHER = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
 

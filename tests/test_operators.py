@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kilnwork.functions import helpers, scores
+from kilnwork.functions import grams, helpers, scores
 from kilnwork.operators import clustering, dedup, ngrams, render, scoring, training
 from kilnwork.operators import select as sel
 from kilnwork.operators.places import numbered
@@ -197,3 +197,11 @@ def test_coverage_of_many_lists_is_counted_in_slices(spark, monkeypatch):
     whole = {r["i"]: r["c"] for r in df.select("i", helpers.ngram_coverages("t", [2, 6]).alias("c")).collect()}
     monkeypatch.setattr(helpers, "COUNTED", 7)
     assert whole == {r["i"]: r["c"] for r in df.select("i", helpers.ngram_coverages("t", [2, 6]).alias("c")).collect()}
+
+
+def test_lists_are_numbered_some_200_000_tokens_at_once():
+    lengths = [1000, 0, 7] * 400
+    lists = pa.array([["a"] * n for n in lengths], pa.list_(pa.string()))
+    runs = list(grams.slices(lists))
+    assert [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]] and runs[-1][1] == len(lengths)
+    assert all(sum(lengths[a:b]) <= 1 << 18 for a, b in runs)
