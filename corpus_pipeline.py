@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm import bpe, minhash, mixing, quality, queries, secrets
-from kilnwork.llm.common import written
+from kilnwork.llm.common import small, written
 from kilnwork.plans.paths import ship
 
 
@@ -28,7 +28,8 @@ def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ids = minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
     ids = written(ids.filter("__kept and doc_id is not null").select(F.col("doc_id").alias("__id"), "__n"), "kept-ids")
-    rows = lambda which: docs.join(ids.filter(which), F.col("doc_id") == F.col("__id"), "left_semi")
+    n = ids.count()  # few enough ids go to the texts, else texts are shuffled by id
+    rows = lambda which: docs.join(small(ids.filter(which), n), F.col("doc_id") == F.col("__id"), "left_semi")
     several = rows("__n > 1").unionByName(docs.filter("doc_id is null"))
     # a minimum is combined before the shuffle: a row that occurs very often costs one a task, and rows of one text carry it once
     others = [c for c in docs.columns if c not in ("doc_id", "text")]

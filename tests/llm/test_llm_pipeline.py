@@ -76,3 +76,17 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert clean[5] == ("<assign>", 8) and clean[2] == (None, None) and clean[3] == ("", 0)
     mixed = pipeline.mixed(spark, docs, data).collect()
     assert {(r["doc_id"], r["text"], r["mix_pos"]) for r in mixed} == {(r[0], r[1], 3) for r in rows}
+
+
+def test_mixing_shuffles_texts_twice_and_few_kept_ids_shuffle_none(spark):
+    """Starts of buckets and kept ids are counted and broadcast even where estimates would shuffle the texts to meet them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = written(spark.range(400).selectExpr("id as doc_id", "concat('text of its own ', id, ' ', sha2(string(id), 256)) as text", "string(id % 3) as source", "50L as n_chars"), "docs")
+        mixed = pipeline.mixed(spark, docs, DATA)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and mixed.select("doc_id").distinct().count() == 400
+        assert "SortMergeJoin" not in pipeline.single(spark, docs, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
