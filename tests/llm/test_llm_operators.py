@@ -441,6 +441,52 @@ def test_automaton_decides():
         assert (machine.matched([w.encode() for w in text], inside, np.full(len(text), own)) == want).all(), turn
 
 
+def test_automaton_tells_words_of_one_letter_apart():
+    """Windows whose letters are equal but whose words are not, and one window of two ids: each gets the smallest id of its own words."""
+    by_letter: dict[str, list[str]] = {}
+    for i in range(2000):
+        by_letter.setdefault(phrases.Lines(f"w{i}".encode()).letters, []).append(f"w{i}")
+    a, b, c = next(x for x in by_letter.values() if len(x) > 2)[:3]
+    rest = " ".join(f"v{i}" for i in range(16))
+    machine = phrases.Automaton([(9, f"{a} {rest}"), (4, f"{b} {rest}"), (7, f"{b} {rest}")], 13)
+    lines = phrases.Lines("\n".join([f"{a} {rest}", f"{b} {rest}", f"{c} {rest}", " ".join(rest.split()[:12])]).encode())
+    got = machine.least(lines)[lines.inside(13)].tolist()
+    assert got == [9, 4, 4, 4, 4, 4, 4, 4, 4, 4, phrases.NULL_ID, 4, 4, 4, 4]
+
+
+def test_phrases_stream_once(spark, docs):
+    """More phrases than an automaton holds don't make more passes over the corpus."""
+    jobs = {}
+    for shard in (phrases.SHARD, 100):
+        spark.sparkContext.setJobGroup(f"phrases {shard}", "")
+        phrases.remove_repeats(docs, shard=shard).write.format("noop").mode("overwrite").save()
+        jobs[shard] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"phrases {shard}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs[100] == jobs[phrases.SHARD], jobs
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 600])
+def test_phrases_of_few_words_and_odd_ids(spark, chunk):
+    """Texts that repeat themselves, rows of one id (they do not remove from each other), ids below 0, null ids."""
+    rng = random.Random(8)
+    rows = [(i // 2 - 9, " ".join(rng.choice("ab") for _ in range(rng.randrange(60)))) for i in range(60)]
+    rows += [(40, "a " * 3000), (41, "b" + " a" * 40), (-50, "a " * 15), (None, "b " * 14 + "q"), (2**63 - 1, "b " * 14 + "r"), (None, "c " * 14 + "q"), (None, "c " * 14 + "r")]
+    least: dict[tuple, int] = {}
+    words = [(2**63 - 1 if i is None else i, t.split()) for i, t in rows]
+    for i, w in words:
+        for k in range(len(w) - 12):
+            least[tuple(w[k : k + 13])] = min(i, least.get(tuple(w[k : k + 13]), i))
+    want = []
+    for i, w in words:
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 12):
+            if least[tuple(w[k : k + 13])] < i:
+                gone[k : k + 13] = True
+        want.append((i, len(w), int(gone.sum()), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    got = phrases.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()
+    assert sorted((2**63 - 1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == sorted(want)
+
+
 def test_mixing(spark):
     rows = [(i, "a" if i < 700 else "b" if i < 900 else None if i < 950 else f"c{i}", "p") for i in range(1000)]
     df = spark.createDataFrame(rows, "doc_id long, source string, mix_share string")
