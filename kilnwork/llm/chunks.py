@@ -123,12 +123,15 @@ def unplaned(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
 
 
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeezed(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return _PACKER.compress(raw)
 
 
 def expanded(raw: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw)
+    return _UNPACKER.decompress(raw)
 
 
 def bits(flags: np.ndarray) -> bytes:
@@ -327,10 +330,15 @@ class Store:
     shards: int
 
 
-def stored(df: DataFrame, kind: Kind, size: int = CHUNK) -> Store:
-    """The texts of df (id, text) in chunks, with their copies and open windows."""
+def shards_for(chunks: int, partitions: int, per: int) -> int:
+    return 1 << max(4, int(np.ceil(np.log2(max(partitions, min(chunks / 8, 4 * partitions), chunks / per, 1)))))
+
+
+def stored(df: DataFrame, kind: Kind, size: int = CHUNK, per: int = 8) -> Store:
+    """The texts of df (id, text) in chunks, with their copies and open windows. A shard for each 8 chunks; where these are more than the
+    partitions of by_shard, for each `per`: a chunk sends a packet to each shard, so more of them make more packets, fewer larger shards."""
     chunks = _chunked(df, size)
-    shards = 1 << max(4, int(np.ceil(np.log2(max(partitions(df.sparkSession), chunks.count() / 8, 1)))))
+    shards = shards_for(chunks.count(), partitions(df.sparkSession), per)
     copies = written(_copies(chunks), "copies")
     recurring = written(_recurring(_anchors(chunks, kind, shards), shards), "recurring")
 

@@ -63,6 +63,8 @@ from .common import U64, dropped, mixed, word_hashes, word_spans, written
 WINDOW, GRAM = 13, 6
 #: Words of the phrases of an automaton, which has up to 13 nodes a window.
 SHARD = 400_000
+#: Chunks a shard, where there are many.
+PER = 32
 #: Bytes of segments that are searched at once, and at least those of one chunk.
 SEARCHED = 1 << 20
 
@@ -387,7 +389,7 @@ def _searched(sent: DataFrame, window: int, shards: int, words: int) -> DataFram
 def remove_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, chunk: int = CHUNK, shard: int = SHARD) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256), and with kept the words that are left, joined by blanks."""
     kind = Kind(True, window, gram)
-    store = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), kind, chunk)
+    store = stored(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), kind, chunk, PER)
     sent = _sent(store, kind)
     found = written(_searched(sent, window, store.shards, shard), "found")
     sites = sent.filter("shard < 0").select("chunk", F.lit(4).alias("role"), "payload")

@@ -454,6 +454,12 @@ def test_automaton_tells_words_of_one_letter_apart():
     assert got == [9, 4, 4, 4, 4, 4, 4, 4, 4, 4, phrases.NULL_ID, 4, 4, 4, 4]
 
 
+def test_shards_of_chunks():
+    """Shards fill the partitions of an exchange first; beyond these a chunk of the phrases' store meets a quarter as many."""
+    assert [chunks.shards_for(n, 51, 8) for n in (0, 170, 837, 49_000)] == [64, 64, 128, 8192]
+    assert [chunks.shards_for(n, 51, phrases.PER) for n in (0, 170, 837, 49_000)] == [64, 64, 128, 2048]
+
+
 def test_phrases_stream_once(spark, docs):
     """More phrases than an automaton holds don't make more passes over the corpus."""
     jobs = {}
