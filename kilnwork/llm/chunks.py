@@ -29,7 +29,6 @@ from .lattice import _runs as runs
 CHUNK = 1 << 20
 #: Takes the place of a null id in comparisons: null ids count as the largest, and as equal to this one.
 NULL_ID = 2**63 - 1
-_TOP = U64(2**64 - 1)
 
 
 @dataclass(frozen=True)
@@ -67,7 +66,10 @@ class Chunk:
         if not count:
             return np.zeros(0, U64)
         total, down = self._sums
-        return mixed((total[n:] - total[:-n])[:count] * down[:count] + U64(n))
+        out = (total[n:] - total[:-n])[:count]
+        out *= down[:count]
+        out += U64(n)
+        return mixed(out)
 
     def inside(self, skip: np.ndarray) -> np.ndarray:
         """Whether each window lies in one document, and that one is not to be skipped."""
@@ -79,16 +81,16 @@ class Chunk:
                 out[a : b - w + 1] = True
         return out
 
-    def anchors(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of grams, smallest hash in each window (all ones where not inside), places of the anchors."""
-        grams, k = self.hashes(self.kind.gram), self.kind.window - self.kind.gram + 1
+    def anchors(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of windows of one anchor begin that are all inside or all not, and the hash of each run's anchor. Between windows
+        inside two documents there are some that are not inside, so a run is in one document."""
         if not len(inside):
-            return grams, np.zeros(0, U64), np.zeros(0, np.int64)
-        low = slid(np.minimum, grams, k)
-        chosen = np.where(inside, low, U64(0))
-        # a gram is the smallest of some window if the largest minimum of the windows it is in is its own hash
-        most = slid(np.maximum, np.concatenate([np.zeros(k - 1, U64), chosen, np.zeros(k - 1, U64)]), k)
-        return grams, np.where(inside, low, _TOP), np.flatnonzero((most == grams) & (grams > 0))
+            return np.zeros(0, np.int64), np.zeros(0, U64)
+        least = slid(np.minimum, self.hashes(self.kind.gram), self.kind.window - self.kind.gram + 1)
+        new = np.ones(len(inside), bool)
+        new[1:] = (least[1:] != least[:-1]) | (inside[1:] != inside[:-1])
+        heads = np.flatnonzero(new)
+        return heads, least[heads]
 
     def document(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bounds, places, "right") - 1
@@ -99,10 +101,11 @@ class Chunk:
 
 def slid(best: np.ufunc, x: np.ndarray, k: int) -> np.ndarray:
     """best over each k neighbours."""
-    span = 1
+    span, spare = 1, [np.empty(len(x), x.dtype) for _ in range(2)]
     while span < k:
         step = min(span, k - span)
-        x, span = best(x[:-step], x[step:]), span + step
+        x, span = best(x[:-step], x[step:], out=spare[0][: max(0, len(x) - step)]), span + step
+        spare.reverse()
     return x
 
 
@@ -240,6 +243,21 @@ def begins(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.append(at, len(values))
 
 
+def stable(x: np.ndarray) -> np.ndarray:
+    """The stable order of numbers: places are sorted with them, in one plain sort where both fit into 64 bits, else in two, by the lower
+    bits, then by the upper ones."""
+    n = int(len(x)).bit_length()
+    low, mask = U64(n), U64((1 << n) - 1)
+    places = np.arange(len(x), dtype=U64)
+    if not len(x) or n > 32:
+        return np.argsort(x, kind="stable")
+    x = x - x.min()
+    by = (np.sort(x << low | places) & mask).astype(np.int64)  # the shift leaves the lower bits alone
+    if int(x.max()).bit_length() + n > 64:
+        by = by[(np.sort((x >> U64(64 - n))[by] << low | places) & mask).astype(np.int64)]
+    return by
+
+
 def place_of(full: np.ndarray, number: int) -> int:
     """The place of a shard among those that occur."""
     i = int(np.searchsorted(full, number))
@@ -274,9 +292,12 @@ def _anchors(chunks: DataFrame, kind: Kind, shards: int) -> DataFrame:
         for batch in batches:
             for number, ids, packed in zip(*(batch[c].to_pylist() for c in ("chunk", "ids", "packed")), strict=True):
                 chunk = opened(ids, packed, kind)
-                grams, _, at = chunk.anchors(chunk.inside(np.zeros(len(chunk.ids), bool)))
-                order = np.argsort(grams[at], kind="stable")  # documents of equal anchors stay in order
-                values, owner = (grams[at] >> low)[order], chunk.document(at)[order]
+                inside = chunk.inside(np.zeros(len(chunk.ids), bool))
+                at, values = chunk.anchors(inside)
+                own = inside[at]
+                at, values = at[own], values[own] >> low
+                order = stable(values)  # documents of equal anchors stay in order
+                values, owner = values[order], chunk.document(at)[order]
                 if len(at):
                     own, starts = begins(values)
                     values = np.repeat(own, 1 + (owner[starts[:-1]] != owner[starts[1:] - 1]))
@@ -297,7 +318,7 @@ def _recurring(anchors: DataFrame, shards: int) -> DataFrame:
             again = np.unique(every[1:][every[1:] == every[:-1]])
             found = []
             for c, part in zip(chunk, parts, strict=True) if len(again) else ():
-                part = np.unique(part)
+                part = begins(part)[0]
                 part = part[again[np.minimum(np.searchsorted(again, part), len(again) - 1)] == part]
                 if len(part):
                     found.append((c, np.int32(number).tobytes() + part.tobytes()))
@@ -311,13 +332,11 @@ def _open(chunk: Chunk, skip: np.ndarray, recurring: list[bytes], shards: int) -
     low, inside = U64(64 - (shards.bit_length() - 1) - 32), chunk.inside(skip)
     if not recurring or not len(inside):
         return np.zeros(len(inside), bool)
-    grams, least, at = chunk.anchors(inside)
+    heads, value = chunk.anchors(inside)
     known = np.sort(np.concatenate([(U64(np.frombuffer(x[:4], np.int32)[0]) << U64(32)) | np.frombuffer(x[4:], np.uint32).astype(U64) for x in recurring]))
-    value = grams[at] >> low
-    again = at[known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value]
-    marked = np.full(len(grams), _TOP, U64)
-    marked[again] = grams[again]
-    return inside & (slid(np.minimum, marked, chunk.kind.window - chunk.kind.gram + 1) == least)
+    value >>= low
+    again = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
+    return inside & np.repeat(again, np.diff(heads, append=len(inside)))
 
 
 @dataclass

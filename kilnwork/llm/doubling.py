@@ -6,8 +6,8 @@ round the chunks of texts send (rank, rank at the offset) pairs to the ranges of
 and ranked densely, and the new ranks go back to the positions. A pair that occurs in one document only has no rank: its
 position, and every window that needs it, is done. Past the threshold a pair learns the smallest id it starts in.
 
-Pairs are compared as they are, so the result is exact; hashes only rule windows out beforehand (see chunks) and group equal
-pairs of one chunk. A chunk sends a pair once, however often it holds it, so a passage in very many documents costs a range one
+Pairs are compared as they are, so the result is exact; hashes only rule windows out beforehand (see chunks) and bring equal pairs
+together, where different ones of one hash are sorted: ranks ascend with the first half, then by a hash of the second. A chunk sends a pair once, however often it holds it, so a passage in very many documents costs a range one
 entry a chunk. The first round's ranges are cut at sampled pairs, so that a frequent first half is cut inside. The sample and the ranges
 have a fixed bound; beyond it each range is cut further by a hash of the second half: equal pairs still meet, and the cuts do not
 change the result. A chunk's work goes by the ranges it has pairs in, not by all there are.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,15 +45,14 @@ from .chunks import (
     opened,
     packets,
     place_of,
-    planes,
     replies,
     runs,
     squeezed,
     stored,
     unbits,
-    unplaned,
     with_chunks,
 )
+from .chunks import stable as _stable
 from .common import ODD, U64, dropped, mixed, written
 
 LENGTH, GRAM, SEED = 50, 26, 8
@@ -89,11 +89,35 @@ def _shifted(windows: np.ndarray, shifts: tuple[int, ...]) -> np.ndarray:
 
 def _values(data: np.ndarray) -> np.ndarray:
     """The SEED bytes at each position as a number, the first one highest; 0 where fewer are left."""
-    v = np.zeros(len(data) + SEED, U64)
-    v[: len(data)] = data
-    for i in (1, 2, 4):
-        v[:-i] = v[:-i] << U64(8 * i) | v[i:]
-    return v[: len(data)]
+    raw = np.zeros(len(data) + SEED - 1, np.uint8)
+    raw[: len(data)] = data
+    return np.ndarray(len(data), ">u8", raw, 0, (1,)).astype(U64)
+
+
+def _slim(x: np.ndarray) -> bytes:
+    """64-bit numbers by planes, only as many bytes of each as the largest has, after the number of these."""
+    w = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([w]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes()
+
+
+def _full(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """n numbers that _slim wrote at a place, and the place behind them."""
+    w = raw[at]
+    x = np.zeros((n, 8), np.uint8)
+    x[:, :w] = np.frombuffer(raw, np.uint8, w * n, at + 1).reshape(w, n).T
+    return x.view(U64).reshape(-1), at + 1 + w * n
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    """The differences of numbers below 2**63, small ones of either sign as small numbers."""
+    d = x.astype(np.int64)
+    d[1:] -= x[:-1].view(np.int64)
+    return (d << 1 ^ d >> 63).view(U64)
+
+
+def _summed(d: np.ndarray) -> np.ndarray:
+    """The numbers that have these _steps."""
+    return np.cumsum((d >> U64(1)).view(np.int64) ^ -(d & U64(1)).view(np.int64)).view(U64)
 
 
 @dataclass
@@ -109,7 +133,12 @@ class Ranked:
         own = self.ranks[_shifted(self.windows, shifts)]
         flags = np.packbits(self.windows).tobytes()
         head = np.array([len(self.offsets), len(self.windows)], np.int64).tobytes()
-        return squeezed(head + self.offsets.tobytes() + flags + planes(own & U64((1 << LOCAL) - 1)) + planes(own >> U64(LOCAL)))
+        return squeezed(head + self.offsets.tobytes() + flags + _slim(own & U64((1 << LOCAL) - 1)) + _slim(own >> U64(LOCAL)))
+
+    def owners(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in order, and of ascending positions the place of their document's id there."""
+        ids, place = np.unique(self.ids, return_inverse=True)
+        return ids, np.repeat(place, np.diff(np.searchsorted(places, self.offsets)))
 
 
 def _reopened(ids: bytes, packed: bytes, shifts: tuple[int, ...]) -> Ranked:
@@ -117,9 +146,9 @@ def _reopened(ids: bytes, packed: bytes, shifts: tuple[int, ...]) -> Ranked:
     n, size = (int(x) for x in np.frombuffer(raw, np.int64, 2))
     offsets, at = np.frombuffer(raw, np.int64, n, 16), 16 + 8 * n
     windows = np.unpackbits(np.frombuffer(raw, np.uint8, -(-size // 8), at), count=size).astype(bool)
-    both = raw[at + -(-size // 8) :]
-    ranks = np.zeros(size, U64)
-    ranks[_shifted(windows, shifts)] = unplaned(both[: len(both) // 2]) | unplaned(both[len(both) // 2 :]) << U64(LOCAL)
+    q, ranks = _shifted(windows, shifts), np.zeros(size, U64)
+    low, at = _full(raw, at + -(-size // 8), len(q))
+    ranks[q] = low | _full(raw, at, len(q))[0] << U64(LOCAL)
     return Ranked(np.frombuffer(ids, np.int64, len(ids) // 9), offsets, windows, ranks)
 
 
@@ -134,7 +163,7 @@ def _started(chunk: Chunk, flags: bytes) -> Ranked:
 class Entries:
     """The distinct pairs of a chunk by (range, first rank): how many, the ranges that occur and where each begins, with the end. What is
     not asked for is None: for those who send, the pairs and of each the smallest id or whether two documents have it; for those who
-    get answers, positions, the entry of each, and the smallest ids."""
+    get answers, positions, the entry of each, and the smallest ids. Ids are places in ids, which ascend; owner is that of each position."""
 
     size: int
     full: np.ndarray
@@ -143,50 +172,105 @@ class Entries:
     b: np.ndarray | None = None
     least: np.ndarray | None = None
     several: np.ndarray | None = None
+    ids: np.ndarray | None = None
+    owner: np.ndarray | None = None
     places: np.ndarray | None = None
     entry: np.ndarray | None = None
 
+    @cached_property
+    def gaps(self) -> np.ndarray:
+        """Of each first rank the difference to that before it in its range."""
+        out = np.zeros(self.size, U64)
+        np.subtract(self.a[1:], self.a[:-1], out=out[1:])
+        out[self.cuts[:-1]] = 0
+        return out
+
 
 def _entries(own: Ranked, offset: int, shifts: tuple[int, ...], ends: list[tuple[int, int]] | None, shards: int, last: bool, part: int | None = None, parts: int = 1) -> Entries:
     """ends: the pairs at which ranges end, in the first round; later (None), the ranges are those of the first ranks. part: for those who
     send, the remainder by parts of the ranges that are sent; what is left of other ranges is in the order it has among all."""
     q = _shifted(own.windows, shifts)
-    a, b = own.ranks[q], own.ranks[q + offset]
-    # equal pairs next to each other, by a hash with the position below it; two pairs of one hash only make entries in excess
-    low = U64(max(1, int(len(q)).bit_length()))
-    keys = (mixed(a * ODD + b) >> low << low) | np.arange(len(q), dtype=U64)
+    a, b, low = own.ranks[q], own.ranks[q + offset], int(len(q)).bit_length()
+    ids, owner = own.owners(q) if part is not None or last else (None, None)
     if part is not None and parts > 1:
-        keys = keys[_maybe(a, b, ends, shards, part, parts)]
-    order = (np.sort(keys) & ((U64(1) << low) - U64(1))).astype(np.int64)
-    x, y = a[order], b[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    heads = np.flatnonzero(new)
-    x, y = x[heads], y[heads]
-    by = _stable(x)
+        some = np.flatnonzero(_maybe(a, b, ends, shards, part, parts))
+        a, b, owner = a[some], b[some], owner[some]
+    by = None
+    if ends is None and (keys := _ranked_keys(a, b, low)) is not None:
+        order, x, y, new = _grouped(keys, low, a, b)
+        heads = np.flatnonzero(new)
+        x, y = x[heads], y[heads]
+    else:
+        order, x, y, new = _grouped(mixed(a * ODD + b) >> U64(low) << U64(low) | np.arange(len(a), dtype=U64), low, a, b)
+        heads = np.flatnonzero(new)
+        x, y = x[heads], y[heads]
+        by = _stable(x)
     if ends is not None:
         by, number = _cut(x, y, by, ends, shards)
     else:
-        number = (x[by] >> U64(LOCAL)) - U64(1)
+        number = ((x if by is None else x[by]) >> U64(LOCAL)) - U64(1)
     full, cuts = begins(number)
-    out = Entries(len(x), full.astype(np.int64), cuts)
-    if part is not None or last:
-        owner = own.ids[np.searchsorted(own.offsets, q, "right") - 1][order]
-        least = np.minimum.reduceat(owner, heads) if len(heads) else owner
+    out, entry = Entries(len(x), full.astype(np.int64), cuts, ids=ids), np.cumsum(new) - 1
+    if owner is not None:
+        held, more = owner[order], np.flatnonzero(~new)
         if last:
-            out.least = least[by]
+            out.least = held[heads]
+            np.minimum.at(out.least, entry[more], held[more])
+            out.least = out.least if by is None else out.least[by]
         else:
-            out.several = ((np.maximum.reduceat(owner, heads) if len(heads) else owner) > least)[by]
+            out.several = np.zeros(len(x), bool)
+            out.several[entry[more[held[more] != held[more - 1]]]] = True
+            out.several = out.several if by is None else out.several[by]
     if part is not None:
-        out.a, out.b = x[by], y[by]
+        out.a, out.b = (x, y) if by is None else (x[by], y[by])
         return out
-    place = np.empty(len(x), np.int64)
-    place[by] = np.arange(len(x))
-    out.places, out.entry = q, np.empty(len(q), np.int64)
-    out.entry[order] = place[np.cumsum(new) - 1]
+    if by is not None:
+        place = np.empty(len(x), np.int64)
+        place[by] = np.arange(len(x))
+        entry = place[entry]
+    out.places, out.owner, out.entry = q, owner, np.empty(len(q), np.int64)
+    out.entry[order] = entry
     return out
 
 
+def _grouped(keys: np.ndarray, low: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of pairs by keys, which are alike above the lower bits for equal pairs and have the place in these; the pairs in this order;
+    and whether each is another one than that before it. Equal pairs are neighbours: different ones of one key are sorted."""
+    keys = np.sort(keys)
+    order = (keys & U64((1 << low) - 1)).astype(np.int64)
+    x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    same = (keys[1:] ^ keys[:-1]) >> U64(low) == 0
+    if (clash := new[1:] & same).any():
+        group = np.concatenate([[0], np.cumsum(~same)])
+        at = np.flatnonzero(np.isin(group, group[1:][clash]))
+        order[at] = order[at][np.lexsort((y[at], x[at], group[at]))]
+        x, y = a[order], b[order]
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order, x, y, new
+
+
+def _ranked_keys(a: np.ndarray, b: np.ndarray, low: int) -> np.ndarray | None:
+    """Keys for _grouped, in the order of the first ranks: these without the bits that none has, a hash of the second, the place. None if
+    too few bits are left for the hash."""
+    if not len(a):
+        return a
+    local, high = a & U64((1 << LOCAL) - 1), a >> U64(LOCAL)
+    high -= high.min()
+    inner = int(local.max()).bit_length()
+    width = inner + int(high.max()).bit_length()
+    if width + low > 52:
+        return None
+    return _keys(high << U64(inner) | local, width, b, low, np.arange(len(a), dtype=U64))
+
+
+def _keys(first: np.ndarray, width: int, b: np.ndarray, low: int, places: np.ndarray) -> np.ndarray:
+    """first, below 2**width, as upper bits, places as the low lower ones, and as much of a hash of b as fits between."""
+    keys = (mixed(b) >> U64(width + low)) << U64(low) | places
+    return first << U64(64 - width) | keys if width else keys
+
+
 def _maybe(a: np.ndarray, b: np.ndarray, ends: list[tuple[int, int]] | None, shards: int, part: int, parts: int) -> np.ndarray:
     """Whether a pair may be in a range of the part: for certain, but where a first half has several ranges."""
     if (inside := shards // RANGES) > 1:
@@ -194,8 +278,14 @@ def _maybe(a: np.ndarray, b: np.ndarray, ends: list[tuple[int, int]] | None, sha
     if not ends:
         return np.full(len(a), part == 0)
     first = np.array([x for x, _ in ends], U64)
-    number = np.searchsorted(first, a)
-    return (number % parts == part) | (first[np.minimum(number, len(first) - 1)] == a)
+    # where no range ends among the numbers of two first bytes, these tell
+    ending = np.bincount((first >> U64(48)).astype(np.int64), minlength=1 << 16)
+    known = np.where(ending > 0, 2, (np.cumsum(ending) % parts == part)).astype(np.uint8)
+    out = known[(a >> U64(48)).astype(np.int64)]
+    at = np.flatnonzero(out == 2)
+    number = np.searchsorted(first, a[at])
+    out[at] = (number % parts == part) | (first[np.minimum(number, len(first) - 1)] == a[at])
+    return out.view(bool)
 
 
 def _cut(x: np.ndarray, y: np.ndarray, by: np.ndarray, ends: list[tuple[int, int]], shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +293,8 @@ def _cut(x: np.ndarray, y: np.ndarray, by: np.ndarray, ends: list[tuple[int, int
     number = np.zeros(len(x), U64)
     if ends:
         first, second = (np.array(v, U64) for v in zip(*ends, strict=True))
-        at, to = np.searchsorted(x[by], first), np.searchsorted(x[by], first, "right")
+        ordered = x[by]
+        at, to = np.searchsorted(ordered, first), np.searchsorted(ordered, first, "right")
         for lo, hi in {(int(lo), int(hi)) for lo, hi in zip(at, to, strict=True) if lo < hi}:
             by[lo:hi] = by[lo:hi][np.argsort(y[by[lo:hi]], kind="stable")]
         starts = [int(lo) + int(np.searchsorted(y[by[lo:hi]], s)) for lo, hi, s in zip(at, to, second, strict=True)]
@@ -219,10 +310,12 @@ def _cut(x: np.ndarray, y: np.ndarray, by: np.ndarray, ends: list[tuple[int, int
 def _packed(e: Entries, s: int, last: bool) -> bytes:
     """Of the s-th of the ranges that occur its number of pairs, first ranks as differences, second ranks, and whether two documents have them; in the last round, smallest ids."""
     a, b = int(e.cuts[s]), int(e.cuts[s + 1])
-    parts = [np.array([b - a], np.int64).tobytes(), planes(np.diff(e.a[a:b], prepend=U64(0))), planes(e.b[a:b])]
+    parts = [np.array([b - a, e.a[a].view(np.int64)], np.int64).tobytes(), _slim(e.gaps[a:b]), _slim(e.b[a:b])]
     if last:
-        own, place = np.unique(e.least[a:b], return_inverse=True)
-        return squeezed(b"".join([*parts, planes(place.astype(U64)), planes(own.view(U64))]))
+        least, held = e.least[a:b], np.zeros(len(e.ids), bool)
+        held[least] = True
+        place = np.cumsum(held) - 1
+        return squeezed(b"".join([*parts, _slim(place[least].view(U64)), e.ids[held].tobytes()]))
     return squeezed(b"".join([*parts, np.packbits(e.several[a:b]).tobytes()]))
 
 
@@ -230,36 +323,25 @@ def _unpacked(packed: bytes, last: bool) -> tuple[np.ndarray, np.ndarray, np.nda
     """First and second ranks; in the last round the smallest ids, else whether two documents have them."""
     raw = expanded(packed)
     m = int(np.frombuffer(raw, np.int64, 1)[0])
-    a, b = (unplaned(raw[8 + 8 * m * i : 8 + 8 * m * (i + 1)]) for i in range(2))
-    rest = raw[8 + 16 * m :]
+    a, at = _full(raw, 16, m)
+    a = np.cumsum(a, dtype=U64) + np.frombuffer(raw, U64, 1, 8)
+    b, at = _full(raw, at, m)
     if last:
-        return np.cumsum(a, dtype=U64), b, unplaned(rest[8 * m :]).view(np.int64)[unplaned(rest[: 8 * m]).astype(np.int64)]
-    return np.cumsum(a, dtype=U64), b, np.unpackbits(np.frombuffer(rest, np.uint8), count=m).astype(bool)
-
-
-def _stable(x: np.ndarray) -> np.ndarray:
-    """The stable order of numbers: places are sorted with them, in one plain sort where both fit into 64 bits, else in two, by the lower
-    bits, then by the upper ones."""
-    n = int(len(x)).bit_length()
-    low, mask = U64(n), U64((1 << n) - 1)
-    places = np.arange(len(x), dtype=U64)
-    if not len(x) or n > 32:
-        return np.argsort(x, kind="stable")
-    x = x - x.min()
-    by = (np.sort(x << low | places) & mask).astype(np.int64)  # the shift leaves the lower bits alone
-    if int(x.max()).bit_length() + n > 64:
-        by = by[(np.sort((x >> U64(64 - n))[by] << low | places) & mask).astype(np.int64)]
-    return by
-
-
-def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The order of the pairs: both sides are numbered densely, then one sort is left."""
-    by = _stable(a)
-    x, y = a[by], b[by]
-    first = np.cumsum(np.concatenate([[False], x[1:] != x[:-1]])).astype(U64)
-    low, second = _stable(y), np.empty(len(y), U64)
-    second[low] = np.cumsum(np.concatenate([[False], y[low][1:] != y[low][:-1]])).astype(U64)
-    return by[_stable(first * (second.max() + U64(1)) + second)]
+        place, at = _full(raw, at, m)
+        return a, b, np.frombuffer(raw, np.int64, -1, at)[place.view(np.int64)]
+    return a, b, np.unpackbits(np.frombuffer(raw, np.uint8, -1, at), count=m).view(bool)
+
+
+def _order(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the pairs by the first side in which equal ones are neighbours, and whether each is another one than that before it."""
+    low, first, places = int(len(a)).bit_length(), a - a.min(), np.arange(len(a), dtype=U64)
+    second = b
+    if int(first.max()).bit_length() + low > 48:  # the first side is numbered densely, so that a hash of the second fits beside it
+        by = _stable(a)
+        x, second, places = a[by], b[by], by.astype(U64)
+        first = np.cumsum(np.concatenate([[False], x[1:] != x[:-1]])).astype(U64)
+    order, _, _, new = _grouped(_keys(first, int(first.max()).bit_length(), second, low, places), low, a, b)
+    return order, new
 
 
 def _sorted(pairs: DataFrame, shards: int, last: bool) -> DataFrame:
@@ -273,25 +355,24 @@ def _sorted(pairs: DataFrame, shards: int, last: bool) -> DataFrame:
             ends = np.cumsum([0, *(len(p[0]) for p in parts)])
             a, b, rest = (np.concatenate([p[i] for p in parts]) for i in range(3))
             del parts
-            order = _order(a, b)
-            new = np.ones(len(a), bool)
-            new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-            heads, group_of = np.flatnonzero(new), np.cumsum(new) - 1
-            out = []
+            order, new = _order(a, b)
+            rest, out = rest[order], []
             if last:
+                heads = np.flatnonzero(new)
                 late = np.empty(len(a), bool)
-                late[order] = rest[order] > np.minimum.reduceat(rest[order], heads)[group_of]
+                late[order] = rest > np.repeat(np.minimum.reduceat(rest, heads), np.diff(heads, append=len(a)))
                 for c, i, j in zip(chunk, ends[:-1], ends[1:], strict=True):
                     out.append((c, np.int64(number).tobytes() + bits(late[i:j])))
             else:
-                again = np.logical_or.reduceat(rest[order], heads) | (np.diff(np.append(heads, len(a))) > 1)
-                rank = np.empty(len(a), U64)
-                rank[order] = np.where(again, np.cumsum(again), 0).astype(U64)[group_of]
+                again = rest | ~new
+                again[:-1] |= ~new[1:]
+                rank = np.empty(len(a), np.int64)
+                rank[order] = np.cumsum(again & new) * again
                 for c, i, j in zip(chunk, ends[:-1], ends[1:], strict=True):
                     own = rank[i:j]
-                    if own.any():
-                        held = own[own > 0]
-                        out.append((c, np.int64(number).tobytes() + squeezed(np.packbits(own > 0).tobytes() + planes(np.diff(held, prepend=U64(0))))))
+                    held = own > 0
+                    if held.any():
+                        out.append((c, np.int64(number).tobytes() + squeezed(np.packbits(held).tobytes() + _slim(_steps(own[held])))))
             yield replies(3, out)
 
     return by_shard(pairs, shards).mapInArrow(run, REPLIES)
@@ -305,8 +386,8 @@ def _ranks(e: Entries, found: list[bytes]) -> np.ndarray:
         p = place_of(e.full, s)
         a, b = int(e.cuts[p]), int(e.cuts[p + 1])
         raw = expanded(x[8:])
-        flags = np.unpackbits(np.frombuffer(raw, np.uint8, -(-(b - a) // 8)), count=b - a).astype(bool)
-        rank[a:b][flags] = np.cumsum(unplaned(raw[-(-(b - a) // 8) :]), dtype=U64) + (U64(s + 1) << U64(LOCAL))
+        flags = np.unpackbits(np.frombuffer(raw, np.uint8, -(-(b - a) // 8)), count=b - a).view(bool)
+        rank[a:b][flags] = _summed(_full(raw, -(-(b - a) // 8), int(np.count_nonzero(flags)))[0]) + (U64(s + 1) << U64(LOCAL))
     return rank[e.entry]
 
 
@@ -316,9 +397,8 @@ def _late(own: Ranked, e: Entries, found: list[bytes]) -> np.ndarray:
     for x in found:
         s = place_of(e.full, int(np.frombuffer(x, np.int64, 1)[0]))
         late[int(e.cuts[s]) : int(e.cuts[s + 1])] = unbits(x[8:], int(e.cuts[s + 1] - e.cuts[s]))
-    owner = own.ids[np.searchsorted(own.offsets, e.places, "right") - 1]
     out = np.zeros(len(own.windows), bool)
-    out[e.places] = late[e.entry] | (owner > e.least[e.entry])
+    out[e.places] = late[e.entry] | (e.owner > e.least[e.entry])
     return out
 
 

@@ -385,6 +385,76 @@ def test_doubling_sends_in_parts_what_it_would_send_at_once():
             assert (whole.a[back.entry] == v[back.places]).all() and (whole.b[back.entry] == v[back.places + 8]).all()
 
 
+def test_doubling_sends_in_parts_what_it_awaits_whatever_the_hash(monkeypatch):
+    """Pairs that share a hash are told apart: those who send a part and those who get answers have the same entries, each pair once."""
+    data = np.frombuffer(b"ab" * 1500, np.uint8)
+    own = doubling.Ranked(np.array([4, 9]), np.array([0, 1700, 3000]), np.arange(3000) < 2950, doubling._values(data))
+    for hashed in (lambda x: x * np.uint64(0), lambda x: x & np.uint64(1)):
+        monkeypatch.setattr(doubling, "mixed", hashed)
+        ends = [(int(own.ranks[1]), int(own.ranks[9]))]
+        back = doubling._entries(own, 8, (0, 16), ends, 64, False)
+        parts = [doubling._entries(own, 8, (0, 16), ends, 64, False, i, 2) for i in range(2)]
+        for i, s in enumerate(back.full.tolist()):
+            j = parts[s % 2].full.tolist().index(s)
+            assert back.cuts[i + 1] - back.cuts[i] == parts[s % 2].cuts[j + 1] - parts[s % 2].cuts[j] == 1
+        rng = np.random.default_rng(6)
+        for bits in (3, 20, 63):
+            a, b = (rng.integers(0, 2**bits, 400, dtype=np.uint64)[rng.integers(0, 400, 900)] for _ in range(2))
+            b = np.where(rng.random(900) < 0.5, b, a)
+            order, new = doubling._order(a, b)
+            pairs = list(zip(a[order].tolist(), b[order].tolist(), strict=True))
+            assert sorted(order) == list(range(900)) and (np.diff(a[order].astype(np.int64)) >= 0).all()
+            assert new.tolist() == [i == 0 or pairs[i] != pairs[i - 1] for i in range(900)] and new.sum() == len(set(pairs))
+
+
+def test_doubling_sorts_once_a_chunk_in_later_rounds(monkeypatch):
+    """One sort of numbers for the entries, unless ranks are too wide for it; packets and replies read back as they were."""
+    rng = np.random.default_rng(7)
+    for ranges, sorts in ((60, 1), (1 << 30, None)):
+        known = (rng.integers(1, ranges, 500, dtype=np.uint64) << np.uint64(32)) | rng.integers(1, 40_000, 500, dtype=np.uint64)
+        own = doubling.Ranked(np.array([9, 4, 7]), np.array([0, 900, 900, 3000]), np.arange(3000) < 2900, known[rng.integers(0, 500, 3000)])
+        own.ranks[1000:1800] = own.ranks[100:900]
+        calls, plain = [], np.sort
+        monkeypatch.setattr(np, "sort", lambda x, plain=plain, calls=calls: calls.append(len(x)) or plain(x))
+        sent = {last: doubling._entries(own, 18, (0,), None, 64, last, 0) for last in (False, True)}
+        monkeypatch.setattr(np, "sort", plain)
+        assert sorts is None or len(calls) == 2 * sorts
+        back = doubling._entries(own, 18, (0,), None, 64, True)
+        owner = np.where(back.places < 900, 9, 7)
+        pairs = [(int(own.ranks[q]), int(own.ranks[q + 18])) for q in back.places]
+        ids: dict[tuple[int, int], set[int]] = {}
+        for pair, i in zip(pairs, owner.tolist(), strict=True):
+            ids.setdefault(pair, set()).add(i)
+        for last, e in sent.items():
+            assert e.size == back.size == len(ids) < len(pairs) and (e.full == back.full).all() and (e.cuts == back.cuts).all()
+            read = [doubling._unpacked(doubling._packed(e, i, last), last) for i in range(len(e.full))]
+            a, b, rest = (np.concatenate([x[i] for x in read]).tolist() for i in range(3))
+            assert [(a[i], b[i]) for i in back.entry] == pairs
+            assert rest == [min(ids[p]) if last else len(ids[p]) > 1 for p in zip(a, b, strict=True)]
+        again = doubling._reopened(own.ids.tobytes() + bytes(3), own.packed((0, 18)), (0, 18))
+        assert (again.ranks[:2918] == own.ranks[:2918]).all() and (again.windows == own.windows).all() and again.ids.tolist() == [9, 4, 7]
+    for x in (rng.integers(0, 2**62, 50, dtype=np.uint64), np.array([7, 3, 3, 0], np.uint64), np.zeros(0, np.uint64)):
+        raw = b"xy" + doubling._slim(doubling._steps(x))
+        got, at = doubling._full(raw, 2, len(x))
+        assert (doubling._summed(got) == x).all() and at == len(raw)
+
+
+@pytest.mark.parametrize("kind", [chunks.Kind(False, 50, 26), chunks.Kind(True, 13, 6)])
+def test_anchors_are_the_smallest_hashes_of_the_windows(kind):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(120))).encode() for _ in range(12)] + [b"", b"q" * 90, b"q" * 90]
+    offsets = np.cumsum([0, *(len(x) for x in texts)])
+    c = chunks.Chunk(np.arange(len(texts)), np.zeros(len(texts), bool), np.frombuffer(b"".join(texts), np.uint8), offsets, kind)
+    inside, grams = c.inside(np.arange(len(texts)) == 3), c.hashes(kind.gram)
+    heads, values = c.anchors(inside)
+    least = [int(grams[i : i + kind.window - kind.gram + 1].min()) for i in range(len(inside))]
+    assert np.repeat(values, np.diff(heads, append=len(inside))).tolist() == least
+    assert (inside[heads] == inside[np.append(heads[1:], len(inside)) - 1]).all() and (c.document(heads) == c.document(np.append(heads[1:], len(inside)) - 1))[inside[heads]].all()
+    some = {x for i, x in enumerate(least) if i % 3 == 0}
+    found = [np.int32(s).tobytes() + np.array(sorted({x >> 28 & 0xFFFFFFFF for x in some if x >> 60 == s}), np.uint32).tobytes() for s in range(16)]
+    assert chunks._open(c, np.arange(len(texts)) == 3, found, 16).tolist() == [bool(i) and x in some for i, x in zip(inside, least, strict=True)]
+
+
 def test_cutting_goes_by_the_shards_that_occur():
     hashes = np.sort(np.random.default_rng(3).integers(0, 2**64, 500, dtype=np.uint64))
     for shards in (1, 16, 1 << 40):
