@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -162,6 +163,75 @@ def test_lattice_finds_pairs_at_the_threshold():
     assert ((near % 2).min(1) == (near % 2).max(1)).all() and (near.sum(1) % 4 == 0).all()  # points of E8, doubled
 
 
+def linked(unit, least=0.95):
+    """Links of each of the unit vectors, and the smallest place reachable, by definition."""
+    near = unit @ unit.T >= least
+    np.fill_diagonal(near, False)
+    forest = Forest(len(unit))
+    for a, b in np.argwhere(near).tolist():
+        forest.join(a, b)
+    return near, forest.roots()
+
+
+def test_lattice_writes_little_and_compares_what_may_link(spark, tmp_path, monkeypatch):
+    """Random vectors are in no component of candidates, and the tables between steps take less than twice the input."""
+    rng, kept = np.random.default_rng(4), {}
+    x = rng.standard_normal((6000, 64))
+    x[5900:] = x[:100] + 0.05 * rng.standard_normal((100, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>").repartition(4)
+    df.write.parquet(f"file://{tmp_path}/in")
+
+    def keep(df, name):
+        kept.setdefault(name, []).append(written(df, name))
+        return kept[name][-1]
+
+    monkeypatch.setattr(lattice, "written", keep)
+    got = lattice.near_duplicates(spark.read.parquet(f"file://{tmp_path}/in")).collect()
+    assert sum(r["n_links"] for r in got) == 200 and sum(r["kept"] for r in got) == 5900
+    assert kept["links"][0].count() == 200
+    size = lambda path: sum(f.stat().st_size for f in Path(path).rglob("*.parquet"))
+    # tables that were emptied on the way count as they are now, members and edges of the 200 rows
+    assert sum(size(t._kilnwork_path.removeprefix("file://")) for ts in kept.values() for t in ts) < 2 * size(tmp_path / "in")
+
+
+def test_lattice_cuts_cells_and_components_into_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 32))
+    x = np.concatenate([base[i % 6] + (0.02 if i % 6 < 2 else 0.14) * rng.standard_normal((1, 32)) for i in range(400)]).astype(np.float32)
+    near, roots = linked(x / np.linalg.norm(x.astype(float), axis=1)[:, None])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    want = {i: (int(near[i].sum()), int(roots[i])) for i in range(400)}
+    for name, value in (("BLOCK", 20), ("MEMBERS", 25), ("SHARE", 1), ("STANDING", 1)):
+        monkeypatch.setattr(lattice, name, value)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in lattice.near_duplicates(df).collect()} == want
+    for side, few in ((7, 1), (64, 500)):
+        monkeypatch.setattr(lattice, "SIDE", side)
+        monkeypatch.setattr(lattice, "FEW", few)
+        copies, reps, unit = rng.integers(1, 5, 400), rng.permutation(400), x / np.linalg.norm(x, axis=1)[:, None]
+        to, links = lattice._compared(np.array([0, 150, 151]), reps, np.full(400, 2), unit, lambda products, a, b: products >= 0.95, copies)
+        for a, b in ((0, 150), (150, 151), (151, 400)):
+            near, roots = linked(unit[a:b][np.argsort(reps[a:b])])
+            order = a + np.argsort(reps[a:b])
+            assert links[order].tolist() == (near @ copies[order]).tolist() and to[order].tolist() == reps[order[roots]].tolist()
+        mine = (np.arange(400) % 3 == 0).astype(int)  # left with right alone
+        to, links = lattice._compared(np.array([0]), reps, mine, unit, lambda products, a, b: products >= 0.95, copies)
+        near = (unit @ unit.T >= 0.95) & (mine[:, None] != mine[None, :])
+        assert links.tolist() == (near @ copies).tolist() and all(to[i] == to[j] for i, j in np.argwhere(near)) and (to <= reps).all()
+
+
+def test_brief_vectors_rule_out_no_link():
+    rng = np.random.default_rng(6)
+    for dim, power in ((1, 1), (3, 1), (64, 1), (64, 9), (700, 3)):
+        x = rng.standard_normal((300, dim)) ** power
+        x = np.concatenate([x, x + 0.3 * rng.standard_normal((300, dim)) * np.abs(x).mean(1)[:, None], np.eye(dim)[:1]])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        raw = lattice.brief(x)
+        short, left = lattice.unpacked(raw)
+        assert raw.shape == (601, dim + 8) and (np.linalg.norm(x - short, axis=1) <= left).all()
+        slack = left[:, None] + (1 + left[:, None]) * left[None, :] + 1e-4 + 1e-7 * dim
+        assert (np.abs(short @ short.T - x @ x.T) <= slack).all() and left.max() < 0.1
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(60)] + [(5, 5), (400, 999)] + [(999, 400)]
