@@ -248,9 +248,14 @@ def _stars(reps: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return reps[order[moved]], reps[order[roots[moved]]]
 
 
+def _places(near: np.ndarray) -> tuple[np.ndarray, ...]:
+    """np.nonzero, but by the faster search of one dimension."""
+    return np.unravel_index(np.flatnonzero(near), near.shape)
+
+
 def _tie(labels: np.ndarray, left: np.ndarray, right: np.ndarray, near: np.ndarray) -> None:
     """Joins in labels (the smallest place of each place's set) the places left[i] and right[j] where near."""
-    i, j = np.nonzero(near)
+    i, j = _places(near)
     one, two = labels[left[i]], labels[right[j]]
     while (apart := one != two).any():
         one, two = one[apart], two[apart]
@@ -348,7 +353,7 @@ def _met(standing: DataFrame, n: int, least: float) -> DataFrame:
                     top = left[a].max()
                     near = products >= floor - top - (1 + top) * left[b].max()
                     if near.any():
-                        some = np.nonzero(near)
+                        some = _places(near)
                         one, two = (np.broadcast_to(left[x], near.shape)[some] for x in (a, b))
                         near[some] = products[some] + one + (1 + one) * two >= floor
                     return near
